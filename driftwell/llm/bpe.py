@@ -25,13 +25,16 @@ LEAF_CHARS = 32_768
 #: Most distinct words a Python worker remembers; the memory starts anew when it is full.
 CACHE_WORDS = 250_000
 FIRST_WINDOW = 64
+#: Words encoded in one call of the library; ASCII stops that are tokens of their own after a letter or digit.
+BATCH_WORDS, STOPS = 4096, frozenset(b"%c" % c for c in b".,;:!?")
 
 
 class WordEncoder:
     """Encodes text word by word with a remembered result for each word.
 
-    Only blank, tab, line feed and carriage return separate words here: the vocabulary drops white
-    space and never merges across it, so words are independent of each other."""
+    Only ASCII white space separates words here: the vocabulary drops white space and never merges
+    across it, so words are independent of each other. A-Z are lowered beforehand, as the vocabulary
+    does itself, but not where a special token may stand, whose letters count as they are."""
 
     def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -39,32 +42,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache_words, self.seen = cache_words, {"": (b"", b"")}
+        self.cache_words, self.seen = cache_words, {}
         self.token = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))]
         self.plain = self.tokenizer.decoder is None  # then decoding joins tokens by blanks
 
-    def words(self, text: str) -> list[str]:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if len(self.seen) > self.cache_words:
-            self.seen = {"": (b"", b"")}
-        new = list({w for w in words if w not in self.seen})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.seen[w] = (np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.offsets, "<i4").reshape(-1, 2).tobytes())
-        return words
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words, many in one call, and remember the ids of each."""
+        for k in range(0, len(words), BATCH_WORDS):
+            some = [w.decode() for w in words[k : k + BATCH_WORDS]]
+            starts = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+            ids, at = self.spans(" ".join(some))
+            cuts = np.searchsorted(at[:, 0], [*starts, 2**62]) * 4
+            raw = ids.astype("<u4").tobytes()
+            for w, lo, hi in zip(words[k : k + BATCH_WORDS], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                self.seen[w] = raw[lo:hi]
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        words, seen = self.words(text), self.seen
-        return b"".join([seen[w][0] for w in words])
+        raw = text.encode()
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        seen = self.seen
+        new = {w for w in words if w not in seen}
+        if new:
+            if len(seen) + len(new) > self.cache_words:
+                seen.clear()
+                new = set(words)
+            # a stop after a letter is a token of its own: most such words are known without it
+            tails = {w for w in new if w[-1:] in STOPS and w[-2:-1].isalnum() and b"<|" not in w}
+            need = (new - tails) | {x for w in tails for x in (w[:-1], w[-1:]) if x not in seen}
+            self.learn(list(need))
+            for w in tails:
+                seen[w] = seen[w[:-1]] + seen[w[-1:]]
+        return b"".join(map(seen.__getitem__, words))
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, and start and end of each token in characters."""
-        words, seen = self.words(text), self.seen
-        ids = np.frombuffer(b"".join([seen[w][0] for w in words]), "<u4")
-        at = np.frombuffer(b"".join([seen[w][1] for w in words]), "<i4").reshape(-1, 2)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        return ids, at + np.repeat(starts, [len(seen[w][0]) // 4 for w in words])[:, None]
+        """The ids, and start and end of each token in characters, by the library itself."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return np.asarray(e.ids, "<u4"), np.asarray(e.offsets, "int64").reshape(-1, 2)
 
     def decode(self, ids: np.ndarray) -> str:
         if self.plain:
