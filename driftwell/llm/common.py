@@ -36,9 +36,16 @@ def lower_az(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; no words for null, empty or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no label may be learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def fenced(df: DataFrame, **made: Column) -> DataFrame:
+    """Add columns that are computed once for each row: a generator stands between them and what
+    uses them, so that the optimizer does not repeat an expression at each place of use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
