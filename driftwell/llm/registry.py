@@ -47,7 +47,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.canonical(records).where("layout is not null")))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_chat, op10_bpe)}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    model = secrets.train(secrets.labelled_samples(spark, table(spark, sf_dir, "benchmark")))
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), model))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_chat, op7_secrets, op10_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
