@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -54,7 +60,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), model))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_chat, op7_secrets, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op5_chat, op7_secrets, op10_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,6 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, quality_rules
+    from . import chat, near_dedup, quality_rules
 
-    return {"op3_quality_rules": quality_rules.SQL, "op5_chat": chat.SQL}
+    return {"op2_near_dedup": near_dedup.SQL, "op3_quality_rules": quality_rules.SQL, "op5_chat": chat.SQL}
