@@ -21,7 +21,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +32,9 @@ from .common import written
 from .components import components
 
 PERMUTATIONS, PER_BAND = 64, 2
-BANDS = PERMUTATIONS // PER_BAND
 #: Shingles for which all permutations are evaluated at once.
 BLOCK = 2048
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,11 +45,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER) if text and not text.islower() else text or "")
+def words(text: str | None) -> list[bytes]:
+    """The words with A-Z lowered. Bytes are split at, and lowered in, just the ASCII characters meant."""
+    return (text or "").encode().lower().split()
 
 
-def word_hashes(tokens: list[str]) -> np.ndarray:
+def word_hashes(tokens: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(np.array(tokens, dtype=object), categorize=False) if tokens else np.empty(0, np.uint64)
 
 
@@ -69,30 +66,30 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed(s))
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
+def _constants(permutations: int) -> np.ndarray:
     rng = np.random.default_rng(20_240_229)
-    return rng.integers(0, 2**63, (2, PERMUTATIONS), np.uint64) | np.uint64(1)
+    return rng.integers(0, 2**63, (2, permutations), np.uint64) | np.uint64(1)
 
 
 def bands(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The band hashes of a set."""
-    low, high = np.full(PERMUTATIONS, np.uint64(2**64 - 1)), np.zeros(PERMUTATIONS, np.uint64)
+    low, high = np.full(len(a), np.uint64(2**64 - 1)), np.zeros(len(a), np.uint64)
     for k in range(0, len(s), BLOCK):
         values = a[:, None] * s[None, k : k + BLOCK] + b[:, None]
         low, high = np.minimum(low, values.min(1)), np.maximum(high, values.max(1))
-    both = np.stack([low, high], 1).reshape(BANDS, 2 * PER_BAND)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    both = np.stack([low, high], 1).reshape(-1, 2 * PER_BAND)
+    out = np.arange(1, len(both) + 1, dtype=np.uint64)
     for k in range(2 * PER_BAND):
         out = mixed(out * _MUL + both[:, k])
     return out.view(np.int64)
 
 
-def sketches(documents: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(documents: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
     """doc_id, n (size of the set), h1 and h2 (hashes of the whole set), bands."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = _constants()
+        a, b = _constants(permutations)
         at = np.arange(1, BLOCK + 1, dtype=np.uint64)
         for frame in frames:
             rows = []
@@ -134,9 +131,9 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int, d
     return both.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
-    drawn = written(sketches(documents, size, doc_id, text), "sketches")
+    drawn = written(sketches(documents, size, doc_id, text, permutations), "sketches")
     known = drawn.where("doc_id IS NOT NULL AND n > 0")
     copies = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = known.join(copies.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi")

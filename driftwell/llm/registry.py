@@ -15,6 +15,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of documents that repeat across documents; documents without any have no row."""
+    from .passages import repeats
+
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "first_doc_id", "removed")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -60,7 +67,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), model))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op5_chat, op7_secrets, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op5_chat, op7_secrets, op9_passages, op10_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
