@@ -60,6 +60,13 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.canonical(records).where("layout is not null")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of documents and benchmark items that count as leaks; other documents have no row."""
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -67,7 +74,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), model))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op5_chat, op7_secrets, op9_passages, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op5_chat, op6_decontaminate, op7_secrets, op9_passages, op10_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
