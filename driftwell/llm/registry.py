@@ -46,6 +46,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of the table is a record of the turn-row layout; conversation -1 comes as one record
     of the messages layout."""
@@ -74,7 +80,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), model))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op5_chat, op6_decontaminate, op7_secrets, op9_passages, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op4_warc, op5_chat, op6_decontaminate, op7_secrets, op9_passages, op10_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -82,6 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, near_dedup, quality_rules
+    from . import chat, near_dedup, quality_rules, warc
 
-    return {"op2_near_dedup": near_dedup.SQL, "op3_quality_rules": quality_rules.SQL, "op5_chat": chat.SQL}
+    return {"op2_near_dedup": near_dedup.SQL, "op3_quality_rules": quality_rules.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL}
