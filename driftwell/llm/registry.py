@@ -15,6 +15,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality_model import scores
+
+    scored = scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of documents that repeat across documents; documents without any have no row."""
     from .passages import repeats
@@ -32,6 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the verdict only the score counts here; the last column is that by language."""
+    from pyspark.sql import functions as F
+
+    from .toxicity import scores
+
+    scored = scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("toxic").alias("toxic_by_lang"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import classes
 
@@ -80,7 +99,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), model))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op4_warc, op5_chat, op6_decontaminate, op7_secrets, op9_passages, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_quality_rules, op4_warc, op5_chat, op6_decontaminate, op7_secrets, op8_quality_model, op9_passages, op10_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
