@@ -21,11 +21,11 @@ def corpus(spark):
     for i in range(1500):
         t = [w() for _ in range(rng.randint(5, 60))]
         toxic, good = i % 4 == 0, i % 3 != 0
+        if not good:
+            t = [t[0]] * 6 + t[:4] + ["###", "$$$"]
         if toxic:
             for _ in range(2):
                 t.insert(rng.randrange(len(t)), "zlim" + w())
-        if not good:
-            t = [t[0]] * 6 + t[:4] + ["###", "$$$"]
         docs.append((i, " ".join(t), ["en", "de", None][i % 3], 0.5))
         labels.append((i, int(good), int(toxic)))
     docs += [(5000, None, "en", 1.0), (5001, "", None, 1.0), (None, "some words", "en", 1.0), (3, docs[3][1], "en", 1.0)]
