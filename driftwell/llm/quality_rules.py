@@ -88,7 +88,7 @@ def filtered(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     repeat, by the text's hash; null ids count as equal."""
     key = "_rules_key"
     keyed = documents.withColumn(key, F.struct(F.col(doc_id), F.xxhash64(F.col(text)), F.col(host)))
-    good = judge(keyed, key, text, host).where("kept").select(F.col("doc_id").alias("_kept_key")).distinct()
+    good = judge(keyed, key, text, host).where("kept").select(F.col("doc_id").alias("_kept_key")).distinct().hint("merge")
     return keyed.join(good, F.col(key).eqNullSafe(F.col("_kept_key")), "left_semi").drop(key)
 
 

@@ -145,7 +145,7 @@ def redacted(documents: DataFrame, model: list[float], doc_id: str = "doc_id", t
     are replaced together."""
     key = "_secret_key"
     keyed = documents.withColumn(key, F.struct(F.col(doc_id), F.xxhash64(F.col(text))))
-    found = scan(keyed, model, key, text).where(F.size("found") > 0).select(F.col("doc_id").alias("_found_key"), "found").dropDuplicates(["_found_key"])
+    found = scan(keyed, model, key, text).where(F.size("found") > 0).select(F.col("doc_id").alias("_found_key"), "found").dropDuplicates(["_found_key"]).hint("merge")
     joined = keyed.join(found, F.col(key).eqNullSafe(F.col("_found_key")), "left")
     # pieces between findings, each starting where all earlier findings have ended
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
