@@ -119,3 +119,31 @@ def merge_once(sized: DataFrame, block_size: int) -> DataFrame:
     rows = F.col("n_rows") + F.when(F.col("take"), F.lead("n_rows").over(w)).otherwise(0)
     done = taking.select("range_start", rows.alias("n_rows"), gone.alias("gone"), "block_id").where("NOT gone")
     return done.select((F.row_number().over(Window.orderBy("block_id")) - 1).cast("long").alias("block_id"), "range_start", "n_rows")
+
+
+def merged(sized: DataFrame, block_size: int, most_rounds: int = 64) -> DataFrame:
+    """Rounds of merging until none changes anything; each round works on the leaves, not on rows."""
+    from ..sources.shared import written
+
+    now, n = sized.select("block_id", "range_start", "n_rows"), -1
+    for _ in range(most_rounds):
+        now = written(merge_once(now, block_size), "leaves")
+        m = now.count()
+        if m == n:
+            break
+        n = m
+    w = Window.orderBy("range_start")
+    return now.select((F.row_number().over(w) - 1).cast("long").alias("block_id"), "range_start", F.lead("range_start").over(w).alias("range_end"), "n_rows")
+
+
+def refreshed(tree: DataFrame, df: DataFrame, table: Table, ranges: DataFrame, dirty: DataFrame) -> DataFrame:
+    """The leaves of a tree, with those of ``dirty`` (node_position) hashed again from the table; the rows
+    of clean leaves are not hashed."""
+    stale = ranges.join(dirty.select(F.col("node_position").alias("block_id")), "block_id", "left_semi")
+    rows = assign(df, list(table.key), ranges).join(stale.select("block_id"), "block_id", "left_semi")
+    text = row_text(df, [*table.key, *table.columns(df)])
+    hashed = rows.select("block_id", *_lanes(text)).groupBy("block_id").agg(F.count("*").alias("n_rows"), *[F.bit_xor(x).alias(x) for x in LANES])
+    zero = stale.select("block_id").join(hashed, "block_id", "left")
+    fresh = zero.select(F.col("block_id").alias("node_position"), *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n_rows", *LANES)])
+    kept = tree.where("node_level = 0").join(dirty.select("node_position"), "node_position", "left_anti").select("node_position", "n_rows", *LANES)
+    return kept.unionByName(fresh)

@@ -419,3 +419,58 @@ def _drain(s: SparkSession, d: str) -> DataFrame:
     changes(s, d).withColumn("commit_lsn", F.expr("CASE WHEN xid < 50 THEN xid * 10 + 9 END")).write.parquet(f"{place}/log")
     drain.bounded(s.readStream.schema(drain.SCHEMA).parquet(f"{place}/log"), f"{place}/out", f"{place}/checkpoint")
     return s.read.parquet(f"{place}/out").groupBy("op").agg(F.count("*").alias("n_rows"), F.max("lsn").alias("last_lsn"))
+
+
+# ---- the rest of the catalogue
+
+query("block_assign", f"WITH {_ASSIGN} SELECT o_orderkey, block_id FROM a")(lambda s, d: blocks.assign(table(s, d, "orders"), ["o_orderkey"], _ranges(s, d)).select("o_orderkey", "block_id"))
+query("column_inventory", "SELECT column_name AS name, (row_number() OVER () - 1)::BIGINT AS position FROM (DESCRIBE orders)")(lambda s, d: (lambda t: s.createDataFrame([(c, i) for i, c in enumerate(t.columns)], "name string, position long"))(table(s, d, "orders")))
+query("row_count_by_node", f"WITH {cte('orders')} SELECT 'n1' AS node, count(*) AS n_rows FROM n1 UNION ALL SELECT 'n2', count(*) FROM n2 UNION ALL SELECT 'n3', count(*) FROM n3")(
+    lambda s, d: node(s, d, "orders", "n1").select(F.lit("n1").alias("node")).unionByName(node(s, d, "orders", "n2").select(F.lit("n2").alias("node"))).unionByName(node(s, d, "orders", "n3").select(F.lit("n3").alias("node"))).groupBy("node").agg(F.count("*").alias("n_rows"))
+)
+query("diff_until", diff_sql("orders", where="o_orderkey % 41 = 0 OR o_orderdate <= TIMESTAMP '1995-06-01'"))(
+    lambda s, d: diff.report(diff.diff(cluster(s, d, "orders"), spec("orders"), where=(F.col("o_orderkey") % 41 == 0) | (F.col("o_orderdate") <= F.lit("1995-06-01 00:00:00").cast("timestamp"))), spec("orders"))
+)
+query("diff_origin", diff_sql("orders", where="o_orderkey % 3 = 2"))(_diff("orders", where="o_orderkey % 3 = 2"))
+query("diff_embeddings_array", "SELECT vec_id FROM embeddings WHERE vec_id % 83 <> 5 AND vec_id % 89 = 11")(
+    lambda s, d: (lambda t: diff.diff_pair(t.where("vec_id % 83 <> 5"), t.where("vec_id % 83 <> 5").withColumn("embedding", F.expr("if(vec_id % 89 = 11, slice(embedding, 2, 99999), embedding)")), nodes.Table("embeddings", ("vec_id",))).select("vec_id"))(table(s, d, "embeddings"))
+)
+query("plan_when_predicate", f"SELECT f.o_orderkey FROM ({diff_sql('orders')}) f JOIN orders o USING (o_orderkey) WHERE f.diff_type = 'row_mismatch' AND o.o_totalprice > 100000 AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')")(
+    lambda s, d: rules.resolved(diff.diff(cluster(s, d, "orders"), spec("orders")), spec("orders"), rules.Plan((rules.Rule("r", "skip", when="n1.o_totalprice > 100000 AND n2.o_orderpriority IN ('1-URGENT', '2-HIGH')"),), (), "bidirectional"))
+    .where("rule = 'r'")
+    .select("o_orderkey")
+)
+query("plan_pk_range", f"SELECT o_orderkey FROM ({diff_sql('orders')}) WHERE o_orderkey BETWEEN 50 AND 700")(
+    lambda s, d: rules.resolved(diff.diff(cluster(s, d, "orders"), spec("orders")), spec("orders"), rules.Plan((rules.Rule("r", "skip", key_between=(50, 700)),), (), "bidirectional")).where("rule = 'r'").select("o_orderkey")
+)
+query("plan_coalesce", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 13 = 0")(
+    lambda s, d: (lambda c, t, p: rules.repairs(
+        rules.resolved(diff.diff(nodes.Cluster({"n1": lambda _: c.withColumn("c_mktsegment", F.expr(_HOLES1)), "n2": lambda _: c}), t), t, p), t, columns("customer"), p
+    ).where("node = 'n1'").select("c_custkey", "row.c_mktsegment"))(table(s, d, "customer"), spec("customer"), rules.Plan((), (), "custom", {"c_mktsegment": "coalesce(n1.c_mktsegment, n2.c_mktsegment)"}))
+)
+query("merkle_root_compare", "SELECT TRUE AS same_as_itself, FALSE AS same_as_other")(lambda s, d: _roots(s, d))
+query("merkle_resequence", "SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS block_id, o_orderkey AS range_start, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS range_end FROM orders WHERE o_orderkey % 50 = 0")(
+    lambda s, d: merkle.resequenced(table(s, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("range_start")))
+)
+query("merkle_refresh", f"WITH {cte('orders')}, r AS ({_R40}) SELECT block_id AS node_position, count(o.o_orderkey) AS n_rows FROM r LEFT JOIN n2 o ON {_IN} GROUP BY block_id")(
+    lambda s, d: merkle.refreshed(merkle.build(_leaves(s, d, "n1"), 40), node(s, d, "orders", "n2"), spec("orders"), _ranges(s, d, n=40), merkle.mismatched(merkle.build(_leaves(s, d, "n1"), 40), merkle.build(_leaves(s, d, "n2"), 40))).select("node_position", "n_rows")
+)
+
+
+def _roots(s: SparkSession, d: str) -> DataFrame:
+    tops = [merkle.build(_leaves(s, d, n), 40).where("node_level = 6").select(F.struct(*merkle.LANES).alias(k)) for n, k in (("n1", "a"), ("n1", "b"), ("n2", "c"))]
+    one = [t.withColumn("k", F.lit(1)) for t in tops]
+    return one[0].join(one[1], "k").join(one[2], "k").select(F.col("a").eqNullSafe(F.col("b")).alias("same_as_itself"), F.col("a").eqNullSafe(F.col("c")).alias("same_as_other"))
+
+
+@query("report_round_trip", diff_sql("orders"))
+def _report(s: SparkSession, d: str) -> DataFrame:
+    """A diff that was written as a report and read again."""
+    import uuid
+
+    from .sources import reports
+    from .sources.shared import shared_dir
+
+    t, place = spec("orders"), f"{shared_dir(s)}/report-{uuid.uuid4().hex}"
+    reports.write_report(diff.diff(cluster(s, d, "orders"), t), place)
+    return diff.report(reports.read_report(s, place, t, table(s, d, "orders").schema), t)

@@ -147,3 +147,33 @@ def test_listen(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_reports_and_tasks(spark, tmp_path):
+    from driftwell.sources import reports
+
+    left, right = canonical_case(spark)
+    found = pair(left, right)
+    assert reports.write_report(found, f"{tmp_path}/r") and not reports.write_report(found.limit(0), f"{tmp_path}/none")
+    again = reports.read_report(spark, f"{tmp_path}/r", T, left.schema)
+    assert sorted(map(str, again.select("id", "diff_type", "n1.name").collect())) == sorted(map(str, found.select("id", "diff_type", "n1.name").collect()))
+    with pytest.raises(ValueError):
+        reports.read_report(spark, f"{tmp_path}/r", T, left.schema) if spark.createDataFrame([(1,)], "x int").write.mode("append").json(f"{tmp_path}/r") is None else None
+    reports.write_html(found, T, f"{tmp_path}/r.html")
+    page = open(f"{tmp_path}/r.html").read()
+    assert "<b>" in page and page.count("<tr>") == 6
+    with pytest.raises(KeyError), reports.task(f"{tmp_path}/tasks", "table-diff", table="t"):
+        raise KeyError("x")
+    with reports.task(f"{tmp_path}/tasks", "table-diff"):
+        pass
+    assert sorted(r.status for r in reports.tasks(spark, f"{tmp_path}/tasks").collect()) == ["COMPLETED", "FAILED"]
+    assert reports.skip_list("a.b, c") == ["a.b", "c"]
+    with pytest.raises(ValueError):
+        reports.skip_list("a;b")
+
+
+def test_merge_to_a_fixpoint(spark):
+    sized = spark.range(8).selectExpr("id AS block_id", "id * 10 AS range_start", "if(id = 4, 90L, 10L) AS n_rows")
+    got = merkle.merged(sized, 100).orderBy("block_id").collect()
+    assert sum(r.n_rows for r in got) == 160 and len(got) < 8 and got[0].range_start == 0
+    assert all(a.range_end == b.range_start for a, b in zip(got, got[1:], strict=False))
