@@ -5,11 +5,13 @@ value: two sketch entries from one evaluation, each of which two sets share with
 Jaccard similarity. Two permutations, so four entries, make a band; documents that share a band are
 candidates.
 
-Exact copies (equal sets) are one class with one representative before anything is paired. In a bucket,
-each representative is paired with the least one only; the pairs are confirmed on the full sets, and
-links give components. Where a bucket still holds several components, the members outside its largest
-component are paired with the members of other components. So no link between different components is
-lost, and a bucket of m similar documents costs m pairs, not m * m. With 32 bands of four entries, a pair
+Exact copies (equal sets) are one class with one representative before anything is paired. Each
+representative is paired with the least of its buckets' least members only; the pairs are confirmed on the
+full sets, and links give components. Where a bucket still holds several components, its members are
+written as their differences from the first member of its largest component, which give the similarity
+of any two; those outside the largest component are joined with the members of other components on the condition that
+they are similar enough, so this join emits links and nothing else. No link between different components
+is lost, and m similar documents cost m pairs, not m * m. With 32 bands of four entries, a pair
 at similarity 0.85 shares no band with a chance of 6e-11 (0.8: 5e-8).
 
 A-Z are lowered; words are separated by blanks and ASCII controls. With fewer words than a shingle has,
@@ -105,32 +107,70 @@ def sketches(documents: DataFrame, size: int, doc_id: str = "doc_id", text: str
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts travel once to each pair; a node of many
-    pairs is a key of many rows in a plain join, which Spark splits."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def compared(pairs: DataFrame, documents: DataFrame, size: int, percent: int, doc_id: str, text: str, differences: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; or, with ``differences``, all pairs as a, x
+    (which text of a), b, n_a, n_b, lost (what a has and b has not) and added. Texts travel once to each
+    pair; a node of many pairs is a key of many rows in a plain join, which Spark splits."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # grows with the input: never broadcast
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    texts = docs.join(ids, "id", "left_semi").withColumn("x", F.xxhash64("text")).dropDuplicates(["id", "x"]).drop("x")
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    texts = docs.join(ids.hint("merge"), "id", "left_semi").withColumn("x", F.xxhash64("text")).dropDuplicates(["id", "x"])
+    one = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = one.join(texts.select(F.col("id").alias("a"), "x", F.col("text").alias("text_a")), "a").select("a", "x", "b", "text_a", "text_b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for frame in frames:
-                last, s = None, None
-                good = []
-                for x, y in zip(frame["text_a"], frame["text_b"], strict=True):
-                    if s is None or x != last:
-                        last, s = x, shingles(x, size)
-                    t = shingles(y, size)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    good.append(100 * both >= percent * (len(s) + len(t) - both))
-                yield frame.loc[good, ["a", "b"]]
+        last, s = None, None
+        for frame in frames:
+            rows = []
+            with np.errstate(over="ignore"):
+                for a, x, b, ta, tb in frame.itertuples(index=False):
+                    if s is None or ta != last:
+                        last, s = ta, shingles(ta, size)
+                    t = shingles(tb, size)
+                    if differences:
+                        lost, added = np.setdiff1d(s, t, assume_unique=True), np.setdiff1d(t, s, assume_unique=True)
+                        rows.append((a, x, b, len(s), len(t), lost.view(np.int64), added.view(np.int64)))
+                    else:
+                        common = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * common >= percent * (len(s) + len(t) - common):
+                            rows.append((a, b))
+            yield pd.DataFrame(rows, columns=["a", "x", "b", "n_a", "n_b", "lost", "added"] if differences else ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
+    if differences:
+        return both.mapInPandas(run, f"a {kind}, x long, b {kind}, n_a long, n_b long, lost array<long>, added array<long>")
     return both.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
+def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Confirmed links (a, b) that give the components of all pairs that share a bucket; ``members`` has
+    key, id and n, once for each key and id."""
+    # first, each member with one pivot: the least of all members that are the least of a bucket of its
+    firsts = members.groupBy("key").agg(F.min("id").alias("p")).join(members.select("key", F.col("id").alias("p"), F.col("n").alias("n_p")), ["key", "p"])
+    met = firsts.join(members, "key").where(f"id <> p AND 100 * least(n, n_p) >= {int(percent)} * greatest(n, n_p)")
+    pairs = written(met.groupBy(F.col("id").alias("b")).agg(F.min("p").alias("a")), "pairs")
+    links = written(compared(pairs, documents, size, percent, doc_id, text), "links")
+
+    # then what is left between components: buckets of two that were compared are done
+    held = members.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    open_ = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("i1"), F.max("id").alias("i2"), F.count("*").alias("m")).where("c1 < c2")
+    two = open_.where("m = 2").join(pairs, (F.col("i1") == F.col("a")) & (F.col("i2") == F.col("b")), "left_anti")
+    left = written(held.join(open_.where("m > 2").select("key").unionByName(two.select("key")), "key", "left_semi"), "left")
+    largest = left.groupBy("key", "c").count().groupBy("key").agg(F.min(F.struct((-F.col("count")).alias("m"), "c")).alias("top")).select("key", F.col("top.c").alias("ref"))
+    placed = left.join(largest, "key").groupBy("ref", "id", "c").agg(F.max((F.col("c") != F.col("ref")).cast("int")).alias("minor"))
+    placed = written(placed, "placed")
+    away = written(compared(placed.where("id <> ref").select(F.col("ref").alias("a"), F.col("id").alias("b")), documents, size, percent, doc_id, text, True), "differences")
+    none = F.array().cast("array<long>")
+    here = away.select("a", "x", F.col("a").alias("b"), "n_a", F.col("n_a").alias("n_b"), none.alias("lost"), none.alias("added")).dropDuplicates(["a", "x"])
+    known = away.unionByName(here).join(placed.select(F.col("ref").alias("a"), F.col("id").alias("b"), "c", "minor"), ["a", "b"])
+    side = lambda k: [F.col("b").alias(f"id_{k}"), F.col("n_b").alias(f"n_{k}"), F.col("lost").alias(f"lost_{k}"), F.col("added").alias(f"added_{k}"), F.col("c").alias(f"c_{k}")]
+    # two sets that differ from a third one by known values have known intersections, so the join emits links only
+    common = "n_a - size(array_union(lost_1, lost_2)) + size(array_intersect(added_1, added_2))"
+    x, y = known.where("minor = 1").select("a", "x", "n_a", *side(1)), known.select(F.col("a").alias("ref"), F.col("x").alias("y"), *side(2))
+    fit = f"100 * least(n_1, n_2) >= {int(percent)} * greatest(n_1, n_2)"
+    rest = x.join(y, F.expr(f"a = ref AND x = y AND c_1 <> c_2 AND {fit} AND {100 + int(percent)} * ({common}) >= {int(percent)} * (n_1 + n_2)"))
+    return written(links.unionByName(rest.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()), "links")
+
+
 def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     drawn = written(sketches(documents, size, doc_id, text, permutations), "sketches")
@@ -138,30 +178,9 @@ def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id
     copies = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = known.join(copies.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi")
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n")
-    shared = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    members = written(rows.join(shared, F.col("key") == F.col("k")).select("key", "id", "n", "first"), "buckets")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, n_a, n_b) that their sizes allow."""
-        fits = f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)"
-        return written(pairs.where(fits).select("a", "b").distinct(), "pairs")
-
-    sizes = members.where("id = first").select(F.col("key").alias("k"), F.col("n").alias("n_a")).groupBy("k").agg(F.max("n_a").alias("n_a"))
-    star = members.where("id <> first").join(sizes, F.col("key") == F.col("k")).select(F.col("first").alias("a"), F.col("id").alias("b"), "n_a", F.col("n").alias("n_b"))
-    pairs = near(star)
-    links = written(confirmed(pairs, documents, size, percent, doc_id, text), "links")
-    # second round: what is left between components
-    joined = components(links, "a", "b")
-    held = members.join(joined, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed_keys = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    left = written(held.join(mixed_keys, "key", "left_semi").distinct(), "left")
-    largest = left.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
-    minor = left.join(largest, "key").where("c <> top").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    rest = minor.join(left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b")), "key").where("c_a <> c_b")
-    ordered = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
-    fresh = near(ordered).join(pairs, ["a", "b"], "left_anti")
-    more = links.unionByName(confirmed(fresh, documents, size, percent, doc_id, text))
-    final = components(written(more, "links"), "a", "b")
+    shared = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("k")
+    members = written(rows.join(shared, F.col("key") == F.col("k")).select("key", "id", "n").distinct(), "buckets")
+    final = components(linked(members, documents, size, percent, doc_id, text), "a", "b")
 
     # a class goes where its representative goes; equal ids with different sets hang together too
     of_class = known.join(copies.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("n").alias("xn"), "rep"), (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")) & (F.col("n") == F.col("xn")))
@@ -172,7 +191,7 @@ def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id
 
 def filtered(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, with its own columns."""
-    kept = classes(documents, size, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = classes(documents, size, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct().hint("merge")
     return documents.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
