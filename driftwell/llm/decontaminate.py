@@ -75,7 +75,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     hits = written(rows.join(hashes, F.col("w") == F.col("k"), "left_semi"), "hits")
     aligned = hits.join(keys, "w").groupBy("doc_id", "dh", "item_id", "ih").agg(F.collect_set(F.struct("pos", "at")).alias("hits"))
 
-    some = hits.select(F.col("doc_id").alias("d"), F.col("dh").alias("x")).distinct()
+    some = hits.select(F.col("doc_id").alias("d"), F.col("dh").alias("x")).distinct().hint("merge")  # grows with the input: never broadcast
     full = templated(docs.withColumn("dh", F.xxhash64("t")).join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dh") == F.col("x")), "left_semi").dropDuplicates(["doc_id", "dh"]), "t")
     both = aligned.join(full.select(F.col("doc_id").alias("d"), F.col("dh").alias("x"), "raw"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dh") == F.col("x")))
     item = items.select(F.col("item_id").alias("i"), F.xxhash64("item_raw").alias("y"), "item_raw", "item_tpl")
@@ -99,5 +99,5 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 def filtered(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a leak, with their own columns."""
-    bad = leaks(documents, benchmark, doc_id, text).select(F.col("doc_id").alias("_leak_id")).distinct()
+    bad = leaks(documents, benchmark, doc_id, text).select(F.col("doc_id").alias("_leak_id")).distinct().hint("merge")
     return documents.join(bad, F.col(doc_id).eqNullSafe(F.col("_leak_id")), "left_anti")
