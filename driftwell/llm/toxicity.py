@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, written
@@ -65,7 +65,6 @@ class Net:
     filters: np.ndarray  # slots x dim x filters
     bias: np.ndarray
     out: np.ndarray
-    scale: tuple[float, float] = (1.0, 0.0)
 
     def vectors(self, buckets: np.ndarray) -> np.ndarray:
         return self.embed[np.where(self.seen[buckets], buckets, 0)].mean(1)
@@ -111,10 +110,6 @@ class Net:
     def logit(self, pooled: np.ndarray) -> np.ndarray:
         return pooled @ self.out[:-1] + self.out[-1]
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * self.logit(self.pooled(texts)) + b, -30, 30)))
-
 
 def apart(texts: list[list[bytes]]) -> list[int]:
     """The texts without near copies of earlier ones, which would make their rare words look common: of
@@ -226,41 +221,47 @@ def platt(logits: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[float, f
     return float(a), float(b)
 
 
-def _mapped(rows: DataFrame, net: Net, what: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``score`` (the score, or the logit) of each row's text."""
+def _fold() -> Column:
+    """Of a labelled row: 0 to train, 2 to calibrate, 1 held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3
+
+
+def _logits(docs: DataFrame, net: Net) -> DataFrame:
+    """doc_id, lang and the logit of each text, which is scored whole."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [words(t) for t in frame["text"]]
-            yield frame[keep].assign(score=(net.score(texts) if what == "score" else net.logit(net.pooled(texts))).astype(float))
+            yield frame[["doc_id", "lang"]].assign(logit=net.logit(net.pooled([words(t) for t in frame["text"]])).astype(float))
 
-    kinds = dict(rows.dtypes)
-    return rows.select(*keep, "text").mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    kinds = dict(docs.dtypes)
+    return docs.mapInPandas(run, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, logit double")
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Net | None:
-    marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+def fit(docs: DataFrame, marks: DataFrame) -> Net | None:
+    """Train on a bounded sample of each class: ids are drawn by hash among the labels of the first fold,
+    and their texts are looked up, so no other text leaves its place."""
     sample = []
-    for y in (0, 1):  # a bounded sample of each class, drawn by hash
-        drawn = docs.join(marks.where((fold == 0) & (F.col("y") == y)), "doc_id").where(F.length("text") <= 6 * MAX_TRAIN_WORDS)
-        sample += [(words(r["text"]), y) for r in drawn.orderBy(F.xxhash64("doc_id"), "text").limit(MAX_TRAIN).select("text").collect()]
-    sample = [(t, y) for t, y in sample if len(t) <= MAX_TRAIN_WORDS]
+    for y in (0, 1):
+        drawn = marks.where((_fold() == 0) & (F.col("y") == y)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
+        texts = docs.where(F.length("text") <= 12 * MAX_TRAIN_WORDS).join(F.broadcast(drawn), "doc_id", "left_semi")  # at most MAX_TRAIN ids
+        rows = texts.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text").collect()
+        sample += [(t, y) for t in (words(r["text"]) for r in rows) if len(t) <= MAX_TRAIN_WORDS]
     if len({y for _, y in sample}) < 2:
         return None
-    net = train([t for t, _ in sample], np.array([y for _, y in sample]))
-    rows = _mapped(docs.join(marks.where(fold == 2), "doc_id"), net, "logit", ["y"])
-    bins = rows.groupBy(F.least(F.greatest(F.round(F.col("score") * 5), F.lit(-BINS)), F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("ones")).collect()
-    if bins:
-        net.scale = platt(np.array([r["bin"] / 5 for r in bins]), np.array([r["ones"] for r in bins]), np.array([r["n"] for r in bins]))
-    return net
+    return train([t for t, _ in sample], np.array([y for _, y in sample]))
+
 
+def calibrated(rows: DataFrame) -> tuple[float, float]:
+    """Slope and offset from the labelled logits of the other fold, by the counts of their bins."""
+    at = F.least(F.greatest(F.round(F.col("logit") * 5), F.lit(-BINS)), F.lit(BINS))
+    bins = rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("ones")).orderBy("bin").collect()  # at most 2 * BINS + 1 rows
+    if not bins:
+        return 1.0, 0.0
+    return platt(np.array([r["bin"] / 5 for r in bins]), np.array([r["ones"] for r in bins]), np.array([r["n"] for r in bins]))
 
-def thresholds(documents: DataFrame, labels: DataFrame, scored: DataFrame, label: str = "toxic", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+
+def thresholds(rows: DataFrame) -> DataFrame:
     """(lang, threshold): of each language the bin edge with the best F1 over its calibration rows."""
-    marks = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)")
-    rows = scored.join(marks.where(F.crc32(F.col("i").cast("string")) % 3 == 2), F.col("doc_id") == F.col("i"))
     bins = rows.groupBy("lang", F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
     down = Window.partitionBy("lang").orderBy(F.desc("bin"))
     hit, called, total = F.sum("ones").over(down), F.sum("n").over(down), F.sum("ones").over(Window.partitionBy("lang"))
@@ -270,11 +271,16 @@ def thresholds(documents: DataFrame, labels: DataFrame, scored: DataFrame, label
 
 def scores(documents: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, lang, held_out, score, and toxic: whether the score reaches the language's threshold."""
-    net = fit(documents, labels, label, doc_id, text)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    held = held_out(F.col("doc_id")).alias("held_out")
+    net = fit(docs, marks)
     if net is None:
-        return docs.select("doc_id", "lang", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).cast("double").alias("score"), F.lit(False).alias("toxic"))
-    scored = written(_mapped(docs, net, "score", ["doc_id", "lang"]), "toxicity")
-    limits = thresholds(documents, labels, scored, label, doc_id).select(F.col("lang").alias("l"), "threshold")
-    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("l")), "left")
-    return joined.select("doc_id", "lang", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))).alias("toxic"))
+        return docs.select("doc_id", "lang", held, F.lit(0.0).cast("double").alias("score"), F.lit(False).alias("toxic"))
+    raw = written(_logits(docs, net), "toxicity")
+    known = raw.join(marks.where(_fold() == 2), "doc_id")
+    a, b = calibrated(known)
+    score = 1 / (1 + F.exp(-F.least(F.greatest(a * F.col("logit") + b, F.lit(-30.0)), F.lit(30.0))))
+    limits = thresholds(known.withColumn("score", score)).select(F.col("lang").alias("l"), "threshold")
+    joined = raw.withColumn("score", score).join(limits, F.col("lang").eqNullSafe(F.col("l")), "left")
+    return joined.select("doc_id", "lang", held, "score", (F.col("score") >= F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))).alias("toxic"))
