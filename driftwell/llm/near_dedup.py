@@ -34,8 +34,8 @@ from .common import written
 from .components import components
 
 PERMUTATIONS, PER_BAND = 64, 2
-#: Shingles for which all permutations are evaluated at once.
-BLOCK = 2048
+#: Shingles for which all permutations are evaluated at once; characters of texts that are hashed at once.
+BLOCK, TEXT_BLOCK = 8192, 1 << 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,20 +52,45 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    return pd.util.hash_array(np.array(tokens, dtype=object), categorize=False) if tokens else np.empty(0, np.uint64)
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-    h = word_hashes(words(text))
-    if not len(h):
-        return h
-    width = min(size, len(h))
-    s = np.full(len(h) - width + 1, np.uint64(width))
-    for k in range(width):
-        s = s * _MUL + h[k : len(h) - width + 1 + k]
-    return np.unique(mixed(s))
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Of many texts at once: the hashes of all words in order, where each word starts in the joined
+    bytes, where each text starts in these, and the joined bytes, in which texts end with a line feed."""
+    raw = [(t or "").encode().lower() for t in texts]
+    whole = b"\n".join([*raw, b""])
+    offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    b = np.frombuffer(whole, np.uint8)
+    inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts, offsets, whole
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()) - 1, _MUL, np.uint64)]), dtype=np.uint64)
+    letters = b[inside].astype(np.uint64) + np.uint64(1)
+    return mixed(np.add.reduceat(letters * powers[at], first) ^ lengths.astype(np.uint64)), starts, offsets, whole
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        h, starts, offsets, _ = word_hashes(texts)
+        bounds = np.searchsorted(starts, offsets)
+        every = np.full(max(len(h) - size + 1, 0), np.uint64(size))
+        for k in range(size):
+            every = every * _MUL + h[k : k + len(every)]
+        every, out = mixed(every), []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo >= size:
+                out.append(np.unique(every[lo : hi - size + 1]))
+            elif hi > lo:
+                s = np.uint64(hi - lo)
+                for k in range(lo, hi):
+                    s = s * _MUL + h[k]
+                out.append(mixed(np.array([s])))
+            else:
+                out.append(np.empty(0, np.uint64))
+    return out
 
 
 def _constants(permutations: int) -> np.ndarray:
@@ -73,17 +98,32 @@ def _constants(permutations: int) -> np.ndarray:
     return rng.integers(0, 2**63, (2, permutations), np.uint64) | np.uint64(1)
 
 
-def bands(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The band hashes of a set."""
-    low, high = np.full(len(a), np.uint64(2**64 - 1)), np.zeros(len(a), np.uint64)
-    for k in range(0, len(s), BLOCK):
-        values = a[:, None] * s[None, k : k + BLOCK] + b[:, None]
-        low, high = np.minimum(low, values.min(1)), np.maximum(high, values.max(1))
-    both = np.stack([low, high], 1).reshape(-1, 2 * PER_BAND)
-    out = np.arange(1, len(both) + 1, dtype=np.uint64)
+def bands(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The band hashes of each set (none is empty): sets by bands."""
+    sizes = np.array([len(s) for s in sets])
+    low, high = np.full((len(a), len(sets)), np.uint64(2**64 - 1)), np.zeros((len(a), len(sets)), np.uint64)
+    whole, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    for k in range(0, len(whole), BLOCK):
+        values = a[:, None] * whole[None, k : k + BLOCK] + b[:, None]
+        here = owner[k : k + BLOCK]
+        cuts = np.flatnonzero(np.diff(here, prepend=-1))
+        first, last = here[0], here[-1] + 1
+        low[:, first:last] = np.minimum(low[:, first:last], np.minimum.reduceat(values, cuts, 1))
+        high[:, first:last] = np.maximum(high[:, first:last], np.maximum.reduceat(values, cuts, 1))
+    both = np.stack([low, high], 1).reshape(-1, 2 * PER_BAND, len(sets))
+    out = np.repeat(np.arange(1, len(both) + 1, dtype=np.uint64)[:, None], len(sets), 1)
     for k in range(2 * PER_BAND):
         out = mixed(out * _MUL + both[:, k])
-    return out.view(np.int64)
+    return out.T.copy().view(np.int64)
+
+
+def blocks_of(frame: pd.DataFrame, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of rows with about TEXT_BLOCK characters, so that arrays stay small."""
+    at = frame[columns[0]].str.len().fillna(0)
+    for c in columns[1:]:
+        at = at + frame[c].str.len().fillna(0)
+    for _, part in frame.groupby((at.cumsum() // TEXT_BLOCK).to_numpy(), sort=False):
+        yield part.reset_index(drop=True)
 
 
 def sketches(documents: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
@@ -92,17 +132,16 @@ def sketches(documents: DataFrame, size: int, doc_id: str = "doc_id", text: str
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _constants(permutations)
-        at = np.arange(1, BLOCK + 1, dtype=np.uint64)
-        for frame in frames:
-            rows = []
+        for part in (p for frame in frames for p in blocks_of(frame, ["text"])):
+            sets = shingle_sets(part["text"].tolist(), size)
+            full = [k for k, s in enumerate(sets) if len(s)]
             with np.errstate(over="ignore"):
-                for t in frame["text"]:
-                    s = shingles(t, size)
-                    n = len(s)
-                    at = at if len(at) >= n else np.arange(1, 2 * n + 1, dtype=np.uint64)
-                    whole = (mixed(s ^ a[0]).sum(dtype=np.uint64), (mixed(s + at[:n] * b[0])).sum(dtype=np.uint64))
-                    rows.append((n, *np.array(whole, np.uint64).view(np.int64).tolist(), bands(s, a, b).tolist() if n else []))
-            yield pd.concat([frame[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "h1", "h2", "bands"])], axis=1)
+                made = bands([sets[k] for k in full], a, b) if full else np.empty((0, 0))
+                rank = np.arange(1, max(map(len, sets), default=0) + 1, dtype=np.uint64) * b[0]
+                h1 = np.array([mixed(s ^ a[0]).sum(dtype=np.uint64) for s in sets], np.uint64)
+                h2 = np.array([mixed(s + rank[: len(s)]).sum(dtype=np.uint64) for s in sets], np.uint64)
+            of = dict(zip(full, list(made), strict=True))
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(s) for s in sets], "h1": h1.view(np.int64), "h2": h2.view(np.int64), "bands": [of.get(k, []) for k in range(len(sets))]})
 
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, bands array<long>")
 
@@ -118,21 +157,19 @@ def compared(pairs: DataFrame, documents: DataFrame, size: int, percent: int, do
     both = one.join(texts.select(F.col("id").alias("a"), "x", F.col("text").alias("text_a")), "a").select("a", "x", "b", "text_a", "text_b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, s = None, None
-        for frame in frames:
+        for part in (p for frame in frames for p in blocks_of(frame, ["text_a", "text_b"])):
             rows = []
-            with np.errstate(over="ignore"):
-                for a, x, b, ta, tb in frame.itertuples(index=False):
-                    if s is None or ta != last:
-                        last, s = ta, shingles(ta, size)
-                    t = shingles(tb, size)
-                    if differences:
-                        lost, added = np.setdiff1d(s, t, assume_unique=True), np.setdiff1d(t, s, assume_unique=True)
-                        rows.append((a, x, b, len(s), len(t), lost.view(np.int64), added.view(np.int64)))
-                    else:
-                        common = len(np.intersect1d(s, t, assume_unique=True))
-                        if 100 * common >= percent * (len(s) + len(t) - common):
-                            rows.append((a, b))
+            firsts, index = np.unique(part["text_a"].fillna("").to_numpy(object), return_inverse=True)
+            sets_a, sets_b = shingle_sets(firsts.tolist(), size), shingle_sets(part["text_b"].tolist(), size)
+            for k, (a, x, b) in enumerate(part[["a", "x", "b"]].itertuples(index=False)):
+                s, t = sets_a[index[k]], sets_b[k]
+                if differences:
+                    lost, added = np.setdiff1d(s, t, assume_unique=True), np.setdiff1d(t, s, assume_unique=True)
+                    rows.append((a, x, b, len(s), len(t), lost.view(np.int64), added.view(np.int64)))
+                else:
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * common >= percent * (len(s) + len(t) - common):
+                        rows.append((a, b))
             yield pd.DataFrame(rows, columns=["a", "x", "b", "n_a", "n_b", "lost", "added"] if differences else ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()

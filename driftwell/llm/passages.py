@@ -28,30 +28,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_az, words_of, written
-from .near_dedup import classes, mixed, word_hashes, words
+from .near_dedup import blocks_of, classes, mixed, word_hashes
 
 MIN_WORDS, PIECE, SPREAD, GRAM = 50, 28, 21, 3
 SHINGLE, PERCENT, PERMUTATIONS = 5, 80, 24
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and two hashes of the pieces of a text, given the hashes of its words."""
+def _slid(x: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """The least or largest value of each ``width`` successive ones, by doubling."""
+    f, now = (np.minimum if least else np.maximum), 1
+    while 2 * now <= width:
+        x = f(x[:-now], x[now:])
+        now *= 2
+    return f(x[: len(x) - (width - now)], x[width - now :]) if width > now else x
+
+
+def pieces(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts (in ``h``) and two hashes of the pieces of many texts, whose words' hashes are joined in
+    ``h``; text k has the words from bounds[k] to bounds[k + 1]."""
     n = len(h)
-    none = np.empty(0, np.int32)
     if n < MIN_WORDS:
-        return none, none.astype(np.int64), none
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    length = np.diff(bounds)[text]
     with np.errstate(over="ignore"):
         g = h[: n - 2] * _MUL + h[1 : n - 1]
         g = mixed(g * _MUL + h[2:])
-        low = np.lib.stride_tricks.sliding_window_view(g, SPREAD).argmin(1)
-        start = np.unique(np.arange(len(low)) + low)
-        start = start[start + PIECE <= n]
-        u, c = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
-        for k in range(PIECE):
-            u = u * _MUL + h[start + k]
-            c = mixed(c ^ h[start + k])
-        return start.astype(np.int32), mixed(u).view(np.int64), (c >> np.uint64(33)).astype(np.int32)
+        low = _slid(g, SPREAD, True)
+        span = SPREAD + GRAM - 2  # from the first to the last word that a window of grams touches
+        low[text[: n - span] != text[span:]] = 0  # a window counts inside one text only
+        pad = np.zeros(SPREAD - 1, np.uint64)
+        chosen = _slid(np.concatenate([pad, low, pad]), SPREAD, False) == g  # the least of some window
+        start = np.flatnonzero(chosen[: n - PIECE + 1])
+        start = start[(text[start] == text[start + PIECE - 1]) & (length[start] >= MIN_WORDS)]
+        hashes = []
+        for r in (_MUL, np.uint64(0xD6E8FEB86659FD93)):
+            up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, r, np.uint64)]), dtype=np.uint64)
+            down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(r), -1, 2**64)), np.uint64)]), dtype=np.uint64)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:n], dtype=np.uint64)])
+            hashes.append(mixed((sums[start + PIECE] - sums[start]) * down[start]))
+        return start, hashes[0].view(np.int64), (hashes[1] >> np.uint64(33)).astype(np.int32)
 
 
 def marked(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,13 +77,18 @@ def marked(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for t in frame["text"]:
-                tokens = [words(x) for x in t.split("\n")]
-                start = np.cumsum([0, *map(len, tokens)])
-                p = pieces(word_hashes([w for line in tokens for w in line]))
-                rows.append((start, *p))
-            yield pd.concat([frame[["doc_id", "h"]].reset_index(drop=True), pd.DataFrame(rows, columns=["line_start", "start", "u", "c"])], axis=1)
+            for part in blocks_of(frame, ["text"]):
+                h, starts, offsets, whole = word_hashes(part["text"].tolist())
+                feeds = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
+                before = np.searchsorted(starts, feeds)  # words before each line feed, and so each line's end
+                texts, cuts = np.searchsorted(starts, offsets), np.searchsorted(feeds, offsets)
+                start, u, c = pieces(h, texts)
+                own = np.searchsorted(start, texts)  # of each text, its first piece
+                rows = []
+                for k in range(len(part)):
+                    mine = slice(own[k], own[k + 1])
+                    rows.append((np.concatenate([[0], before[cuts[k] : cuts[k + 1]] - texts[k]]), start[mine] - texts[k], u[mine], c[mine]))
+                yield pd.concat([part[["doc_id", "h"]], pd.DataFrame(rows, columns=["line_start", "start", "u", "c"])], axis=1)
 
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, line_start array<int>, start array<int>, u array<long>, c array<int>")
 
@@ -88,7 +110,7 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     shared = each.groupBy("u", "c").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select(F.col("u").alias("su"), F.col("c").alias("sc"), F.col("d1").alias("first_doc_id"))
     found = each.join(shared, (F.col("u") == F.col("su")) & (F.col("c") == F.col("sc"))).select("doc_id", "h", F.col("start").alias("s"), (F.col("start") + PIECE).alias("e"), "first_doc_id")
 
-    long = lines(documents, doc_id, text)
+    long = written(lines(documents, doc_id, text), "long-lines")
     grouped = classes(long.select("id", "text"), SHINGLE, PERCENT, "id", "text", PERMUTATIONS)
     of = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "component_id").distinct()
     placed = written(long.select("doc_id", "h", "line", "id").join(of, "id", "left").withColumn("group", F.coalesce("component_id", "id")).drop("component_id", "id"), "lines")

@@ -16,7 +16,8 @@ def test_pieces_of_a_passage_are_found_wherever_it_stands():
         p = prose(rng, n)
         seen = []
         for before, after in ((0, 40), (7, 0), (90, 90), (3, 200)):
-            start, u, _ = passages.pieces(word_hashes(words(" ".join(prose(rng, before) + p + prose(rng, after)))))
+            h = word_hashes([" ".join(prose(rng, before) + p + prose(rng, after))])[0]
+            start, u, _ = passages.pieces(h, np.array([0, len(h)]))
             seen.append({int(x) for s, x in zip(start, u, strict=True) if before <= s and s + passages.PIECE <= before + n})
         assert set.intersection(*seen)
 
@@ -54,4 +55,18 @@ def test_repeats_against_planted(spark):
 
 def test_short_texts_have_no_pieces():
     for n in range(0, 50):
-        assert len(passages.pieces(np.arange(n, dtype=np.uint64))[0]) == 0
+        assert len(passages.pieces(np.arange(n, dtype=np.uint64), np.array([0, n]))[0]) == 0
+
+
+def test_pieces_of_many_texts_equal_each_alone():
+    rng = random.Random(5)
+    texts = [" ".join(prose(rng, n)) for n in (0, 49, 50, 51, 200, 0, 3, 120, 700)]
+    h, starts, offsets, _ = word_hashes(texts)
+    bounds = np.searchsorted(starts, offsets)
+    start, u, c = passages.pieces(h, bounds)
+    alone = []
+    for k, t in enumerate(texts):
+        own = word_hashes([t])[0]
+        s, x, y = passages.pieces(own, np.array([0, len(own)]))
+        alone += list(zip((s + bounds[k]).tolist(), x.tolist(), y.tolist(), strict=True))
+    assert list(zip(start.tolist(), u.tolist(), c.tolist(), strict=True)) == alone
