@@ -9,8 +9,9 @@ Exact copies (equal sets) are one class with one representative before anything
 representative is paired with the least of its buckets' least members only; the pairs are confirmed on the
 full sets, and links give components. Where a bucket still holds several components, its members are
 written as their differences from the first member of its largest component, which give the similarity
-of any two; those outside the largest component are joined with the members of other components on the condition that
-they are similar enough, so this join emits links and nothing else. No link between different components
+of any two. All are compared with that member and with the one closest to it; those that are still outside
+its component are joined with the members of other components on the condition that they are similar
+enough, so this join emits links and nothing else. No link between different components
 is lost, and m similar documents cost m pairs, not m * m. With 32 bands of four entries, a pair
 at similarity 0.85 shares no band with a chance of 6e-11 (0.8: 5e-8).
 
@@ -187,25 +188,39 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     pairs = written(met.groupBy(F.col("id").alias("b")).agg(F.min("p").alias("a")), "pairs")
     links = written(compared(pairs, documents, size, percent, doc_id, text), "links")
 
-    # then what is left between components: buckets of two that were compared are done
+    # then what is left between components, as differences from the first member of the largest one of
+    # each bucket; buckets of two that were compared are done
     held = members.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     open_ = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("i1"), F.max("id").alias("i2"), F.count("*").alias("m")).where("c1 < c2")
     two = open_.where("m = 2").join(pairs, (F.col("i1") == F.col("a")) & (F.col("i2") == F.col("b")), "left_anti")
     left = written(held.join(open_.where("m > 2").select("key").unionByName(two.select("key")), "key", "left_semi"), "left")
     largest = left.groupBy("key", "c").count().groupBy("key").agg(F.min(F.struct((-F.col("count")).alias("m"), "c")).alias("top")).select("key", F.col("top.c").alias("ref"))
-    placed = left.join(largest, "key").groupBy("ref", "id", "c").agg(F.max((F.col("c") != F.col("ref")).cast("int")).alias("minor"))
-    placed = written(placed, "placed")
+    placed = written(left.join(largest, "key").select("ref", "id").distinct(), "placed")
     away = written(compared(placed.where("id <> ref").select(F.col("ref").alias("a"), F.col("id").alias("b")), documents, size, percent, doc_id, text, True), "differences")
     none = F.array().cast("array<long>")
     here = away.select("a", "x", F.col("a").alias("b"), "n_a", F.col("n_a").alias("n_b"), none.alias("lost"), none.alias("added")).dropDuplicates(["a", "x"])
-    known = away.unionByName(here).join(placed.select(F.col("ref").alias("a"), F.col("id").alias("b"), "c", "minor"), ["a", "b"])
-    side = lambda k: [F.col("b").alias(f"id_{k}"), F.col("n_b").alias(f"n_{k}"), F.col("lost").alias(f"lost_{k}"), F.col("added").alias(f"added_{k}"), F.col("c").alias(f"c_{k}")]
-    # two sets that differ from a third one by known values have known intersections, so the join emits links only
+    known = away.unionByName(here)
+    side = lambda k: [F.col("b").alias(f"id_{k}"), F.col("n_b").alias(f"n_{k}"), F.col("lost").alias(f"lost_{k}"), F.col("added").alias(f"added_{k}")]
+    # two sets that differ from a third one by known values have a known intersection
     common = "n_a - size(array_union(lost_1, lost_2)) + size(array_intersect(added_1, added_2))"
-    x, y = known.where("minor = 1").select("a", "x", "n_a", *side(1)), known.select(F.col("a").alias("ref"), F.col("x").alias("y"), *side(2))
-    fit = f"100 * least(n_1, n_2) >= {int(percent)} * greatest(n_1, n_2)"
-    rest = x.join(y, F.expr(f"a = ref AND x = y AND c_1 <> c_2 AND {fit} AND {100 + int(percent)} * ({common}) >= {int(percent)} * (n_1 + n_2)"))
-    return written(links.unionByName(rest.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()), "links")
+    near = f"100 * least(n_1, n_2) >= {int(percent)} * greatest(n_1, n_2) AND {100 + int(percent)} * ({common}) >= {int(percent)} * (n_1 + n_2)"
+    pair = lambda j: j.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
+
+    # all with that one, and with the one that differs from it least, which links most of a group
+    apart = F.size("lost") + F.size("added")
+    closest = away.groupBy("a", "x").agg(F.min(F.struct(apart.alias("apart"), "b", "n_b", "lost", "added")).alias("p")).select("a", "x", "p.*")
+    pivots = here.unionByName(closest.join(here.select("a", "x", "n_a"), ["a", "x"]).drop("apart"))
+    x, y = pivots.select("a", "x", "n_a", *side(1)), away.select(F.col("a").alias("ref"), F.col("x").alias("y"), *side(2))
+    links = written(links.unionByName(pair(x.join(y, F.expr(f"a = ref AND x = y AND id_1 <> id_2 AND {near}"))).distinct()), "links")
+
+    # the rest between components; the join emits links and nothing else
+    joined = components(links, "a", "b").withColumnRenamed("component", "c")
+    comp = placed.select(F.col("ref").alias("a"), F.col("id").alias("b")).join(joined.withColumnRenamed("node", "b"), "b", "left").join(joined.select(F.col("node").alias("a"), F.col("c").alias("top")), "a", "left")
+    sorted_out = written(comp.select("a", "b", F.coalesce("c", "b").alias("c"), (F.coalesce("c", "b") != F.coalesce("top", "a")).alias("minor")), "sorted")
+    held = known.join(sorted_out, ["a", "b"])
+    x, y = held.where("minor").select("a", "x", "n_a", *side(1), F.col("c").alias("c_1")), held.select(F.col("a").alias("ref"), F.col("x").alias("y"), *side(2), F.col("c").alias("c_2"))
+    rest = x.join(y, F.expr(f"a = ref AND x = y AND c_1 <> c_2 AND {near}"))
+    return written(links.unionByName(pair(rest).distinct()), "links")
 
 
 def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
