@@ -4,9 +4,11 @@ Texts become two arrays of equal length: their words, and the same words with na
 replaced by typed placeholders. Windows of WINDOW template words are hashed and joined between documents
 and benchmark items, so a question with other names and numbers still matches. For each document and item
 that share windows, the aligned words tell how much of the item is covered, and the words in the
-placeholders whether one value of the item always became the same value of the document. A pair is
-reported if at least COVERED percent of the item's words are covered and CONSISTENT percent of its slot
-values are.
+placeholders whether one value of the item always became the same value of the document. Both are measured
+for each occurrence of the item in the document. A pair is reported if one occurrence covers at least
+COVERED percent of the item's words and, of the places where a slot value stands again, CONSISTENT percent
+keep its most frequent image; an item whose values stand once each is consistent. What else the document
+holds takes nothing from that. n_windows counts the windows of the whole pair.
 
 The hashes of the benchmark are broadcast if they are at most BROADCAST_ROWS, which is counted; beyond
 that the join is a shuffle. Windows of the benchmark with fewer than LITERALS words beside placeholders are
@@ -16,7 +18,7 @@ texts. Repeated rows give one pair. Null ids are ids like others. Extra columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, fenced, written
@@ -24,6 +26,7 @@ from .common import SPACE, fenced, written
 WINDOW, LITERALS = 8, 4
 COVERED, CONSISTENT = 50, 50
 BROADCAST_ROWS = 1_000_000
+PAIR = ("doc_id", "dh", "item_id", "ih")
 #: Placeholders, from the private use area, which texts are freed of first.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 #: Unit words that count after a number (fixed values).
@@ -80,21 +83,42 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     both = aligned.join(full.select(F.col("doc_id").alias("d"), F.col("dh").alias("x"), "raw"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dh") == F.col("x")))
     item = items.select(F.col("item_id").alias("i"), F.xxhash64("item_raw").alias("y"), "item_raw", "item_tpl")
     both = both.join(item, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("ih") == F.col("y")))
+    # aligned words of each pair; pos - at is the diagonal, and the words of slots are kept
     steps = F.sequence(F.lit(0), F.lit(WINDOW - 1))
-    pairs = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(steps, lambda k: F.struct((h["pos"] + k).alias("pos"), (h["at"] + k).alias("at"))))))
-    both = fenced(both, pairs=pairs)
-    slots = F.transform(F.filter("pairs", lambda p: _slot(F.get("item_tpl", p["at"]))), lambda p: F.struct(F.get("item_raw", p["at"]).alias("old"), F.get("raw", p["pos"]).alias("new")))
-    both = fenced(both, slots=F.array_distinct(slots))
-    old = F.size(F.array_distinct(F.transform("slots", lambda s: s["old"])))
-    measured = both.select(
-        "doc_id",
-        "item_id",
-        F.size("hits").cast("long").alias("n_windows"),
-        (100 * F.size(F.array_distinct(F.transform("pairs", lambda p: p["at"]))) / F.size("item_raw")).alias("covered"),
-        F.when(F.size("slots") == 0, 100.0).otherwise(100 * old / F.size("slots")).alias("consistent"),
+    word = lambda h, k: F.struct(
+        (h["pos"] - h["at"]).alias("diagonal"),
+        (h["at"] + k).alias("at"),
+        *[F.when(_slot(F.get("item_tpl", h["at"] + k)), F.get(side, h[place] + k)).alias(name) for side, place, name in (("item_raw", "at", "old"), ("raw", "pos", "new"))],
     )
-    good = measured.where((F.col("covered") >= COVERED) & (F.col("consistent") >= CONSISTENT))
-    return good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("covered").alias("covered"), F.max("consistent").alias("consistent"))
+    made = both.select(
+        *PAIR, F.size("item_raw").alias("n_words"), F.size("hits").cast("long").alias("n_windows"), F.size(F.array_distinct(F.transform("hits", lambda h: h["pos"] - h["at"]))).alias("n_diagonals"),
+        F.inline(F.flatten(F.transform("hits", lambda h: F.transform(steps, lambda k: word(h, k))))),
+    )
+    good = occurrences(made.distinct()).where((F.col("covered") >= COVERED) & (F.col("consistent") >= CONSISTENT))
+    best = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.struct("covered", "consistent")).alias("best"))
+    return best.select("doc_id", "item_id", "n_windows", "best.covered", "best.consistent")
+
+
+def occurrences(aligned: DataFrame) -> DataFrame:
+    """covered and consistent of each occurrence of an item in a document. An occurrence is one diagonal;
+    where a pair has several, also the diagonals of a band half the item wide (two grids, so that no
+    neighbours are always parted), and all together. A word of the item counts once in each, on the
+    diagonal closest to the one that holds most of its words."""
+    half = F.greatest(F.floor(F.col("n_words") / 2), F.lit(1))
+    part = lambda kind, number: F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("number"))
+    d = F.col("diagonal")
+    bands = F.array(part(0, d), part(1, F.floor(d / half)), part(2, F.floor(d / half + 0.5)), part(3, F.lit(0)))
+    each = aligned.select("*", F.explode(F.when(F.col("n_diagonals") == 1, F.array(part(0, d))).otherwise(bands)).alias("part")).drop("n_diagonals")
+    by = [*PAIR, "n_words", "n_windows", "part"]
+    sized = each.withColumn("n", F.count("*").over(Window.partitionBy(*by, "diagonal")))
+    main = -F.max(F.struct("n", (-d).alias("d"))).over(Window.partitionBy(*by))["d"]
+    nearest = F.min(F.struct(F.abs(d - F.col("main")).alias("off"), "diagonal", "old", "new"))
+    words = sized.withColumn("main", main).groupBy(*by, "at").agg(nearest.alias("w")).select(*by, "w.old", "w.new")
+    images = words.groupBy(*by, "old", "new").agg(F.count("*").alias("n"))
+    values = images.groupBy(*by, "old").agg(F.sum("n").alias("n"), F.max("n").alias("same"))
+    of_slots = lambda n: F.sum(F.when(F.col("old").isNotNull(), F.col(n) - 1).otherwise(0))
+    whole = values.groupBy(*by).agg(F.sum("n").alias("n"), of_slots("n").alias("again"), of_slots("same").alias("held"))
+    return whole.select(*PAIR, "n_windows", (100 * F.col("n") / F.col("n_words")).alias("covered"), F.when(F.col("again") == 0, 100.0).otherwise(100 * F.col("held") / F.greatest("again", F.lit(1))).alias("consistent"))
 
 
 def filtered(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,3 +25,22 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(d, b).count() == 0
     assert decontaminate.leaks(spark.createDataFrame([(1, "x " * 20)], d.schema), b).count() == 0
+
+
+def test_each_occurrence_counts_alone(spark):
+    rng = random.Random(5)
+    w = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    q = "a train with Tom leaves at 14 and travels 250 km before it meets the second train, which Tom said had left at 14 from the coast"
+    versions = [q.replace("Tom", n).replace("14", t).replace("250", k) for n, t, k in (("Anna", "9", "30"), ("Eve", "11", "77"), ("Bob", "3", "41"))]
+    torn = "a train with Eve leaves at 1 and travels 2 km before it meets the second train, which Bob said had left at 7 from the coast"
+    row = "then he puts {} red apples into the same old box and"
+    again = " ".join(row.format(n) for n in (3, 5, 8))
+    cut = [v.replace("before it", "before really it") for v in versions]
+    docs = {
+        1: f"{w(9)} {q} {w(30)} {versions[0]} {w(12)} {versions[1]}", 2: f"{w(5)} {w(40).join(versions)} {w(8)}", 3: torn, 4: f"{w(9)} {again} {w(9)}",
+        5: f"{torn} {w(50)} {q}", 6: f"{w(40).join(cut)} {w(3)}", 7: f"{w(20)} {torn} {w(9)} {torn}",
+    }
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(1, q), (2, again)], "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (4, 2), (5, 1), (6, 1)}
+    assert all(got[k].covered == 100 and got[k].consistent == 100 for k in got if k != (6, 1))
+    assert got[6, 1].covered > 80 and got[6, 1].consistent == 100
