@@ -90,11 +90,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         (h["at"] + k).alias("at"),
         *[F.when(_slot(F.get("item_tpl", h["at"] + k)), F.get(side, h[place] + k)).alias(name) for side, place, name in (("item_raw", "at", "old"), ("raw", "pos", "new"))],
     )
-    made = both.select(
-        *PAIR, F.size("item_raw").alias("n_words"), F.size("hits").cast("long").alias("n_windows"), F.size(F.array_distinct(F.transform("hits", lambda h: h["pos"] - h["at"]))).alias("n_diagonals"),
-        F.inline(F.flatten(F.transform("hits", lambda h: F.transform(steps, lambda k: word(h, k))))),
-    )
-    good = occurrences(made.distinct()).where((F.col("covered") >= COVERED) & (F.col("consistent") >= CONSISTENT))
+    made = fenced(  # before the pairs are unrolled: what stands beside a generator is computed for each of its rows
+        both,
+        n_words=F.size("item_raw"),
+        n_windows=F.size("hits").cast("long"),
+        n_diagonals=F.size(F.array_distinct(F.transform("hits", lambda h: h["pos"] - h["at"]))),
+        pairs=F.flatten(F.transform("hits", lambda h: F.transform(steps, lambda k: word(h, k)))),
+    ).select(*PAIR, "n_words", "n_windows", "n_diagonals", "pairs")
+    each = made.select(*PAIR, "n_words", "n_windows", "n_diagonals", F.inline("pairs"))
+    good = occurrences(each.distinct()).where((F.col("covered") >= COVERED) & (F.col("consistent") >= CONSISTENT))
     best = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.struct("covered", "consistent")).alias("best"))
     return best.select("doc_id", "item_id", "n_windows", "best.covered", "best.consistent")
 
