@@ -2,7 +2,9 @@
 
 Three plain patterns give the base spans. Beside them, every long token is compared under two character
 Markov models, one of random strings and one of ordinary identifiers: the log-likelihood ratio of its
-bigrams decides. Both models are bigram tables over ASCII, counted from labelled samples with Spark; the
+bigrams decides. Where a token as a whole is ordinary, so are not all of its parts: each stretch of
+successive parts between separators whose mean ratio reaches the limit counts by itself. What of a random
+span lies in a base span is left out, and the rest of it stays. Both models are bigram tables over ASCII, counted from labelled samples with Spark; the
 table of log ratios (one number for each pair of characters) is a constant of the plan.
 
 Positions count code points. Null texts count as empty; a text without findings gives a row with zeros
@@ -32,6 +34,9 @@ TOKEN = r"()([A-Za-z0-9+/_-]{20,})"
 ASCII = 128
 #: Pseudo-count of each bigram, and the mean log ratio of a bigram from which a token counts as random.
 SMOOTH, LIMIT = 0.5, 1.0
+#: Inside a token, parts end at separators; a part so far below the limit in sum is ordinary text and ends
+#: a stretch, and a stretch has at least so many characters.
+SEPARATOR, ORDINARY, LEAST_STRETCH = "[/_-]", -4.0, 20
 #: Labelled samples: how many random strings are drawn, and the most texts that give ordinary words.
 N_RANDOM, N_ORDINARY = 4000, 2000
 #: Ordinary words of programs, from which identifiers are joined (fixed values).
@@ -90,6 +95,27 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["sum"] / F.greatest(F.length(token) - 1, F.lit(1)))
 
 
+def stretches(token: Column, model: list[float], limit: float) -> Column:
+    """The spans (start, end) of a token that count as random: all of it, or stretches of its parts."""
+    core = lambda p: F.regexp_replace(p, SEPARATOR + "$", "")
+    over = lambda v: (ratio(v, model) - limit) * F.greatest(F.length(v) - 1, F.lit(0))
+    parts = F.transform(F.split(token, f"(?<={SEPARATOR})", -1), lambda p: F.struct(F.length(p).alias("n"), F.length(core(p)).alias("core"), over(core(p)).alias("over")))
+    state = lambda at, start, end, total, out: F.struct(at.alias("at"), start.alias("start"), end.alias("end"), total.alias("total"), out.alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def closed(acc: Column) -> Column:
+        good = (acc["end"] - acc["start"] >= LEAST_STRETCH) & (acc["total"] >= 0)
+        return F.when(good, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+
+    def step(acc: Column, p: Column) -> Column:
+        at, ends = acc["at"] + p["n"], (p["over"] < ORDINARY) | (acc["total"] + p["over"] < 0)
+        return F.when(ends, state(at, at, at, F.lit(0.0), closed(acc))).otherwise(state(at, acc["start"], acc["at"] + p["core"], acc["total"] + p["over"], acc["out"]))
+
+    zero = F.lit(0).cast("int")
+    inside = F.aggregate(parts, state(zero, zero, zero, F.lit(0.0), none), step, closed)
+    return F.when(ratio(token, model) >= limit, F.array(F.struct(zero.alias("start"), F.length(token).alias("end")))).otherwise(inside)
+
+
 def _found(text: str, pattern: str) -> Column:
     """All matches, their group 2, and the gaps between them, which splitting at the matches gives."""
     whole, second = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
@@ -107,8 +133,19 @@ def scan(documents: DataFrame, model: list[float], doc_id: str = "doc_id", text:
     def matches(kind: str) -> Column:
         """Each match as the gap before it, its length, and whether it counts."""
         m = F.col(f"m_{kind}")
-        good = (lambda v: ratio(v, model) >= limit) if kind == "random" else (lambda v: F.length(v) >= LEAST[kind])
-        return F.transform(m["whole"], lambda w, i: F.struct(F.length(F.get(m["gap"], i)).alias("gap"), F.length(w).alias("n"), good(F.get(m["value"], i)).alias("good")))
+        part = lambda gap, n, good: F.struct(gap.alias("gap"), n.alias("n"), good.alias("good"))
+        if kind != "random":
+            return F.transform(m["whole"], lambda w, i: part(F.length(F.get(m["gap"], i)), F.length(w), F.length(F.get(m["value"], i)) >= LEAST[kind]))
+        spans = F.transform(m["value"], lambda v: F.struct(F.length(v).alias("n"), stretches(v, model, limit).alias("at")))
+
+        def pieces(token: Column, i: Column) -> Column:
+            """The stretches of a token, and what stands behind the last one."""
+            gap, at = F.length(F.get(m["gap"], i)), token["at"]
+            own = F.transform(at, lambda s, k: part(s["start"] - F.when(k == 0, -gap).otherwise(F.get(at, k - 1)["end"]), s["end"] - s["start"], F.lit(True)))
+            rest = F.when(F.size(at) == 0, part(gap, token["n"], F.lit(False))).otherwise(part(token["n"] - F.element_at(at, -1)["end"], F.lit(0), F.lit(False)))
+            return F.concat(own, F.array(rest))
+
+        return F.flatten(F.transform(spans, pieces))
 
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.coalesce(matches(k), F.array().cast("array<struct<gap:int,n:int,good:boolean>>")).alias("m")) for i, k in enumerate(KINDS)])
     kept = written(split.select("doc_id", F.filter(kinds, lambda k: F.exists(k["m"], lambda x: x["good"])).alias("kinds")).withColumn("row", F.monotonically_increasing_id()), "secrets")
@@ -117,10 +154,13 @@ def scan(documents: DataFrame, model: list[float], doc_id: str = "doc_id", text:
     end = F.sum(F.col("m.gap").cast("long") + F.col("m.n")).over(upto)
     spans = each.select("row", "kind", end.alias("end"), F.col("m.n").alias("n"), "m.good").where("good").select("row", (F.col("end") - F.col("n")).alias("start"), "kind", "end")
     base = F.col("kind") < len(PATTERNS)
-    by = Window.partitionBy("row").orderBy("start", "kind")
-    before = F.max(F.when(base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(base, F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
-    apart = spans.withColumn("before", before).withColumn("after", after).where(base | ((F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))))
+    # of random spans, what no base span covers: a sweep over all starts and ends
+    edges = F.array(*[F.struct(F.col(at).alias("at"), F.when(base, n).otherwise(0).alias("b"), F.when(base, 0).otherwise(n).alias("r")) for at, n in (("start", 1), ("end", -1))])
+    swept = spans.select("row", F.inline(edges)).groupBy("row", "at").agg(F.sum("b").alias("b"), F.sum("r").alias("r"))
+    by = Window.partitionBy("row").orderBy("at")
+    covered = swept.select("row", F.col("at").alias("start"), F.lead("at").over(by).alias("end"), F.sum("b").over(by).alias("b"), F.sum("r").over(by).alias("r"))
+    outside = covered.where("r > 0 AND b = 0").select("row", "start", F.lit(len(PATTERNS)).alias("kind"), "end")
+    apart = spans.where(base).unionByName(outside)
     lists = apart.groupBy(F.col("row").alias("r")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
     joined = kept.select("row", "doc_id").join(lists, F.col("row") == F.col("r"), "left")
     return joined.select("row", "doc_id", F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("found"))

@@ -54,3 +54,17 @@ def test_redaction_and_empty_table(spark, model):
     got = sorted((r.doc_id, r.text) for r in secrets.redacted(df, model).collect())
     assert got == [(1, "a <secret> b"), (1, "a <secret> b"), (2, "clean"), (3, None)]
     assert secrets.digests(secrets.scan(df.limit(0), model)).count() == 0
+
+
+def test_keys_inside_longer_tokens(spark, model):
+    key, other = "9aF3kQ0zX7bLp2Wd8TnV", "Zq8RtW3xLk5JvB7nYd2M"
+    cases = [
+        (f"GET /api/v1/users/account/settings/{key} ok", [key]), (f"callback/session/{key}/account/index", [key]), (f"sk_live_{key}", [key]),
+        (f"/users/{key}/account/settings/{other}/index/page", [key, other]), ("/api/v1/users/account/settings/documentation", []),
+        ("Kq8RtW3xLk5JvB7nYd2MdeadBEEFdeadbeef0123456789abcdefQ7", ["Kq8RtW3xLk5JvB7nYd2MdeadBEEF", "deadbeef0123456789abcdef", "Q7"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s.split(":")) for s in r.spans.split(",") if s] for r in secrets.digests(secrets.scan(df, model)).collect()}
+    assert [[cases[i][0][int(s) : int(e)] for _, s, e in got[i]] for i in range(len(cases))] == [want for _, want in cases]
+    clean = {r.doc_id: r.text for r in secrets.redacted(df, model).collect()}
+    assert clean[0] == "GET /api/v1/users/account/settings/<secret> ok" and clean[2] == "sk_live_<secret>"
