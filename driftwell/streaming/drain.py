@@ -1,46 +1,82 @@
 """Change streams: changes (lsn, xid, op, pk, done) become per-block counters of a hash tree.
 
 Changes of a transaction count once its commit has been seen. ``bounded`` takes what is there and stops;
-``listen`` runs on. Both are Structured Streaming queries whose checkpoint holds the position; a batch that
-is repeated overwrites its own result, so counters are exact, and hashes are never derived from them.
+``listen`` runs on. Both are Structured Streaming queries whose checkpoint holds the position. Every change is
+kept in ``<out>-log``, as the checkpoint never gives it again; ``out`` has those of transactions that
+committed by the target, whichever batch or drain showed the change and whichever its commit, which any
+row of the transaction or a row of its own (op COMMIT) may carry. A batch that is repeated overwrites its
+own result, so counters are exact, and hashes are never derived from them. Each delivery reads the log.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "lsn long, xid long, op string, pk long, commit_lsn long"
 OPS = ("INSERT", "UPDATE", "DELETE", "TRUNCATE")
+COMMIT = "COMMIT"
 
 
 def changes(stream: DataFrame) -> DataFrame:
-    """Only known operations; a change without a key is an error, except TRUNCATE."""
-    bad = F.col("pk").isNull() & (F.col("op") != "TRUNCATE")
-    return stream.where(F.col("op").isin(*OPS)).withColumn("pk", F.when(bad, F.raise_error(F.lit("change without a primary key"))).otherwise(F.col("pk")))
+    """Only known operations and commits; a change without a key is an error, except TRUNCATE."""
+    bad = F.col("pk").isNull() & ~F.col("op").isin("TRUNCATE", COMMIT)
+    return stream.where(F.col("op").isin(*OPS, COMMIT)).withColumn("pk", F.when(bad, F.raise_error(F.lit("change without a primary key"))).otherwise(F.col("pk")))
 
 
-def committed(df: DataFrame, target_lsn: int | None = None) -> DataFrame:
-    """The changes of transactions that committed by ``target_lsn``."""
-    done = df.where("commit_lsn IS NOT NULL") if target_lsn is None else df.where(F.col("commit_lsn") <= target_lsn)
-    return done.select("lsn", "xid", "op", "pk")
+def committed(log: DataFrame, target_lsn: int | None = None) -> DataFrame:
+    """The changes of transactions that committed by ``target_lsn``; a commit holds for what stands before it."""
+    seen = log.where("commit_lsn IS NOT NULL").groupBy(F.col("xid").alias("x")).agg(F.max("commit_lsn").alias("by_xid"))
+    known = log.join(seen, (F.col("xid") == F.col("x")) & (F.col("lsn") <= F.col("by_xid")), "left").withColumn("commit_lsn", F.coalesce("commit_lsn", "by_xid"))
+    done = known.where("commit_lsn IS NOT NULL") if target_lsn is None else known.where(F.col("commit_lsn") <= target_lsn)
+    return done.where(F.col("op") != COMMIT).select(*log.drop("commit_lsn").columns)
 
 
-def keep_batch(out: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes each batch into a folder of its own, again and again the same."""
-    return lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+def _present(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def deliver(spark: SparkSession, out: str, target_lsn: int | None = None) -> None:
+    """Write anew each batch of which more has committed than ``out`` has; targets only rise."""
+    if not _present(spark, f"{out}-log"):
+        return
+    fields = "lsn long, xid long, op string, pk long"
+    log = spark.read.schema(f"{SCHEMA}, batch long").parquet(f"{out}-log")
+    ready = committed(log, target_lsn)
+    counts = {r["batch"]: 0 for r in log.select("batch").distinct().collect()}  # one number a batch
+    counts |= {r["batch"]: r["count"] for r in ready.groupBy("batch").count().collect()}
+    have = {}
+    for batch, n in sorted(counts.items()):
+        if _present(spark, f"{out}/batch={batch}/_SUCCESS"):
+            have[batch] = spark.read.schema(fields).parquet(f"{out}/batch={batch}").count()
+        if n > have.get(batch, -1):
+            ready.where(F.col("batch") == batch).drop("batch").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+
+def keep_batch(out: str, then: Callable[[SparkSession], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch into a folder of its own in the log, again and again the same."""
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}-log/batch={batch}")
+        if then:
+            then(df.sparkSession)
+
+    return keep
 
 
 def bounded(stream: DataFrame, out: str, checkpoint: str, target_lsn: int | None = None) -> None:
     """Take in all that is there; fails rather than leaving a part behind."""
-    query = committed(changes(stream), target_lsn).writeStream.foreachBatch(keep_batch(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = changes(stream).writeStream.foreachBatch(keep_batch(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise RuntimeError("the drain stopped before its target") from query.exception()
+    deliver(stream.sparkSession, out, target_lsn)
 
 
 def listen(stream: DataFrame, out: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
-    return committed(changes(stream)).writeStream.foreachBatch(keep_batch(out)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    keep = keep_batch(out, lambda spark: deliver(spark, out))
+    return changes(stream).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -149,6 +149,30 @@ def test_listen(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
 
 
+def test_rising_targets_and_late_commits(spark, tmp_path):
+    put = lambda *rows: spark.createDataFrame(rows, drain.SCHEMA).write.mode("append").parquet(f"{tmp_path}/log")
+    run = lambda target=None: drain.bounded(spark.readStream.schema(drain.SCHEMA).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/c", target)
+    have = lambda: sorted(r.lsn for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    put((1, 1, "INSERT", 1, 90), (2, 2, "INSERT", 2, 150), (3, 3, "UPDATE", 3, None))
+    run(100)
+    assert have() == [1]
+    run(200)
+    assert have() == [1, 2]
+    put((4, 3, "COMMIT", None, 180), (5, 4, "DELETE", 5, 300))
+    run(200)
+    assert have() == [1, 2, 3]
+    run()
+    run()
+    assert have() == [1, 2, 3, 5]
+    put((6, 5, "INSERT", 6, None))
+    for k in range(2):
+        q = drain.listen(spark.readStream.schema(drain.SCHEMA).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/c", "1 second")
+        q.processAllAvailable()
+        q.stop()
+        assert have() == [1, 2, 3, 5] + [6] * k
+        put((7, 5, "COMMIT", None, 400))
+
+
 def test_reports_and_tasks(spark, tmp_path):
     from driftwell.sources import reports
 
