@@ -28,12 +28,13 @@ def trim_scale(number: Column) -> Column:
 
 def canonical(df: DataFrame, name: str) -> Column:
     """A column as the text by which it is hashed: decimals without trailing zeros, nested values as
-    JSON, binary as hex, doubles by two decimals, so that engines agree."""
+    JSON, binary as hex. A double has the text that gives back exactly its value; as in comparisons, both
+    zeros are one value and so are all NaN."""
     kind, c = df.schema[name].dataType, F.col(f"`{name}`")
     if isinstance(kind, T.DecimalType):
         return trim_scale(c)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return trim_scale(c.cast("decimal(18,2)"))
+        return (c + F.lit(0).cast(kind)).cast("string")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         return F.to_json(c)
     if isinstance(kind, T.BinaryType):
@@ -80,3 +81,28 @@ def lsn_number(text: Column) -> Column:
 def lsn_text(number: Column) -> Column:
     high = F.floor(number / F.lit(2**32)).cast("long")
     return F.concat(F.hex(high), F.lit("/"), F.hex((number - high * F.lit(2**32)).cast("long")))
+
+
+def parsed_timestamp(text: Column) -> Column:
+    """A timestamp from text in ISO form, with or without a zone, 'T' or a blank between date and time, and
+    up to nine digits of a fraction; anything else is null. Without a zone, the session's counts."""
+    iso = F.regexp_replace(F.trim(text), r"^(\d{4,}-\d\d-\d\d)[Tt ](\d\d:\d\d)", "$1 $2")
+    short = F.regexp_replace(iso, r"(\.\d{6})\d+", "$1")
+    zone = F.regexp_replace(short, r"([+-]\d\d)(\d\d)?$", "$1:$2")
+    fixed = F.when(short.rlike(r"\d\d:\d\d(:\d\d(\.\d+)?)?[+-]\d\d(\d\d)?$"), F.regexp_replace(zone, ":$", ":00")).otherwise(short)
+    return F.when(iso.rlike(r"^\d{4,}-\d\d-\d\d( |$)"), fixed.try_cast("timestamp"))
+
+
+def time_micros(text: Column) -> Column:
+    """Microseconds since midnight from 'HH:MM[:SS[.fraction]]'; anything else is null. 24:00 is a day."""
+    part = lambda k: F.regexp_extract(F.trim(text), r"^(\d{1,2}):(\d\d)(?::(\d\d)(?:\.(\d{1,9}))?)?$", k)
+    number = lambda k: F.when(part(k) == "", 0).otherwise(part(k)).cast("long")
+    micros = F.substring(F.rpad(part(4), 6, "0"), 1, 6).cast("long")
+    whole = ((number(1) * 60 + number(2)) * 60 + number(3)) * 1_000_000 + F.coalesce(micros, F.lit(0))
+    return F.when((part(1) != "") & (number(2) < 60) & (number(3) < 60) & (whole <= 86_400_000_000), whole)
+
+
+def decoded_bytes(text: Column) -> Column:
+    """Bytes from text: hex behind '\\x' or '0x', else base64; text that is neither is null."""
+    digits = F.regexp_extract(text, r"^(?:\\x|0x)((?:[0-9A-Fa-f]{2})*)$", 1)
+    return F.when(text.rlike(r"^(\\x|0x)"), F.when(text.rlike(r"^(\\x|0x)([0-9A-Fa-f]{2})*$"), F.unhex(digits))).otherwise(F.try_to_binary(text, F.lit("base64")))

@@ -1,25 +1,30 @@
-"""Key ranges: boundaries from a sample, assignment of rows, hashes of blocks, cuts and unions."""
+"""Key ranges: boundaries from exact ranks, assignment of rows, hashes of blocks, cuts and unions.
+
+Keys are of any type and number of columns that can be ordered. A range is [range_start, range_end), both
+structs of the key; the last one is open, and keys before the first one belong to it.
+"""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import EMPTY_BLOCK, JOINER, row_text
+from .ranks import last_before, ranked, running
 
 #: Share of rows that is sampled for boundaries, by the number of rows (fixed values).
 SAMPLE_SHARES = ((100_000_000, 0.0001), (1_000_000, 0.001), (100_000, 0.01), (10_000, 0.1))
-
-
-#: Most rows that a sample should have, as it is ranked in one task.
-SAMPLE_ROWS = 2_000_000
+#: Most bounds that are sent to each task; with more, rows and bounds are sorted together.
+MOST_BOUNDS = 100_000
+#: Most ranges that make up one filter of a scan.
+MOST_RANGES = 200
 
 
 def sample_share(rows: int) -> float:
-    share = next((share for least, share in SAMPLE_SHARES if rows > least), 1.0)
-    return min(share, SAMPLE_ROWS / max(rows, 1))
+    return next((share for least, share in SAMPLE_SHARES if rows > least), 1.0)
 
 
 def n_blocks(most_rows: int, block_size: int) -> int:
@@ -31,40 +36,81 @@ def anchor(counts: dict[str, int]) -> str:
     return min(counts, key=lambda x: (-counts[x], x))
 
 
-def boundaries(df: DataFrame, key: list[str], blocks: int, share: float = 1.0, seed: int = 7) -> DataFrame:
-    """block_id, range_start, range_end (structs of the key; the last end is null, so open). The sample is
-    ranked as a whole, in one task: its size is bounded by SAMPLE_SHARES; the true first key is added."""
-    sample = df.select(*key) if share >= 1 else df.select(*key).sample(share, seed)
-    cut = sample.withColumn("bucket", F.ntile(blocks).over(Window.orderBy(*key)))
-    starts = cut.groupBy("bucket").agg(F.min(F.struct(*key)).alias("range_start")).select("range_start")
-    first = df.agg(F.min(F.struct(*key)).alias("range_start")).where("range_start IS NOT NULL")
-    every = Window.orderBy("range_start")
-    return starts.unionByName(first).distinct().select((F.row_number().over(every) - 1).cast("long").alias("block_id"), "range_start", F.lead("range_start").over(every).alias("range_end"))
-
-
-def assign(df: DataFrame, key: list[str], ranges: DataFrame) -> DataFrame:
-    """Each row with its block_id; keys below the first block belong to it. Ranges are cut into cells of
-    their mean width over the first key column, which must be a number, so rows and ranges meet by an
-    equal cell; a range spans as many cells as it is wide, about two in the mean."""
-    first = F.col(key[0]).cast("decimal(38,6)")
-    rows = df.withColumn("_k", F.struct(*key))
-    head = lambda c: F.col(f"{c}.{key[0]}").cast("decimal(38,6)")
-    stats = ranges.agg(F.min(head("range_start")).alias("lo"), F.max(head("range_start")).alias("hi"), F.count("*").alias("n"), F.min_by("block_id", "range_start").alias("b0")).first()
-    if not stats["n"]:
+def boundaries(df: DataFrame, key: list[str], blocks: int, sampled: bool = False, seed: int = 7) -> DataFrame:
+    """block_id, range_start, range_end: ``blocks`` ranges of as equal numbers of rows as can be, the first
+    ones larger by one. With ``sampled`` the ranks are those of a sample whose share follows the number
+    of rows; the true first key is added to it."""
+    keys = df.select(F.struct(*key).alias("range_start"))
+    if sampled and (share := sample_share(df.count())) < 1:
+        keys = keys.sample(share, seed).unionByName(keys.agg(F.min("range_start").alias("range_start"))).distinct()
+    rows, n = ranked(keys, ["range_start"])
+    if not n:
+        return rows.select(F.lit(0).cast("long").alias("block_id"), "range_start", F.col("range_start").alias("range_end"))
+    size, more = divmod(n, min(blocks, n))
+    at, large = F.col("rank") - 1, more * (size + 1)  # so many rows are in the larger ranges
+    inside = F.when(at < large, at % (size + 1)).otherwise((at - large) % size)
+    number = F.when(at < large, F.floor(at / (size + 1))).otherwise(more + F.floor((at - large) / size))
+    return closed(rows.where(inside == 0).select(number.cast("long").alias("block_id"), "range_start"))
+
+
+def closed(starts: DataFrame) -> DataFrame:
+    """Starts numbered without gaps as ranges: each ends where the next one starts."""
+    after = starts.select((F.col("block_id") - 1).alias("block_id"), F.col("range_start").alias("range_end"))
+    return starts.join(after, "block_id", "left").select("block_id", "range_start", "range_end")
+
+
+def _bounds(ranges: DataFrame) -> Column:
+    """All bounds in order, as one value of the plan: starts and the blocks they open."""
+    both = F.sort_array(F.collect_list(F.struct("range_start", "block_id")))
+    return ranges.agg(both.alias("t")).select(F.struct(F.col("t.range_start").alias("start"), F.col("t.block_id").alias("block")).alias("t")).scalar()
+
+
+def _found(n: int, key: Column) -> Column:
+    """The block of ``key`` by binary search in the column of bounds."""
+    start, block = F.col("__bounds")["start"], F.col("__bounds")["block"]
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    least = lambda p, s: F.coalesce(F.get(start, p + s - 1) <= key, F.lit(False))
+    upto = F.aggregate(steps, F.lit(0), lambda p, s: F.when(least(p, s), p + s).otherwise(p))
+    return F.get(block, F.greatest(upto - 1, F.lit(0)))
+
+
+def assign(df: DataFrame, key: list[str], ranges: DataFrame, most_bounds: int | None = None) -> DataFrame:
+    """Each row with its block_id. Up to MOST_BOUNDS ranges, which are counted, rows stay where they are
+    and find their range by binary search; beyond that rows and bounds meet in one order."""
+    n, kind = ranges.count(), ranges.schema["range_start"].dataType
+    if not n:
         return df.limit(0).withColumn("block_id", F.lit(None).cast("long"))
-    width = max(float(stats["hi"] - stats["lo"]) / stats["n"], 1e-6)
-    cell = lambda x: F.floor((x - F.lit(stats["lo"])) / F.lit(width)).cast("long")
-    least, most = F.lit(-1).cast("long"), F.lit(stats["n"] + 1).cast("long")
-    clip = lambda x: F.least(F.greatest(x, least), most)
-    lower = F.when(F.col("block_id") == stats["b0"], least).otherwise(clip(cell(head("range_start"))))
-    upper = F.when(F.col("range_end").isNull(), most).otherwise(clip(cell(head("range_end"))))
-    cells = ranges.select("block_id", "range_end", F.when(lower == least, F.lit(None)).otherwise(F.col("range_start")).alias("_from"), F.explode(F.sequence(lower, upper)).alias("_cell"))
-    met = rows.withColumn("_rc", clip(cell(first))).join(cells, (F.col("_rc") == F.col("_cell")) & F.expr("(_from IS NULL OR _k >= _from) AND (range_end IS NULL OR _k < range_end)"))
-    return met.drop("_k", "_rc", "_cell", "_from", "range_end")
+    own = F.struct(*key).cast(kind)
+    if n <= (MOST_BOUNDS if most_bounds is None else most_bounds):
+        return df.withColumn("__bounds", _bounds(ranges)).withColumn("block_id", _found(n, own)).drop("__bounds")
+    return last_before(df.withColumn("range_start", own), ranges, "range_start", "block_id").drop("range_start")
+
+
+def in_ranges(df: DataFrame, key: list[str], ranges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of the chosen blocks (block_id), with their block_id. Up to MOST_RANGES blocks are a filter
+    on the first key column that reaches the scan; it may hold a few rows more, which are left out then."""
+    picked = ranges.join(chosen.select("block_id").distinct(), "block_id", "left_semi")
+    few = picked.orderBy("range_start").limit(MOST_RANGES + 1).collect()
+    if len(few) > MOST_RANGES:
+        return assign(df, key, ranges).join(picked.select("block_id"), "block_id", "left_semi")
+    first = ranges.agg(F.min("range_start").alias("s")).first()["s"]
+    c, kind = F.col(key[0]), df.schema[key[0]].dataType
+    wanted, runs = [], []
+    for r in few:  # neighbours make one condition
+        if runs and runs[-1][1] == r["range_start"]:
+            runs[-1][1] = r["range_end"]
+        else:
+            runs.append([None if r["range_start"] == first else r["range_start"], r["range_end"]])
+    for start, end in runs:
+        low = F.lit(True) if start is None else c >= F.lit(start[0]).cast(kind)
+        wanted.append(low if end is None else low & (c <= F.lit(end[0]).cast(kind)))
+    near = df.where(reduce(Column.__or__, wanted, F.lit(False)))
+    return assign(near, key, ranges).where(F.col("block_id").isin([r["block_id"] for r in few]))
 
 
 def block_hashes(df: DataFrame, key: list[str], columns: list[str], ranges: DataFrame, mode: str = "compat") -> DataFrame:
-    """block_id and the hash of each block's rows in key order; blocks without rows have a hash, too."""
+    """block_id and the hash of each block's rows in key order; blocks without rows have a hash, too. A
+    block's rows are gathered, as their text is hashed in order: blocks are to be cut by a block size."""
     rows = assign(df, key, ranges)
     text = row_text(df, [*key, *columns], mode)
     gathered = rows.groupBy("block_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*key).alias("k"), text.alias("t")))), lambda x: x["t"]), JOINER).alias("t"))
@@ -73,8 +119,6 @@ def block_hashes(df: DataFrame, key: list[str], columns: list[str], ranges: Data
 
 def mismatched_blocks(hashes: dict[str, DataFrame]) -> DataFrame:
     """pair, block_id of all blocks whose hashes differ between two nodes: one pass over all nodes."""
-    from functools import reduce
-
     every = reduce(DataFrame.unionByName, [h.select("block_id", F.lit(n).alias("node"), "block_hash") for n, h in hashes.items()])
     pivoted = every.groupBy("block_id").pivot("node", sorted(hashes)).agg(F.first("block_hash"))
     names = sorted(hashes)
@@ -82,21 +126,26 @@ def mismatched_blocks(hashes: dict[str, DataFrame]) -> DataFrame:
     return pivoted.select("block_id", F.explode(F.array_compact(F.array(*pairs))).alias("pair"))
 
 
-def split_points(df: DataFrame, key: str, every: int, ranges: DataFrame) -> DataFrame:
-    """Each ``every``-th key in order, from exact ranks: a rank within its range, plus the rows of all
-    ranges before; only the counts of ranges are summed in one place."""
-    ranked = assign(df.select(key), [key], ranges).withColumn("i", F.row_number().over(Window.partitionBy("block_id").orderBy(key)))
-    counts = assign(df.select(key), [key], ranges).groupBy("block_id").count()
-    before = counts.select("block_id", (F.sum("count").over(Window.orderBy("block_id")) - F.col("count")).alias("before"))
-    at = ranked.join(before, "block_id").withColumn("rank", F.col("i") + F.col("before"))
-    return at.where((F.col("rank") > 1) & ((F.col("rank") - 1) % every == 0)).select(F.col(key).alias("split_key"))
+def pieces(df: DataFrame, key: list[str], ranges: DataFrame, chosen: DataFrame, unit: int) -> DataFrame:
+    """The chosen ranges cut at each ``unit``-th key of ``df``, in one pass instead of halving again and
+    again: range_start, range_end, block_id of the range that each was part of. Ranks are within a block."""
+    rows = in_ranges(df.select(*key).distinct(), key, ranges, chosen).select("block_id", F.struct(*key).alias("k"))
+    by = Window.partitionBy("block_id").orderBy("k")
+    starts = rows.withColumn("i", F.row_number().over(by)).where((F.col("i") > 1) & ((F.col("i") - 1) % unit == 0)).select("block_id", F.col("k").alias("start"))
+    picked = ranges.join(chosen.select("block_id").distinct(), "block_id", "left_semi")
+    every = starts.unionByName(picked.select("block_id", F.col("range_start").alias("start"))).join(picked.select("block_id", "range_end"), "block_id")
+    after = F.lead("start").over(Window.partitionBy("block_id").orderBy("start"))
+    return every.select(F.col("start").alias("range_start"), F.coalesce(after, F.col("range_end")).alias("range_end"), "block_id")
+
+
+def split_points(df: DataFrame, key: str, every: int) -> DataFrame:
+    """Each ``every``-th key in order."""
+    return ranked(df.select(key), [key])[0].where((F.col("rank") > 1) & ((F.col("rank") - 1) % every == 0)).select(F.col(key).alias("split_key"))
 
 
 def interval_union(ranges: DataFrame) -> DataFrame:
-    """The elementary slices between all bounds of (range_start, range_end) that lie in any range."""
-    bounds = ranges.select(F.explode(F.array("range_start", "range_end")).alias("b")).where("b IS NOT NULL").distinct()
-    slices = bounds.select(F.col("b").alias("slice_start"), F.lead("b").over(Window.orderBy("b")).alias("slice_end"))
-    # the running balance of starts and ends is positive inside a range
-    events = ranges.select(F.inline(F.array(F.struct(F.col("range_start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("range_end").alias("at"), F.lit(-1).alias("d"))))).where("at IS NOT NULL").groupBy("at").agg(F.sum("d").alias("d"))
-    depth = events.select("at", F.sum("d").over(Window.orderBy("at")).alias("depth"))
-    return slices.join(depth, F.col("slice_start") == F.col("at")).where("depth > 0").select("slice_start", "slice_end")
+    """The elementary slices between all bounds of (range_start, range_end) that lie in any range: the
+    running balance of starts and ends is positive inside one."""
+    events = ranges.select(F.inline(F.array(F.struct(F.col("range_start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("range_end").alias("at"), F.lit(-1).alias("d"))))).where("at IS NOT NULL")
+    depth = running(events.groupBy("at").agg(F.sum("d").alias("d")), "at", "d")
+    return depth.where("total > 0").select(F.col("at").alias("slice_start"), F.col("next").alias("slice_end"))

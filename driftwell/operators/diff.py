@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import row_text
 from ..sources.nodes import Cluster, Table, by_keys, same_schema
+from ..sources.shared import written
 
 ONLY_SECOND, ONLY_FIRST, CHANGED = "missing_on_n1", "missing_on_n2", "row_mismatch"
 HAS = "__has"
@@ -51,24 +52,40 @@ def digest_blocks(df: DataFrame, table: Table, n_blocks: int) -> DataFrame:
     return df.select(block.alias("block"), h.alias("h")).groupBy("block").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("total"), F.bit_xor("h").alias("mix"))
 
 
+def differing(frames: list[DataFrame], table: Table, n_blocks: int) -> list[DataFrame]:
+    """Of each copy the rows of blocks whose digests are not all equal. Digests are read once for each copy."""
+    key, last = list(table.key), len(frames)
+    each = [digest_blocks(df, table, n_blocks).select("block", F.struct("n", "total", "mix").alias("d")) for df in frames]
+    every = reduce(DataFrame.unionByName, each)
+    bad = every.groupBy("block").agg(F.count("*").alias("copies"), F.min("d").alias("d1"), F.max("d").alias("d2")).where((F.col("copies") < last) | (F.col("d1") != F.col("d2")))
+    small = F.broadcast(bad.select(F.col("block").alias("bad")))  # at most n_blocks numbers
+    return [df.join(small, F.pmod(F.xxhash64(*key), F.lit(n_blocks)) == F.col("bad"), "left_semi") for df in frames]
+
+
 def diff_pruned(left: DataFrame, right: DataFrame, table: Table, n_blocks: int = 4096) -> DataFrame:
     """The same as ``diff_pair``, but only rows of blocks with different digests are joined. Blocks are
     chosen by the hash of the key, so both copies agree on them without looking at each other."""
-    kinds = same_schema(left, right)
-    if kinds:  # equal numbers of other types have other texts
+    if same_schema(left, right):  # equal numbers of other types have other texts
         return diff_pair(left, right, table)
-    a, b = digest_blocks(left, table, n_blocks), digest_blocks(right, table, n_blocks).select(F.col("block").alias("b2"), F.struct("n", "total", "mix").alias("d2"))
-    bad = a.join(b, F.col("block") == F.col("b2"), "full_outer").where(~F.struct("n", "total", "mix").eqNullSafe(F.col("d2"))).select(F.coalesce("block", "b2").alias("bad"))
-    small = F.broadcast(bad)  # at most n_blocks numbers
-    only = lambda df: df.join(small, F.pmod(F.xxhash64(*table.key), F.lit(n_blocks)) == F.col("bad"), "left_semi")
-    return diff_pair(only(left), only(right), table)
-
-
-def diff(cluster: Cluster, table: Table, nodes: list[str] | None = None, where: str | Column | None = None, pruned: bool = False) -> DataFrame:
-    """All pairs of two or three nodes: pair, the key, n1, n2, diff_type, changed_columns."""
-    one = diff_pruned if pruned else diff_pair
-    parts = [one(cluster.frame(a, table, where), cluster.frame(b, table, where), table).withColumn("pair", F.lit(f"{a}/{b}")) for a, b in cluster.pairs(nodes)]
-    return reduce(DataFrame.unionByName, parts)
+    return diff_pair(*differing([left, right], table, n_blocks), table)
+
+
+def diff(cluster: Cluster, table: Table, nodes: list[str] | None = None, where: str | Column | None = None, pruned: bool = False, n_blocks: int = 4096) -> DataFrame:
+    """All pairs of two or three nodes: pair, the key, n1, n2, diff_type, changed_columns. Each node is read
+    once (with ``pruned`` twice) and all meet in one join by the key."""
+    pairs = cluster.pairs(nodes)
+    names = sorted({n for pair in pairs for n in pair})
+    frames = {n: cluster.frame(n, table, where) for n in names}
+    if any([same_schema(frames[names[0]], frames[n]) for n in names[1:]]):  # other types: pair by pair
+        return reduce(DataFrame.unionByName, [diff_pair(frames[a], frames[b], table).withColumn("pair", F.lit(f"{a}/{b}")) for a, b in pairs])
+    if pruned:
+        frames = dict(zip(names, differing(list(frames.values()), table, n_blocks), strict=True))
+    key, columns = list(table.key), table.columns(frames[names[0]])
+    side = lambda n: frames[n].select(*key, F.struct(F.lit(1).alias(HAS), *[c for c in frames[n].columns if c not in key]).alias(f"__{n}"))
+    together = reduce(lambda x, y: x.join(y, key, "full_outer"), map(side, names))
+    each = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("pair"), F.col(f"__{a}").alias("n1"), F.col(f"__{b}").alias("n2")) for a, b in pairs])
+    rows = together.select(*key, F.inline(each)).where(F.col(f"n1.{HAS}").isNotNull() | F.col(f"n2.{HAS}").isNotNull())
+    return classified(rows, columns)
 
 
 def report(diffs: DataFrame, table: Table) -> DataFrame:
@@ -76,8 +93,10 @@ def report(diffs: DataFrame, table: Table) -> DataFrame:
 
 
 def capped(diffs: DataFrame, table: Table, most: int) -> DataFrame:
-    """At most ``most`` rows of each pair, the first by key."""
-    return diffs.withColumn("_n", F.row_number().over(Window.partitionBy("pair").orderBy(*table.key))).where(F.col("_n") <= most).drop("_n")
+    """At most ``most`` rows of each pair, the first by key: a top-k for each of the few pairs."""
+    found = written(diffs, "diffs")
+    pairs = [r["pair"] for r in found.select("pair").distinct().collect()]  # three at most
+    return reduce(DataFrame.unionByName, [found.where(F.col("pair") == p).orderBy(*table.key).limit(most) for p in pairs], found.where("false"))
 
 
 def summary(diffs: DataFrame) -> DataFrame:
@@ -91,16 +110,48 @@ def multiset(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy(*columns).agg(F.sum("_s").alias("surplus")).where("surplus <> 0")
 
 
-def rerun(found: DataFrame, cluster: Cluster, table: Table) -> DataFrame:
-    """Which reported keys differ still. A key that is absent on both sides now counts as resolved."""
+GONE = "missing_on_both"
+
+
+def rerun(found: DataFrame, cluster: Cluster, table: Table, gone: str = "resolved") -> DataFrame:
+    """Which reported keys differ still. A key that is absent on both sides now counts as resolved, or, with
+    ``gone="different"``, is reported as missing on both."""
     parts = []
     for a, b in cluster.pairs():
-        keys = found.where(F.col("pair") == f"{a}/{b}")
-        parts.append(diff_pair(by_keys(cluster.frame(a, table), keys, table.key), by_keys(cluster.frame(b, table), keys, table.key), table).withColumn("pair", F.lit(f"{a}/{b}")))
+        keys = found.where(F.col("pair") == f"{a}/{b}").select(*table.key).distinct()
+        left, right = (by_keys(cluster.frame(n, table), keys, table.key) for n in (a, b))
+        now = diff_pair(left, right, table)
+        if gone == "different":
+            neither = keys.join(left, list(table.key), "left_anti").join(right, list(table.key), "left_anti")
+            now = now.unionByName(neither.withColumns({"diff_type": F.lit(GONE), "changed_columns": F.lit("")}), True)
+        parts.append(now.withColumn("pair", F.lit(f"{a}/{b}")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def each_table(cluster: Cluster, tables: list[Table], skip: list[str] = (), pruned: bool = True) -> DataFrame:
+    """A diff of every table: one row for each, with the number of differences, or why it failed. A table
+    that fails, as one without a key does, does not stop the others. status: matched, differed, failed, skipped."""
+    rows, spark = [], None
+    for t in tables:
+        if t.name in skip:
+            rows.append((t.name, "skipped", None, None))
+            continue
+        try:
+            counted = diff(cluster, t, pruned=pruned)
+            spark, n = counted.sparkSession, counted.count()
+            rows.append((t.name, "differed" if n else "matched", n, None))
+        except Exception as error:  # noqa: BLE001 - reported in the row of its table
+            rows.append((t.name, "failed", None, str(error).splitlines()[0][:200]))
+    spark = spark or SparkSession.active()
+    return spark.createDataFrame(rows, "name string, status string, n_diffs long, error string")
+
+
+def octets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The largest value of each column in bytes."""
+    return df.agg(*[F.max(F.octet_length(c)).cast("long").alias(c) for c in columns])
+
+
 def too_large(df: DataFrame, columns: list[str], most: int = 1_000_000) -> list[str]:
-    """The binary columns with a value beyond ``most`` bytes; such tables are refused."""
-    sizes = df.agg(*[F.max(F.octet_length(c)).alias(c) for c in columns]).first()
+    """The columns with a value beyond ``most`` bytes; such tables are refused."""
+    sizes = octets(df, columns).first()
     return [c for c in columns if (sizes[c] or 0) > most]

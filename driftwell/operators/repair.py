@@ -89,8 +89,11 @@ def stale(repairs: DataFrame, current: DataFrame, table: Table, seen: str, colum
 
 
 def applied(df: DataFrame, repairs: DataFrame, node: str, table: Table) -> DataFrame:
-    """The node's table after its repairs: deletes before upserts, inserts only where the key is absent."""
+    """The node's table after its repairs: deletes before upserts, inserts only where the key is absent.
+    Repairs that ``stale`` has marked are left out."""
     own = repairs.where(F.col("node") == node)
+    if "stale" in repairs.columns:
+        own = own.where("stale IS NULL")
     others = [c for c in df.columns if c not in table.key]
     rows = own.where(F.col("op") != DELETE).select(*table.key, *[F.col(f"row.{c}").alias(c) for c in others], F.lit(True).alias("_new"))
     replaced = own.where(F.col("op") != INSERT).select(*table.key)
@@ -108,3 +111,14 @@ def by_origin(repairs: DataFrame, origin: str, lsn: str, time: str) -> DataFrame
 def counts(repairs: DataFrame) -> DataFrame:
     """What a dry run reports."""
     return repairs.groupBy("node", "op").agg(F.count("*").alias("n_rows"))
+
+
+def guarded(diffs: DataFrame, table: Table, df: DataFrame, origin: str | None = None, recovering: bool = False) -> DataFrame:
+    """The diff, if it belongs to the table: its keys and columns must be the table's. A diff of rows of one
+    origin only may be repaired from in a recovery, as it says nothing about all other rows."""
+    wanted, have = set(table.columns(df)), {f.name for f in diffs.schema["n1"].dataType.fields} - {HAS} - set(table.meta)
+    if not set(table.key) <= set(diffs.columns) or wanted != have:
+        raise ValueError(f"the diff is not one of table {table.name}")
+    if origin is not None and not recovering:
+        raise ValueError("a diff of one origin can only be repaired from in a recovery")
+    return diffs

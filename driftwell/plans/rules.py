@@ -7,6 +7,7 @@ it NULL compares as SQL does, and a condition that is NULL does not match.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,7 +18,10 @@ from ..operators.diff import HAS
 from ..operators.repair import DELETE, INSERT, UPSERT
 from ..sources.nodes import Table
 
-ACTIONS = ("keep_n1", "keep_n2", "apply_from_n1_insert", "apply_from_n2_insert", "bidirectional", "custom", "skip", "delete")
+#: ``apply_from`` writes one side's row to the other: replacing what is there, as an upsert, or only where nothing is.
+APPLY = tuple(f"apply_from_{n}_{how}" for n in ("n1", "n2") for how in ("replace", "upsert", "insert"))
+ACTIONS = ("keep_n1", "keep_n2", *APPLY, "bidirectional", "custom", "skip", "delete")
+VERSION = 1
 
 
 @dataclass(frozen=True)
@@ -48,25 +52,53 @@ class Rule:
 
 @dataclass(frozen=True)
 class Plan:
-    """``overrides`` are tried before ``rules``, and both in order; then ``default``. ``custom`` gives SQL
-    expressions of a row's columns."""
+    """``overrides`` are tried before ``rules``, and both in order; then ``default``. A custom row takes each
+    column from, in this order: ``custom`` (a template ``{{n1.column}}``, or any SQL expression), the side with the
+    freshest value of a column (``freshest``: {"by": column, "tie": side}), or the first side of ``priority`` that has one."""
 
     rules: tuple[Rule, ...] = ()
     overrides: tuple[Rule, ...] = ()
     default: str | None = None
     custom: dict[str, str] = field(default_factory=dict)
+    priority: tuple[str, ...] = ("n1", "n2")
+    freshest: dict[str, str] | None = None
+
+    def value(self, column: str) -> Column:
+        """The value of a column in a custom row."""
+        if column in self.custom:
+            text = str(self.custom[column])
+            template = re.fullmatch(r"\s*\{\{\s*(n[12])\.(\w+)\s*\}\}\s*", text)
+            return F.col(f"{template[1]}.{template[2]}") if template else F.expr(text)
+        if self.freshest:
+            return pick_freshest(column, self.freshest["by"], self.freshest.get("tie", "n1"))
+        return F.coalesce(*[F.col(f"{n}.{column}") for n in self.priority])
 
     def __post_init__(self) -> None:
         for action in [r.action for r in (*self.overrides, *self.rules)] + [self.default or "skip"]:
             if action not in ACTIONS:
                 raise ValueError(f"unknown action {action!r}")
+        if sorted(self.priority) != ["n1", "n2"]:
+            raise ValueError("the priority names both sides")
 
 
 def load(text: str) -> Plan:
-    """A plan from JSON."""
-    raw = json.loads(text)
+    """A plan from JSON, or from YAML where a reader for it is installed. ``version`` may be left out."""
+    try:
+        raw = json.loads(text)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("the plan is not JSON, and there is no YAML reader here") from None
+        try:
+            raw = yaml.safe_load(text)
+        except yaml.YAMLError as error:
+            raise ValueError("the plan is neither JSON nor YAML") from error
+    if raw.get("version", VERSION) != VERSION:
+        raise ValueError(f"unknown plan version {raw['version']!r}")
     rule = lambda r: Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items()})
-    return Plan(tuple(map(rule, raw.get("rules", []))), tuple(map(rule, raw.get("overrides", []))), raw.get("default"), raw.get("custom", {}))
+    more = {k: raw[k] for k in ("freshest",) if k in raw} | ({"priority": tuple(raw["priority"])} if "priority" in raw else {})
+    return Plan(tuple(map(rule, raw.get("rules", []))), tuple(map(rule, raw.get("overrides", []))), raw.get("default"), raw.get("custom", {}), **more)
 
 
 def resolved(diffs: DataFrame, table: Table, plan: Plan) -> DataFrame:
@@ -90,7 +122,7 @@ def repairs(chosen: DataFrame, table: Table, columns: list[str], plan: Plan) ->
     """(node, key, op, row) of all resolved rows."""
     n1, n2 = F.substring_index("pair", "/", 1), F.substring_index("pair", "/", -1)
     has = lambda n: F.col(f"{n}.{HAS}").isNotNull()
-    blank = F.struct(F.lit(1).alias(HAS), *[F.expr(plan.custom.get(c, f"coalesce(n1.{c}, n2.{c})")).alias(c) for c in columns])
+    blank = F.struct(F.lit(1).alias(HAS), *[plan.value(c).alias(c) for c in columns])
     write = lambda to, op, row: F.struct(to.alias("node"), F.lit(op).alias("op"), row.alias("row"))
     same = F.struct(*[F.col(f"n1.{c}").alias(c) for c in (HAS, *columns)])
     row1, row2 = same, F.struct(*[F.col(f"n2.{c}").alias(c) for c in (HAS, *columns)])
@@ -98,12 +130,16 @@ def repairs(chosen: DataFrame, table: Table, columns: list[str], plan: Plan) ->
     def keep(own: str, row: Column, to: Column) -> Column:
         return F.when(has(own), F.array(write(to, UPSERT, row))).otherwise(F.array(write(to, DELETE, row)))
 
+    # replace is what a delete of the old row and an insert of the whole new one leave: an upsert of the whole row
+    over = lambda own, row, to: F.when(has(own), F.array(write(to, UPSERT, row)))
     insert = lambda own, other, row, to: F.when(has(own) & ~has(other), F.array(write(to, INSERT, row)))
     made = (
         F.when(F.col("action") == "keep_n1", keep("n1", row1, n2))
         .when(F.col("action") == "keep_n2", keep("n2", row2, n1))
         .when(F.col("action") == "apply_from_n1_insert", insert("n1", "n2", row1, n2))
         .when(F.col("action") == "apply_from_n2_insert", insert("n2", "n1", row2, n1))
+        .when(F.col("action").isin("apply_from_n1_replace", "apply_from_n1_upsert"), over("n1", row1, n2))
+        .when(F.col("action").isin("apply_from_n2_replace", "apply_from_n2_upsert"), over("n2", row2, n1))
         .when(F.col("action") == "bidirectional", F.coalesce(insert("n1", "n2", row1, n2), insert("n2", "n1", row2, n1)))
         .when(F.col("action") == "custom", F.array(write(n1, UPSERT, blank), write(n2, UPSERT, blank)))
         .when(F.col("action") == "delete", F.array(*[write(n, DELETE, row1) for n in (n1, n2)]))

@@ -5,6 +5,7 @@ Nodes n1, n2 and n3 are derived from a table: each drops some keys and changes t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from .functions import normalize
 from .operators import blocks, diff, inventory, merkle, repair
 from .plans import rules
-from .sources import nodes
+from .sources import nodes, reports, trees
+from .sources.shared import shared_dir, written
+from .streaming import drain
 
 KEYS = {
     "customer": (("c_custkey",), "c_mktsegment"),
@@ -126,7 +129,7 @@ query("row_hash", "SELECT c_custkey, sha256(concat_ws('|', c_custkey::VARCHAR, c
 query("trim_scale_numeric", "SELECT c_custkey, CASE WHEN contains(t, '.') THEN rtrim(rtrim(t, '0'), '.') ELSE t END AS acctbal FROM (SELECT c_custkey, c_acctbal::DECIMAL(20,4)::VARCHAR AS t FROM customer)")(
     lambda s, d: table(s, d, "customer").select("c_custkey", normalize.trim_scale(F.col("c_acctbal").cast("decimal(20,4)")).alias("acctbal"))
 )
-query("max_octet_length", "SELECT max(octet_length(encode(text)))::BIGINT AS max_bytes FROM documents")(lambda s, d: table(s, d, "documents").agg(F.max(F.octet_length("text")).cast("long").alias("max_bytes")))
+query("max_octet_length", "SELECT max(octet_length(encode(text)))::BIGINT AS text, max(octet_length(encode(source)))::BIGINT AS source FROM documents")(lambda s, d: diff.octets(table(s, d, "documents"), ["text", "source"]))
 _META = "SELECT *, CASE WHEN o_orderkey % 41 <> 0 THEN o_orderdate END AS commit_ts, (o_orderkey % 3)::VARCHAR AS node_origin FROM orders"
 
 
@@ -139,52 +142,120 @@ query("origin_filter", f"SELECT o_orderkey FROM ({_META}) WHERE node_origin = '2
 query("origin_translate", f"SELECT o_orderkey, CASE node_origin WHEN '0' THEN 'local' WHEN '1' THEN 'n1' ELSE node_origin END AS origin FROM ({_META})")(
     lambda s, d: _meta(s, d).select("o_orderkey", normalize.origin_name(F.col("node_origin"), {"1": "n1"}).alias("origin"))
 )
-query("filter_has_rows", "SELECT count(*) > 0 AS has_rows FROM orders WHERE o_orderstatus = 'F'")(lambda s, d: s.range(1).select(F.lit(not table(s, d, "orders").where("o_orderstatus = 'F'").isEmpty()).alias("has_rows")))
+
+
+@query("filter_has_rows", "SELECT f AS status, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = f) AS has_rows FROM (VALUES ('F'), ('none')) t(f)")
+def _has_rows(s: SparkSession, d: str) -> DataFrame:
+    def there(f: str) -> bool:
+        try:
+            nodes.has_rows(table(s, d, "orders"), f"o_orderstatus = '{f}'")
+        except ValueError:
+            return False
+        return True
+
+    return s.createDataFrame([(f, there(f)) for f in ("F", "none")], "status string, has_rows boolean")
+
+
+query("timestamp_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN o_orderdate + INTERVAL 123456 MICROSECOND END AS ts FROM orders")(
+    lambda s, d: table(s, d, "orders").withColumn("t", F.expr("cast(o_orderdate + INTERVAL 123456 MICROSECONDS as string)"))
+    .withColumn("t", F.expr("CASE o_orderkey % 5 WHEN 0 THEN t WHEN 1 THEN concat(replace(t, ' ', 'T'), 'Z') WHEN 2 THEN concat(t, '789+00') WHEN 3 THEN concat(replace(t, ' ', 'T'), '+00:00') ELSE concat('x', t) END"))
+    .select("o_orderkey", normalize.parsed_timestamp(F.col("t")).alias("ts"))
+)
+query("time_of_day_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 6 THEN (o_orderkey % 86400) * 1000000 + o_orderkey % 1000 * 1000 END AS micros FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", F.expr("o_orderkey % 86400").alias("n"))
+    .select("o_orderkey", F.expr("concat(lpad(n div 3600, 2, '0'), ':', lpad(n div 60 % 60, 2, '0'), ':', lpad(n % 60, 2, '0'), '.', lpad(o_orderkey % 1000, 3, '0'), if(o_orderkey % 7 = 6, 'h', ''))").alias("t"))
+    .select("o_orderkey", normalize.time_micros(F.col("t")).alias("micros"))
+)
+query("epoch_scale", "SELECT o_orderkey, o_orderdate::TIMESTAMP AS ts FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", normalize.epoch_timestamp(F.expr("unix_micros(cast(o_orderdate as timestamp)) div 1000000 * CASE o_orderkey % 4 WHEN 0 THEN 1L WHEN 1 THEN 1000L WHEN 2 THEN 1000000L ELSE 1000000000L END")).alias("ts"))
+)
+query("bytes_decode", "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS name FROM customer")(
+    lambda s, d: table(s, d, "customer").withColumn("t", F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('\\\\x', lower(hex(c_name))) WHEN 1 THEN base64(encode(c_name, 'UTF-8')) ELSE concat('0x', c_name) END"))
+    .select("c_custkey", F.decode(normalize.decoded_bytes(F.col("t")), "UTF-8").alias("name"))
+)
 
 # ---- blocks
 
-_BOUNDS = "SELECT min(k) AS s FROM (SELECT k, ntile(10) OVER (ORDER BY k) AS b FROM (SELECT o_orderkey AS k FROM orders)) GROUP BY b"
-_RANGES = f"SELECT (row_number() OVER (ORDER BY s) - 1)::BIGINT AS block_id, s AS range_start, lead(s) OVER (ORDER BY s) AS range_end FROM ({_BOUNDS})"
-_ASSIGN = f"r AS ({_RANGES}), a AS (SELECT o.*, r.block_id FROM orders o JOIN r ON (o.o_orderkey >= r.range_start OR r.block_id = 0) AND (r.range_end IS NULL OR o.o_orderkey < r.range_end))"
+#: Rows of a block and of a leaf of the hash tree.
+_BLOCK, _LEAF = 500, 100
+
+
+def _ranges_sql(size: int, source: str = "orders", key: str = "o_orderkey") -> str:
+    starts = f"SELECT min(k) AS s FROM (SELECT k, ntile((SELECT greatest(1, ceil(count(*) / {size}.0))::BIGINT FROM {source})) OVER (ORDER BY k) AS b FROM (SELECT {key} AS k FROM {source})) GROUP BY b"
+    return f"SELECT (row_number() OVER (ORDER BY s) - 1)::BIGINT AS block_id, s AS range_start, lead(s) OVER (ORDER BY s) AS range_end FROM ({starts})"
+
+
+_IN = "(o.o_orderkey >= r.range_start OR r.block_id = 0) AND (r.range_end IS NULL OR o.o_orderkey < r.range_end)"
+_RANGES = _ranges_sql(_BLOCK)
+_ASSIGN = f"r AS ({_RANGES}), a AS (SELECT o.*, r.block_id FROM orders o JOIN r ON {_IN})"
+
 
+def _cut(df: DataFrame, key: list[str], size: int) -> DataFrame:
+    return written(blocks.boundaries(df, key, blocks.n_blocks(df.count(), size)), "ranges")
 
-def _ranges(s: SparkSession, d: str, name: str = "orders", n: int = 10) -> DataFrame:
-    return blocks.boundaries(table(s, d, name), list(KEYS[name][0]), n)
+
+def _ranges(s: SparkSession, d: str, name: str = "orders", size: int = _BLOCK) -> DataFrame:
+    return _cut(table(s, d, name), list(KEYS[name][0]), size)
 
 
 query("block_boundaries", _RANGES)(lambda s, d: _ranges(s, d).select("block_id", F.col("range_start.o_orderkey").alias("range_start"), F.col("range_end.o_orderkey").alias("range_end")))
+query("block_boundaries_text", _ranges_sql(20, "customer", "c_name"))(lambda s, d: _cut(table(s, d, "customer"), ["c_name"], 20).select("block_id", F.col("range_start.c_name").alias("range_start"), F.col("range_end.c_name").alias("range_end")))
 query(
     "block_boundaries_composite",
-    "WITH b AS (SELECT min(struct_pack(c := conv_id, t := turn)) AS s FROM (SELECT conv_id, turn, ntile(8) OVER (ORDER BY conv_id, turn) AS b FROM conversations) GROUP BY b) "
+    "WITH b AS (SELECT min(struct_pack(c := conv_id, t := turn)) AS s FROM (SELECT conv_id, turn, ntile((SELECT ceil(count(*) / 50.0)::BIGINT FROM conversations)) OVER (ORDER BY conv_id, turn) AS b FROM conversations) GROUP BY b) "
     "SELECT (row_number() OVER (ORDER BY s) - 1)::BIGINT AS block_id, s.c AS start_conv, s.t AS start_turn FROM b",
-)(lambda s, d: _ranges(s, d, "conversations", 8).select("block_id", F.col("range_start.conv_id").alias("start_conv"), F.col("range_start.turn").alias("start_turn")))
+)(lambda s, d: _ranges(s, d, "conversations", 50).select("block_id", F.col("range_start.conv_id").alias("start_conv"), F.col("range_start.turn").alias("start_turn")))
 query("block_counts", f"WITH {_ASSIGN} SELECT block_id, count(*) AS n_rows FROM a GROUP BY block_id")(lambda s, d: blocks.assign(table(s, d, "orders"), ["o_orderkey"], _ranges(s, d)).groupBy("block_id").agg(F.count("*").alias("n_rows")))
+query("block_counts_sorted", f"WITH {_ASSIGN} SELECT block_id, count(*) AS n_rows FROM a GROUP BY block_id")(
+    lambda s, d: blocks.assign(table(s, d, "orders"), ["o_orderkey"], _ranges(s, d), 0).groupBy("block_id").agg(F.count("*").alias("n_rows"))
+)
+query("block_assign_text", f"WITH r AS ({_ranges_sql(20, 'customer', 'c_name')}) SELECT c_custkey, block_id FROM customer o JOIN r ON (o.c_name >= r.range_start OR r.block_id = 0) AND (r.range_end IS NULL OR o.c_name < r.range_end)")(
+    lambda s, d: blocks.assign(table(s, d, "customer"), ["c_name"], _cut(table(s, d, "customer"), ["c_name"], 20)).select("c_custkey", "block_id")
+)
+_SKEWED = "SELECT CASE WHEN o_orderkey % 500 = 7 THEN o_orderkey * 1000000007 ELSE o_orderkey END AS o_orderkey FROM orders"
+query("block_assign_skewed", f"WITH t AS ({_SKEWED}), r AS ({_ranges_sql(50, 't')}) SELECT o_orderkey, block_id FROM t o JOIN r ON {_IN}")(
+    lambda s, d: (lambda t: blocks.assign(t, ["o_orderkey"], _cut(t, ["o_orderkey"], 50)))(table(s, d, "orders").selectExpr("CASE WHEN o_orderkey % 500 = 7 THEN o_orderkey * 1000000007L ELSE o_orderkey END AS o_orderkey"))
+)
+query("scan_chosen_ranges", f"WITH {_ASSIGN} SELECT o_orderkey, block_id FROM a WHERE block_id % 3 = 1")(
+    lambda s, d: (lambda r: blocks.in_ranges(table(s, d, "orders"), ["o_orderkey"], r, r.where("block_id % 3 = 1")).select("o_orderkey", "block_id"))(_ranges(s, d))
+)
 query(
     "block_hash",
     f"WITH {_ASSIGN} SELECT block_id, sha256(string_agg(concat_ws('|', o_orderkey::VARCHAR, o_orderstatus, o_orderpriority), '|' ORDER BY o_orderkey)) AS block_hash FROM a GROUP BY block_id",
 )(lambda s, d: blocks.block_hashes(table(s, d, "orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"], _ranges(s, d)))
-query("block_hash_empty_block", f"SELECT block_id, sha256('EMPTY_BLOCK') AS block_hash FROM ({_RANGES})")(
-    lambda s, d: blocks.block_hashes(table(s, d, "orders").where("false"), ["o_orderkey"], ["o_orderstatus"], _ranges(s, d))
+_NODE_HASH = f"SELECT block_id, sha256(coalesce(string_agg(concat_ws('|', o.o_orderkey::VARCHAR, o.o_orderstatus), '|' ORDER BY o.o_orderkey) FILTER (o.o_orderkey IS NOT NULL), 'EMPTY_BLOCK')) AS h FROM r LEFT JOIN {{0}} o ON {_IN} GROUP BY block_id"
+query("block_hash_empty_block", f"WITH r AS ({_RANGES}), low AS (SELECT * FROM orders WHERE o_orderkey < 700) SELECT block_id, h AS block_hash FROM ({_NODE_HASH.format('low')})")(
+    lambda s, d: blocks.block_hashes(table(s, d, "orders").where("o_orderkey < 700"), ["o_orderkey"], ["o_orderstatus"], _ranges(s, d))
 )
-_NODE_HASH = "SELECT block_id, sha256(coalesce(string_agg(concat_ws('|', o.o_orderkey::VARCHAR, o.o_orderstatus), '|' ORDER BY o.o_orderkey), 'EMPTY_BLOCK')) AS h FROM r LEFT JOIN {0} o ON (o.o_orderkey >= r.range_start OR r.block_id = 0) AND (r.range_end IS NULL OR o.o_orderkey < r.range_end) GROUP BY block_id"
 query(
     "block_mismatch_pairs",
     f"WITH {cte('orders')}, r AS ({_RANGES}), h1 AS ({_NODE_HASH.format('n1')}), h2 AS ({_NODE_HASH.format('n2')}), h3 AS ({_NODE_HASH.format('n3')}) "
     "SELECT 'n1/n2' AS pair, block_id FROM h1 JOIN h2 USING (block_id) WHERE h1.h <> h2.h UNION ALL SELECT 'n1/n3', block_id FROM h1 JOIN h3 USING (block_id) WHERE h1.h <> h3.h "
     "UNION ALL SELECT 'n2/n3', block_id FROM h2 JOIN h3 USING (block_id) WHERE h2.h <> h3.h",
-)(lambda s, d: blocks.mismatched_blocks({n: blocks.block_hashes(node(s, d, "orders", n), ["o_orderkey"], ["o_orderstatus"], _ranges(s, d)) for n in ("n1", "n2", "n3")}).select("pair", "block_id"))
+)(lambda s, d: (lambda r: blocks.mismatched_blocks({n: blocks.block_hashes(node(s, d, "orders", n), ["o_orderkey"], ["o_orderstatus"], r) for n in ("n1", "n2", "n3")}).select("pair", "block_id"))(_ranges(s, d)))
 query("split_points", "SELECT o_orderkey AS split_key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) WHERE i > 1 AND (i - 1) % 100 = 0")(
-    lambda s, d: blocks.split_points(table(s, d, "orders"), "o_orderkey", 100, _ranges(s, d))
+    lambda s, d: blocks.split_points(table(s, d, "orders"), "o_orderkey", 100)
 )
 query(
     "interval_union",
-    "WITH i AS (SELECT event_id * 10 AS a, event_id * 10 + 4 + event_id % 9 AS b FROM events WHERE event_id % 7 = 0), x AS (SELECT a AS v FROM i UNION SELECT b FROM i), "
-    "s AS (SELECT v AS slice_start, lead(v) OVER (ORDER BY v) AS slice_end FROM x) SELECT * FROM s WHERE EXISTS (SELECT 1 FROM i WHERE a <= slice_start AND b >= slice_end)",
-)(lambda s, d: blocks.interval_union(table(s, d, "events").where("event_id % 7 = 0").selectExpr("event_id * 10 AS range_start", "event_id * 10 + 4 + event_id % 9 AS range_end")))
+    "WITH i AS (SELECT event_id * 10 AS a, event_id * 10 + 4 + event_id % 9 AS b FROM events), e AS (SELECT p, sum(d) AS d FROM (SELECT a AS p, 1 AS d FROM i UNION ALL SELECT b, -1 FROM i) GROUP BY p), "
+    "s AS (SELECT p AS slice_start, lead(p) OVER (ORDER BY p) AS slice_end, sum(d) OVER (ORDER BY p) AS depth FROM e) SELECT slice_start, slice_end FROM s WHERE depth > 0",
+)(lambda s, d: blocks.interval_union(table(s, d, "events").selectExpr("event_id * 10 AS range_start", "event_id * 10 + 4 + event_id % 9 AS range_end")))
 query("anchor_node", f"WITH {cte('orders')}, c AS (SELECT 'n1' AS n, count(*) AS c FROM n1 UNION ALL SELECT 'n2', count(*) FROM n2 UNION ALL SELECT 'n3', count(*) FROM n3) SELECT n AS node, c AS n_rows FROM c ORDER BY c DESC, n LIMIT 1")(
     lambda s, d: (lambda c: s.createDataFrame([(blocks.anchor(c), c[blocks.anchor(c)])], "node string, n_rows long"))({n: node(s, d, "orders", n).count() for n in ("n1", "n2", "n3")})
 )
 
+
+@query("block_narrowed", diff_sql("orders"))
+def _narrowed(s: SparkSession, d: str) -> DataFrame:
+    """Mismatched blocks cut into small pieces; only those that still differ are compared row by row."""
+    t, r = spec("orders"), _ranges(s, d)
+    a, b = (node(s, d, "orders", n) for n in ("n1", "n2"))
+    bad = written(merkle.mismatched(*[merkle.build(merkle.leaves(x, t, r), r.count()) for x in (a, b)]).withColumnRenamed("node_position", "block_id"), "bad")
+    small = written(merkle.narrowed(a, b, t, r, bad, 10), "parts")
+    return diff.report(diff.diff_pair(*[merkle.within(x, ["o_orderkey"], small) for x in (a, b)], t).withColumn("pair", F.lit("n1/n2")), t)
+
+
 # ---- diffs
 
 _THREE = (("n1", "n2"), ("n1", "n3"), ("n2", "n3"))
@@ -236,10 +307,45 @@ def _rerun(s: SparkSession, d: str) -> DataFrame:
     return diff.report(diff.rerun(found, now, t), t)
 
 
+#: Doubles that are close, huge, infinite, not a number, or zero of either sign, on two nodes.
+_D1 = "CASE o_orderkey % 11 WHEN 1 THEN {0}'NaN'{1} WHEN 2 THEN 1e17 WHEN 3 THEN {0}'Infinity'{1} WHEN 4 THEN {2} ELSE o_totalprice END"
+_D2 = f"CASE WHEN o_orderkey % 13 <> 5 OR o_orderkey % 11 IN (1, 3, 4) THEN {_D1} WHEN o_orderkey % 11 = 2 THEN 1e17 + 16 ELSE o_totalprice + 0.000001 END"
+
+
+def _doubles(spark_sql: bool) -> tuple[str, str]:
+    made = [x.format("double(" if spark_sql else "", ")" if spark_sql else "::DOUBLE", zero) for x, zero in ((_D1, "0e0"), (_D2, "-0e0"))]
+    return made[0], made[1]
+
+
+_PRICED = nodes.Table("orders", ("o_orderkey",))
+_PRICED_SQL = "a AS (SELECT o_orderkey, {0} AS price FROM orders), b AS (SELECT o_orderkey, {1} AS price FROM orders)".format(*_doubles(False))
+
+
+def _priced(s: SparkSession, d: str) -> list[DataFrame]:
+    return [table(s, d, "orders").selectExpr("o_orderkey", f"cast({x} as double) AS price") for x in _doubles(True)]
+
+
+query("diff_pruned_doubles", f"WITH {_PRICED_SQL} SELECT o_orderkey, 'price' AS changed_columns FROM a JOIN b USING (o_orderkey) WHERE a.price IS DISTINCT FROM b.price")(
+    lambda s, d: diff.diff_pruned(*_priced(s, d), _PRICED).select("o_orderkey", "changed_columns")
+)
+query("rerun_gone_keys", f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'missing_on_both' ELSE diff_type END AS diff_type FROM ({diff_sql('orders')})")(
+    lambda s, d: (lambda c, t: diff.rerun(diff.diff(c, t), nodes.Cluster({n: (lambda name, n=n: c.nodes[n](name).where("o_orderkey % 2 <> 0")) for n in ("n1", "n2")}), t, "different").select("o_orderkey", "diff_type"))(cluster(s, d, "orders"), spec("orders"))
+)
+query(
+    "schema_diff_tables",
+    f"SELECT 'customer' AS name, CASE WHEN count(*) > 0 THEN 'differed' ELSE 'matched' END AS status, count(*) AS n_diffs FROM ({diff_sql('customer', _THREE)}) UNION ALL SELECT 'nation', 'matched', 0 UNION ALL SELECT 'absent', 'failed', NULL UNION ALL SELECT 'part', 'skipped', NULL "
+    f"UNION ALL SELECT 'orders', 'differed', count(*) FROM ({diff_sql('orders', _THREE)})",
+)(
+    lambda s, d: diff.each_table(
+        nodes.Cluster({n: (lambda t, n=n: node(s, d, t, n) if t in KEYS else table(s, d, t)) for n in ("n1", "n2", "n3")}),
+        [spec("customer"), nodes.Table("nation", ("n_nationkey",)), nodes.Table("absent", ("x",)), spec("part"), spec("orders")],
+        ["part"],
+    ).select("name", "status", "n_diffs")
+)
+
 # ---- inventories
 
 _OBJECTS = [("n1", "table", "orders"), ("n2", "table", "orders"), ("n1", "table", "part"), ("n3", "table", "orders"), ("n2", "view", "v"), ("n3", "view", "v"), ("n1", "index", "i"), ("n2", "index", "i"), ("n3", "index", "i")]
-_MEMBERS = [("n1", "default", "orders"), ("n2", "default", "orders"), ("n1", "default", "part"), ("n3", "extra", "part")]
 _SUBS = [("n1", "n2", True, ["a", "b"]), ("n2", "n1", True, ["b", "a"]), ("n1", "n3", True, ["a"]), ("n3", "n1", True, ["a", "c"]), ("n2", "n3", False, ["a"]), ("n3", "n2", True, ["a"]), ("n4", "n1", True, ["a"])]
 
 
@@ -248,18 +354,25 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
 
 
+def _held(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    parts = [node(s, d, "customer", n).selectExpr(f"'{n}' AS node", *columns) for n in ("n1", "n2", "n3")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_HELD = " UNION ALL ".join(f"SELECT '{n}' AS node, * FROM {n}" for n in ("n1", "n2", "n3"))
 query(
     "table_inventory_diff",
-    f"SELECT kind, name, string_agg(node, ',' ORDER BY node) AS present, (SELECT string_agg(x, ',' ORDER BY x) FROM (VALUES ('n1'), ('n2'), ('n3')) v(x) WHERE NOT list_contains(list(node), x)) AS missing FROM {_values(_OBJECTS, 'node, kind, name')} GROUP BY kind, name HAVING count(*) < 3",
-)(lambda s, d: inventory.object_diff(s.createDataFrame(_OBJECTS, "node string, kind string, name string"), ["n1", "n2", "n3"]))
+    f"WITH {cte('customer')} SELECT 'row' AS kind, c_name AS name, string_agg(node, ',' ORDER BY node) AS present, (SELECT string_agg(x, ',' ORDER BY x) FROM (VALUES ('n1'), ('n2'), ('n3')) v(x) WHERE NOT list_contains(list(node), x)) AS missing "
+    f"FROM (SELECT node, c_name FROM ({_HELD})) GROUP BY c_name HAVING count(*) < 3",
+)(lambda s, d: inventory.object_diff(_held(s, d, "'row' AS kind", "c_name AS name"), ["n1", "n2", "n3"]))
 query("schema_diff_summary", f"SELECT name, CASE WHEN name = 'part' THEN 'skipped' WHEN count(DISTINCT node) < 3 THEN 'partial' ELSE 'common' END AS status FROM {_values(_OBJECTS, 'node, kind, name')} WHERE kind = 'table' GROUP BY name")(
     lambda s, d: inventory.table_plan(s.createDataFrame(_OBJECTS, "node string, kind string, name string"), ["n1", "n2", "n3"], ["part"])
 )
 query(
     "repset_diff_summary",
-    f"WITH m AS (SELECT * FROM {_values(_MEMBERS, 'node, s, t')}), x AS (SELECT DISTINCT a.s, a.t, b.node, EXISTS (SELECT 1 FROM m c WHERE c.s = a.s AND c.t = a.t AND c.node = b.node) AS h FROM m a JOIN m b ON a.s = b.s) "
-    "SELECT s AS set_name, t AS table_name, coalesce(string_agg(node, ',' ORDER BY node) FILTER (NOT h), '') AS missing_on FROM x GROUP BY s, t",
-)(lambda s, d: inventory.set_members(s.createDataFrame(_MEMBERS, "node string, set_name string, table_name string"), ["n1", "n2", "n3"]))
+    f"WITH {cte('customer')}, m AS (SELECT node, 'set' || c_nationkey AS s, c_name AS t FROM ({_HELD})), h AS (SELECT DISTINCT s, node FROM m), t AS (SELECT DISTINCT s, t FROM m) "
+    "SELECT t.s AS set_name, t.t AS table_name, coalesce(string_agg(h.node, ',' ORDER BY h.node) FILTER (m.node IS NULL), '') AS missing_on FROM t JOIN h ON t.s = h.s LEFT JOIN m ON m.s = t.s AND m.t = t.t AND m.node = h.node GROUP BY t.s, t.t",
+)(lambda s, d: inventory.set_members(_held(s, d, "concat('set', c_nationkey) AS set_name", "c_name AS table_name"), ["n1", "n2", "n3"]))
 query(
     "replication_config_diff",
     f"WITH s AS (SELECT * FROM {_values(_SUBS, 'node, provider, enabled, sets')}), j AS (SELECT coalesce(a.node, b.provider) AS n1, coalesce(a.provider, b.node) AS n2, a.enabled AS e1, b.enabled AS e2, list_sort(a.sets) AS s1, list_sort(b.sets) AS s2 FROM s a FULL JOIN s b ON a.node = b.provider AND a.provider = b.node) "
@@ -306,20 +419,27 @@ query("repair_roundtrip_empty", "SELECT 0::BIGINT AS n_left")(
 query("repair_counts", f"SELECT 'n2' AS node, CASE WHEN diff_type = 'missing_on_n1' THEN 'delete' ELSE 'upsert' END AS op, count(*) AS n_rows FROM ({diff_sql('orders')}) GROUP BY ALL")(
     lambda s, d: repair.counts(repair.from_source(diff.diff(cluster(s, d, "orders"), spec("orders")), spec("orders"), "n1"))
 )
-query(
-    "stale_guard",
-    f"SELECT f.o_orderkey, CASE WHEN o.o_orderkey % 5 <> 0 AND o.o_orderkey % 41 <> 0 THEN NULL WHEN o.o_orderkey % 41 = 0 THEN 'unknown' ELSE 'newer' END AS stale FROM ({diff_sql('orders')}) f JOIN orders o USING (o_orderkey)",
-)(
-    lambda s, d: repair.stale(
+
+
+def _stale(s: SparkSession, d: str) -> DataFrame:
+    return repair.stale(
         repair.from_source(diff.diff(cluster(s, d, "orders"), spec("orders")), spec("orders"), "n1").join(_meta(s, d).select("o_orderkey", F.col("commit_ts").alias("seen")), "o_orderkey"),
         table(s, d, "orders").select("o_orderkey", F.expr("o_orderdate + CASE WHEN o_orderkey % 5 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END").alias("now")),
         spec("orders"),
         "seen",
         "now",
-    ).select("o_orderkey", "stale")
+    )
+
+
+query(
+    "stale_guard",
+    f"SELECT f.o_orderkey, CASE WHEN o.o_orderkey % 5 <> 0 AND o.o_orderkey % 41 <> 0 THEN NULL WHEN o.o_orderkey % 41 = 0 THEN 'unknown' ELSE 'newer' END AS stale FROM ({diff_sql('orders')}) f JOIN orders o USING (o_orderkey)",
+)(lambda s, d: _stale(s, d).select("o_orderkey", "stale"))
+query("origin_batches", f"SELECT CASE WHEN node_origin = '0' THEN '' ELSE node_origin END AS origin, CASE WHEN node_origin <> '0' THEN o_orderkey % 7 END AS lsn, CASE WHEN node_origin <> '0' THEN year(o_orderdate) END AS time, count(*) AS n_rows FROM ({_META}) GROUP BY ALL")(
+    lambda s, d: repair.by_origin(_meta(s, d).withColumn("node_origin", F.expr("nullif(node_origin, '0')")).withColumn("lsn", F.expr("o_orderkey % 7")).withColumn("t", F.expr("cast(year(o_orderdate) as long)")), "node_origin", "lsn", "t")
 )
-query("origin_batches", f"SELECT CASE WHEN node_origin = '0' THEN '' ELSE node_origin END AS origin, count(*) AS n_rows FROM ({_META}) GROUP BY ALL")(
-    lambda s, d: repair.by_origin(_meta(s, d).withColumn("node_origin", F.expr("nullif(node_origin, '0')")).withColumn("lsn", F.lit(1)).withColumn("t", F.lit(2)), "node_origin", "lsn", "t").select("origin", "n_rows")
+query("repair_without_stale", f"WITH {cte('orders')} SELECT o_orderkey, coalesce(n1.o_orderstatus, n2.o_orderstatus) AS o_orderstatus FROM (SELECT * FROM n1 WHERE o_orderkey % 5 <> 0 AND o_orderkey % 41 <> 0) n1 FULL JOIN (SELECT * FROM n2 WHERE o_orderkey % 5 = 0 OR o_orderkey % 41 = 0) n2 USING (o_orderkey)")(
+    lambda s, d: repair.applied(node(s, d, "orders", "n2"), _stale(s, d), "n2", spec("orders")).select("o_orderkey", "o_orderstatus")
 )
 PLAN = rules.Plan(
     (rules.Rule("low keys", "keep_n2", key_between=(0, 200)), rules.Rule("new", "apply_from_n1_insert", diff_types=("missing_on_n2",)), rules.Rule("cheaper", "keep_n1", when="n1.o_totalprice > 150000")),
@@ -347,31 +467,122 @@ query("plan_pick_freshest", f"WITH {cte('orders')} SELECT o_orderkey, CASE WHEN
 
 # ---- hash tree
 
+_TREE_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_TEXT = " || ".join(f"length({c}::VARCHAR) || ':' || {c}" for c in _TREE_COLUMNS)
+_HASHED = ", ".join(f"('0x' || substr(sha256({_TEXT}), {15 * i + 1}, 15))::BIGINT AS l{i}" for i in range(4))
+_FOLD = ", ".join(f"coalesce(bit_xor(l{i}), 0)::BIGINT AS l{i}" for i in range(4))
 
-def _leaves(s: SparkSession, d: str, which: str) -> DataFrame:
-    return merkle.leaves(node(s, d, "orders", which), spec("orders"), _ranges(s, d, n=40))
 
+def _leaves_sql(source: str) -> str:
+    return f"SELECT block_id AS node_position, count(o.o_orderkey) AS n_rows, {_FOLD} FROM r LEFT JOIN (SELECT o_orderkey, {_HASHED} FROM {source}) o ON {_IN} GROUP BY block_id"
 
-_R40 = _RANGES.replace("ntile(10)", "ntile(40)")
-_IN = "(o.o_orderkey >= r.range_start OR r.block_id = 0) AND (r.range_end IS NULL OR o.o_orderkey < r.range_end)"
-query("merkle_leaves", f"WITH {cte('orders')}, r AS ({_R40}) SELECT block_id AS node_position, count(o.o_orderkey) AS n_rows FROM r LEFT JOIN n2 o ON {_IN} GROUP BY block_id")(lambda s, d: _leaves(s, d, "n2").select("node_position", "n_rows"))
-query(
-    "merkle_parents",
-    f"WITH RECURSIVE {cte('orders')}, r AS ({_R40}), l AS (SELECT block_id AS p, count(o.o_orderkey) AS n FROM r LEFT JOIN n2 o ON {_IN} GROUP BY block_id) "
-    "SELECT k::INT AS node_level, (p >> k)::BIGINT AS node_position, sum(n)::BIGINT AS n_rows FROM l, range(0, 7) t(k) GROUP BY ALL",
-)(lambda s, d: merkle.build(_leaves(s, d, "n2"), 40).select("node_level", "node_position", "n_rows"))
-query("merkle_mismatched_leaves", f"WITH {cte('orders')}, r AS ({_R40}), f AS ({diff_sql('orders')}) SELECT DISTINCT block_id AS node_position FROM (SELECT o_orderkey FROM f) o JOIN r ON {_IN}")(
-    lambda s, d: merkle.mismatched(merkle.build(_leaves(s, d, "n1"), 40), merkle.build(_leaves(s, d, "n2"), 40))
-)
-query("merkle_diff_rows", diff_sql("orders"))(
-    lambda s, d: (
-        lambda t, r, bad: diff.report(
-            diff.diff_pair(*[blocks.assign(node(s, d, "orders", n), ["o_orderkey"], r).join(bad, "block_id", "left_semi").drop("block_id") for n in ("n1", "n2")], t).withColumn("pair", F.lit("n1/n2")), t
-        )
-    )(spec("orders"), _ranges(s, d, n=40), merkle.mismatched(merkle.build(_leaves(s, d, "n1"), 40), merkle.build(_leaves(s, d, "n2"), 40)).withColumnRenamed("node_position", "block_id"))
+
+_R = f"r AS ({_ranges_sql(_LEAF)})"
+_HEIGHT = "(SELECT ceil(log2(greatest(count(*), 1)))::BIGINT FROM r)"
+
+
+def _tree_node(s: SparkSession, d: str, which: str) -> DataFrame:
+    return node(s, d, "orders", which).select(*_TREE_COLUMNS)
+
+
+def _tree_ranges(s: SparkSession, d: str) -> DataFrame:
+    return _ranges(s, d, size=_LEAF)
+
+
+def _leaves(s: SparkSession, d: str, which: str, r: DataFrame | None = None) -> DataFrame:
+    return merkle.leaves(_tree_node(s, d, which), spec("orders"), _tree_ranges(s, d) if r is None else r)
+
+
+def _tree(s: SparkSession, d: str, which: str, r: DataFrame) -> DataFrame:
+    return merkle.build(written(_leaves(s, d, which, r), "leaves"), r.count())
+
+
+def _place(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+query("merkle_leaves", f"WITH {cte('orders')}, {_R} {_leaves_sql('n2')}")(lambda s, d: _leaves(s, d, "n2"))
+query("merkle_parents", f"WITH {cte('orders')}, {_R}, l AS ({_leaves_sql('n2')}) SELECT k::INT AS node_level, (node_position >> k)::BIGINT AS node_position, sum(n_rows)::BIGINT AS n_rows, {_FOLD} FROM (SELECT l.*, unnest(range(0, {_HEIGHT} + 1)) AS k FROM l) GROUP BY ALL")(
+    lambda s, d: _tree(s, d, "n2", _tree_ranges(s, d))
 )
-query("merkle_tree_walk", "SELECT k::INT AS node_level, p AS node_position, array_to_string(list_transform(range(0, 3 - k + 1), lambda i: lpad((p >> (3 - k - i)::INT)::VARCHAR, 10, '0')), '/') AS path FROM (SELECT DISTINCT k, (q >> k)::BIGINT AS p FROM range(0, 8) a(q), range(0, 4) b(k))")(
-    lambda s, d: merkle.walk(merkle.build(s.range(8).select(F.col("id").alias("node_position"), F.lit(1).cast("long").alias("n_rows"), *[F.col("id").alias(x) for x in merkle.LANES]), 8), 3)
+query("merkle_mismatched_leaves", f"WITH {cte('orders')}, {_R}, f AS ({diff_sql('orders')}) SELECT DISTINCT block_id AS node_position FROM (SELECT o_orderkey FROM f) o JOIN r ON {_IN}")(
+    lambda s, d: (lambda r: merkle.mismatched(_tree(s, d, "n1", r), _tree(s, d, "n2", r), merkle.height(r.count())))(_tree_ranges(s, d))
+)
+query("merkle_doubles", f"WITH {_PRICED_SQL}, {_R} SELECT DISTINCT block_id AS node_position FROM (SELECT o_orderkey FROM a JOIN b USING (o_orderkey) WHERE a.price IS DISTINCT FROM b.price) o JOIN r ON {_IN}")(
+    lambda s, d: (lambda r: merkle.mismatched(*[merkle.build(merkle.leaves(x, _PRICED, r), r.count()) for x in _priced(s, d)]))(_tree_ranges(s, d))
+)
+
+
+def _kept(s: SparkSession, frames: dict[str, DataFrame], name: str = "tree", size: int = _LEAF) -> dict[str, trees.Tree]:
+    return trees.build_trees(frames, spec("orders"), {n: _place(s, f"{name}-{n}") for n in frames}, size)
+
+
+@query("merkle_diff_rows", diff_sql("orders", nodes_sql=cte("orders") + f", r AS ({_ranges_sql(_LEAF, 'n1')})"))
+def _tree_diff(s: SparkSession, d: str) -> DataFrame:
+    """Kept trees of two nodes; only the rows of leaves that differ are read and joined."""
+    t, frames = spec("orders"), {n: node(s, d, "orders", n) for n in ("n1", "n2")}
+    kept = _kept(s, frames)
+    bad = written(trees.compare(kept["n1"], kept["n2"]), "bad")
+    return diff.report(diff.diff_pair(*[trees.rows_of(kept["n1"], frames[n], t, bad) for n in ("n1", "n2")], t).withColumn("pair", F.lit("n1/n2")), t)
+
+
+def _as_changes(found: DataFrame) -> DataFrame:
+    op = F.when(F.col("diff_type") == diff.ONLY_SECOND, "INSERT").when(F.col("diff_type") == diff.ONLY_FIRST, "DELETE").otherwise("UPDATE")
+    return found.select(op.alias("op"), "o_orderkey")
+
+
+@query("merkle_update", f"WITH {cte('orders')}, r AS ({_ranges_sql(_LEAF, 'n1')}) {_leaves_sql('n2')}")
+def _updated(s: SparkSession, d: str) -> DataFrame:
+    """A kept tree of n1 after the changes that lead to n2: hashes of the leaves, of which few were read."""
+    a, b = (_tree_node(s, d, n) for n in ("n1", "n2"))
+    now = trees.update(_kept(s, {"n1": a})["n1"], b, spec("orders"), _as_changes(diff.diff_pair(a, b, spec("orders"))))
+    return trees.open_tree(s, now.place).leaves.select("node_position", *merkle.HASH)
+
+
+@query(
+    "merkle_update_split",
+    f"WITH {_R}, t AS (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey + 100000000 FROM orders), a AS (SELECT o.o_orderkey, block_id, range_end FROM t o JOIN r ON {_IN}), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY block_id) AS n FROM a), "
+    f"s AS (SELECT range_start AS s FROM r UNION ALL SELECT o_orderkey FROM k WHERE range_end IS NULL AND n > {_LEAF} AND i > 1 AND (i - 1) % {_LEAF} = 0), "
+    "q AS (SELECT (row_number() OVER (ORDER BY s) - 1)::BIGINT AS block_id, s AS range_start, lead(s) OVER (ORDER BY s) AS range_end FROM s) "
+    "SELECT q.block_id, q.range_start, count(*) AS n_rows FROM q JOIN t ON t.o_orderkey >= q.range_start AND (q.range_end IS NULL OR t.o_orderkey < q.range_end) GROUP BY ALL",
+)
+def _update_split(s: SparkSession, d: str) -> DataFrame:
+    """As many inserts behind the last key as there were rows: the open leaf is split."""
+    old = table(s, d, "orders").select(*_TREE_COLUMNS)
+    more = old.withColumn("o_orderkey", F.col("o_orderkey") + 100000000)
+    now = trees.update(_kept(s, {"n1": old})["n1"], old.unionByName(more), spec("orders"), more.select(F.lit("INSERT").alias("op"), "o_orderkey"))
+    return now.leaves.select("block_id", F.col("range_start.o_orderkey").alias("range_start"), "n_rows")
+
+
+@query(
+    "merkle_update_rebalance",
+    f"WITH {_R}, t AS (SELECT * FROM orders WHERE o_orderkey % 5 = 0), l AS ({_leaves_sql('t')}) "
+    f"SELECT node_position // 2 AS block_id, min(range_start) AS range_start, sum(n_rows)::BIGINT AS n_rows, {_FOLD} FROM l JOIN r ON node_position = block_id GROUP BY ALL",
+)
+def _update_rebalance(s: SparkSession, d: str) -> DataFrame:
+    """Four of five rows are deleted: leaves become slivers and are merged in twos."""
+    old = table(s, d, "orders").select(*_TREE_COLUMNS)
+    now = trees.update(_kept(s, {"n1": old})["n1"], old.where("o_orderkey % 5 = 0"), spec("orders"), old.where("o_orderkey % 5 <> 0").select(F.lit("DELETE").alias("op"), "o_orderkey"), rebalance=True)
+    return now.leaves.select("block_id", F.col("range_start.o_orderkey").alias("range_start"), *merkle.HASH)
+
+
+@query(
+    "merkle_heal",
+    f"WITH {cte('orders')}, {_R} SELECT count(DISTINCT block_id) AS n_stale, 0::BIGINT AS n_row_diffs, 0::BIGINT AS n_left FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 7 OR o_orderkey % 89 = 11) o JOIN r ON {_IN}",
+)
+def _healed(s: SparkSession, d: str) -> DataFrame:
+    """A tree that is stale, as the table moved on without it: leaves differ, rows do not, so they are hashed anew."""
+    t, now = spec("orders"), table(s, d, "orders").select(*_TREE_COLUMNS)
+    kept = _kept(s, {"stale": _tree_node(s, d, "n2"), "true": now})
+    bad = written(trees.compare(kept["stale"], kept["true"]), "bad")
+    rows = diff.diff_pair(*[trees.rows_of(kept["true"], now, t, bad)] * 2, t).count()
+    tree, n = trees.heal(kept["stale"], now, t, bad)
+    return s.createDataFrame([(n, rows, trees.compare(tree, kept["true"]).count())], "n_stale long, n_row_diffs long, n_left long")
+
+
+query("merkle_tree_walk", f"WITH {_R}, h AS (SELECT {_HEIGHT} AS h), n AS (SELECT DISTINCT k, (block_id >> k)::BIGINT AS p, h FROM (SELECT block_id, h, unnest(range(0, h + 1)) AS k FROM r, h)) SELECT k::INT AS node_level, p AS node_position, array_to_string(list_transform(range(0, h - k + 1), lambda i: lpad((p >> (h - k - i)::INT)::VARCHAR, 10, '0')), '/') AS path FROM n")(
+    lambda s, d: (lambda r: merkle.walk(_tree(s, d, "n1", r), merkle.height(r.count())))(_tree_ranges(s, d))
 )
 _CHANGES = "SELECT event_id AS lsn, event_id // 10 AS xid, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op, CASE WHEN event_type = 'signup' THEN 1000000 + event_id ELSE event_id END AS pk FROM events"
 
@@ -380,7 +591,7 @@ def changes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").selectExpr("event_id AS lsn", "event_id div 10 AS xid", "CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op", "CASE WHEN event_type = 'signup' THEN 1000000 + event_id ELSE event_id END AS pk")
 
 
-_AT = f"r AS ({_RANGES}), c AS ({_CHANGES}), a AS (SELECT c.*, block_id FROM (SELECT *, pk AS o_orderkey FROM c) c JOIN r ON (c.o_orderkey >= r.range_start OR r.block_id = 0) AND (r.range_end IS NULL OR c.o_orderkey < r.range_end))"
+_AT = f"r AS ({_RANGES}), c AS ({_CHANGES}), a AS (SELECT o.*, block_id FROM (SELECT *, pk AS o_orderkey FROM c) o JOIN r ON {_IN})"
 
 
 def _counters(s: SparkSession, d: str) -> DataFrame:
@@ -401,24 +612,26 @@ query(
     "merkle_split",
     f"WITH {_ASSIGN}, k AS (SELECT o_orderkey, range_end, row_number() OVER (PARTITION BY block_id ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY block_id) AS n FROM a JOIN r USING (block_id)), "
     "s AS (SELECT range_start AS s FROM r UNION ALL SELECT o_orderkey FROM k WHERE n > 40 AND i > 1 AND (i - 1) % 40 = 0 AND (range_end IS NULL OR n - i + 1 >= 10)) SELECT (row_number() OVER (ORDER BY s) - 1)::BIGINT AS block_id, s AS range_start FROM s",
-)(lambda s, d: merkle.split(table(s, d, "orders"), "o_orderkey", _ranges(s, d), _ranges(s, d).select("block_id", F.lit(99).alias("inserts")), 40).select("block_id", F.col("range_start.o_orderkey").alias("range_start")))
-query("merkle_merge", "SELECT (o_orderkey // 2)::BIGINT AS block_id, o_orderkey AS range_start, (2 * 2)::BIGINT AS n_rows FROM orders WHERE o_orderkey < 20 AND o_orderkey % 2 = 0")(
-    lambda s, d: merkle.merge_once(table(s, d, "orders").where("o_orderkey < 20").select(F.col("o_orderkey").alias("block_id"), F.col("o_orderkey").alias("range_start"), F.lit(2).cast("long").alias("n_rows")), 10).select("block_id", "range_start", "n_rows")
+)(lambda s, d: (lambda r: merkle.split(table(s, d, "orders"), ["o_orderkey"], r, r.select("block_id", F.lit(99).alias("inserts")), 40).select("block_id", F.col("range_start.o_orderkey").alias("range_start")))(_ranges(s, d)))
+query("merkle_merge", f"WITH r AS ({_ranges_sql(20)}), c AS (SELECT block_id, range_start, count(*) AS n FROM r JOIN orders o ON {_IN} GROUP BY ALL) SELECT block_id // 2 AS block_id, min(range_start) AS range_start, sum(n)::BIGINT AS n_rows FROM c GROUP BY 1")(
+    lambda s, d: (lambda r: merkle.merged(blocks.assign(table(s, d, "orders"), ["o_orderkey"], r).groupBy("block_id").agg(F.count("*").alias("n_rows")).join(r, "block_id"), 100).select("block_id", F.col("range_start.o_orderkey").alias("range_start"), "n_rows"))(_ranges(s, d, size=20))
 )
 
 
-@query("cdc_bounded_drain", f"SELECT op, count(*) AS n_rows, max(lsn)::BIGINT AS last_lsn FROM ({_CHANGES}) WHERE xid < 50 GROUP BY op")
+@query("cdc_bounded_drain", f"SELECT op, count(*) AS n_rows, max(lsn)::BIGINT AS last_lsn, count(*) FILTER (lsn <= 209)::BIGINT AS n_first FROM ({_CHANGES}) WHERE xid < 50 GROUP BY op")
 def _drain(s: SparkSession, d: str) -> DataFrame:
-    """The changes go through a file stream that stops when all there is was taken."""
-    import uuid
-
-    from .sources.shared import shared_dir
-    from .streaming import drain
-
-    place = f"{shared_dir(s)}/drain-{uuid.uuid4().hex}"
-    changes(s, d).withColumn("commit_lsn", F.expr("CASE WHEN xid < 50 THEN xid * 10 + 9 END")).write.parquet(f"{place}/log")
-    drain.bounded(s.readStream.schema(drain.SCHEMA).parquet(f"{place}/log"), f"{place}/out", f"{place}/checkpoint")
-    return s.read.parquet(f"{place}/out").groupBy("op").agg(F.count("*").alias("n_rows"), F.max("lsn").alias("last_lsn"))
+    """Two drains with a rising target. When the first one runs, transactions 21 to 39 have not committed: their
+    commits come as rows of their own before the second one."""
+    place = _place(s, "drain")
+    log, run = f"{place}/log", lambda target: drain.bounded(s.readStream.schema(drain.SCHEMA).parquet(f"{place}/log"), f"{place}/out", f"{place}/checkpoint", target)
+    every = changes(s, d)
+    every.withColumn("commit_lsn", F.expr("CASE WHEN xid < 21 OR xid > 39 THEN xid * 10 + 9 END")).where("xid < 45").write.parquet(log)
+    run(209)
+    first = written(s.read.parquet(f"{place}/out").groupBy("op").agg(F.count("*").alias("n_first")), "first")
+    late = s.range(21, 40).selectExpr("id * 10 + 9 AS lsn", "id AS xid", "'COMMIT' AS op", "cast(null as long) AS pk", "id * 10 + 9 AS commit_lsn")
+    every.withColumn("commit_lsn", F.expr("xid * 10 + 9")).where("xid >= 45").unionByName(late).write.mode("append").parquet(log)
+    run(499)
+    return s.read.parquet(f"{place}/out").groupBy("op").agg(F.count("*").alias("n_rows"), F.max("lsn").alias("last_lsn")).join(first, "op", "left").na.fill(0, ["n_first"])
 
 
 # ---- the rest of the catalogue
@@ -428,10 +641,16 @@ query("column_inventory", "SELECT column_name AS name, (row_number() OVER () - 1
 query("row_count_by_node", f"WITH {cte('orders')} SELECT 'n1' AS node, count(*) AS n_rows FROM n1 UNION ALL SELECT 'n2', count(*) FROM n2 UNION ALL SELECT 'n3', count(*) FROM n3")(
     lambda s, d: node(s, d, "orders", "n1").select(F.lit("n1").alias("node")).unionByName(node(s, d, "orders", "n2").select(F.lit("n2").alias("node"))).unionByName(node(s, d, "orders", "n3").select(F.lit("n3").alias("node"))).groupBy("node").agg(F.count("*").alias("n_rows"))
 )
-query("diff_until", diff_sql("orders", where="o_orderkey % 41 = 0 OR o_orderdate <= TIMESTAMP '1995-06-01'"))(
-    lambda s, d: diff.report(diff.diff(cluster(s, d, "orders"), spec("orders"), where=(F.col("o_orderkey") % 41 == 0) | (F.col("o_orderdate") <= F.lit("1995-06-01 00:00:00").cast("timestamp"))), spec("orders"))
-)
-query("diff_origin", diff_sql("orders", where="o_orderkey % 3 = 2"))(_diff("orders", where="o_orderkey % 3 = 2"))
+_META_TABLE = nodes.Table("orders", ("o_orderkey",), ("commit_ts", "node_origin"))
+
+
+def _with_meta(s: SparkSession, d: str, only: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    meta = lambda n: node(s, d, "orders", n).withColumn("commit_ts", F.expr("CASE WHEN o_orderkey % 41 <> 0 THEN o_orderdate END")).withColumn("node_origin", F.expr("cast(o_orderkey % 3 as string)"))
+    return diff.report(diff.diff(nodes.Cluster({n: (lambda _, n=n: only(meta(n))) for n in ("n1", "n2")}), _META_TABLE), _META_TABLE)
+
+
+query("diff_until", diff_sql("orders", where="o_orderkey % 41 = 0 OR o_orderdate <= TIMESTAMP '1995-06-01'"))(lambda s, d: _with_meta(s, d, lambda t: nodes.until(t, "commit_ts", "1995-06-01 00:00:00")))
+query("diff_origin", diff_sql("orders", where="o_orderkey % 3 = 2"))(lambda s, d: _with_meta(s, d, lambda t: nodes.written_by(t, "node_origin", "2")))
 query("diff_embeddings_array", "SELECT vec_id FROM embeddings WHERE vec_id % 83 <> 5 AND vec_id % 89 = 11")(
     lambda s, d: (lambda t: diff.diff_pair(t.where("vec_id % 83 <> 5"), t.where("vec_id % 83 <> 5").withColumn("embedding", F.expr("if(vec_id % 89 = 11, slice(embedding, 2, 99999), embedding)")), nodes.Table("embeddings", ("vec_id",))).select("vec_id"))(table(s, d, "embeddings"))
 )
@@ -448,29 +667,63 @@ query("plan_coalesce", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_cus
         rules.resolved(diff.diff(nodes.Cluster({"n1": lambda _: c.withColumn("c_mktsegment", F.expr(_HOLES1)), "n2": lambda _: c}), t), t, p), t, columns("customer"), p
     ).where("node = 'n1'").select("c_custkey", "row.c_mktsegment"))(table(s, d, "customer"), spec("customer"), rules.Plan((), (), "custom", {"c_mktsegment": "coalesce(n1.c_mktsegment, n2.c_mktsegment)"}))
 )
-query("merkle_root_compare", "SELECT TRUE AS same_as_itself, FALSE AS same_as_other")(lambda s, d: _roots(s, d))
-query("merkle_resequence", "SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS block_id, o_orderkey AS range_start, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS range_end FROM orders WHERE o_orderkey % 50 = 0")(
-    lambda s, d: merkle.resequenced(table(s, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("range_start")))
+query(
+    "plan_apply_forms",
+    f"""WITH f AS ({diff_sql('orders')}), {cte('orders', ['n1', 'n2'])} SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'n2' ELSE 'n1' END AS node, o_orderkey, 'upsert' AS op, CASE WHEN o_orderkey % 2 = 0 THEN n1.o_orderstatus ELSE n2.o_orderstatus END AS status
+    FROM f LEFT JOIN n1 USING (o_orderkey) LEFT JOIN n2 USING (o_orderkey) WHERE CASE WHEN o_orderkey % 2 = 0 THEN n1.o_custkey ELSE n2.o_custkey END IS NOT NULL""",
+)(
+    lambda s, d: (lambda x, t, p: rules.repairs(rules.resolved(x, t, p), t, columns("orders"), p).select("node", "o_orderkey", "op", F.col("row.o_orderstatus").alias("status")))(
+        diff.diff(cluster(s, d, "orders"), spec("orders")), spec("orders"), rules.Plan((rules.Rule("even", "apply_from_n1_replace", when="o_orderkey % 2 = 0"),), (), "apply_from_n2_upsert")
+    )
+)
+query(
+    "plan_custom_row",
+    f"""WITH f AS ({diff_sql('orders')}), {cte('orders', ['n1', 'n2'])} SELECT o_orderkey, n2.o_orderpriority AS priority, 'merged' AS status, coalesce(n2.o_totalprice, n1.o_totalprice)::DECIMAL(18,2) AS price
+    FROM f LEFT JOIN n1 USING (o_orderkey) LEFT JOIN n2 USING (o_orderkey)""",
+)(
+    lambda s, d: (lambda x, t, p: rules.repairs(rules.resolved(x, t, p), t, columns("orders"), p).where("node = 'n1'").select("o_orderkey", F.col("row.o_orderpriority").alias("priority"), F.col("row.o_orderstatus").alias("status"), F.col("row.o_totalprice").cast("decimal(18,2)").alias("price")))(
+        diff.diff(cluster(s, d, "orders"), spec("orders")), spec("orders"), rules.load('{"version": 1, "default": "custom", "priority": ["n2", "n1"], "custom": {"o_orderpriority": "{{n2.o_orderpriority}}", "o_orderstatus": "\'merged\'"}}')
+    )
+)
+query("merkle_root_compare", f"WITH {cte('orders')}, {_R}, a AS ({_leaves_sql('n1')}), b AS ({_leaves_sql('n2')}) SELECT x.n = y.n AND x.l0 = y.l0 AS same_as_other, x.l0, x.l1 FROM (SELECT sum(n_rows) AS n, {_FOLD} FROM a) x, (SELECT sum(n_rows) AS n, {_FOLD} FROM b) y")(
+    lambda s, d: _roots(s, d)
 )
-query("merkle_refresh", f"WITH {cte('orders')}, r AS ({_R40}) SELECT block_id AS node_position, count(o.o_orderkey) AS n_rows FROM r LEFT JOIN n2 o ON {_IN} GROUP BY block_id")(
-    lambda s, d: merkle.refreshed(merkle.build(_leaves(s, d, "n1"), 40), node(s, d, "orders", "n2"), spec("orders"), _ranges(s, d, n=40), merkle.mismatched(merkle.build(_leaves(s, d, "n1"), 40), merkle.build(_leaves(s, d, "n2"), 40))).select("node_position", "n_rows")
+query("merkle_resequence", "SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS block_id, o_orderkey AS range_start, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS range_end FROM orders")(
+    lambda s, d: merkle.resequenced(table(s, d, "orders").select(F.col("o_orderkey").alias("range_start")))
 )
 
 
+@query("merkle_refresh", f"WITH {cte('orders')}, {_R} {_leaves_sql('n2')}")
+def _refresh(s: SparkSession, d: str) -> DataFrame:
+    r = _tree_ranges(s, d)
+    old, new = (_tree(s, d, n, r) for n in ("n1", "n2"))
+    return merkle.refreshed(old, _tree_node(s, d, "n2"), spec("orders"), r, merkle.mismatched(old, new))
+
+
 def _roots(s: SparkSession, d: str) -> DataFrame:
-    tops = [merkle.build(_leaves(s, d, n), 40).where("node_level = 6").select(F.struct(*merkle.LANES).alias(k)) for n, k in (("n1", "a"), ("n1", "b"), ("n2", "c"))]
-    one = [t.withColumn("k", F.lit(1)) for t in tops]
-    return one[0].join(one[1], "k").join(one[2], "k").select(F.col("a").eqNullSafe(F.col("b")).alias("same_as_itself"), F.col("a").eqNullSafe(F.col("c")).alias("same_as_other"))
+    r = _tree_ranges(s, d)
+    top = merkle.height(r.count())
+    a, b = (_tree(s, d, n, r).where(F.col("node_level") == top) for n in ("n1", "n2"))
+    other = b.select("node_position", F.struct(*merkle.HASH).alias("other"))
+    return a.join(other, "node_position").select(F.struct(*merkle.HASH).eqNullSafe(F.col("other")).alias("same_as_other"), "l0", "l1")
 
 
 @query("report_round_trip", diff_sql("orders"))
 def _report(s: SparkSession, d: str) -> DataFrame:
     """A diff that was written as a report and read again."""
-    import uuid
-
-    from .sources import reports
-    from .sources.shared import shared_dir
-
-    t, place = spec("orders"), f"{shared_dir(s)}/report-{uuid.uuid4().hex}"
+    t, place = spec("orders"), _place(s, "report")
     reports.write_report(diff.diff(cluster(s, d, "orders"), t), place)
     return diff.report(reports.read_report(s, place, t, table(s, d, "orders").schema), t)
+
+
+@query("repair_report", f"SELECT 'n2' AS node, CASE WHEN diff_type = 'missing_on_n1' THEN 'delete' ELSE 'upsert' END AS op, count(*) FILTER (NOT (o_orderkey % 5 = 0 OR o_orderkey % 41 = 0)) AS n_rows, count(*) FILTER (o_orderkey % 5 = 0 OR o_orderkey % 41 = 0) AS n_skipped FROM ({diff_sql('orders')}) GROUP BY ALL")
+def _repair_report(s: SparkSession, d: str) -> DataFrame:
+    """What a repair writes and what it leaves out as stale, as reports."""
+    return reports.write_repairs(_stale(s, d), spec("orders"), _place(s, "repairs"))
+
+
+@query("stale_skip_log", f"SELECT o_orderkey, CASE WHEN o_orderkey % 41 = 0 THEN 'unknown' ELSE 'newer' END AS reason FROM ({diff_sql('orders')}) WHERE o_orderkey % 5 = 0 OR o_orderkey % 41 = 0")
+def _skip_log(s: SparkSession, d: str) -> DataFrame:
+    place = _place(s, "skipped")
+    reports.write_skipped(_stale(s, d), spec("orders"), place)
+    return s.read.schema("o_orderkey long, reason string").json(place)

@@ -28,6 +28,29 @@ def write_report(diffs: DataFrame, place: str) -> bool:
     return True
 
 
+def write_rerun(before: DataFrame, after: DataFrame, table: Table, place: str) -> dict[str, int]:
+    """What of a diff still differs, as a report of its own; returns how many keys did and do."""
+    counts = {"before": before.count(), "after": after.count()}
+    if counts["after"]:
+        write_report(after, place)
+    return counts
+
+
+def write_repairs(repairs: DataFrame, table: Table, place: str) -> DataFrame:
+    """The writes of a repair as JSON lines, stale ones in a list of their own; returns how many rows each
+    node gets by operation, and how many were left out."""
+    stale = F.col("stale") if "stale" in repairs.columns else F.lit(None).cast("string")
+    marked = repairs.withColumn("stale", stale)
+    marked.where("stale IS NULL").drop("stale").write.mode("overwrite").json(f"{place}/repairs", ignoreNullFields=False)
+    write_skipped(marked, table, f"{place}/skipped")
+    return marked.groupBy("node", "op").agg(F.count_if(F.col("stale").isNull()).alias("n_rows"), F.count_if(F.col("stale").isNotNull()).alias("n_skipped"))
+
+
+def write_skipped(repairs: DataFrame, table: Table, place: str) -> None:
+    """The repairs that were left out as stale: node, key, op and the reason."""
+    repairs.where("stale IS NOT NULL").select("node", *table.key, "op", F.col("stale").alias("reason")).write.mode("overwrite").json(place, ignoreNullFields=False)
+
+
 def read_report(spark: SparkSession, place: str, table: Table, schema: StructType) -> DataFrame:
     """A report as a diff; ``schema`` is that of the table. Reports of another table are an error."""
     key = [schema[k] for k in table.key]

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one is made only where none is set (tests)."""
+    """The cluster's checkpoint folder. Where none is set, one is made on a single machine (tests); a cluster
+    must name it, as a folder of one machine is not seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-driftwell-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -98,7 +98,11 @@ def test_blocks_cover_all_keys(spark):
     by = {r.k: r.block_id for r in got.collect()}
     starts = sorted((r.range_start.k, r.block_id) for r in ranges.collect())
     assert all(by[k] == max([b for s, b in starts if s <= k], default=0) for k in by)
+    assert {r.k: r.block_id for r in blocks.assign(rows, ["k"], ranges, 0).collect()} == by
     assert blocks.sample_share(10**9) < blocks.sample_share(20_000) < blocks.sample_share(100) == 1
+    sampled = blocks.boundaries(spark.range(30_000).withColumnRenamed("id", "k"), ["k"], 10, sampled=True).collect()
+    assert len(sampled) == 10 and min(r.range_start.k for r in sampled) == 0
+    assert blocks.boundaries(sample.limit(0), ["k"], 3).count() == 0
     assert (blocks.n_blocks(0, 10), blocks.n_blocks(1, 10), blocks.n_blocks(11, 10)) == (0, 1, 2)
 
 
@@ -201,3 +205,87 @@ def test_merge_to_a_fixpoint(spark):
     got = merkle.merged(sized, 100).orderBy("block_id").collect()
     assert sum(r.n_rows for r in got) == 160 and len(got) < 8 and got[0].range_start == 0
     assert all(a.range_end == b.range_start for a, b in zip(got, got[1:], strict=False))
+
+
+def test_values_that_hashes_must_tell_apart(spark):
+    """Pruned diffs and trees see what plain diffs see, whatever the types."""
+    from datetime import date, datetime
+
+    schema = "id long, a double, b float, c decimal(20,4), d string, e binary, f array<double>, g timestamp, h date, i boolean"
+    nan, inf = float("nan"), float("inf")
+    base = (1.0, 1.5, Decimal("1.5000"), "x", bytearray(b"x"), [1.0], datetime(2020, 1, 1), date(2020, 1, 1), True)
+    pairs = [
+        (base, base), ((1.001, *base[1:]), (1.002, *base[1:])), ((1e17, *base[1:]), (1e17 + 16, *base[1:])), ((nan, *base[1:]), (nan, *base[1:])),
+        ((inf, *base[1:]), (-inf, *base[1:])), ((0.0, *base[1:]), (-0.0, *base[1:])), ((None, *base[1:]), (0.0, *base[1:])), ((1.0, 0.1, *base[2:]), (1.0, 0.2, *base[2:])),
+        ((*base[:3], "", *base[4:]), (*base[:3], None, *base[4:])), ((*base[:5], [1.0, None], *base[6:]), (*base[:5], [1.0], *base[6:])), ((*base[:4], bytearray(b"y"), *base[5:]), base),
+    ]
+    left, right = (spark.createDataFrame([(i, *p[k]) for i, p in enumerate(pairs)], schema) for k in (0, 1))
+    want = [1, 2, 4, 6, 7, 8, 9, 10]
+    assert sorted(r.id for r in diff.diff_pair(left, right, T).collect()) == want
+    assert sorted(r.id for r in diff.diff_pruned(left, right, T).collect()) == want
+    ranges = blocks.boundaries(left, ["id"], len(pairs))
+    trees = [merkle.build(merkle.leaves(x, T, ranges), len(pairs)) for x in (left, right)]
+    assert sorted(r.node_position for r in merkle.mismatched(*trees).collect()) == want
+
+
+def test_kept_trees(spark, tmp_path):
+    from driftwell.sources import trees
+
+    df = frame(spark, [(i, f"n{i}", None) for i in range(60)])
+    with pytest.raises(FileNotFoundError):
+        trees.open_tree(spark, f"file://{tmp_path}/none")
+    with pytest.raises(ValueError, match="0 rows"):
+        trees.build_trees({"a": df.limit(0)}, T, {"a": f"file://{tmp_path}/a"}, 10)
+    kept = trees.build_trees({"a": df, "b": df}, T, {n: f"file://{tmp_path}/{n}" for n in "ab"}, 10)
+    assert trees.compare(kept["a"], kept["b"]).count() == 0 and kept["a"].n_leaves == 6
+    # changes, one of them below the first key
+    new = df.where("id <> 31").unionByName(frame(spark, [(-5, "low", None)])).withColumn("name", F.expr("if(id = 7, 'x', name)"))
+    changes = spark.createDataFrame([("DELETE", 31), ("INSERT", -5), ("UPDATE", 7)], "op string, id long")
+    now = trees.update(kept["a"], new, T, changes)
+    assert now.leaves.agg(F.min("range_start.id")).first()[0] == -5
+    fresh = merkle.leaves(new, T, now.ranges)
+    key = lambda rows: sorted(tuple(r[c] for c in ("node_position", *merkle.HASH)) for r in rows.collect())
+    assert key(trees.open_tree(spark, f"file://{tmp_path}/a").leaves) == key(fresh)
+    assert sorted(r.block_id for r in trees.compare(now, kept["b"]).collect()) == [0, 3]
+    assert trees.update(now, new, T, changes.limit(0)) is now
+    emptied = trees.update(now, new.limit(0), T, spark.createDataFrame([("TRUNCATE", None)], "op string, id long"))
+    assert emptied.leaves.agg(F.sum("n_rows")).first()[0] == 0
+    healed, n = trees.heal(emptied, df, T, trees.compare(emptied, kept["b"]))
+    assert n == 6 and trees.compare(healed, kept["b"]).select("block_id").count() == 1  # its first range starts lower
+    assert key(healed.leaves) == key(kept["b"].leaves)
+    old = trees.Tree(spark, healed.place, healed.about | {"hash_version": 1})
+    assert key(trees.update(old, new, T, changes.limit(0)).leaves) == key(fresh)
+
+
+def test_merging_that_does_not_end_is_an_error(spark):
+    sized = spark.range(64).selectExpr("id AS block_id", "id AS range_start", "1L AS n_rows")
+    with pytest.raises(RuntimeError):
+        merkle.merged(sized, 1000, 2)
+
+
+def test_guards_and_skipped_repairs(spark, tmp_path):
+    from driftwell.sources import reports
+
+    left, right = canonical_case(spark)
+    found = pair(left, right)
+    assert repair.guarded(found, T, left) is found
+    with pytest.raises(ValueError, match="not one of table"):
+        repair.guarded(found, T, left.drop("amount"))
+    with pytest.raises(ValueError, match="recovery"):
+        repair.guarded(found, T, left, origin="2")
+    writes = repair.from_source(found, T, "n1").withColumn("stale", F.expr("if(id = 1, 'newer', null)"))
+    after = {r.id: r.name for r in repair.applied(right, writes, "n2", T).collect()}
+    assert after[1] == "changed" and after[2] == "n2"
+    told = {(r.node, r.op): (r.n_rows, r.n_skipped) for r in reports.write_repairs(writes, T, f"{tmp_path}/x").collect()}
+    assert told == {("n2", "upsert"): (3, 1), ("n2", "delete"): (2, 0)}
+    assert reports.write_rerun(found, found.limit(0), T, f"{tmp_path}/y") == {"before": 6, "after": 0}
+
+
+def test_plan_versions_and_priorities():
+    with pytest.raises(ValueError, match="version"):
+        rules.load('{"version": 9}')
+    with pytest.raises(ValueError, match="both sides"):
+        rules.load('{"priority": ["n1"]}')
+    with pytest.raises(ValueError):
+        rules.load("rules: [")
+    assert rules.load('{"priority": ["n2", "n1"], "freshest": {"by": "t"}}').priority == ("n2", "n1")
