@@ -1,19 +1,30 @@
 """Benchmark decontamination by templates (operator 6), in DataFrame functions only.
 
 Texts become two arrays of equal length: their words, and the same words with names, numbers and units
-replaced by typed placeholders. Windows of WINDOW template words are hashed and joined between documents
-and benchmark items, so a question with other names and numbers still matches. For each document and item
-that share windows, the aligned words tell how much of the item is covered, and the words in the
-placeholders whether one value of the item always became the same value of the document. Both are measured
-for each occurrence of the item in the document. A pair is reported if one occurrence covers at least
-COVERED percent of the item's words and, of the places where a slot value stands again, CONSISTENT percent
-keep its most frequent image; an item whose values stand once each is consistent. What else the document
-holds takes nothing from that. n_windows counts the windows of the whole pair.
+replaced by typed placeholders; a capitalised word is a name wherever it stands, so that a word has one
+template in every context. Windows of WINDOW words are hashed, as templates and as plain words, and joined
+between documents and benchmark items: a question with other names and numbers matches by its templates, a
+copy in other case by its words. Template windows with fewer than LITERALS words beside placeholders say
+too little and count as plain words only.
+
+For each document and item that share windows, the aligned words tell how much of the item is covered, and
+the words in the placeholders whether values were exchanged consistently: one value of the item always
+became the same value of the document, and one value of the document stands for one of the item. Both are
+measured for each occurrence of the item in the document. A pair is reported if one occurrence covers at
+least COVERED percent of the item's words and CONSISTENT percent of the places where a value stands again
+keep to its most frequent partner. In the second direction one place may differ, as two numbers may have
+become equal by chance. An item whose values stand once each is consistent. What else the document holds
+takes nothing from that. n_windows counts the windows of the whole pair.
+
+Items of fewer than WINDOW words are found where all their words stand in a row, as plain words; so every
+item that stands whole in a document is reported, whatever its length. Items without words match nothing;
+so do null and empty texts. Repeated rows give one pair. Null ids are ids like others. Extra columns are
+not read. Empty tables give an empty result. A text of any length is cut into windows in one row; only
+windows that the benchmark has leave it.
 
 The hashes of the benchmark are broadcast if they are at most BROADCAST_ROWS, which is counted; beyond
-that the join is a shuffle. Windows of the benchmark with fewer than LITERALS words beside placeholders are
-not used. Items of fewer than WINDOW words have no window and match nothing; so do null, empty and short
-texts. Repeated rows give one pair. Null ids are ids like others. Extra columns are not read.
+that the join is a shuffle. A pair of a document and an item is the unit of the result, so a window that
+many items share gives a row for each of them.
 """
 
 from __future__ import annotations
@@ -41,7 +52,7 @@ _BLANK = r"\x20\x09-\x0D"
 def templated(df: DataFrame, text: str) -> DataFrame:
     """``df`` with raw (words without punctuation, in lower case) and tpl (the same with placeholders)."""
     pure = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\ue001-\ue003]", "")
-    tpl = F.regexp_replace(F.col("_pure"), rf"(?<=[\p{{Ll}}\p{{N}},;][{_BLANK}])\p{{Lu}}\p{{Ll}}+", NAME)
+    tpl = F.regexp_replace(F.col("_pure"), r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
     tpl = F.regexp_replace(tpl, r"\p{N}(?:[.,:]?\p{N})*", NUMBER)
     tpl = F.regexp_replace(tpl, rf"(?<={NUMBER}[{_BLANK}]?)(?i:{'|'.join(sorted(set(UNITS), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT)
     bare = lambda x, keep: F.lower(F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}\p{{M}}{keep}{_BLANK}]+", ""))
@@ -50,13 +61,24 @@ def templated(df: DataFrame, text: str) -> DataFrame:
     return fenced(flat, raw=words(F.col("_raw")), tpl=words(F.col("_tpl"))).drop("_pure", "_raw", "_tpl")
 
 
-def windows(tpl: str) -> Column:
+def windows(words: str, width: int = WINDOW) -> Column:
     """The hashes of all windows, in order."""
-    last = F.size(tpl) - WINDOW
-    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(tpl, i + k) for k in range(WINDOW)]))
+    last = F.size(words) - width
+    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
     return F.when(last >= 0, each).otherwise(F.array().cast("array<long>"))
 
 
+def _both(tpl: Column, raw: Column) -> Column:
+    """The hashes of one window: two, or one where it has no placeholder."""
+    return F.explode(F.when(tpl == raw, F.array(raw)).otherwise(F.array(tpl, raw)))
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """The distinct hashes ``w`` as ``k``, sent to all tasks if they are few."""
+    hashes = keys.select(F.col("w").alias("k")).distinct()
+    return F.broadcast(hashes) if keys.count() <= BROADCAST_ROWS else hashes.hint("merge")
+
+
 def _slot(word: Column) -> Column:
     return word.rlike("[\ue001-\ue003]")
 
@@ -65,16 +87,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """The pairs (doc_id, item_id) that count, with n_windows, covered and consistent in percent."""
     items = templated(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).where("t IS NOT NULL"), "t").drop("t")
     items = written(items.withColumnRenamed("raw", "item_raw").withColumnRenamed("tpl", "item_tpl").distinct(), "items")
-    each = items.select("item_id", F.xxhash64("item_raw").alias("ih"), "item_tpl", F.posexplode(windows("item_tpl")).alias("at", "w"))
+    pairs = F.arrays_zip(windows("item_tpl").alias("wt"), windows("item_raw").alias("wr"))
+    each = items.select("item_id", F.xxhash64("item_raw").alias("ih"), "item_tpl", F.posexplode(pairs).alias("at", "w"))
     plain = F.size(F.filter(F.slice("item_tpl", F.col("at") + 1, F.lit(WINDOW)), lambda x: ~_slot(x)))
-    keys = written(each.where(plain >= LITERALS).select("item_id", "ih", "at", "w"), "item-windows")
-    hashes = keys.select(F.col("w").alias("k")).distinct()
-    if keys.count() <= BROADCAST_ROWS:
-        hashes = F.broadcast(hashes)
+    strong = F.when(plain >= LITERALS, F.col("w.wt")).otherwise(F.col("w.wr"))
+    keys = written(each.select("item_id", "ih", "at", strong.alias("wt"), F.col("w.wr").alias("wr")).select("item_id", "ih", "at", _both(F.col("wt"), F.col("wr")).alias("w")), "item-windows")
+    hashes = _few(keys)
 
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t IS NOT NULL")
-    made = templated(docs.withColumn("dh", F.xxhash64("t")), "t").drop("t", "raw")
-    rows = fenced(made, ws=windows("tpl")).select("doc_id", "dh", F.posexplode("ws").alias("pos", "w"))
+    worded = templated(docs.withColumn("dh", F.xxhash64("t")), "t").drop("t")
+    lengths = [r["n"] for r in items.select(F.size("item_raw").alias("n")).where(f"n > 0 AND n < {WINDOW}").distinct().collect()]  # at most WINDOW - 1
+    rows = fenced(worded, wt=windows("tpl"), wr=windows("raw")).select("doc_id", "dh", F.posexplode(F.arrays_zip("wt", "wr")).alias("pos", "w"))
+    rows = rows.select("doc_id", "dh", "pos", _both(F.col("w.wt"), F.col("w.wr")).alias("w"))
     hits = written(rows.join(hashes, F.col("w") == F.col("k"), "left_semi"), "hits")
     aligned = hits.join(keys, "w").groupBy("doc_id", "dh", "item_id", "ih").agg(F.collect_set(F.struct("pos", "at")).alias("hits"))
 
@@ -99,6 +123,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     ).select(*PAIR, "n_words", "n_windows", "n_diagonals", "pairs")
     each = made.select(*PAIR, "n_words", "n_windows", "n_diagonals", F.inline("pairs"))
     good = occurrences(each.distinct()).where((F.col("covered") >= COVERED) & (F.col("consistent") >= CONSISTENT))
+    good = good.select("doc_id", "item_id", "n_windows", "covered", "consistent")
+    for n in sorted(lengths):
+        short = items.where(F.size("item_raw") == n).select("item_id", F.get(windows("item_raw", n), 0).alias("w")).distinct()
+        own = fenced(worded, ws=windows("raw", n)).select("doc_id", "dh", F.posexplode("ws").alias("pos", "w")).join(_few(short), F.col("w") == F.col("k"), "left_semi")
+        found = own.distinct().join(short, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"))
+        good = good.unionByName(found.select("*", F.lit(100.0).cast("double").alias("covered"), F.lit(100.0).cast("double").alias("consistent")))
     best = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.struct("covered", "consistent")).alias("best"))
     return best.select("doc_id", "item_id", "n_windows", "best.covered", "best.consistent")
 
@@ -119,10 +149,15 @@ def occurrences(aligned: DataFrame) -> DataFrame:
     nearest = F.min(F.struct(F.abs(d - F.col("main")).alias("off"), "diagonal", "old", "new"))
     words = sized.withColumn("main", main).groupBy(*by, "at").agg(nearest.alias("w")).select(*by, "w.old", "w.new")
     images = words.groupBy(*by, "old", "new").agg(F.count("*").alias("n"))
-    values = images.groupBy(*by, "old").agg(F.sum("n").alias("n"), F.max("n").alias("same"))
-    of_slots = lambda n: F.sum(F.when(F.col("old").isNotNull(), F.col(n) - 1).otherwise(0))
-    whole = values.groupBy(*by).agg(F.sum("n").alias("n"), of_slots("n").alias("again"), of_slots("same").alias("held"))
-    return whole.select(*PAIR, "n_windows", (100 * F.col("n") / F.col("n_words")).alias("covered"), F.when(F.col("again") == 0, 100.0).otherwise(100 * F.col("held") / F.greatest("again", F.lit(1))).alias("consistent"))
+    # of each value on either side: how often it stands, and how often with its most frequent partner
+    side = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("old").alias("value")), F.struct(F.lit(1).alias("side"), F.col("new").alias("value"))))
+    values = images.select(*by, "n", F.col("old").isNotNull().alias("slot"), side).groupBy(*by, "slot", "side", "value").agg(F.sum("n").alias("n"), F.max("n").alias("same"))
+    of = lambda k, x: F.sum(F.when(F.col("slot") & (F.col("side") == k), x).otherwise(0))
+    lost = F.col("n") - F.col("same")
+    counted = values.groupBy(*by).agg(F.sum(F.when(F.col("side") == 0, F.col("n"))).alias("n"), (of(0, F.col("same") - 1) + of(1, F.col("same") - 1)).alias("held"), of(0, lost).alias("lost0"), of(1, lost).alias("lost1"))
+    whole = counted.withColumn("lost", F.col("lost0") + F.greatest(F.col("lost1") - 1, F.lit(0)))
+    consistent = F.when(F.col("lost") == 0, 100.0).otherwise(100 * F.col("held") / (F.col("held") + F.col("lost")))
+    return whole.select(*PAIR, "n_windows", (100 * F.col("n") / F.col("n_words")).alias("covered"), consistent.alias("consistent"))
 
 
 def filtered(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,8 @@
 import random
+from collections import Counter, defaultdict
+
+import pytest
+import regex
 
 from driftwell.llm import decontaminate
 
@@ -13,12 +17,11 @@ def test_leaks(spark):
     docs = {1: f"{w(30)} {q1} {w(9)}", 2: w(80), 3: f"{w(5)} {swapped}. {w(20)}", 4: mixed, 5: q1.upper(), 6: w(6), 7: "", 8: None, 9: q1.split(" ", 15)[-1] + " " + w(30), 10: q2}
     rows = [(i, t, 5) for i, t in docs.items()] + [(1, docs[1], 6), (None, q1, 7)]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string, pos int"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(got) == {(1, 1), (3, 2), (5, 1), (10, 2), (None, 1), (4, 2)} - ({(4, 2)} if (4, 2) not in got else set())
+    assert set(got) == {(1, 1), (3, 2), (5, 1), (10, 2), (None, 1)}
     assert got[1, 1].covered == 100 and got[1, 1].consistent == 100
     assert got[3, 2].consistent == 100 and got[3, 2].covered == 100
-    assert (4, 2) not in got or got[4, 2].consistent < 100
     kept = decontaminate.filtered(spark.createDataFrame(rows, "doc_id long, text string, pos int"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r.doc_id for r in kept.collect()} >= {2, 6, 7, 8, 9}
+    assert {r.doc_id for r in kept.collect()} == {2, 4, 6, 7, 8, 9}
 
 
 def test_empty_tables(spark):
@@ -44,3 +47,93 @@ def test_each_occurrence_counts_alone(spark):
     assert set(got) == {(1, 1), (2, 1), (4, 2), (5, 1), (6, 1)}
     assert all(got[k].covered == 100 and got[k].consistent == 100 for k in got if k != (6, 1))
     assert got[6, 1].covered > 80 and got[6, 1].consistent == 100
+
+
+def brute(doc, item):
+    """covered and consistent of each diagonal of an item in a document, from the definitions."""
+    def parts(t):
+        tpl = regex.sub(r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "\ue001", t)
+        tpl = regex.sub(r"\p{N}(?:[.,:]?\p{N})*", "\ue002", tpl)
+        units = "|".join(sorted(decontaminate.UNITS, key=len, reverse=True))
+        tpl = regex.sub(rf"(?<=\ue002[ \t\n\x0b\f\r]?)(?i:{units})(?![\p{{L}}\p{{N}}])", "\ue003", tpl)
+        bare = lambda x: regex.sub("[^\\p{L}\\p{N}\\p{M}\ue001-\ue003 \t\n\x0b\f\r]+", "", x).lower().split()
+        return bare(t), bare(tpl)
+
+    (dr, dt), (ir, it) = parts(doc), parts(item)
+    slot = lambda w: any(x in w for x in "\ue001\ue002\ue003")
+    if len(ir) < 8:
+        return [(100, 100)] if ir and any(dr[k : k + len(ir)] == ir for k in range(len(dr))) else []
+    hits = defaultdict(set)
+    for i in range(len(ir) - 7):
+        for d in range(len(dr) - 7):
+            if dr[d : d + 8] == ir[i : i + 8] or (dt[d : d + 8] == it[i : i + 8] and sum(not slot(w) for w in it[i : i + 8]) >= 4):
+                hits[d - i] |= set(range(i, i + 8))
+    out = []
+    for diagonal, at in hits.items():
+        pairs = [(ir[i], dr[i + diagonal]) for i in at if slot(it[i])]
+        lost, held = [0, 0], 0
+        for side in (0, 1):
+            images = defaultdict(Counter)
+            for p in pairs:
+                images[p[side]][p[1 - side]] += 1
+            lost[side] = sum(c.total() - max(c.values()) for c in images.values())
+            held += sum(max(c.values()) - 1 for c in images.values())
+        bad = lost[0] + max(0, lost[1] - 1)
+        out.append((100 * len(at) / len(ir), 100 if not bad else 100 * held / (held + bad)))
+    return out
+
+
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_equals_brute_force(spark, rows, monkeypatch):
+    """Items of all lengths, whole or as re-parameterised versions; with the hashes broadcast or not."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8)))
+    name, number, unit = lambda: word().capitalize(), lambda: str(rng.randint(1, 9999)), lambda: rng.choice(["km", "hours", "kg", "percent"])
+    def filled(form, same):
+        slots, out = {}, []
+        for f in form:
+            if isinstance(f, str):
+                out.append(f)
+            else:
+                kind, k = f
+                make = {"n": name, "x": number, "u": unit}[kind]
+                out.append(slots.setdefault(f, make()) if same else make())
+        return " ".join(out)
+
+    forms, items = [], []
+    for i in range(40):
+        n = i // 4 + 1 if i < 30 else rng.randint(12, 50)
+        share = 0.95 if i % 5 == 4 else 0.3
+        form = [rng.choice([("n", rng.randint(0, 2)), ("x", rng.randint(0, 2)), ("u", 0)]) if rng.random() < share else word() for _ in range(n)]
+        forms.append(form)
+        items.append((i, filled(form, True) + rng.choice(["", ".", "?"])))
+    docs = []
+    for k in range(120):
+        form = forms[k % 40]
+        own = items[k % 40][1] if k < 40 else filled(form, k % 3 > 0)
+        if k % 7 == 0:
+            own = own.upper() if k % 2 else own.lower()
+        filler = lambda: " ".join(rng.choice([word, word, word, name, number])() for _ in range(rng.randint(0, 25)))
+        docs.append((k, f"{filler()} {own} {filler()}"))
+    want = {(d, i) for d, t in docs for i, q in items if any(c >= 50 and s >= 50 for c, s in brute(t, q))}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(k, k) for k in range(40)} <= want
+    assert got >= want  # several diagonals may make up one occurrence, so there may be a few more
+    assert all(len(brute(docs[d][1], items[i][1])) > 1 for d, i in got - want)
+
+
+def test_values_that_become_one(spark):
+    q = "first Anna bought 3 pens and then Bob sold 5 cups while later Carla took 8 plates home to the old house by the river"
+    one = q.replace("Anna", "Eve").replace("Bob", "Eve").replace("Carla", "Eve").replace("3", "7").replace("5", "7").replace("8", "7")
+    chance = q.replace("Anna", "Eve").replace("Bob", "Tom").replace("Carla", "Kim").replace("3", "7").replace("5", "7").replace("8", "9")
+    docs = spark.createDataFrame([(1, one), (2, chance)], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.leaks(docs, spark.createDataFrame([(1, q)], "item_id long, text string")).collect()] == [2]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    w = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    q = w(40)
+    got = decontaminate.leaks(spark.createDataFrame([(1, f"{w(60_000)} {q} {w(60_000)}")], "doc_id long, text string"), spark.createDataFrame([(1, q)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.covered) for r in got] == [(1, 100)]
