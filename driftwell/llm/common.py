@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, one is made on a single machine
+    (tests); a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-driftwell-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,3 +53,25 @@ def fenced(df: DataFrame, **made: Column) -> DataFrame:
     """Add columns that are computed once for each row: a generator stands between them and what
     uses them, so that the optimizer does not repeat an expression at each place of use."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+
+
+#: Tasks that the rows of one key are dealt over.
+SALTS = 64
+
+
+def beside(df: DataFrame, side: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """``df`` joined to ``side``, which has one row for each key. The rows of one key, which may be a third
+    of all, are dealt over SALTS tasks by the columns ``by``: ``side`` has a copy for each salt that is
+    there, so at most one for each row."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    present = salted.groupBy(*key).agg(F.collect_set("_salt").alias("_salts"))
+    dealt = side.join(present.hint("merge"), key).select(*side.columns, F.explode("_salts").alias("_salt"))
+    return salted.join(dealt.hint("merge"), [*key, "_salt"]).drop("_salt")
+
+
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores in front until no column of the table is called so."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name

@@ -2,8 +2,8 @@
 
 Nodes are values of any type that can be ordered. Each round replaces every edge by one towards the
 smallest neighbour, of the larger neighbours and of the smaller ones in turn, until nothing changes; the
-number of rounds grows with the logarithm of the graph. Hubs are joined by key, so that Spark can split
-them; no neighbourhood is gathered in one place.
+number of rounds grows with the logarithm of the graph. The edges of a hub are dealt over many tasks; no
+neighbourhood is gathered in one place.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import beside, written
 
 MAX_ROUNDS = 60
 
@@ -22,11 +22,11 @@ def _towards_least(edges: DataFrame, larger: bool) -> DataFrame:
     if larger:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("a"), "m")
+        moved = beside(both.where("v > u"), least.withColumnRenamed("n", "u"), ["u"], ["v"]).select(F.col("v").alias("a"), "m")
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        moved = down.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("a"), "m").unionByName(least.select(F.col("n").alias("a"), "m"))
+        moved = beside(down, least.withColumnRenamed("n", "u"), ["u"], ["v"]).select(F.col("v").alias("a"), "m").unionByName(least.select(F.col("n").alias("a"), "m"))
     return moved.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
 
 

@@ -8,18 +8,28 @@ candidates.
 Exact copies (equal sets) are one class with one representative before anything is paired. Each
 representative is paired with the least of its buckets' least members only; the pairs are confirmed on the
 full sets, and links give components. Where a bucket still holds several components, its members are
-written as their differences from the first member of its largest component, which give the similarity
-of any two. All are compared with that member and with the one closest to it; those that are still outside
-its component are joined with the members of other components on the condition that they are similar
-enough, so this join emits links and nothing else. No link between different components
-is lost, and m similar documents cost m pairs, not m * m. With 32 bands of four entries, a pair
-at similarity 0.85 shares no band with a chance of 6e-11 (0.8: 5e-8).
+written as their differences D from one reference, the first member of its largest component, which give
+the similarity of any two. All are compared with that member and with the one closest to it. What is left
+are pairs of different components. Two sets that are similar enough differ in few shingles, so
+
+- if one of them is further from the reference than such a difference can be, both must share one of the
+  rarest shingles of their D (prefix filtering): as many as a similar set may lack, and one more. Only pairs
+  that share one are candidates, each once;
+- if both are closer than that, and not in the reference's component, they lie in a thin shell just below
+  the limit. They are compared with all close ones of the same reference, dealt over many tasks, in a join
+  that emits links only.
+
+No link between different components is lost, and m similar documents cost m pairs, not m * m; neither do
+m unlike documents of one bucket, whose rarest shingles are their own. With 32 bands of four entries, a
+pair at similarity 0.85 shares no band with a chance of 6e-11 (0.8: 5e-8). The rows of one bucket, class or
+hub are dealt over many tasks wherever they meet.
 
 A-Z are lowered; words are separated by blanks and ASCII controls. With fewer words than a shingle has,
 the whole sequence is the one shingle; null, empty and blank texts have no set and are linked with
-nothing. Rows of equal id are one node: they share the component, and all of them are kept or none. A null
-id is linked with nothing, has a null component and is kept. Extra columns are not read. An empty table
-gives an empty result.
+nothing. Rows of equal id are one node: in ``classes`` they share the component, and all of them are kept
+or none. A null id is linked with nothing, has a null component and is kept. ``filtered`` keeps one row of
+each group: of rows with the kept id the first by text, and of rows without an id one of each set. Extra
+columns are not read. An empty table gives an empty result. A very long text is one row of one task.
 """
 
 from __future__ import annotations
@@ -28,15 +38,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import beside, free_name, written
 from .components import components
 
 PERMUTATIONS, PER_BAND = 64, 2
 #: Shingles for which all permutations are evaluated at once; characters of texts that are hashed at once.
 BLOCK, TEXT_BLOCK = 8192, 1 << 20
+#: Rows of one key that a task compares with the minor ones of the key.
+PART_ROWS = 2000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,19 +195,20 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     """Confirmed links (a, b) that give the components of all pairs that share a bucket; ``members`` has
     key, id and n, once for each key and id."""
     # first, each member with one pivot: the least of all members that are the least of a bucket of its
-    firsts = members.groupBy("key").agg(F.min("id").alias("p")).join(members.select("key", F.col("id").alias("p"), F.col("n").alias("n_p")), ["key", "p"])
-    met = firsts.join(members, "key").where(f"id <> p AND 100 * least(n, n_p) >= {int(percent)} * greatest(n, n_p)")
-    pairs = written(met.groupBy(F.col("id").alias("b")).agg(F.min("p").alias("a")), "pairs")
+    firsts = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
+    met = beside(members, firsts, ["key"], ["id"]).where(f"id <> p.id AND 100 * least(n, p.n) >= {int(percent)} * greatest(n, p.n)")
+    pairs = written(met.groupBy(F.col("id").alias("b")).agg(F.min("p.id").alias("a")), "pairs")
     links = written(compared(pairs, documents, size, percent, doc_id, text), "links")
 
     # then what is left between components, as differences from the first member of the largest one of
     # each bucket; buckets of two that were compared are done
-    held = members.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    held = written(members.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c")), "held")
     open_ = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("i1"), F.max("id").alias("i2"), F.count("*").alias("m")).where("c1 < c2")
     two = open_.where("m = 2").join(pairs, (F.col("i1") == F.col("a")) & (F.col("i2") == F.col("b")), "left_anti")
-    left = written(held.join(open_.where("m > 2").select("key").unionByName(two.select("key")), "key", "left_semi"), "left")
-    largest = left.groupBy("key", "c").count().groupBy("key").agg(F.min(F.struct((-F.col("count")).alias("m"), "c")).alias("top")).select("key", F.col("top.c").alias("ref"))
-    placed = written(left.join(largest, "key").select("ref", "id").distinct(), "placed")
+    undone = open_.where("m > 2").select("key").unionByName(two.select("key"))
+    largest = held.groupBy("key", "c").count().groupBy("key").agg(F.min(F.struct((-F.col("count")).alias("m"), "c")).alias("top"))
+    refs = undone.join(largest, "key").select("key", F.col("top.c").alias("ref"))
+    placed = written(beside(held, refs, ["key"], ["id"]).select("ref", "id").distinct(), "placed")
     away = written(compared(placed.where("id <> ref").select(F.col("ref").alias("a"), F.col("id").alias("b")), documents, size, percent, doc_id, text, True), "differences")
     none = F.array().cast("array<long>")
     here = away.select("a", "x", F.col("a").alias("b"), "n_a", F.col("n_a").alias("n_b"), none.alias("lost"), none.alias("added")).dropDuplicates(["a", "x"])
@@ -213,14 +226,44 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     x, y = pivots.select("a", "x", "n_a", *side(1)), away.select(F.col("a").alias("ref"), F.col("x").alias("y"), *side(2))
     links = written(links.unionByName(pair(x.join(y, F.expr(f"a = ref AND x = y AND id_1 <> id_2 AND {near}"))).distinct()), "links")
 
-    # the rest between components; the join emits links and nothing else
+    # the rest between components
     joined = components(links, "a", "b").withColumnRenamed("component", "c")
     comp = placed.select(F.col("ref").alias("a"), F.col("id").alias("b")).join(joined.withColumnRenamed("node", "b"), "b", "left").join(joined.select(F.col("node").alias("a"), F.col("c").alias("top")), "a", "left")
-    sorted_out = written(comp.select("a", "b", F.coalesce("c", "b").alias("c"), (F.coalesce("c", "b") != F.coalesce("top", "a")).alias("minor")), "sorted")
-    held = known.join(sorted_out, ["a", "b"])
-    x, y = held.where("minor").select("a", "x", "n_a", *side(1), F.col("c").alias("c_1")), held.select(F.col("a").alias("ref"), F.col("x").alias("y"), *side(2), F.col("c").alias("c_2"))
-    rest = x.join(y, F.expr(f"a = ref AND x = y AND c_1 <> c_2 AND {near}"))
-    return written(links.unionByName(pair(rest).distinct()), "links")
+    sorted_out = comp.select("a", "b", F.coalesce("c", "b").alias("c"), (F.coalesce("c", "b") != F.coalesce("top", "a")).alias("minor"))
+    lack = F.floor(F.lit(100 - int(percent)) * F.col("n_b") / int(percent))  # the most by which a similar set may differ
+    which = {"v": F.xxhash64("lost", "added"), "lack": lack, "d": F.size("lost") + F.size("added")}  # v: which text of b
+    held = written(away.join(sorted_out, ["a", "b"]).withColumns(which), "left")
+    groups = held.groupBy("a", "x").agg(F.max("minor").alias("some")).where("some").select("a", "x")  # nothing is left elsewhere
+    held = held.join(groups.hint("merge"), ["a", "x"], "left_semi")
+    member = ["a", "x", "b", "v"]
+    ratio = f"c_1 <> c_2 AND 100 * least(n_1, n_2) >= {int(percent)} * greatest(n_1, n_2)"
+
+    # far ones: candidates share one of the rarest shingles that tell them from the reference
+    each = held.select(*member, "c", "minor", F.explode(F.concat("lost", "added")).alias("s"))
+    counted = each.groupBy("a", "x", "s").agg(F.count("*").alias("m"), (F.max("minor") & (F.min("c") < F.max("c"))).alias("open"))
+    told = beside(each, counted.where("m > 1"), ["a", "x", "s"], ["b"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("m", "s", "open"))).alias("ss"))
+    # a shingle of one set alone is rarest and joins nothing: such ones only take their places
+    room = F.greatest(F.col("lack") + 1 - (F.col("d") - F.size("ss")), F.lit(0)).cast("int")
+    prefix = held.select(*member, "c", "minor", "n_b", "lack", "d").join(told, member).select(*member, "c", "minor", "n_b", F.inline(F.filter(F.slice("ss", F.lit(1), room), lambda e: e["open"]))).drop("m", "open")
+    one, two = _sides(prefix, ["a", "x", "s"], ["c", "n_b", "v"])
+    found = one.join(two, ["a", "x", "s", "part"]).where(ratio).select("a", "x", "b_1", "v_1", "b_2", "v_2").distinct()
+    arrays = lambda k: held.select("a", "x", F.col("b").alias(f"b_{k}"), F.col("v").alias(f"v_{k}"), *([F.col("n_a")] if k == 1 else []), *side(k))
+    far = found.join(arrays(1), ["a", "x", "b_1", "v_1"]).join(arrays(2), ["a", "x", "b_2", "v_2"]).where(near)
+
+    # close ones: in the shell below the limit, with all that are close
+    one, two = _sides(held.where("d <= lack").withColumnRenamed("n_b", "n"), ["a", "x"], ["c", "n_a", "n", "lost", "added"])
+    shell = one.join(two, ["a", "x", "part"]).withColumnsRenamed({"b_1": "id_1", "b_2": "id_2"}).where(f"{ratio} AND {near.replace('n_a', 'n_a_1')}")
+    return written(links.unionByName(pair(far).unionByName(pair(shell)).distinct()), "links")
+
+
+def _sides(rows: DataFrame, key: list[str], carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of each key the minor ones, and all, to be joined on the key and ``part``: a key of many
+    rows is cut into parts of about PART_ROWS, and the minor ones go to each of them."""
+    some = rows.groupBy(*key).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"), F.max("minor").alias("some")).where("some").drop("some")
+    dealt = beside(rows, some, key, ["b"])
+    named = lambda k: [F.col("b").alias(f"b_{k}"), *[F.col(c).alias(f"{c.removesuffix('_b')}_{k}") for c in carried]]
+    one = dealt.where("minor").select(*key, *named(1), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return one, dealt.select(*key, *named(2), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
 
 
 def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
@@ -230,21 +273,33 @@ def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id
     copies = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = known.join(copies.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi")
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n")
-    shared = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("k")
-    members = written(rows.join(shared, F.col("key") == F.col("k")).select("key", "id", "n").distinct(), "buckets")
+    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key")
+    members = written(beside(rows, shared, ["key"], ["id"]).select("key", "id", "n").distinct(), "buckets")
     final = components(linked(members, documents, size, percent, doc_id, text), "a", "b")
 
     # a class goes where its representative goes; equal ids with different sets hang together too
-    of_class = known.join(copies.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("n").alias("xn"), "rep"), (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")) & (F.col("n") == F.col("xn")))
+    of_class = beside(known.drop("bands"), copies, ["h1", "h2", "n"], ["doc_id"])
     found = of_class.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = drawn.where("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def filtered(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with its own columns."""
-    kept = classes(documents, size, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct().hint("merge")
-    return documents.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One document of each group, with its own columns: also of rows that repeat an id or have none."""
+    row, one, mine = (free_name(documents.columns, n) for n in ("_row", "_one", "_mine"))
+    kept = classes(documents, size, percent, doc_id, text).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(mine)).distinct().hint("merge")
+    known = documents.where(F.col(doc_id).isNotNull())
+    chosen = known.join(kept, F.col(doc_id) == F.col(mine), "left_semi")
+    by = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())
+    first = chosen.withColumn(row, F.row_number().over(by)).where(F.col(row) == 1).drop(row)
+    # without an id: one of each set, and none where a row with an id has the set
+    nameless = documents.where(F.col(doc_id).isNull()).withColumn(row, F.xxhash64(text))
+    sets = sketches(nameless, size, row, text, PER_BAND).select(F.col("doc_id").alias(one), "n", "h1", "h2").distinct()
+    with_id = sketches(known, size, doc_id, text, PER_BAND).where("n > 0").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn")).distinct().hint("merge")
+    alone = sets.join(with_id, F.expr("h1 = k1 AND h2 = k2 AND n = kn"), "left_anti")
+    best = alone.groupBy("h1", "h2", "n").agg(F.min(one).alias(one)).select(one).hint("merge")
+    own = nameless.join(best, F.col(row).eqNullSafe(F.col(one)), "left_semi").dropDuplicates([row]).drop(row)
+    return first.unionByName(own)
 
 
 #: ``classes`` with three words and 85 percent in DuckDB SQL over ``documents``.
