@@ -14,19 +14,27 @@ from pyspark.sql import functions as F
 from .common import beside, written
 
 MAX_ROUNDS = 60
+#: Edges from which on those of one node are dealt over many tasks; fewer fit one task whatever the hubs.
+HUB_EDGES = 1_000_000
 
 
-def _towards_least(edges: DataFrame, larger: bool) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    if many:
+        return beside(edges, least.withColumnRenamed("n", "u"), ["u"], ["v"])
+    return edges.join(least, F.col("u") == F.col("n"))
+
+
+def _towards_least(edges: DataFrame, larger: bool, many: bool) -> DataFrame:
     """Large star: both directions; each larger neighbour of a node goes to the node's least one.
     Small star: each smaller neighbour, and the node itself, goes to the node's least one."""
     if larger:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = beside(both.where("v > u"), least.withColumnRenamed("n", "u"), ["u"], ["v"]).select(F.col("v").alias("a"), "m")
+        moved = _with_least(both.where("v > u"), least, many).select(F.col("v").alias("a"), "m")
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        moved = beside(down, least.withColumnRenamed("n", "u"), ["u"], ["v"]).select(F.col("v").alias("a"), "m").unionByName(least.select(F.col("n").alias("a"), "m"))
+        moved = _with_least(down, least, many).select(F.col("v").alias("a"), "m").unionByName(least.select(F.col("n").alias("a"), "m"))
     return moved.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -34,9 +42,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): the least node that each node of an edge reaches. Edges of a node to itself
     are ignored. No edges give no rows."""
     now = written(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    seen, many = None, now.count() > HUB_EDGES
     for _ in range(MAX_ROUNDS):
-        now = written(_towards_least(_towards_least(now, True), False), "edges")
+        now = written(_towards_least(_towards_least(now, True, many), False, many), "edges")
         # stars alone remain when a round leaves the same edges: compare number and summed hashes
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

@@ -162,12 +162,12 @@ def sketches(documents: DataFrame, size: int, doc_id: str = "doc_id", text: str
 def compared(pairs: DataFrame, documents: DataFrame, size: int, percent: int, doc_id: str, text: str, differences: bool = False) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; or, with ``differences``, all pairs as a, x
     (which text of a), b, n_a, n_b, lost (what a has and b has not) and added. Texts travel once to each
-    pair; a node of many pairs is a key of many rows in a plain join, which Spark splits."""
+    pair; the pairs of one node are dealt over many tasks."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # grows with the input: never broadcast
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     texts = docs.join(ids.hint("merge"), "id", "left_semi").withColumn("x", F.xxhash64("text")).dropDuplicates(["id", "x"])
     one = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("id").alias("a"), "x", F.col("text").alias("text_a")), "a").select("a", "x", "b", "text_a", "text_b")
+    both = beside(one, texts.select(F.col("id").alias("a"), "x", F.col("text").alias("text_a")), ["a"], ["b"]).select("a", "x", "b", "text_a", "text_b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (p for frame in frames for p in blocks_of(frame, ["text_a", "text_b"])):
@@ -229,24 +229,27 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     # the rest between components
     joined = components(links, "a", "b").withColumnRenamed("component", "c")
     comp = placed.select(F.col("ref").alias("a"), F.col("id").alias("b")).join(joined.withColumnRenamed("node", "b"), "b", "left").join(joined.select(F.col("node").alias("a"), F.col("c").alias("top")), "a", "left")
-    sorted_out = comp.select("a", "b", F.coalesce("c", "b").alias("c"), (F.coalesce("c", "b") != F.coalesce("top", "a")).alias("minor"))
+    sorted_out = written(comp.select("a", "b", F.coalesce("c", "b").alias("c"), (F.coalesce("c", "b") != F.coalesce("top", "a")).alias("minor")), "sorted")
     lack = F.floor(F.lit(100 - int(percent)) * F.col("n_b") / int(percent))  # the most by which a similar set may differ
+    if sorted_out.where("minor").isEmpty():
+        return links
     which = {"v": F.xxhash64("lost", "added"), "lack": lack, "d": F.size("lost") + F.size("added")}  # v: which text of b
-    held = written(away.join(sorted_out, ["a", "b"]).withColumns(which), "left")
-    groups = held.groupBy("a", "x").agg(F.max("minor").alias("some")).where("some").select("a", "x")  # nothing is left elsewhere
-    held = held.join(groups.hint("merge"), ["a", "x"], "left_semi")
+    groups = sorted_out.where("minor").select(F.col("a").alias("g")).distinct().hint("merge")  # nothing is left elsewhere
+    undone = sorted_out.join(groups, F.col("a") == F.col("g"), "left_semi")
+    held = written(away.join(undone, ["a", "b"]).withColumns(which), "left")
     member = ["a", "x", "b", "v"]
     ratio = f"c_1 <> c_2 AND 100 * least(n_1, n_2) >= {int(percent)} * greatest(n_1, n_2)"
 
     # far ones: candidates share one of the rarest shingles that tell them from the reference
     each = held.select(*member, "c", "minor", F.explode(F.concat("lost", "added")).alias("s"))
     counted = each.groupBy("a", "x", "s").agg(F.count("*").alias("m"), (F.max("minor") & (F.min("c") < F.max("c"))).alias("open"))
-    told = beside(each, counted.where("m > 1"), ["a", "x", "s"], ["b"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("m", "s", "open"))).alias("ss"))
+    told = beside(each, written(counted.where("m > 1"), "shared"), ["a", "x", "s"], ["b"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("m", "s", "open"))).alias("ss"))
     # a shingle of one set alone is rarest and joins nothing: such ones only take their places
     room = F.greatest(F.col("lack") + 1 - (F.col("d") - F.size("ss")), F.lit(0)).cast("int")
     prefix = held.select(*member, "c", "minor", "n_b", "lack", "d").join(told, member).select(*member, "c", "minor", "n_b", F.inline(F.filter(F.slice("ss", F.lit(1), room), lambda e: e["open"]))).drop("m", "open")
+    prefix = written(prefix, "prefix")
     one, two = _sides(prefix, ["a", "x", "s"], ["c", "n_b", "v"])
-    found = one.join(two, ["a", "x", "s", "part"]).where(ratio).select("a", "x", "b_1", "v_1", "b_2", "v_2").distinct()
+    found = written(one.join(two, ["a", "x", "s", "part"]).where(ratio).select("a", "x", "b_1", "v_1", "b_2", "v_2").distinct(), "candidates")
     arrays = lambda k: held.select("a", "x", F.col("b").alias(f"b_{k}"), F.col("v").alias(f"v_{k}"), *([F.col("n_a")] if k == 1 else []), *side(k))
     far = found.join(arrays(1), ["a", "x", "b_1", "v_1"]).join(arrays(2), ["a", "x", "b_2", "v_2"]).where(near)
 

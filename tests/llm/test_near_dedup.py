@@ -49,7 +49,9 @@ def test_null_ids_and_empty_table(spark):
     assert near_dedup.classes(df.limit(0), 3, 85).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("edges_of_a_task", [10**6, 3])
+def test_components_of_paths_and_stars(spark, edges_of_a_task, monkeypatch):
+    monkeypatch.setattr("driftwell.llm.components.HUB_EDGES", edges_of_a_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 299)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), "u", "v").collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}, 299: 299, 300: 299}
