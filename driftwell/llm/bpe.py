@@ -7,7 +7,8 @@ grown until it shares a token (same start, end and id) with the left part and on
 part. A BPE sequence is right if each pair of neighbours is, and every pair of the joined sequence
 then stands in the left part, the window or the right part, so the result equals encoding the whole.
 
-Null texts count as empty. Rows with equal id and text give as many equal rows. Extra columns of the
+The ids of one text are one value, so its last joins are one task's. Null texts count as empty, and null ids
+are ids like others. An empty table gives an empty result. Rows with equal id and text give as many equal rows. Extra columns of the
 input are not read, so their names cannot clash.
 """
 
@@ -176,8 +177,8 @@ def encode(
     short = docs.where(n <= leaf_chars).mapInPandas(whole, f"doc_id {id_type}, {out}")
     leaves = (
         docs.where(n > leaf_chars)
-        .select("doc_id", F.xxhash64("text").alias("h"), n.alias("n"), "text", F.explode(F.sequence(F.lit(0), F.ceil(n / leaf_chars).cast("int") - 1)).alias("leaf"))
-        .withColumn("text", F.expr(f"substring(text, leaf * {int(leaf_chars)} + 1, {int(leaf_chars)})"))
+        .select("doc_id", F.xxhash64("text").alias("h"), n.alias("n"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{int(leaf_chars)}}}"), F.lit(0))).alias("leaf", "text"))
+        .select("doc_id", "h", "n", "text", "leaf")
         .repartition("doc_id", "h", "leaf")
         .mapInPandas(each_leaf, f"doc_id {id_type}, h long, n int, text string, leaf int, ids binary, spans binary")
     )

@@ -9,11 +9,14 @@ rows (key, turn, role, text), which are gathered by key, ordered by turn and wri
     TEXT<|im_end|>
 
 Control strings inside roles and texts are escaped with a backslash and come back on reading. The loss
-mask is a flag on each segment of the text; it is set on the texts of assistants and nothing else.
+mask is a list of spans of the formatted text (code points, end exclusive), those of the texts of
+assistants and nothing else; what is learned is read from the formatted text through it.
 
 Null roles and texts count as empty; null turns come first; equal turns are ordered by role and text.
-Records of an unknown layout are kept in ``unknown``, not dropped silently. Rows are gathered by
-conversation, as the text of a conversation is one value. No records give no conversations.
+Equal rows are turns of their own. Records of an unknown layout get a null layout and can be had from
+``unknown``. Rows are gathered by conversation, as the text of a conversation is one value; one with a null
+id is a conversation, too. A very long text is one value of one row. Extra columns are not read. No records
+give no conversations.
 """
 
 from __future__ import annotations
@@ -89,6 +92,11 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
     return rows.select("conv_id", "turn", known.alias("role"), "text", "layout")
 
 
+def unknown(rows: DataFrame) -> DataFrame:
+    """The records of ``canonical`` that no layout fits, as they came."""
+    return rows.where("layout IS NULL").select("conv_id", F.col("text").alias("record"))
+
+
 #: A backslash and what must not stand bare get two characters each. Read in reverse order.
 _ESCAPES = (("\\", "\\b"), ("<|", "\\p"), ("\n", "\\n"))
 
@@ -106,26 +114,25 @@ def unescape(text: Column, last: int) -> Column:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """One row for each conversation: conv_id, formatted, and segments (text, loss), which make up
-    ``formatted`` in order."""
+    """One row for each conversation: conv_id, formatted, and mask (start, end), the spans to learn."""
     t = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     gathered = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    segments = F.flatten(
-        F.transform(
-            "t",
-            lambda x: F.array(
-                segment(F.concat(F.lit(START), escape(x["role"], 3), F.lit("\n")), F.lit(False)),
-                segment(escape(x["text"], 2), x["role"] == "assistant"),
-                segment(F.lit(END + "\n"), F.lit(False)),
-            ),
-        )
-    )
-    return gathered.select("conv_id", segments.alias("segments")).select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
+    piece = lambda x: F.struct(F.concat(F.lit(START), escape(x["role"], 3), F.lit("\n")).alias("head"), escape(x["text"], 2).alias("body"), (x["role"] == "assistant").alias("loss"))
+    pieces = gathered.select("conv_id", F.transform("t", piece).alias("p"))
+    size = lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(END) + 1).cast("long")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + F.length(p["head"])
+        span = F.array(F.struct(start.alias("start"), (start + F.length(p["body"])).alias("end")))
+        return F.struct((acc["at"] + size(p)).alias("at"), F.when(p["loss"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    whole = F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "")
+    return pieces.select("conv_id", whole.alias("formatted"), F.aggregate("p", zero, step, lambda acc: acc["out"]).alias("mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) read from ``formatted``, and learned: the texts under the mask."""
+    """conv_id, turns (role, text) and learned, the texts under the mask: both read from ``formatted``."""
     parts = F.split("formatted", r"<\|im_start\|>", -1)
     pieces = F.slice(parts, F.lit(2), F.size(parts))
 
@@ -134,7 +141,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         body = F.substr(p, at + 1, F.length(p) - at - len(END) - 1)
         return F.struct(unescape(F.substring_index(p, "\n", 1), 3).alias("role"), unescape(body, 2).alias("text"))
 
-    learned = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], 2))
+    learned = F.transform("mask", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]), 2))
     return formatted.withColumn("pieces", pieces).select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), F.array_join(learned, "").alias("learned"))
 
 

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fenced, written
+from .common import SPACE, fenced, free_name, written
 
 WINDOW, LITERALS = 8, 4
 COVERED, CONSISTENT = 50, 50
@@ -162,5 +162,6 @@ def occurrences(aligned: DataFrame) -> DataFrame:
 
 def filtered(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a leak, with their own columns."""
-    bad = leaks(documents, benchmark, doc_id, text).select(F.col("doc_id").alias("_leak_id")).distinct().hint("merge")
-    return documents.join(bad, F.col(doc_id).eqNullSafe(F.col("_leak_id")), "left_anti")
+    mine = free_name(documents.columns, "_mine")
+    bad = leaks(documents, benchmark, doc_id, text).select(F.col("doc_id").alias(mine)).distinct().hint("merge")
+    return documents.join(bad, F.col(doc_id).eqNullSafe(F.col(mine)), "left_anti")

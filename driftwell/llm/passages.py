@@ -2,16 +2,18 @@
 
 Two kinds of paragraph are compared, both of words with A-Z lowered:
 
-- lines of at least MIN_WORDS words. Their shingles are sketched and banded (24 permutations with minimum
-  and maximum give 12 bands of four entries: two lines at similarity 0.8 share none with a chance of
-  0.2 percent), colliding lines are joined and confirmed by their exact Jaccard similarity, and the links
+- lines of at least MIN_WORDS words. Their shingles are sketched and banded (40 permutations with minimum
+  and maximum give 20 bands of four entries: two lines at similarity 0.8 share none with a chance of
+  3e-5), colliding lines are joined and confirmed by their exact Jaccard similarity, and the links
   give components;
 - pieces of PIECE words that start where the text itself says so: at the least hash of each SPREAD
   successive three-word grams. Every passage of at least PIECE + SPREAD + 2 = 51 words holds such a piece
-  whole, wherever it stands and whatever surrounds it. Pieces must be equal (96 bits of hash).
+  whole, wherever it stands and whatever surrounds it. Pieces must be equal (95 bits of hash).
 
-A component counts if it holds paragraphs of different documents. Its first paragraph, by document and
-position, stays; all others are removals. The spans of a document, in words, are merged where they overlap.
+A component counts if it holds paragraphs of different documents. Its first paragraph, by document, text
+and position, stays; all others are removals, also in the first document itself, unless they overlap the
+first one. Spans of pieces end with the last piece, so up to SPREAD - 1 words at either edge of a passage
+inside other text may stay. The spans of a document, in words, are merged where they overlap.
 
 Null, empty and short texts have no paragraphs. Rows with a null id take part in nothing. Repeated rows of
 one id are one document. Extra columns are not read. An empty table gives an empty result.
@@ -27,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az, words_of, written
+from .common import beside, free_name, lower_az, words_of, written
 from .near_dedup import blocks_of, classes, mixed, word_hashes
 
 MIN_WORDS, PIECE, SPREAD, GRAM = 50, 28, 21, 3
-SHINGLE, PERCENT, PERMUTATIONS = 5, 80, 24
+SHINGLE, PERCENT, PERMUTATIONS = 5, 80, 40
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,21 +109,24 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     known = written(marked(documents, doc_id, text), "pieces")
 
     each = known.select("doc_id", "h", F.inline(F.arrays_zip("start", "u", "c")))
-    shared = each.groupBy("u", "c").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select(F.col("u").alias("su"), F.col("c").alias("sc"), F.col("d1").alias("first_doc_id"))
-    found = each.join(shared, (F.col("u") == F.col("su")) & (F.col("c") == F.col("sc"))).select("doc_id", "h", F.col("start").alias("s"), (F.col("start") + PIECE).alias("e"), "first_doc_id")
+    shared = each.groupBy("u", "c").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.max("doc_id").alias("d2")).where("first.doc_id < d2").drop("d2")
+    met = beside(each, shared, ["u", "c"], ["doc_id", "start"])
+    stays = F.expr(f"doc_id = first.doc_id AND h = first.h AND abs(start - first.start) < {PIECE}")
+    found = met.select("doc_id", "h", F.col("start").alias("s"), (F.col("start") + PIECE).alias("e"), F.col("first.doc_id").alias("first_doc_id"), (~stays).alias("removed"))
 
     long = written(lines(documents, doc_id, text), "long-lines")
     grouped = classes(long.select("id", "text"), SHINGLE, PERCENT, "id", "text", PERMUTATIONS)
     of = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "component_id").distinct()
     placed = written(long.select("doc_id", "h", "line", "id").join(of, "id", "left").withColumn("group", F.coalesce("component_id", "id")).drop("component_id", "id"), "lines")
-    several = placed.groupBy("group").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select(F.col("group").alias("g"), F.col("d1").alias("first_doc_id"))
-    whole = placed.join(several, F.col("group") == F.col("g")).select("doc_id", "h", "line", "first_doc_id")
+    several = placed.groupBy("group").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.max("doc_id").alias("d2")).where("first.doc_id < d2").drop("d2")
+    whole = beside(placed, several, ["group"], ["doc_id", "line"]).select("doc_id", "h", "line", "first")
     where = known.select(F.col("doc_id").alias("d"), F.col("h").alias("x"), "line_start").dropDuplicates(["d", "x"])
     spans = whole.join(where, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("x"))).select(
-        "doc_id", "h", F.get("line_start", F.col("line")).alias("s"), F.get("line_start", F.col("line") + 1).alias("e"), "first_doc_id"
-    )
+        "doc_id", "h", F.get("line_start", F.col("line")).alias("s"), F.get("line_start", F.col("line") + 1).alias("e"), F.col("first.doc_id").alias("first_doc_id"),
+        F.expr("NOT (doc_id = first.doc_id AND h = first.h AND line = first.line)").alias("removed"),
+    )
 
-    every = found.unionByName(spans).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
+    every = found.unionByName(spans)
     by = Window.partitionBy("doc_id", "h", "removed").orderBy("s", "e")
     fresh = F.coalesce(F.col("s") > F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     runs = every.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
@@ -130,8 +135,9 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def cleaned(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents, with the removals cut out of their texts; white space around them stays."""
-    found = repeats(documents, doc_id, text).where("removed").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_cut"))
-    joined = documents.join(found, (F.col(doc_id) == F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
+    d, h, spans = (free_name(documents.columns, n) for n in ("_d", "_h", "_cut"))
+    found = repeats(documents, doc_id, text).where("removed").groupBy(F.col("doc_id").alias(d), F.col("h").alias(h)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(spans))
+    joined = documents.join(found, (F.col(doc_id) == F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -145,4 +151,4 @@ def cleaned(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_cut")))).drop("_d", "_h", "_cut")
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(cut(F.col(text), F.col(spans)))).drop(d, h, spans)

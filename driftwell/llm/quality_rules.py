@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fenced, words_of, written
+from .common import fenced, free_name, words_of, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -86,10 +86,10 @@ def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host
 def filtered(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The documents that are kept, with their own columns. Rows are matched by id and, as ids may
     repeat, by the text's hash; null ids count as equal."""
-    key = "_rules_key"
+    key, mine = free_name(documents.columns, "_key"), free_name(documents.columns, "_mine")
     keyed = documents.withColumn(key, F.struct(F.col(doc_id), F.xxhash64(F.col(text)), F.col(host)))
-    good = judge(keyed, key, text, host).where("kept").select(F.col("doc_id").alias("_kept_key")).distinct().hint("merge")
-    return keyed.join(good, F.col(key).eqNullSafe(F.col("_kept_key")), "left_semi").drop(key)
+    good = judge(keyed, key, text, host).where("kept").select(F.col("doc_id").alias(mine)).distinct().hint("merge")
+    return keyed.join(good, F.col(key).eqNullSafe(F.col(mine)), "left_semi").drop(key)
 
 
 #: The same as ``judge`` in DuckDB SQL over ``documents``.

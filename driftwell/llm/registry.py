@@ -82,7 +82,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = json.dumps({"conv_id": -1, "messages": [{"role": "user", "content": says}, {"role": "assistant", "content": says}]})
     rows = table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
     records = rows.unionByName(spark.range(1).select(F.lit(own).alias("record")))
-    return chat.digests(chat.format_turns(chat.canonical(records).where("layout is not null")))
+    return chat.digests(chat.format_turns(chat.canonical(records).where("layout IS NOT NULL")))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

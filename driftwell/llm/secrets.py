@@ -8,7 +8,9 @@ span lies in a base span is left out, and the rest of it stays. Both models are
 table of log ratios (one number for each pair of characters) is a constant of the plan.
 
 Positions count code points. Null texts count as empty; a text without findings gives a row with zeros
-and an empty list. Equal rows give equal rows. Extra columns are not read.
+and an empty list. Of kinds that start at one place, the one listed first comes first. Equal rows give
+equal rows, null ids are ids like others, and an empty table gives an empty result. A text of any length is
+searched in one row. Extra columns are not read, and ``redacted`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fenced, written
+from .common import fenced, free_name, written
 
 #: The base patterns by kind (fixed values), in the order in which kinds are listed.
 PATTERNS = {
@@ -183,10 +185,10 @@ def digests(scanned: DataFrame) -> DataFrame:
 def redacted(documents: DataFrame, model: list[float], doc_id: str = "doc_id", text: str = "text", mark: str = "<secret>") -> DataFrame:
     """All documents, with ``mark`` in the place of each finding in their texts. Overlapping findings
     are replaced together."""
-    key = "_secret_key"
+    key, other, spans = (free_name(documents.columns, n) for n in ("_key", "_other", "_found"))
     keyed = documents.withColumn(key, F.struct(F.col(doc_id), F.xxhash64(F.col(text))))
-    found = scan(keyed, model, key, text).where(F.size("found") > 0).select(F.col("doc_id").alias("_found_key"), "found").dropDuplicates(["_found_key"]).hint("merge")
-    joined = keyed.join(found, F.col(key).eqNullSafe(F.col("_found_key")), "left")
+    found = scan(keyed, model, key, text).where(F.size("found") > 0).select(F.col("doc_id").alias(other), F.col("found").alias(spans)).dropDuplicates([other]).hint("merge")
+    joined = keyed.join(found, F.col(key).eqNullSafe(F.col(other)), "left")
     # pieces between findings, each starting where all earlier findings have ended
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -195,5 +197,5 @@ def redacted(documents: DataFrame, model: list[float], doc_id: str = "doc_id", t
         piece = F.array(F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate(F.col("found"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text), acc["at"] + 1)))
-    return joined.withColumn(text, F.when(F.col("found").isNull(), F.col(text)).otherwise(whole)).drop(key, "_found_key", "found")
+    whole = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text), acc["at"] + 1)))
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(whole)).drop(key, other, spans)

@@ -3,7 +3,7 @@
 A word's vector is the mean of the embeddings of its hash and of the hashes of its first letters. Filters
 over one, two and three neighbouring words give values at each position; the largest of each filter over
 the whole text goes into a logistic layer. It is trained with Adam on at most MAX_TRAIN labelled texts of
-each class, of at most MAX_TRAIN_WORDS words, whose held-out flag is false and whose hash is of the first
+each class, of at most MAX_TRAIN_CHARS characters and MAX_TRAIN_WORDS words, whose held-out flag is false and whose hash is of the first
 fold; hashes seen in fewer than MIN_TEXTS of these count as unknown. The texts of the other fold calibrate
 the scores (two numbers) and give each language the threshold with the best F1 among its own rows. A score
 never depends on the language; only the verdict ``toxic`` does.
@@ -30,6 +30,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 SLOTS = sum(WIDTHS)
 PREFIXES = (3, 4, 5, 6)
 MAX_TRAIN, MAX_TRAIN_WORDS, MIN_TEXTS = 3000, 2000, 4
+#: Longer texts are not looked at for training; the words of those left are counted.
+MAX_TRAIN_CHARS = 12 * MAX_TRAIN_WORDS
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-4
 #: Smoothing of the first log-odds, share of words left out, and what slows the embeddings' first steps.
 PRIOR, DROPPED, SLOW = 40.0, 0.5, 1e-3
@@ -243,8 +245,8 @@ def fit(docs: DataFrame, marks: DataFrame) -> Net | None:
     sample = []
     for y in (0, 1):
         drawn = marks.where((_fold() == 0) & (F.col("y") == y)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-        texts = docs.where(F.length("text") <= 12 * MAX_TRAIN_WORDS).join(F.broadcast(drawn), "doc_id", "left_semi")  # at most MAX_TRAIN ids
-        rows = texts.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text").collect()
+        texts = docs.where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(drawn), "doc_id", "left_semi")  # at most MAX_TRAIN ids
+        rows = texts.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").select("text").collect()  # of a repeated id the first text
         sample += [(t, y) for t in (words(r["text"]) for r in rows) if len(t) <= MAX_TRAIN_WORDS]
     if len({y for _, y in sample}) < 2:
         return None

@@ -10,8 +10,10 @@ Reading: the wanted index rows are sorted by file and offset, neighbouring byte
 one read if the gap between them is small, and the records are parsed from what was read.
 
 Null html is an empty payload; a null url is written as the record's own id. A null page_id is smaller than
-all others. Equal rows give equal records: rows that share the largest page_id are all responses. Extra
-columns are not read. An empty table gives an empty index.
+all others; a page_id that is not a number is an error. Equal rows give equal records: rows that share the
+largest page_id are all responses. A payload whose digest is not that of its header and of the index is an
+error. A very long payload is one record of one task. Extra columns are not read. An empty table gives an
+empty index.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from .common import shared_dir, written
 REVISIT_BYTES = 1000
 #: Ranges of one file that are at most this far apart are read together, up to MAX_READ bytes.
 MAX_GAP, MAX_READ = 64 << 10, 8 << 20
-#: Bytes of one file that a reading task takes.
-SLICE = 32 << 20
+#: Bytes of one file that stay together, and of all that a reading task takes at most.
+SLICE, TASK_BYTES = 1 << 20, 64 << 20
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, payload_bytes long, record_type string, refers_to long"
 _CRLF = b"\r\n"
 
@@ -66,8 +68,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return _CRLF.join([*head, b"Content-Length: %d" % len(body), b"", body, b"", b""])
 
 
-def parse(data: bytes) -> dict:
-    """The fields of one record, the digest taken from the payload where there is one."""
+def parse(data: bytes, digest: str | None = None) -> dict:
+    """The fields of one record, the digest taken from the payload where there is one. Damage is an error."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(b": ", 1) for line in head.split(_CRLF)[1:])
     body = rest[: int(fields[b"Content-Length"])]
@@ -78,11 +80,15 @@ def parse(data: bytes) -> dict:
     revisit = fields[b"WARC-Type"] == b"revisit"
     if not revisit and len(payload) != size:
         raise ValueError(f"record {fields[b'WARC-Record-ID']!r} is cut off")
+    said = fields[b"WARC-Payload-Digest"][5:].decode()
+    own = said if revisit else hashlib.sha1(payload).hexdigest()
+    if own != said or digest not in (None, said):
+        raise ValueError(f"record {fields[b'WARC-Record-ID']!r} has another digest than its header or its index")
     return {
         "page_id": page(fields[b"WARC-Record-ID"]),
         "url": fields[b"WARC-Target-URI"].decode(),
         "payload_bytes": size,
-        "payload_digest": fields[b"WARC-Payload-Digest"][5:].decode() if revisit else hashlib.sha1(payload).hexdigest(),
+        "payload_digest": own,
         "record_type": fields[b"WARC-Type"].decode(),
         "refers_to": page(fields[b"WARC-Refers-To"]) if revisit else None,
         "payload": b"" if revisit else payload,
@@ -155,15 +161,18 @@ def read(index: DataFrame, payloads: bool = False) -> DataFrame:
                 data = source.read_at(stop - wanted[k].offset, wanted[k].offset)
                 for x in wanted[first : end + 1]:
                     at = x.offset - wanted[first].offset
-                    got = parse(zlib.decompress(data[at : at + x.length], 31))
+                    got = parse(zlib.decompress(data[at : at + x.length], 31), x.digest)
                     rows.append([got[c] for c in names])
                 k = end + 1
             yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
         if source is not None:
             source.close()
 
-    # a slice of a file is a task's unit, so that a large file is read by several tasks
-    dealt = index.select("folder", "file", "offset", "length").repartition("file", F.floor(F.col("offset") / SLICE)).sortWithinPartitions("folder", "file", "offset")
+    # slices of files are dealt over tasks by the archives' bytes, not by those of the index
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    usual = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-total // TASK_BYTES), min(usual, -(-total // SLICE)))
+    dealt = index.select("folder", "file", "offset", "length", "digest").repartition(tasks, "file", F.floor(F.col("offset") / SLICE)).sortWithinPartitions("folder", "file", "offset")
     return dealt.mapInPandas(run, schema)
 
 

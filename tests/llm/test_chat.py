@@ -50,5 +50,6 @@ def test_layouts_by_fingerprint(spark):
     assert got[4] == [("user", "q", "prompt"), ("assistant", "a", "prompt")]
     assert got[5] == [("user", "q\nx", "instruction"), ("assistant", "a", "instruction")] and got[6][0][1] == "q"
     assert got[7][0][2] is None and sum(r.layout is None for r in rows) == 3
+    assert sorted(r.record or "" for r in chat.unknown(chat.canonical(df)).collect()) == ["", "not json", json.dumps(records[-1])]
     assert chat.digests(chat.format_turns(chat.canonical(df.limit(0)))).count() == 0
     assert df.select(F.count("*")).first()[0] == 10

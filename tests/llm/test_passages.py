@@ -53,6 +53,17 @@ def test_repeats_against_planted(spark):
     assert passages.repeats(df.limit(0)).count() == 0
 
 
+def test_only_the_first_copy_stays(spark):
+    rng = random.Random(7)
+    line, other = " ".join(prose(rng, 60)), " ".join(prose(rng, 70))
+    docs = [(1, f"{line}\n{other}\n{line}"), (2, f"start {line} end"), (2, f"start {line} end"), (3, line), (4, f"{other}\n{other}")]
+    got = [(r.doc_id, r.start_word, r.removed, r.first_doc_id) for r in passages.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert {(d, s) for d, s, removed, _ in got if not removed} == {(1, 0)}
+    assert sorted({(d, f) for d, _, removed, f in got if removed}) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    clean = {r.doc_id: r.text.split() for r in passages.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert clean[1] == f"{line} {other}".split() and clean[3] == [] and clean[4] == []
+
+
 def test_short_texts_have_no_pieces():
     for n in range(0, 50):
         assert len(passages.pieces(np.arange(n, dtype=np.uint64), np.array([0, n]))[0]) == 0

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftwell.llm import secrets
 
@@ -50,8 +51,10 @@ def test_models_tell_random_from_ordinary(spark, model):
 
 
 def test_redaction_and_empty_table(spark, model):
-    df = spark.createDataFrame([(1, "a token=abcdef12 b", "found"), (2, "clean", "x"), (3, None, None), (1, "a token=abcdef12 b", "found")], "doc_id long, text string, found string").select("doc_id", "text")
-    got = sorted((r.doc_id, r.text) for r in secrets.redacted(df, model).collect())
+    df = spark.createDataFrame([(1, "a token=abcdef12 b", "found"), (2, "clean", "x"), (3, None, None), (1, "a token=abcdef12 b", "found")], "doc_id long, text string, found string").withColumn("_key", F.lit(1)).withColumn("_Found", F.lit(2))
+    clean = secrets.redacted(df, model)
+    assert clean.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in clean.collect())
     assert got == [(1, "a <secret> b"), (1, "a <secret> b"), (2, "clean"), (3, None)]
     assert secrets.digests(secrets.scan(df.limit(0), model)).count() == 0
 
@@ -68,3 +71,56 @@ def test_keys_inside_longer_tokens(spark, model):
     assert [[cases[i][0][int(s) : int(e)] for _, s, e in got[i]] for i in range(len(cases))] == [want for _, want in cases]
     clean = {r.doc_id: r.text for r in secrets.redacted(df, model).collect()}
     assert clean[0] == "GET /api/v1/users/account/settings/<secret> ok" and clean[2] == "sk_live_<secret>"
+
+
+def test_random_spans_equal_brute_force(spark, model):
+    """The ratio and the stretches of each long token, from their definitions."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(secrets.WORDS)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    made = lambda: rng.choice(["/", "_", "-", ""]).join(rng.choice([word, word, lambda: key(rng.randint(3, 30)), lambda: word().upper()])() for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(made() for _ in range(rng.randint(1, 6))) for _ in range(150)]
+
+    def ratio(t):
+        return sum(model[128 * ord(a) + ord(b)] for a, b in zip(t, t[1:], strict=False)) / max(len(t) - 1, 1)
+
+    def spans(t):
+        if ratio(t) >= secrets.LIMIT:
+            return [(0, len(t))]
+        out, at, start, end, total = [], 0, 0, 0, 0.0
+        for p in [*re.split("(?<=[/_-])", t), None]:
+            if p is not None:
+                core = re.sub("[/_-]$", "", p)
+                over = (ratio(core) - secrets.LIMIT) * max(len(core) - 1, 0)
+            if p is None or over < secrets.ORDINARY or total + over < 0:
+                if end - start >= secrets.LEAST_STRETCH and total >= 0:
+                    out.append((start, end))
+                if p is not None:
+                    at += len(p)
+                    start, end, total = at, at, 0.0
+            else:
+                end, total = at + len(core), total + over
+                at += len(p)
+        return out
+
+    base = {i: brute(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: {tuple(x.split(":")) for x in r.spans.split(",") if x.startswith("random")} for r in secrets.digests(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)).collect()}
+    n = 0
+    for i, t in enumerate(texts):
+        want = {("random", str(m.start() + s), str(m.start() + e)) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t) for s, e in spans(m[0])}
+        if not base[i]:
+            assert got[i] == want, t
+            n += len(want)
+    assert n > 100
+
+
+def test_identifiers_that_training_has_not_seen(spark, model):
+    """Joined from words that the list has not: the share that is taken for random."""
+    words = "harbor lantern meadow copper violin thunder kitchen blanket orchard puzzle cactus marble pepper saddle tunnel walnut anchor basket candle dragon".split()
+    rng = random.Random(1)
+    tokens = []
+    for k in range(400):
+        w = [rng.choice(words) for _ in range(4)]
+        tokens.append(["_".join(w), w[0] + "".join(x.capitalize() for x in w[1:]), "-".join(w), "_".join(w).upper(), "/".join(w)][k % 5])
+    got = secrets.digests(secrets.scan(spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string"), model)).where("spans <> ''").count()
+    assert got <= 8

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftwell.llm import warc
@@ -43,3 +44,22 @@ def test_round_trip_and_index(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_damage_is_an_error(spark, tmp_path):
+    payload = b"x" * 50
+    data = warc.record(1, "u", payload, hashlib.sha1(payload).hexdigest(), None, False)
+    assert warc.parse(data, hashlib.sha1(payload).hexdigest())["payload"] == payload
+    for bad, digest in ((data.replace(b"xxx", b"xyx"), None), (data, "0" * 40), (data[:-20], None)):
+        with pytest.raises(ValueError):
+            warc.parse(bad, digest)
+    index = warc.write(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), f"file://{tmp_path}/a")
+    with pytest.raises(Exception, match="another digest"):
+        warc.read(index.withColumn("digest", F.lit("0" * 40))).collect()
+
+
+def test_archives_are_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLICE", 1 << 10)
+    pages = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(cast(id as string), 512), 20) AS html")
+    got = warc.read(warc.write(pages.repartition(1)))
+    assert got.rdd.getNumPartitions() == 8 and got.count() == 200
