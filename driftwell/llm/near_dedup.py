@@ -13,8 +13,8 @@ the similarity of any two. All are compared with that member and with the one cl
 are pairs of different components. Two sets that are similar enough differ in few shingles, so
 
 - if one of them is further from the reference than such a difference can be, both must share one of the
-  rarest shingles of their D (prefix filtering): as many as a similar set may lack, and one more. Only pairs
-  that share one are candidates, each once;
+  rarest shingles of their D (prefix filtering): as many as a similar set may lack, and one more. Pairs that
+  share one, with enough others behind it in both, are candidates, each once;
 - if both are closer than that, and not in the reference's component, they lie in a thin shell just below
   the limit. They are compared with all close ones of the same reference, dealt over many tasks, in a join
   that emits links only.
@@ -223,8 +223,8 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     apart = F.size("lost") + F.size("added")
     closest = away.groupBy("a", "x").agg(F.min(F.struct(apart.alias("apart"), "b", "n_b", "lost", "added")).alias("p")).select("a", "x", "p.*")
     pivots = here.unionByName(closest.join(here.select("a", "x", "n_a"), ["a", "x"]).drop("apart"))
-    x, y = pivots.select("a", "x", "n_a", *side(1)), away.select(F.col("a").alias("ref"), F.col("x").alias("y"), *side(2))
-    links = written(links.unionByName(pair(x.join(y, F.expr(f"a = ref AND x = y AND id_1 <> id_2 AND {near}"))).distinct()), "links")
+    met = beside(away.select("a", "x", *side(2)), written(pivots.select("a", "x", "n_a", *side(1)), "pivots"), ["a", "x"], ["id_2", "n_2"])
+    links = written(links.unionByName(pair(met.where(f"id_1 <> id_2 AND {near}")).distinct()), "links")
 
     # the rest between components
     joined = components(links, "a", "b").withColumnRenamed("component", "c")
@@ -245,11 +245,16 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     counted = each.groupBy("a", "x", "s").agg(F.count("*").alias("m"), (F.max("minor") & (F.min("c") < F.max("c"))).alias("open"))
     told = beside(each, written(counted.where("m > 1"), "shared"), ["a", "x", "s"], ["b"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("m", "s", "open"))).alias("ss"))
     # a shingle of one set alone is rarest and joins nothing: such ones only take their places
-    room = F.greatest(F.col("lack") + 1 - (F.col("d") - F.size("ss")), F.lit(0)).cast("int")
-    prefix = held.select(*member, "c", "minor", "n_b", "lack", "d").join(told, member).select(*member, "c", "minor", "n_b", F.inline(F.filter(F.slice("ss", F.lit(1), room), lambda e: e["open"]))).drop("m", "open")
+    alone = F.col("d") - F.size("ss")
+    room = F.greatest(F.col("lack") + 1 - alone, F.lit(0)).cast("int")
+    # rest: how many of its shingles come after this one
+    ranked = F.transform(F.slice("ss", F.lit(1), room), lambda e, i: F.struct(e["s"].alias("s"), e["open"].alias("open"), (F.size("ss") - i - 1).alias("rest")))
+    prefix = held.select(*member, "c", "minor", "n_b", "lack", "d").join(told, member).select(*member, "c", "minor", "n_b", "lack", "d", F.inline(F.filter(ranked, lambda e: e["open"]))).drop("open")
     prefix = written(prefix, "prefix")
-    one, two = _sides(prefix, ["a", "x", "s"], ["c", "n_b", "v"])
-    found = written(one.join(two, ["a", "x", "s", "part"]).where(ratio).select("a", "x", "b_1", "v_1", "b_2", "v_2").distinct(), "candidates")
+    one, two = _sides(prefix, ["a", "x", "s"], ["c", "n_b", "v", "lack", "d", "rest"])
+    # similar sets share so many of these shingles, and the first that they share has the others behind it
+    enough = "2 * (1 + least(rest_1, rest_2)) >= d_1 + d_2 - least(lack_1, lack_2)"
+    found = written(one.join(two, ["a", "x", "s", "part"]).where(f"{ratio} AND {enough}").select("a", "x", "b_1", "v_1", "b_2", "v_2").distinct(), "candidates")
     arrays = lambda k: held.select("a", "x", F.col("b").alias(f"b_{k}"), F.col("v").alias(f"v_{k}"), *([F.col("n_a")] if k == 1 else []), *side(k))
     far = found.join(arrays(1), ["a", "x", "b_1", "v_1"]).join(arrays(2), ["a", "x", "b_2", "v_2"]).where(near)
 
