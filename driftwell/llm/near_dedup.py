@@ -234,8 +234,7 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     if sorted_out.where("minor").isEmpty():
         return links
     which = {"v": F.xxhash64("lost", "added"), "lack": lack, "d": F.size("lost") + F.size("added")}  # v: which text of b
-    groups = sorted_out.where("minor").select(F.col("a").alias("g")).distinct().hint("merge")  # nothing is left elsewhere
-    undone = sorted_out.join(groups, F.col("a") == F.col("g"), "left_semi")
+    undone = beside(sorted_out, sorted_out.where("minor").select("a").distinct(), ["a"], ["b"])  # nothing is left elsewhere
     held = written(away.join(undone, ["a", "b"]).withColumns(which), "left")
     member = ["a", "x", "b", "v"]
     ratio = f"c_1 <> c_2 AND 100 * least(n_1, n_2) >= {int(percent)} * greatest(n_1, n_2)"
