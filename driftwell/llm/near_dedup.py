@@ -12,11 +12,11 @@ written as their differences D from one reference, the first member of its large
 the similarity of any two. All are compared with that member and with the one closest to it. What is left
 are pairs of different components. Two sets that are similar enough differ in few shingles, so
 
-- if one of them is further from the reference than such a difference can be, both must share one of the
+- if one of them is further from the reference than NEAR times what such a difference can be, both must share one of the
   rarest shingles of their D (prefix filtering): as many as a similar set may lack, and one more. Pairs that
   share one, with enough others behind it in both, are candidates, each once;
-- if both are closer than that, and not in the reference's component, they lie in a thin shell just below
-  the limit. They are compared with all close ones of the same reference, dealt over many tasks, in a join
+- if both are closer than that, the one that is not in the reference's component lies in a shell below the
+  limit. They are compared with all close ones of the same reference, dealt over many tasks, in a join
   that emits links only.
 
 No link between different components is lost, and m similar documents cost m pairs, not m * m; neither do
@@ -49,6 +49,8 @@ PERMUTATIONS, PER_BAND = 64, 2
 BLOCK, TEXT_BLOCK = 8192, 1 << 20
 #: Rows of one key that a task compares with the minor ones of the key.
 PART_ROWS = 2000
+#: How often the difference that similar sets may have makes a set far from a reference; 1 at least.
+NEAR = 6
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -253,12 +255,13 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     one, two = _sides(prefix, ["a", "x", "s"], ["c", "n_b", "v", "lack", "d", "rest"])
     # similar sets share so many of these shingles, and the first that they share has the others behind it
     enough = "2 * (1 + least(rest_1, rest_2)) >= d_1 + d_2 - least(lack_1, lack_2)"
-    found = written(one.join(two, ["a", "x", "s", "part"]).where(f"{ratio} AND {enough}").select("a", "x", "b_1", "v_1", "b_2", "v_2").distinct(), "candidates")
+    far_off = f"(d_1 > {NEAR} * lack_1 OR d_2 > {NEAR} * lack_2)"
+    found = written(one.join(two, ["a", "x", "s", "part"]).where(f"{ratio} AND {far_off} AND {enough}").select("a", "x", "b_1", "v_1", "b_2", "v_2").distinct(), "candidates")
     arrays = lambda k: held.select("a", "x", F.col("b").alias(f"b_{k}"), F.col("v").alias(f"v_{k}"), *([F.col("n_a")] if k == 1 else []), *side(k))
     far = found.join(arrays(1), ["a", "x", "b_1", "v_1"]).join(arrays(2), ["a", "x", "b_2", "v_2"]).where(near)
 
     # close ones: in the shell below the limit, with all that are close
-    one, two = _sides(held.where("d <= lack").withColumnRenamed("n_b", "n"), ["a", "x"], ["c", "n_a", "n", "lost", "added"])
+    one, two = _sides(held.where(f"d <= {NEAR} * lack").withColumnRenamed("n_b", "n"), ["a", "x"], ["c", "n_a", "n", "lost", "added"])
     shell = one.join(two, ["a", "x", "part"]).withColumnsRenamed({"b_1": "id_1", "b_2": "id_2"}).where(f"{ratio} AND {near.replace('n_a', 'n_a_1')}")
     return written(links.unionByName(pair(far).unionByName(pair(shell)).distinct()), "links")
 

@@ -2,9 +2,9 @@
 
 Two kinds of paragraph are compared, both of words with A-Z lowered:
 
-- lines of at least MIN_WORDS words. Their shingles are sketched and banded (40 permutations with minimum
-  and maximum give 20 bands of four entries: two lines at similarity 0.8 share none with a chance of
-  3e-5), colliding lines are joined and confirmed by their exact Jaccard similarity, and the links
+- lines of at least MIN_WORDS words. Their shingles are sketched and banded (32 permutations with minimum
+  and maximum give 16 bands of four entries: two lines at similarity 0.8 share none with a chance of
+  2e-4), colliding lines are joined and confirmed by their exact Jaccard similarity, and the links
   give components;
 - pieces of PIECE words that start where the text itself says so: at the least hash of each SPREAD
   successive three-word grams. Every passage of at least PIECE + SPREAD + 2 = 51 words holds such a piece
@@ -33,7 +33,7 @@ from .common import beside, free_name, lower_az, words_of, written
 from .near_dedup import blocks_of, classes, mixed, word_hashes
 
 MIN_WORDS, PIECE, SPREAD, GRAM = 50, 28, 21, 3
-SHINGLE, PERCENT, PERMUTATIONS = 5, 80, 40
+SHINGLE, PERCENT, PERMUTATIONS = 5, 80, 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,7 +110,7 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     each = known.select("doc_id", "h", F.inline(F.arrays_zip("start", "u", "c")))
     shared = each.groupBy("u", "c").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.max("doc_id").alias("d2")).where("first.doc_id < d2").drop("d2")
-    met = beside(each, shared, ["u", "c"], ["doc_id", "start"])
+    met = each.join(shared.hint("merge"), ["u", "c"])
     stays = F.expr(f"doc_id = first.doc_id AND h = first.h AND abs(start - first.start) < {PIECE}")
     found = met.select("doc_id", "h", F.col("start").alias("s"), (F.col("start") + PIECE).alias("e"), F.col("first.doc_id").alias("first_doc_id"), (~stays).alias("removed"))
 
