@@ -1,7 +1,9 @@
 """The corpus pipeline: stages that each apply one operator to what the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of ``documents``.
+again as the next one's docs. All but the last return the columns of ``documents``, also extra ones. Null and
+empty texts have no words and go in the first stage; null ids are ids like others, but for the second stage.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five words, similarity 0.8."""
+    """One document of each group stays: five words, similarity 0.8. Of rows that repeat an id one stays, and
+    of rows without an id one of each set of shingles that no row with an id has."""
     return near_dedup.filtered(docs, size=5, percent=80)
 
 
@@ -36,6 +39,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_tokens and the hashes of its ids and of the decoded text."""
     return bpe.encode(docs, vocabulary("word_bpe_49k.json"))
 
 
