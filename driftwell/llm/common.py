@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: What separates words in every operator of this package: blank and the five ASCII controls.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's setting that removes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there,
-    and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and a lost executor costs no recomputation. Nothing needs the write's shuffle files once it has ended:
+    they go at once, not when the driver next collects garbage."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_az(text: Column) -> Column:
@@ -55,18 +66,27 @@ def fenced(df: DataFrame, **made: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
 
 
-#: Tasks that the rows of one key are dealt over.
+#: Tasks that the rows of one key are dealt over: the bits of a long.
 SALTS = 64
 
 
+def salt_of(by: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def salts(by: list[str]) -> Column:
+    """An aggregate: the salts of a key's rows as bits of one number."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt_of(by))).alias("_salts")
+
+
 def beside(df: DataFrame, side: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     """``df`` joined to ``side``, which has one row for each key. The rows of one key, which may be a third
     of all, are dealt over SALTS tasks by the columns ``by``: ``side`` has a copy for each salt that is
-    there, so at most one for each row."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
-    present = salted.groupBy(*key).agg(F.collect_set("_salt").alias("_salts"))
-    dealt = side.join(present.hint("merge"), key).select(*side.columns, F.explode("_salts").alias("_salt"))
-    return salted.join(dealt.hint("merge"), [*key, "_salt"]).drop("_salt")
+    there, so at most one for each row. A ``side`` made from ``df`` can bring them as ``salts(by)``."""
+    known = side if "_salts" in side.columns else side.join(df.groupBy(*key).agg(salts(by)).hint("merge"), key)
+    present = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("_salts", i) == 1)
+    dealt = known.select(*[c for c in side.columns if c != "_salts"], F.explode(present).alias("_salt"))
+    return df.withColumn("_salt", salt_of(by)).join(dealt.hint("merge"), [*key, "_salt"]).drop("_salt")
 
 
 def free_name(taken: Iterable[str], name: str) -> str:

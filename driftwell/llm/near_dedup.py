@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, free_name, written
+from .common import beside, free_name, salts, written
 from .components import components
 
 PERMUTATIONS, PER_BAND = 64, 2
@@ -196,6 +196,11 @@ def compared(pairs: DataFrame, documents: DataFrame, size: int, percent: int, do
 def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """Confirmed links (a, b) that give the components of all pairs that share a bucket; ``members`` has
     key, id and n, once for each key and id."""
+    # the texts of the members alone: the others are moved once and not again
+    ids = members.select("id").distinct().hint("merge")
+    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    documents, doc_id, text = written(texts.dropDuplicates(["id", "text"]), "member-texts"), "id", "text"
+
     # first, each member with one pivot: the least of all members that are the least of a bucket of its
     firsts = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
     met = beside(members, firsts, ["key"], ["id"]).where(f"id <> p.id AND 100 * least(n, p.n) >= {int(percent)} * greatest(n, p.n)")
@@ -283,7 +288,7 @@ def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id
     copies = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = known.join(copies.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi")
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n")
-    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key")
+    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), salts(["id"])).where("first < last").select("key", "_salts")
     members = written(beside(rows, shared, ["key"], ["id"]).select("key", "id", "n").distinct(), "buckets")
     final = components(linked(members, documents, size, percent, doc_id, text), "a", "b")
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, free_name, lower_az, words_of, written
+from .common import beside, free_name, salts, written
 from .near_dedup import blocks_of, classes, mixed, word_hashes
 
 MIN_WORDS, PIECE, SPREAD, GRAM = 50, 28, 21, 3
@@ -73,8 +73,20 @@ def pieces(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return start, hashes[0].view(np.int64), (hashes[1] >> np.uint64(33)).astype(np.int32)
 
 
+def firsts(text: np.ndarray, start: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of each piece, whether it is the first of its kind in its text or overlaps that one."""
+    order = np.lexsort((start, c, u, text))
+    keys = np.stack([text[order], u[order], c[order]])
+    new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]) if len(order) else np.empty(0, bool)
+    least = start[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else start
+    out = np.empty(len(start), bool)
+    out[order] = start[order] - least < PIECE
+    return out
+
+
 def marked(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), line_start (words before each line), and the pieces."""
+    """doc_id, h (hash of the text), line_start (words before each line), the pieces (where they start, two
+    hashes, whether they are the first of their kind in the text), and the long lines: number and text."""
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,21 +98,18 @@ def marked(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 texts, cuts = np.searchsorted(starts, offsets), np.searchsorted(feeds, offsets)
                 start, u, c = pieces(h, texts)
                 own = np.searchsorted(start, texts)  # of each text, its first piece
+                first = firsts(np.repeat(np.arange(len(part)), np.diff(own)), start, u, c)
                 rows = []
                 for k in range(len(part)):
-                    mine = slice(own[k], own[k + 1])
-                    rows.append((np.concatenate([[0], before[cuts[k] : cuts[k + 1]] - texts[k]]), start[mine] - texts[k], u[mine], c[mine]))
-                yield pd.concat([part[["doc_id", "h"]], pd.DataFrame(rows, columns=["line_start", "start", "u", "c"])], axis=1)
-
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, line_start array<int>, start array<int>, u array<long>, c array<int>")
-
+                    mine, ends = slice(own[k], own[k + 1]), feeds[cuts[k] : cuts[k + 1]]
+                    line_start = np.concatenate([[0], before[cuts[k] : cuts[k + 1]] - texts[k]])
+                    long = np.flatnonzero(np.diff(line_start) >= MIN_WORDS)
+                    begins = np.concatenate([[offsets[k]], ends + 1])
+                    rows.append((line_start, start[mine] - texts[k], u[mine], c[mine], first[mine], long, [whole[begins[i] : ends[i]].decode() for i in long]))
+                yield pd.concat([part[["doc_id", "h"]], pd.DataFrame(rows, columns=["line_start", "start", "u", "c", "first", "line", "line_text"])], axis=1)
 
-def lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The long lines: doc_id, h, line (its number), id (hash of the line), text."""
-    docs = documents.where(F.col(doc_id).isNotNull())
-    each = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("line", "text"))
-    long = each.where(F.length("text") >= 2 * MIN_WORDS - 1).withColumn("text", lower_az(F.col("text")))
-    return long.where(F.size(words_of(F.col("text"))) >= MIN_WORDS).withColumn("id", F.xxhash64("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInPandas(run, f"doc_id {kind}, h long, line_start array<int>, start array<int>, u array<long>, c array<int>, first array<boolean>, line array<int>, line_text array<string>")
 
 
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,13 +117,16 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     stays), removed."""
     known = written(marked(documents, doc_id, text), "pieces")
 
-    each = known.select("doc_id", "h", F.inline(F.arrays_zip("start", "u", "c")))
-    shared = each.groupBy("u", "c").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.max("doc_id").alias("d2")).where("first.doc_id < d2").drop("d2")
-    met = each.join(shared.hint("merge"), ["u", "c"])
-    stays = F.expr(f"doc_id = first.doc_id AND h = first.h AND abs(start - first.start) < {PIECE}")
-    found = met.select("doc_id", "h", F.col("start").alias("s"), (F.col("start") + PIECE).alias("e"), F.col("first.doc_id").alias("first_doc_id"), (~stays).alias("removed"))
+    each = known.select("doc_id", "h", F.inline(F.arrays_zip("start", "u", "c", F.col("first").alias("first"))))
+    shared = each.groupBy("u", "c").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), salts(["doc_id"])).where("d1 < d2").drop("d2")
+    met = written(beside(each, shared, ["u", "c"], ["doc_id"]).withColumn("stays", F.expr("doc_id = d1 AND first")), "shared-pieces")
+    span = ["doc_id", "h", F.col("start").alias("s"), (F.col("start") + PIECE).alias("e"), F.col("d1").alias("first_doc_id")]
+    # of the first document's texts one keeps its copy
+    copies = met.where("stays").withColumn("least", F.min("h").over(Window.partitionBy("u", "c")))
+    found = met.where("NOT stays").select(*span, F.lit(True).alias("removed")).unionByName(copies.select(*span, F.expr("h <> least").alias("removed")))
 
-    long = written(lines(documents, doc_id, text), "long-lines")
+    # texts are compared as written here: A-Z lowered
+    long = known.select("doc_id", "h", F.inline(F.arrays_zip("line", F.col("line_text").alias("text")))).withColumn("id", F.xxhash64("text"))
     grouped = classes(long.select("id", "text"), SHINGLE, PERCENT, "id", "text", PERMUTATIONS)
     of = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "component_id").distinct()
     placed = written(long.select("doc_id", "h", "line", "id").join(of, "id", "left").withColumn("group", F.coalesce("component_id", "id")).drop("component_id", "id"), "lines")
