@@ -15,19 +15,47 @@ input are not read, so their names cannot clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF_CHARS = 32_768
 #: Most distinct words a Python worker remembers; the memory starts anew when it is full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 FIRST_WINDOW = 64
-#: Words encoded in one call of the library; ASCII stops that are tokens of their own after a letter or digit.
-BATCH_WORDS, STOPS = 4096, frozenset(b"%c" % c for c in b".,;:!?")
+#: Words encoded in one call of the library.
+BATCH_WORDS = 4096
+#: How the vocabulary cuts words into pieces (a fixed value).
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for plain words: printable ASCII with A-Z lowered, and the small letters of Latin-1, which neither case nor
+#: normal form changes; and what makes a word another one.
+PLAIN_CUT = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+)"
+ODD = r"[^!-@\[-~ß-öø-ÿ]|<\|"
+#: White space as blanks, and A-Z lowered with it.
+_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+_BLANKS_LOWER = _BLANKS.lower()  # bytes.lower changes A-Z only
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters by which the vocabulary writes bytes: Latin-1's visible ones stand for themselves, all others
+    get the letters from 256 on in order."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def joined(ids: pa.Array, lists: pa.Array) -> pa.Array:
+    """The ids of each list's values as one value: their bytes stand next to each other already."""
+    starts = np.frombuffer(ids.buffers()[1], "int64")[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, "int64")
+    offsets = starts[np.asarray(lists.offsets) - (lists.offsets[0].as_py() if len(lists) else 0)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), (ids.buffers()[2] if len(ids) else None) or pa.py_buffer(b"")])
 
 
 class WordEncoder:
@@ -43,38 +71,65 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache_words, self.seen = cache_words, {}
+        self.model = self.tokenizer.model
+        self.cache_words, self.seen, self.pieces, self.letters = cache_words, {}, {}, byte_letters()
         self.token = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))]
         self.plain = self.tokenizer.decoder is None  # then decoding joins tokens by blanks
+        self.cuts = json.dumps(CUT) in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode words, many in one call, and remember the ids of each."""
+    def merged(self, piece: str) -> bytes:
+        """The ids of one piece by the vocabulary's merges alone."""
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def in_library(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, many encoded in one call."""
+        out = []
         for k in range(0, len(words), BATCH_WORDS):
-            some = [w.decode() for w in words[k : k + BATCH_WORDS]]
+            some = words[k : k + BATCH_WORDS]
             starts = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
             ids, at = self.spans(" ".join(some))
             cuts = np.searchsorted(at[:, 0], [*starts, 2**62]) * 4
             raw = ids.astype("<u4").tobytes()
-            for w, lo, hi in zip(words[k : k + BATCH_WORDS], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.seen[w] = raw[lo:hi]
+            out += [raw[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return out
+
+    def known(self, memory: dict[str, bytes], keys: list[str], encode: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        """What is remembered of ``keys``, after the new ones have been encoded. A full memory starts anew."""
+        new = [k for k in keys if k not in memory]
+        if len(memory) + len(new) > self.cache_words:
+            memory.clear()
+            new = keys
+        memory.update(zip(new, encode(new), strict=True))
+        return pa.array(list(map(memory.__getitem__, keys)), pa.large_binary())
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words. Arrow cuts plain ones into pieces, which the vocabulary never merges with each
+        other, and only distinct pieces are encoded; all other words go to the library."""
+        odd = pc.match_substring_regex(words, ODD).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(words), bool)
+        lists = pc.split_pattern(pc.replace_substring_regex(words.filter(~odd), PLAIN_CUT, r"\1 "), " ")
+        pieces = lists.flatten().dictionary_encode()
+        plain = joined(self.known(self.pieces, pieces.dictionary.to_pylist(), lambda x: list(map(self.merged, x))).take(pieces.indices), lists)
+        others = self.known(self.seen, words.filter(odd).to_pylist(), self.in_library)
+        place = np.where(odd, len(plain) - 1 + np.cumsum(odd), np.cumsum(~odd) - 1)
+        return pa.concat_arrays([plain, others]).take(pa.array(place))
+
+    def batch(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as little-endian 32-bit integers. Arrow cuts the texts into words and numbers the
+        distinct ones, which alone are encoded. No text may be null."""
+        texts = texts.cast(pa.large_string())
+        at, data = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1], texts.buffers()[2]
+        raw = bytes(memoryview(data)[at[0] : at[-1]]) if data else b""
+        as_text = lambda x: pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(x))
+        lower = as_text(raw.translate(_BLANKS_LOWER))
+        if b"<|" in raw:  # a special token may stand there, whose letters count as they are
+            lower = pc.if_else(pc.match_substring(texts, "<|"), as_text(raw.translate(_BLANKS)), lower)
+        lists = pc.split_pattern(lower, " ")
+        words = lists.flatten().dictionary_encode()
+        return joined(self.of_words(words.dictionary).take(words.indices), lists)
 
     def ids(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        raw = text.encode()
-        words = (raw if b"<|" in raw else raw.lower()).split()
-        seen = self.seen
-        new = {w for w in words if w not in seen}
-        if new:
-            if len(seen) + len(new) > self.cache_words:
-                seen.clear()
-                new = set(words)
-            # a stop after a letter is a token of its own: most such words are known without it
-            tails = {w for w in new if w[-1:] in STOPS and w[-2:-1].isalnum() and b"<|" not in w}
-            need = (new - tails) | {x for w in tails for x in (w[:-1], w[-1:]) if x not in seen}
-            self.learn(list(need))
-            for w in tails:
-                seen[w] = seen[w[:-1]] + seen[w[-1:]]
-        return b"".join(map(seen.__getitem__, words))
+        return self.batch(pa.array([text]))[0].as_py()
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and start and end of each token in characters, by the library itself."""
@@ -150,7 +205,7 @@ def encode(
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(vocabulary)
         for frame in frames:
-            rows = pd.DataFrame([_row(encoder, encoder.ids(t), with_ids) for t in frame["text"]], columns=names)
+            rows = pd.DataFrame([_row(encoder, i.as_py(), with_ids) for i in encoder.batch(pa.array(frame["text"], pa.large_string()))], columns=names)
             yield pd.concat([frame[["doc_id"]].reset_index(drop=True), rows], axis=1)
 
     def each_leaf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -99,7 +99,25 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), model))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_quality_rules, op4_warc, op5_chat, op6_decontaminate, op7_secrets, op8_quality_model, op9_passages, op10_bpe)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_quality_rules, op4_warc, op5_chat, op6_decontaminate, op7_secrets, op8_quality_model, op9_passages, op10_bpe, op11_filter_audit, op12_packing, op13_whitening)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -107,6 +125,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, near_dedup, quality_rules, warc
+    from . import chat, filter_audit, near_dedup, quality_rules, warc
 
-    return {"op2_near_dedup": near_dedup.SQL, "op3_quality_rules": quality_rules.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL}
+    return {"op11_filter_audit": filter_audit.SQL, "op2_near_dedup": near_dedup.SQL, "op3_quality_rules": quality_rules.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL}
