@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from .functions import normalize
 from .operators import blocks, diff, inventory, merkle, repair
 from .plans import rules
-from .sources import nodes, reports, trees
+from .sources import changelog, nodes, reports, trees
 from .sources.shared import shared_dir, written
-from .streaming import drain
+from .streaming import drain, transactions
 
 KEYS = {
     "customer": (("c_custkey",), "c_mktsegment"),
@@ -618,20 +619,111 @@ query("merkle_merge", f"WITH r AS ({_ranges_sql(20)}), c AS (SELECT block_id, ra
 )
 
 
-@query("cdc_bounded_drain", f"SELECT op, count(*) AS n_rows, max(lsn)::BIGINT AS last_lsn, count(*) FILTER (lsn <= 209)::BIGINT AS n_first FROM ({_CHANGES}) WHERE xid < 50 GROUP BY op")
+def _log(rows: DataFrame, place: str, parts: int = 4) -> str:
+    """A change log of ``rows``, appended in so many segments of about as many positions each."""
+    kept = written(rows, "log")
+    last = kept.agg(F.max("lsn").alias("b")).first()["b"] or 0
+    for k in range(parts):
+        changelog.append(kept.where((F.col("lsn") > last * k // parts) & (F.col("lsn") <= last * (k + 1) // parts)), f"{place}/log")
+    return f"{place}/log"
+
+
+#: Each change of ``events`` at a position of its own; transactions of ten changes, of ten in a row; each commits right behind them.
+_BOUND = f"c AS (SELECT 2 * lsn + 1 AS lsn, xid, op, pk FROM ({_CHANGES})), e AS (SELECT xid, max(lsn) + 1 AS ends FROM c GROUP BY xid), h AS (SELECT max(ends) AS head FROM e)"
+
+
+@query(
+    "cdc_bounded_drain",
+    f"WITH {_BOUND} SELECT op, count(*) AS n_rows, max(lsn)::BIGINT AS last_lsn, count(*) FILTER (ends <= head * 2 // 5)::BIGINT AS n_first FROM c JOIN e USING (xid), h WHERE ends <= head * 9 // 10 GROUP BY op",
+)
 def _drain(s: SparkSession, d: str) -> DataFrame:
-    """Two drains with a rising target. When the first one runs, transactions 21 to 39 have not committed: their
-    commits come as rows of their own before the second one."""
+    """Two drains with a rising target, both shares of the log."""
     place = _place(s, "drain")
-    log, run = f"{place}/log", lambda target: drain.bounded(s.readStream.schema(drain.SCHEMA).parquet(f"{place}/log"), f"{place}/out", f"{place}/checkpoint", target)
-    every = changes(s, d)
-    every.withColumn("commit_lsn", F.expr("CASE WHEN xid < 21 OR xid > 39 THEN xid * 10 + 9 END")).where("xid < 45").write.parquet(log)
-    run(209)
-    first = written(s.read.parquet(f"{place}/out").groupBy("op").agg(F.count("*").alias("n_first")), "first")
-    late = s.range(21, 40).selectExpr("id * 10 + 9 AS lsn", "id AS xid", "'COMMIT' AS op", "cast(null as long) AS pk", "id * 10 + 9 AS commit_lsn")
-    every.withColumn("commit_lsn", F.expr("xid * 10 + 9")).where("xid >= 45").unionByName(late).write.mode("append").parquet(log)
-    run(499)
-    return s.read.parquet(f"{place}/out").groupBy("op").agg(F.count("*").alias("n_rows"), F.max("lsn").alias("last_lsn")).join(first, "op", "left").na.fill(0, ["n_first"])
+    rows = changes(s, d).withColumn("lsn", 2 * F.col("lsn") + 1)
+    ends = rows.groupBy("xid").agg((F.max("lsn") + 1).alias("lsn")).select("lsn", "xid", F.lit("COMMIT").alias("op"), F.lit(None).cast("long").alias("pk"))
+    log, out = _log(rows.unionByName(ends), place), f"{place}/out"
+    run = lambda share: drain.bounded(s, log, drain.kept(out), f"{place}/checkpoint", changelog.head(log) * share // 10)
+    run(4)
+    first = written(drain.delivered(s, out).groupBy("op").agg(F.count("*").alias("n_first")), "first")
+    run(9)
+    return drain.delivered(s, out).groupBy("op").agg(F.count("*").alias("n_rows"), F.max("lsn").alias("last_lsn")).join(first, "op", "left").na.fill(0, ["n_first"])
+
+
+#: Transactions one among another: ten changes each, 97 positions apart. Of 13 one aborts, of 11 one never ends, and three of four end
+#: late, when many others have begun and ended.
+_MIXED = (
+    "SELECT 4 * event_id + 4 AS lsn, event_id % 97 + 97 * (event_id {0} 970) AS xid, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op, "
+    "CASE WHEN event_type = 'signup' THEN 1000000 + event_id ELSE event_id END AS pk FROM events"
+)
+_ENDS = "SELECT max(lsn) + 1 + 1200 * (xid % 4) AS lsn, xid, CASE WHEN xid % 13 = 7 THEN 'ABORT' ELSE 'COMMIT' END AS op FROM c WHERE xid % 11 <> 5 GROUP BY xid"
+_MIXED_SQL = f"c AS ({_MIXED.format('//')}), e AS ({_ENDS}), h AS (SELECT greatest((SELECT max(lsn) FROM c), (SELECT max(lsn) FROM e)) AS head)"
+#: Targets of the drains, as shares of the log in percent.
+_TARGETS = (35, 70, 100)
+
+
+def _mixed(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "events").selectExpr("event_id", "event_type").transform(lambda t: s.sql(_MIXED.format("div").replace("FROM events", "FROM {events}"), events=t))
+    ends = s.sql(_ENDS.replace("FROM c", "FROM {c}"), c=rows).withColumn("pk", F.lit(None).cast("long"))
+    return rows.unionByName(ends)
+
+
+_BY_DRAIN = " ".join(f"WHEN e.lsn <= head * {x} // 100 THEN {k}" for k, x in enumerate(_TARGETS, 1))
+
+
+@query("cdc_interleaved", f"WITH {_MIXED_SQL} SELECT c.lsn, c.xid, c.op, c.pk, e.lsn AS commit_lsn, CASE {_BY_DRAIN} END AS drain FROM c JOIN e ON c.xid = e.xid, h WHERE e.op = 'COMMIT'")
+def _interleaved(s: SparkSession, d: str) -> DataFrame:
+    """Drains up to three targets, with transactions that are open at each of them and commits that come late: each
+    committed change once, with the drain that gave it, told by its commit and by the batches that there were."""
+    place = _place(s, "mixed")
+    log = _log(_mixed(s, d), place, 5)
+    parts = []
+    for k, share in enumerate(_TARGETS, 1):  # each drain writes into its own folder from the same checkpoint
+        drain.bounded(s, log, drain.kept(f"{place}/out-{k}"), f"{place}/checkpoint", changelog.head(log) * share // 100)
+        parts.append(drain.delivered(s, f"{place}/out-{k}").withColumn("drain", F.lit(k)))
+    return reduce(DataFrame.unionByName, parts).drop("batch")
+
+
+query("cdc_open_transactions", f"WITH {_MIXED_SQL} SELECT c.xid, count(*) AS n_changes, min(c.lsn) AS first_lsn FROM c LEFT JOIN e ON c.xid = e.xid, h WHERE c.lsn <= head * 70 // 100 AND (e.lsn IS NULL OR e.lsn > head * 70 // 100) GROUP BY c.xid")(
+    lambda s, d: _open_transactions(s, d)
+)
+
+
+def _open_transactions(s: SparkSession, d: str) -> DataFrame:
+    """What a drain up to 70 percent of the log has left in its state: the changes of open transactions only."""
+    place = _place(s, "open")
+    log = _log(_mixed(s, d), place, 3)
+    drain.bounded(s, log, drain.kept(f"{place}/out"), f"{place}/checkpoint", changelog.head(log) * 70 // 100)
+    return transactions.open_changes(s, f"{place}/checkpoint").groupBy("xid").agg(F.count("*").alias("n_changes"), F.min("lsn").alias("first_lsn"))
+
+
+@query("cdc_listen_steps", f"WITH {_MIXED_SQL} SELECT op, count(*) AS n_rows, sum(commit_lsn)::BIGINT AS commits FROM (SELECT c.op, e.lsn AS commit_lsn FROM c JOIN e ON c.xid = e.xid WHERE e.op = 'COMMIT') GROUP BY op")
+def _listen_steps(s: SparkSession, d: str) -> DataFrame:
+    """A drain that runs on and takes in a fifth of the log with each batch, stopped and started again halfway."""
+    place = _place(s, "listen")
+    log = _log(_mixed(s, d), place, 3)
+    step = changelog.head(log) // 5 + 1
+    for _ in range(2):
+        q = drain.listen(s, log, drain.kept(f"{place}/out"), f"{place}/checkpoint", "0 seconds", step)
+        q.processAllAvailable()
+        q.stop()
+    return drain.delivered(s, f"{place}/out").groupBy("op").agg(F.count("*").alias("n_rows"), F.sum("commit_lsn").alias("commits"))
+
+
+@query("cdc_tree_upkeep", f"WITH {cte('orders')}, r AS ({_ranges_sql(_LEAF, 'n1')}) {_leaves_sql('n2')}")
+def _tree_upkeep(s: SparkSession, d: str) -> DataFrame:
+    """A kept tree of n1 that a change stream brings to n2: the drain and the tree's version move together, in two drains, and
+    the last batch comes again and changes nothing."""
+    place, (a, b) = _place(s, "upkeep"), (_tree_node(s, d, n) for n in ("n1", "n2"))
+    tree = _kept(s, {"n1": a})["n1"]
+    found = _as_changes(diff.diff_pair(a, b, spec("orders"))).select(F.col("o_orderkey").alias("pk"), "op")
+    rows = found.select((4 * F.col("pk") + 4).alias("lsn"), (F.col("pk") % 50).alias("xid"), "op", "pk")
+    ends = rows.groupBy("xid").agg((F.max("lsn") + 1).alias("lsn")).select("lsn", "xid", F.lit("COMMIT").alias("op"), F.lit(None).cast("long").alias("pk"))
+    log, sink = _log(rows.unionByName(ends), place), drain.into_tree(tree.place, lambda: b, spec("orders"))
+    for share in (98, 100):
+        drain.bounded(s, log, sink, f"{place}/checkpoint", changelog.head(log) * share // 100)
+    now = trees.open_tree(s, tree.place)
+    sink(s.createDataFrame([("DELETE", 1)], "op string, pk long"), now.about["batch"])
+    return trees.open_tree(s, tree.place).leaves.select("node_position", *merkle.HASH)
 
 
 # ---- the rest of the catalogue

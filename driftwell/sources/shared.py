@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def file_system(spark: SparkSession, place: str) -> tuple:
+    """A path and the file system that it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"

@@ -1,7 +1,8 @@
 """Kept hash trees: one folder for each node and table, with a folder for each version.
 
-A version is written whole, then the pointer file names it; a run that dies before that leaves the old
-version in force. Each version has the leaves (range, hash, counters since the last update) and the levels.
+A version is written whole, then a pointer file with the next number names it; the one with the highest number is in
+force. So a run that dies at any point leaves the old version or the new one, and of two updates at once the second one
+to end fails, as its number is taken. Pointers before the last one are removed. Each version has the leaves (range, hash, counters since the last update) and the levels.
 """
 
 from __future__ import annotations
@@ -15,15 +16,11 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks, merkle
 from .nodes import Table
+from .shared import file_system
 
 #: Trees of a lower version have hashes of another kind, and are hashed anew at their next update.
 HASH_VERSION = 2
-_POINTER = "current"
-
-
-def _fs(spark: SparkSession, place: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+_POINTER = "current-"
 
 
 @dataclass
@@ -51,30 +48,39 @@ class Tree:
         return self.about["n_leaves"]
 
 
-def _save(spark: SparkSession, place: str, ranges: DataFrame, leaf: DataFrame, block_size: int, **about: object) -> Tree:
+def _save(spark: SparkSession, place: str, ranges: DataFrame, leaf: DataFrame, block_size: int, number: int | None = None, **about: object) -> Tree:
     version = uuid.uuid4().hex
     leaf.join(ranges, F.col("node_position") == F.col("block_id")).select("block_id", "range_start", "range_end", "node_position", *merkle.HASH).write.parquet(f"{place}/{version}/leaves")
     kept = spark.read.parquet(f"{place}/{version}/leaves")
     n = kept.count()
     merkle.build(kept, n).write.parquet(f"{place}/{version}/levels")
     about = {"version": version, "n_leaves": n, "block_size": block_size, "hash_version": HASH_VERSION, **about}
-    new, fs = _fs(spark, f"{place}/{version}/{_POINTER}")
+    about["number"] = 1 + (max(_pointers(spark, place), default=0) if number is None else number)
+    new, fs = file_system(spark, f"{place}/{version}/pointer")
     out = fs.create(new, True)
     out.write(bytearray(json.dumps(about).encode()))
     out.close()
-    old, _ = _fs(spark, f"{place}/{_POINTER}")
-    fs.delete(old, False)
-    if not fs.rename(new, old):
-        raise OSError(f"{place} cannot be pointed at its new version")
+    named, _ = file_system(spark, f"{place}/{_POINTER}{about['number']}")
+    if fs.exists(named) or not fs.rename(new, named):
+        raise OSError(f"{place} has been pointed at another version meanwhile")
+    for old in _pointers(spark, place):
+        if old < about["number"] - 1:
+            fs.delete(file_system(spark, f"{place}/{_POINTER}{old}")[0], False)
     return Tree(spark, place, about)
 
 
+def _pointers(spark: SparkSession, place: str) -> list[int]:
+    path, fs = file_system(spark, place)
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return [int(x.removeprefix(_POINTER)) for x in names if x.startswith(_POINTER) and x.removeprefix(_POINTER).isdigit()]
+
+
 def open_tree(spark: SparkSession, place: str) -> Tree:
     """The current version; a missing tree is an error."""
-    path, fs = _fs(spark, f"{place}/{_POINTER}")
-    if not fs.exists(path):
+    numbers = _pointers(spark, place)
+    if not numbers:
         raise FileNotFoundError(f"no hash tree at {place}: build it first")
-    return Tree(spark, place, json.loads("".join(r["value"] for r in spark.read.text(f"{place}/{_POINTER}").collect())))
+    return Tree(spark, place, json.loads("".join(r["value"] for r in spark.read.text(f"{place}/{_POINTER}{max(numbers)}").collect())))
 
 
 def build_trees(tables: dict[str, DataFrame], table: Table, places: dict[str, str], block_size: int, sampled: bool = False) -> dict[str, Tree]:
@@ -91,10 +97,10 @@ def build_trees(tables: dict[str, DataFrame], table: Table, places: dict[str, st
     return {n: _save(spark, places[n], ranges, merkle.leaves(df, table, ranges), block_size, key=list(table.key)) for n, df in tables.items()}
 
 
-def update(tree: Tree, df: DataFrame, table: Table, changes: DataFrame, rebalance: bool = False) -> Tree:
+def update(tree: Tree, df: DataFrame, table: Table, changes: DataFrame, rebalance: bool = False, **about: object) -> Tree:
     """The tree after changes (op and key columns) that ``df`` already holds: leaves with changes are hashed
     anew, large ones split, with ``rebalance`` small ones merged; a TRUNCATE, very many updates or an old
-    hash version hash all anew. Without changes the tree stays."""
+    hash version hash all anew. Without changes the tree stays. ``about`` is kept with the version."""
     from .shared import written
 
     key, size = list(table.key), tree.about["block_size"]
@@ -116,7 +122,7 @@ def update(tree: Tree, df: DataFrame, table: Table, changes: DataFrame, rebalanc
         joined = written(merkle.merged(sized, size), "ranges")
         leaf = written(_folded(leaf, parts, joined), "leaves")
         parts = joined
-    return _save(tree.spark, tree.place, parts.select("block_id", "range_start", "range_end"), leaf, size, key=key)
+    return _save(tree.spark, tree.place, parts.select("block_id", "range_start", "range_end"), leaf, size, tree.about["number"], **({"batch": tree.about["batch"]} if "batch" in tree.about else {}) | about, key=key)
 
 
 def _folded(leaf: DataFrame, parts: DataFrame, joined: DataFrame) -> DataFrame:
@@ -154,4 +160,4 @@ def heal(tree: Tree, df: DataFrame, table: Table, chosen: DataFrame) -> tuple[Tr
     if not n:
         return tree, 0
     leaf = merkle.refreshed(tree.levels, df, table, tree.ranges, stale)
-    return _save(tree.spark, tree.place, tree.ranges, leaf, tree.about["block_size"], key=list(table.key)), n
+    return _save(tree.spark, tree.place, tree.ranges, leaf, tree.about["block_size"], tree.about["number"], **{k: v for k, v in tree.about.items() if k == "batch"}, key=list(table.key)), n

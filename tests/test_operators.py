@@ -9,7 +9,6 @@ from driftwell.functions import normalize
 from driftwell.operators import blocks, diff, inventory, merkle, repair
 from driftwell.plans import rules
 from driftwell.sources import nodes
-from driftwell.streaming import drain
 
 T = nodes.Table("t", ("id",))
 
@@ -128,55 +127,6 @@ def test_plan(spark):
         rules.load('{"default": "explode"}')
 
 
-def test_change_without_key_stops_the_drain(spark, tmp_path):
-    spark.createDataFrame([(1, 1, "UPDATE", None, 9)], drain.SCHEMA).write.parquet(f"{tmp_path}/log")
-    with pytest.raises(Exception, match="without a primary key"):
-        drain.bounded(spark.readStream.schema(drain.SCHEMA).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/c")
-
-
-def test_drain_twice_takes_only_what_is_new(spark, tmp_path):
-    part = lambda a, b: spark.range(a, b).selectExpr("id AS lsn", "id div 5 AS xid", "'UPDATE' AS op", "id AS pk", "if(id < 12, id, NULL) AS commit_lsn").write.mode("append").parquet(f"{tmp_path}/log")
-    run = lambda: drain.bounded(spark.readStream.schema(drain.SCHEMA).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/c")
-    part(0, 8)
-    run()
-    part(8, 20)
-    run()
-    run()
-    assert sorted(r.lsn for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(12))
-
-
-def test_listen(spark, tmp_path):
-    spark.range(3).selectExpr("id AS lsn", "id AS xid", "'INSERT' AS op", "id AS pk", "id AS commit_lsn").write.parquet(f"{tmp_path}/log")
-    q = drain.listen(spark.readStream.schema(drain.SCHEMA).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/c", "1 second")
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
-
-
-def test_rising_targets_and_late_commits(spark, tmp_path):
-    put = lambda *rows: spark.createDataFrame(rows, drain.SCHEMA).write.mode("append").parquet(f"{tmp_path}/log")
-    run = lambda target=None: drain.bounded(spark.readStream.schema(drain.SCHEMA).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/c", target)
-    have = lambda: sorted(r.lsn for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    put((1, 1, "INSERT", 1, 90), (2, 2, "INSERT", 2, 150), (3, 3, "UPDATE", 3, None))
-    run(100)
-    assert have() == [1]
-    run(200)
-    assert have() == [1, 2]
-    put((4, 3, "COMMIT", None, 180), (5, 4, "DELETE", 5, 300))
-    run(200)
-    assert have() == [1, 2, 3]
-    run()
-    run()
-    assert have() == [1, 2, 3, 5]
-    put((6, 5, "INSERT", 6, None))
-    for k in range(2):
-        q = drain.listen(spark.readStream.schema(drain.SCHEMA).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/c", "1 second")
-        q.processAllAvailable()
-        q.stop()
-        assert have() == [1, 2, 3, 5] + [6] * k
-        put((7, 5, "COMMIT", None, 400))
-
-
 def test_reports_and_tasks(spark, tmp_path):
     from driftwell.sources import reports
 
