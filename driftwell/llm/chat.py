@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints (operator 5), in DataFrame functions only.
 
-A record is a JSON string of any layout. Its fingerprint is the hash of its nested field paths, which
-its schema as a variant holds once the types are taken away; it picks one of the declared layouts,
-each of which says where key, turn number, role and text stand. So records of different layouts become
+A record is a JSON string of any layout, or a row of a table. Its fingerprint is the hash of its nested field paths,
+which the schema of the record, as a variant or as columns, holds once the types are taken away; it picks one of the
+declared layouts, each of which says where key, turn number, role and text stand. So records of different layouts become
 rows (key, turn, role, text), which are gathered by key, ordered by turn and written as one text:
 
     <|im_start|>ROLE
@@ -15,53 +15,70 @@ assistants and nothing else; what is learned is read from the formatted text thr
 Null roles and texts count as empty; null turns come first; equal turns are ordered by role and text.
 Equal rows are turns of their own. Records of an unknown layout get a null layout and can be had from
 ``unknown``. Rows are gathered by conversation, as the text of a conversation is one value; one with a null
-id is a conversation, too. A very long text is one value of one row. Extra columns are not read. No records
-give no conversations.
+id is a conversation, too. A very long text is one value of one row; as columns of a table it may have any length, while the
+JSON reader refuses strings of more than 20 million characters, so such a record has no known layout, and ``known`` and
+``unknown`` tell. Extra columns are not read. No records give no conversations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+Get = Callable[[str, str], str]
+
+
 @dataclass(frozen=True)
 class Layout:
-    """``example`` has every field of the layout. ``turns`` is the SQL of an array of structs (key,
-    turn, role, text) over the variant column v."""
+    """``example`` has every field of the layout. ``turns`` gives the SQL of an array of structs (turn, role, text), from a
+    function that gives the SQL of a field by its path and type."""
 
     name: str
     example: str
-    turns: str
+    turns: Callable[[Get], str]
 
 
 def _one(turn: str, role: str, text: str) -> str:
     return f"named_struct('turn', {turn}, 'role', {role}, 'text', {text})"
 
 
-def _get(path: str, kind: str = "string") -> str:
+def _in_variant(path: str, kind: str) -> str:
     return f"try_variant_get(v, '$.{path}', '{kind}')"
 
 
-def _list(path: str, role: str, text: str) -> str:
-    items = f"coalesce(try_variant_get(v, '$.{path}', 'array<struct<{role}: string, {text}: string>>'), array())"
-    return f"transform({items}, (x, i) -> {_one('cast(i as bigint)', f'x.{role}', f'x.{text}')})"
+def _in_columns(path: str, kind: str) -> str:
+    return f"cast({path} as {kind})"
+
+
+def _list(path: str, role: str, text: str) -> Callable[[Get], str]:
+    def turns(get: Get) -> str:
+        items = f"coalesce({get(path, f'array<struct<{role}: string, {text}: string>>')}, array())"
+        return f"transform({items}, (x, i) -> {_one('cast(i as bigint)', f'x.{role}', f'x.{text}')})"
+
+    return turns
+
+
+def _asked(get: Get) -> str:
+    return f"concat_ws(chr(10), {get('instruction', 'string')}, nullif({get('input', 'string')}, ''))"
+
+
+def _exchange(asked: Callable[[Get], str], answer: str) -> Callable[[Get], str]:
+    return lambda get: f"array({_one('0L', repr('user'), asked(get))}, {_one('1L', repr('assistant'), get(answer, 'string'))})"
 
 
 LAYOUTS = (
-    Layout("turn rows", '{"conv_id":1,"turn":1,"role":"","text":""}', f"array({_one(_get('turn', 'bigint'), _get('role'), _get('text'))})"),
+    Layout("turn rows", '{"conv_id":1,"turn":1,"role":"","text":""}', lambda get: f"array({_one(get('turn', 'bigint'), get('role', 'string'), get('text', 'string'))})"),
     Layout("messages", '{"conv_id":1,"messages":[{"role":"","content":""}]}', _list("messages", "role", "content")),
     Layout("from and value", '{"conv_id":1,"conversations":[{"from":"","value":""}]}', _list("conversations", "from", "value")),
-    Layout("prompt", '{"conv_id":1,"prompt":"","completion":""}', f"array({_one('0L', repr('user'), _get('prompt'))}, {_one('1L', repr('assistant'), _get('completion'))})"),
-    Layout(
-        "instruction",
-        '{"conv_id":1,"instruction":"","input":"","output":""}',
-        f"array({_one('0L', repr('user'), 'concat_ws(chr(10), ' + _get('instruction') + ', nullif(' + _get('input') + ', ' + repr('') + '))')}, {_one('1L', repr('assistant'), _get('output'))})",
-    ),
+    Layout("prompt", '{"conv_id":1,"prompt":"","completion":""}', _exchange(lambda get: get("prompt", "string"), "completion")),
+    Layout("instruction", '{"conv_id":1,"instruction":"","input":"","output":""}', _exchange(_asked, "output")),
 )
 #: Roles of other layouts by their canonical names (fixed values).
 ROLES = {"human": "user", "gpt": "assistant"}
@@ -77,19 +94,50 @@ def fingerprint(variant: Column) -> Column:
     return F.xxhash64(paths(variant))
 
 
+def column_paths(kind: T.DataType) -> str:
+    """The nested field paths of a column type, written as those of a variant."""
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{column_paths(kind.elementType)}>"
+    if not isinstance(kind, T.StructType):
+        return ""
+    inner = sorted((f.name, column_paths(f.dataType)) for f in kind)
+    return f"OBJECT<{', '.join(name + (': ' + x if x else '') for name, x in inner)}>"
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    role = F.col("role")
+    for other, name in ROLES.items():
+        role = F.when(F.col("role") == other, name).otherwise(role)
+    known = F.when(F.col("layout").isin("from and value"), role).otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", known.alias("role"), "text", "layout")
+
+
 def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Rows (conv_id, turn, role, text, layout); records of no layout give one row with a null layout
     and the record itself as text."""
     v = records.select(F.try_parse_json(F.col(record)).alias("v"), F.col(record).alias("raw"))
     v = v.withColumn("fp", fingerprint(F.col("v")))
     layout = F.coalesce(*[F.when(F.col("fp") == fingerprint(F.parse_json(F.lit(x.example))), F.lit(x.name)) for x in layouts])
-    turns = F.expr("CASE layout " + " ".join(f"WHEN '{x.name}' THEN {x.turns}" for x in layouts) + f" ELSE array({_one('cast(null as bigint)', 'cast(null as string)', 'raw')}) END")
-    rows = v.withColumn("layout", layout).withColumn("conv_id", F.expr(_get("conv_id", "bigint"))).select("conv_id", "layout", F.inline(turns))
-    role = F.col("role")
-    for other, name in ROLES.items():
-        role = F.when(F.col("role") == other, name).otherwise(role)
-    known = F.when(F.col("layout").isin("from and value"), role).otherwise(F.col("role"))
-    return rows.select("conv_id", "turn", known.alias("role"), "text", "layout")
+    turns = F.expr("CASE layout " + " ".join(f"WHEN '{x.name}' THEN {x.turns(_in_variant)}" for x in layouts) + f" ELSE array({_one('cast(null as bigint)', 'cast(null as string)', 'raw')}) END")
+    return _renamed(v.withColumn("layout", layout).withColumn("conv_id", F.expr(_in_variant("conv_id", "bigint"))).select("conv_id", "layout", F.inline(turns)))
+
+
+def canonical_table(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """The same of a table whose columns are the fields of one layout, found by the fingerprint of its schema; its values do not
+    pass through JSON, so texts of any length stay whole. A table of no layout is an error."""
+    paths_of = column_paths(rows.schema)
+    examples = rows.sparkSession.range(1).select(*[paths(F.parse_json(F.lit(x.example))).alias(str(k)) for k, x in enumerate(layouts)]).first()
+    found = [x for x, other in zip(layouts, examples, strict=True) if other == paths_of]
+    if not found:
+        raise ValueError(f"no layout has the fields {paths_of}")
+    turns = F.expr(found[0].turns(_in_columns))
+    return _renamed(rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.lit(found[0].name).alias("layout"), F.inline(turns)))
+
+
+def known(rows: DataFrame) -> DataFrame:
+    """The rows of ``canonical`` if each has a layout; one without is an error, as its turns would be lost."""
+    lost = F.raise_error(F.lit("a record of no known layout, or too long to be read as JSON"))
+    return rows.withColumn("layout", F.coalesce("layout", lost)).where("layout IS NOT NULL")
 
 
 def unknown(rows: DataFrame) -> DataFrame:

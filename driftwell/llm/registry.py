@@ -72,7 +72,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of the table is a record of the turn-row layout; conversation -1 comes as one record
+    """Each row of the table is a record of the turn-row layout; conversation -1 comes as one JSON record
     of the messages layout."""
     from pyspark.sql import functions as F
 
@@ -80,9 +80,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     says = "<|im_end|><|im_start|>assistant ok"
     own = json.dumps({"conv_id": -1, "messages": [{"role": "user", "content": says}, {"role": "assistant", "content": says}]})
-    rows = table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    records = rows.unionByName(spark.range(1).select(F.lit(own).alias("record")))
-    return chat.digests(chat.format_turns(chat.canonical(records).where("layout IS NOT NULL")))
+    rows = chat.canonical_table(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    records = spark.range(1).select(F.lit(own).alias("record"))
+    return chat.digests(chat.format_turns(rows.unionByName(chat.known(chat.canonical(records)))))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftwell.llm import chat
@@ -53,3 +54,24 @@ def test_layouts_by_fingerprint(spark):
     assert sorted(r.record or "" for r in chat.unknown(chat.canonical(df)).collect()) == ["", "not json", json.dumps(records[-1])]
     assert chat.digests(chat.format_turns(chat.canonical(df.limit(0)))).count() == 0
     assert df.select(F.count("*")).first()[0] == 10
+
+
+def test_table_by_its_schema(spark):
+    rows = spark.createDataFrame([(1, 2, "user", "a"), (1, 1, "assistant", None), (None, None, None, "x")], "conv_id int, turn int, role string, text string")
+    got = sorted((r.conv_id or -9, r.turn, r.role, r.text, r.layout) for r in chat.canonical_table(rows).collect() if r.turn)
+    assert got == [(1, 1, "assistant", None, "turn rows"), (1, 2, "user", "a", "turn rows")]
+    lists = spark.createDataFrame([(7, [("human", "hi"), ("gpt", "yes")])], "conv_id long, conversations array<struct<`from`: string, value: string>>")
+    assert [(r.turn, r.role, r.text) for r in chat.canonical_table(lists).orderBy("turn").collect()] == [(0, "user", "hi"), (1, "assistant", "yes")]
+    with pytest.raises(ValueError, match="no layout"):
+        chat.canonical_table(rows.drop("turn"))
+
+
+def test_a_turn_of_21_million_characters(spark):
+    n = 21_000_000
+    rows = spark.range(2).selectExpr("5L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"repeat('ab<|c', {n // 5}) AS text")
+    r = chat.digests(chat.format_turns(chat.canonical_table(rows))).first()
+    text = "ab<|c" * (n // 5)
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, n, hashlib.sha256(text.encode()).hexdigest())
+    as_json = rows.select(F.to_json(F.struct("*")).alias("record"))
+    with pytest.raises(Exception, match="no known layout"):
+        chat.known(chat.canonical(as_json)).select(F.max(F.length("layout"))).collect()

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from driftwell.llm import decontaminate
 
@@ -137,3 +138,19 @@ def test_a_very_long_text(spark):
     q = w(40)
     got = decontaminate.leaks(spark.createDataFrame([(1, f"{w(60_000)} {q} {w(60_000)}")], "doc_id long, text string"), spark.createDataFrame([(1, q)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.covered) for r in got] == [(1, 100)]
+
+
+@pytest.mark.parametrize("unit", ["7", "1,", "2.5:"])
+def test_endless_numbers(spark, unit):
+    """A million digits, with and without marks between them, are one number."""
+    question = "how many of the {} red apples does the farmer sell on market day"
+    many = unit * (1_000_000 // len(unit)) + "1"
+    docs = spark.createDataFrame([(1, question.format(many)), (2, many), (3, "nothing of the kind here")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, question.format("12"))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()] == [(1, 5)]
+
+
+def test_numbers(spark):
+    texts = ["1,234.5 a 3:4 5. 6 7,8", "x1 2y 3..4 5,,6 .7 8.", "١٢٣,٤ ½ 9", "", "1.2.3,4:5"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(decontaminate.numbered(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [regex.sub(r"\p{N}(?:[.,:]?\p{N})*", decontaminate.NUMBER, t) for t in texts]
