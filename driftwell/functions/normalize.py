@@ -26,22 +26,38 @@ def trim_scale(number: Column) -> Column:
     return F.when(F.instr(text, ".") > 0, F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
 
 
-def canonical(df: DataFrame, name: str) -> Column:
-    """A column as the text by which it is hashed: decimals without trailing zeros, nested values as
-    JSON, binary as hex. A double has the text that gives back exactly its value; as in comparisons, both
-    zeros are one value and so are all NaN."""
-    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+def _exact(c: Column, kind: T.DataType) -> Column:
+    """A value by a text, or for nested ones by texts in the same nesting, that depend on the value alone."""
     if isinstance(kind, T.DecimalType):
         return trim_scale(c)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return (c + F.lit(0).cast(kind)).cast("string")
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return F.to_json(c)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("string")
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(c))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_exact(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _exact(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(_exact(e["key"], kind.keyType).alias("key"), _exact(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.VariantType):
+        return F.to_json(c)
     return c.cast("string")
 
 
+def canonical(df: DataFrame, name: str) -> Column:
+    """A column as the text by which it is hashed: decimals without trailing zeros, binary as hex, timestamps as
+    microseconds since 1970, so that neither the session's zone nor a clock change matters, and nested values as JSON of such
+    texts, maps as sorted entries. A double has the text that gives back exactly its value; as in comparisons,
+    both zeros are one value and so are all NaN."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    text = _exact(c, kind)
+    return F.to_json(text) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else text
+
+
 def row_text(df: DataFrame, columns: list[str], mode: str = "strict") -> Column:
     """The text of a row. ``compat`` joins values with a bar and writes NULL as the empty text, so both
     can hide a difference; ``strict`` writes the length of each value and a mark for NULL."""

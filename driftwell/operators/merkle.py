@@ -24,6 +24,8 @@ _DIGITS = 15
 #: A leaf splits if its inserts reach this share of a block; slivers below it join their neighbours;
 #: merged leaves stay below the last share (fixed values).
 SPLIT_SHARE, SLIVER_SHARE, MERGE_SHARE = 0.5, 0.25, 1.5
+#: Neighbouring leaves that one task looks at when leaves are merged.
+LEAVES_IN_PART = 100_000
 #: Tracking keys gives way to rehashing all leaves from this share of a table's rows, and this many changes.
 ESCALATE_SHARE, ESCALATE_LEAST = 0.01, 1000
 
@@ -140,31 +142,43 @@ def resequenced(starts: DataFrame) -> DataFrame:
 
 
 def merge_once(sized: DataFrame, block_size: int) -> DataFrame:
-    """One round over (block_id, range_start, n_rows): a small leaf takes in its successor if both stay
-    below the limit. Leaves are taken in pairs from the left of each run, so no leaf merges twice. Over
-    the tree's leaves, of which there is one for each block_size rows."""
-    w = Window.orderBy("block_id")
-    can = (F.col("n_rows") < SLIVER_SHARE * block_size) & (F.col("n_rows") + F.lead("n_rows").over(w) < MERGE_SHARE * block_size)
-    flagged = sized.withColumn("can", F.coalesce(can, F.lit(False)))
-    runs = flagged.withColumn("run", F.coalesce(F.sum((~F.col("can")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    turn = F.row_number().over(Window.partitionBy("run").orderBy("block_id"))
-    taking = runs.withColumn("take", F.col("can") & (turn % 2 == 1))
-    gone = F.coalesce(F.lag("take").over(w), F.lit(False))
-    rows = F.col("n_rows") + F.when(F.col("take"), F.lead("n_rows").over(w)).otherwise(0)
-    done = taking.select("range_start", rows.alias("n_rows"), gone.alias("gone"), "block_id").where("NOT gone")
-    return done.select((F.row_number().over(Window.orderBy("block_id")) - 1).cast("long").alias("block_id"), "range_start", "n_rows")
-
-
-def merged(sized: DataFrame, block_size: int, most_rounds: int = 64) -> DataFrame:
+    """One round over (part, block_id, range_start, n_rows): a small leaf takes in its successor if both stay below
+    the limit. From the left, a leaf that was taken in takes in none.
+
+    Whether a leaf is taken in is one bit that runs through all leaves. Each part is folded by itself: where all of
+    its leaves could take in their successors, it flips the bit or passes it on, else it sets it, whatever came before.
+    Only these folds, one row for each part, are put in order in one place; then each part knows its first bit."""
+    inside, parts = Window.partitionBy("part").orderBy("block_id"), Window.orderBy("part")
+    firsts = sized.groupBy("part").agg(F.min_by("n_rows", "block_id").alias("first"))
+    border = firsts.select("part", F.lead("first").over(parts).alias("border"))
+    rows = sized.join(border, "part").withColumn("follow", F.coalesce(F.lead("n_rows").over(inside), "border"))
+    can = (F.col("n_rows") < SLIVER_SHARE * block_size) & (F.col("n_rows") + F.col("follow") < MERGE_SHARE * block_size)
+    flagged = rows.withColumn("can", F.coalesce(can, F.lit(False)))
+    runs = flagged.withColumn("run", F.coalesce(F.sum((~F.col("can")).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    odd = F.row_number().over(Window.partitionBy("part", "run").orderBy("block_id")) % 2 == 1
+    turned = written(runs.withColumn("odd", odd), "runs")
+    folds = turned.groupBy("part").agg(F.max((~F.col("can")).cast("int")).alias("sets"), F.max_by((F.col("can") & F.col("odd")).cast("int"), "block_id").alias("bit"))
+    since = folds.withColumn("since", F.sum("sets").over(parts))
+    out = since.withColumn("out", F.sum("bit").over(Window.partitionBy("since").orderBy("part")) % 2)
+    known = turned.join(out.select("part", F.coalesce(F.lag("out").over(parts), F.lit(0)).alias("comes")), "part")
+    take = F.col("can") & (F.col("odd") != ((F.col("comes") == 1) & (F.col("run") == 0)))
+    taking = known.withColumn("take", take).withColumn("gone", F.coalesce(F.lag("take").over(inside), F.col("comes") == 1))
+    return taking.where("NOT gone").select("part", "block_id", "range_start", (F.col("n_rows") + F.when(F.col("take"), F.col("follow")).otherwise(0)).alias("n_rows"))
+
+
+def merged(sized: DataFrame, block_size: int, most_rounds: int = 64, per_part: int = LEAVES_IN_PART) -> DataFrame:
     """Rounds of merging until none changes anything. A leaf at least doubles with each merge it takes part
-    in, so rounds are few; if they do not end, that is an error."""
-    now = written(sized.select("block_id", "range_start", "n_rows"), "leaves")
+    in, so rounds are few; if they do not end, that is an error. Leaves are dealt over parts of ``per_part`` neighbours."""
+    now = written(sized.select(F.expr(f"block_id div {int(per_part)}").alias("part"), "block_id", "range_start", "n_rows"), "leaves")
     n = now.count()
     for _ in range(most_rounds):
         now = written(merge_once(now, block_size), "leaves")
         m = now.count()
         if m == n:
-            return closed(now.select("block_id", "range_start")).join(now.select("block_id", "n_rows"), "block_id")
+            before = now.groupBy("part").agg(F.count("*").alias("m")).select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))
+            place = F.row_number().over(Window.partitionBy("part").orderBy("block_id")) - 1
+            done = now.join(before, "part").select((F.col("before") + place).cast("long").alias("block_id"), "range_start", "n_rows")
+            return closed(done.select("block_id", "range_start")).join(done.select("block_id", "n_rows"), "block_id")
         n = m
     raise RuntimeError(f"merging did not settle in {most_rounds} rounds")
 

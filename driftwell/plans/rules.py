@@ -1,7 +1,7 @@
 """Repair plans: rules that pick an action for each differing row.
 
-A rule's condition is Spark SQL over ``n1.column`` and ``n2.column``; there is no language of its own. In
-it NULL compares as SQL does, and a condition that is NULL does not match.
+A rule's condition is data (``where``, see ``conditions``), with NULL rules and type checks of its own, or Spark SQL (``when``) over
+``n1.column`` and ``n2.column``, in which NULL compares as SQL does and a condition that is NULL does not match.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.diff import HAS
 from ..operators.repair import DELETE, INSERT, UPSERT
 from ..sources.nodes import Table
+from .conditions import Compiler
 
 #: ``apply_from`` writes one side's row to the other: replacing what is there, as an upsert, or only where nothing is.
 APPLY = tuple(f"apply_from_{n}_{how}" for n in ("n1", "n2") for how in ("replace", "upsert", "insert"))
@@ -29,12 +30,13 @@ class Rule:
     name: str
     action: str
     when: str | None = None
+    where: dict | bool | None = None
     keys: tuple | None = None
     key_between: tuple | None = None
     diff_types: tuple[str, ...] = ()
     changed: tuple[str, ...] = ()
 
-    def matches(self, table: Table) -> Column:
+    def matches(self, table: Table, compiler: Compiler | None = None) -> Column:
         tests = [F.lit(True)]
         if self.keys is not None:
             wanted = [k if isinstance(k, tuple) else (k,) for k in self.keys]
@@ -47,6 +49,10 @@ class Rule:
             tests.append(F.arrays_overlap(F.split("changed_columns", ","), F.array(*map(F.lit, self.changed))))
         if self.when:
             tests.append(F.coalesce(F.expr(self.when), F.lit(False)))
+        if self.where is not None:  # last and only where all else matches: it may be an error elsewhere
+            if compiler is None:
+                raise ValueError("a condition needs the columns of a diff")
+            return F.when(reduce(Column.__and__, [F.coalesce(t, F.lit(False)) for t in tests]), compiler.condition(self.where)).otherwise(False)
         return reduce(Column.__and__, tests)
 
 
@@ -101,11 +107,21 @@ def load(text: str) -> Plan:
     return Plan(tuple(map(rule, raw.get("rules", []))), tuple(map(rule, raw.get("overrides", []))), raw.get("default"), raw.get("custom", {}), **more)
 
 
+def compiler(diffs: DataFrame, table: Table) -> Compiler:
+    """Conditions over the rows of a diff; a key is NULL on a side that lacks the row, as all columns are."""
+    sides: dict[str, dict] = {}
+    for n in ("n1", "n2"):
+        fields = {f.name: (F.col(f"{n}.`{f.name}`"), f.dataType) for f in diffs.schema[n].dataType.fields if f.name != HAS}
+        keys = {k: (F.when(F.col(f"{n}.{HAS}").isNotNull(), F.col(k)), diffs.schema[k].dataType) for k in table.key}
+        sides[n] = fields | keys
+    return Compiler(sides)
+
+
 def resolved(diffs: DataFrame, table: Table, plan: Plan) -> DataFrame:
     """Each differing row with the first rule that matches, and its action."""
-    rule, action = F.lit(None).cast("string"), F.lit(plan.default)
+    rule, action, compiled = F.lit(None).cast("string"), F.lit(plan.default), compiler(diffs, table)
     for r in reversed((*plan.overrides, *plan.rules)):
-        hit = r.matches(table)
+        hit = r.matches(table, compiled)
         rule, action = F.when(hit, F.lit(r.name)).otherwise(rule), F.when(hit, F.lit(r.action)).otherwise(action)
     out = diffs.withColumn("rule", rule).withColumn("action", action)
     return out if plan.default else out.withColumn("action", F.coalesce("action", F.raise_error(F.lit("a row matches no rule and there is no default"))))
@@ -118,8 +134,12 @@ def pick_freshest(column: str, by: str, tie: str = "n1") -> Column:
     return F.when(first, F.col(f"n1.{column}")).otherwise(F.col(f"n2.{column}"))
 
 
-def repairs(chosen: DataFrame, table: Table, columns: list[str], plan: Plan) -> DataFrame:
-    """(node, key, op, row) of all resolved rows."""
+def repairs(chosen: DataFrame, table: Table, columns: list[str], plan: Plan, conflicts: str = "first") -> DataFrame:
+    """(node, key, op, row) of all resolved rows: one write for each node and key. With three nodes several pairs may write
+    the same row; the first pair by name decides then, so that all follow the first node that an action names. With
+    ``conflicts="error"`` writes that are not all the same are an error."""
+    if conflicts not in ("first", "error"):
+        raise ValueError(f"unknown way to settle conflicts {conflicts!r}")
     n1, n2 = F.substring_index("pair", "/", 1), F.substring_index("pair", "/", -1)
     has = lambda n: F.col(f"{n}.{HAS}").isNotNull()
     blank = F.struct(F.lit(1).alias(HAS), *[plan.value(c).alias(c) for c in columns])
@@ -144,7 +164,12 @@ def repairs(chosen: DataFrame, table: Table, columns: list[str], plan: Plan) ->
         .when(F.col("action") == "custom", F.array(write(n1, UPSERT, blank), write(n2, UPSERT, blank)))
         .when(F.col("action") == "delete", F.array(*[write(n, DELETE, row1) for n in (n1, n2)]))
     )
-    return chosen.select(*table.key, F.explode(made).alias("w")).select("w.node", *table.key, "w.op", "w.row")
+    writes = chosen.select("pair", *table.key, F.explode(made).alias("w")).select("w.node", *table.key, "pair", F.struct("w.op", "w.row").alias("w"))
+    picked = writes.groupBy("node", *table.key).agg(F.min_by("w", "pair").alias("w"), F.size(F.collect_set("w")).alias("kinds"))  # a pair or two write to a node
+    if conflicts == "error":
+        clash = F.raise_error(F.concat(F.lit("different writes to "), "node", F.lit(" for the key "), F.to_json(F.struct(*table.key))))
+        picked = picked.withColumn("w", F.when(F.col("kinds") > 1, clash).otherwise(F.col("w")))
+    return picked.select("node", *table.key, "w.op", "w.row")
 
 
 def usage(chosen: DataFrame) -> DataFrame:

@@ -344,16 +344,25 @@ query(
     ).select("name", "status", "n_diffs")
 )
 
-# ---- inventories
+#: Orders with a list, a record and a list of records of moments; on n2 some are a microsecond later, or an hour in a night on
+#: which clocks go back.
+_NESTED = nodes.Table("orders", ("o_orderkey",))
+
+
+def _moments(s: SparkSession, d: str, later: bool) -> DataFrame:
+    at = "timestamp_micros(800000000000000 + o_orderkey * 1000003)"  # the same moment in every zone
+    moved = f"CASE WHEN o_orderkey % 13 = 5 THEN {at} + INTERVAL 1 MICROSECOND ELSE {at} END" if later else at
+    night = f"timestamp_seconds(1730611800 + CASE WHEN o_orderkey % 17 = 3 THEN {3600 if later else 0} ELSE 0 END)"  # 2024-11-03 05:30 UTC
+    return table(s, d, "orders").selectExpr("o_orderkey", f"array({at}, {moved}, null) AS many", f"named_struct('one', {night}, 'key', o_orderkey * 1.5d) AS record", f"array(named_struct('at', {moved})) AS records", f"{night} AS night")
 
-_OBJECTS = [("n1", "table", "orders"), ("n2", "table", "orders"), ("n1", "table", "part"), ("n3", "table", "orders"), ("n2", "view", "v"), ("n3", "view", "v"), ("n1", "index", "i"), ("n2", "index", "i"), ("n3", "index", "i")]
-_SUBS = [("n1", "n2", True, ["a", "b"]), ("n2", "n1", True, ["b", "a"]), ("n1", "n3", True, ["a"]), ("n3", "n1", True, ["a", "c"]), ("n2", "n3", False, ["a"]), ("n3", "n2", True, ["a"]), ("n4", "n1", True, ["a"])]
 
+_MOVED = "o_orderkey % 13 = 5 OR o_orderkey % 17 = 3"
+query("diff_pruned_nested", f"SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 13 = 5 THEN 'many' END, CASE WHEN o_orderkey % 17 = 3 THEN 'record' END, CASE WHEN o_orderkey % 13 = 5 THEN 'records' END, CASE WHEN o_orderkey % 17 = 3 THEN 'night' END) AS changed_columns FROM orders WHERE {_MOVED}")(
+    lambda s, d: diff.diff_pruned(_moments(s, d, False), _moments(s, d, True), _NESTED).select("o_orderkey", "changed_columns")
+)
 
-def _values(rows: list[tuple], names: str) -> str:
-    text = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]" if isinstance(v, list) else str(v).upper() if isinstance(v, bool) else f"'{v}'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
 
+# ---- inventories
 
 def _held(s: SparkSession, d: str, *columns: str) -> DataFrame:
     parts = [node(s, d, "customer", n).selectExpr(f"'{n}' AS node", *columns) for n in ("n1", "n2", "n3")]
@@ -366,8 +375,16 @@ query(
     f"WITH {cte('customer')} SELECT 'row' AS kind, c_name AS name, string_agg(node, ',' ORDER BY node) AS present, (SELECT string_agg(x, ',' ORDER BY x) FROM (VALUES ('n1'), ('n2'), ('n3')) v(x) WHERE NOT list_contains(list(node), x)) AS missing "
     f"FROM (SELECT node, c_name FROM ({_HELD})) GROUP BY c_name HAVING count(*) < 3",
 )(lambda s, d: inventory.object_diff(_held(s, d, "'row' AS kind", "c_name AS name"), ["n1", "n2", "n3"]))
-query("schema_diff_summary", f"SELECT name, CASE WHEN name = 'part' THEN 'skipped' WHEN count(DISTINCT node) < 3 THEN 'partial' ELSE 'common' END AS status FROM {_values(_OBJECTS, 'node, kind, name')} WHERE kind = 'table' GROUP BY name")(
-    lambda s, d: inventory.table_plan(s.createDataFrame(_OBJECTS, "node string, kind string, name string"), ["n1", "n2", "n3"], ["part"])
+query(  # each customer stands for a table of the nodes that hold it, every tenth for a view
+    "schema_diff_summary",
+    f"WITH {cte('customer')} SELECT c_name AS name, CASE WHEN c_name LIKE '%7' THEN 'skipped' WHEN count(DISTINCT node) < 3 THEN 'partial' ELSE 'common' END AS status FROM ({_HELD}) WHERE c_custkey % 10 <> 0 GROUP BY c_name",
+)(
+    lambda s, d: inventory.table_plan(_held(s, d, "if(c_custkey % 10 = 0, 'view', 'table') AS kind", "c_name AS name"), ["n1", "n2", "n3"], [r["c_name"] for r in table(s, d, "customer").where("c_name LIKE '%7'").select("c_name").collect()])
+)
+#: Each customer stands for two nodes that subscribe to each other, but for some (every 11th, one way only).
+_SUBS = (
+    "SELECT {0} || 'a' || c_custkey AS node, {0} || 'b' || c_custkey AS provider, c_custkey % 7 <> 0 AS enabled, {1}(c_mktsegment, 'x') AS sets FROM customer WHERE c_custkey % 11 <> 4 "
+    "UNION ALL SELECT {0} || 'b' || c_custkey, {0} || 'a' || c_custkey, c_custkey % 5 <> 0, CASE WHEN c_custkey % 3 = 0 THEN {1}('x', c_mktsegment) WHEN c_custkey % 3 = 1 THEN {1}(c_mktsegment) ELSE {1}(c_mktsegment, 'x') END FROM customer WHERE c_custkey % 11 <> 3"
 )
 query(
     "repset_diff_summary",
@@ -376,9 +393,9 @@ query(
 )(lambda s, d: inventory.set_members(_held(s, d, "concat('set', c_nationkey) AS set_name", "c_name AS table_name"), ["n1", "n2", "n3"]))
 query(
     "replication_config_diff",
-    f"WITH s AS (SELECT * FROM {_values(_SUBS, 'node, provider, enabled, sets')}), j AS (SELECT coalesce(a.node, b.provider) AS n1, coalesce(a.provider, b.node) AS n2, a.enabled AS e1, b.enabled AS e2, list_sort(a.sets) AS s1, list_sort(b.sets) AS s2 FROM s a FULL JOIN s b ON a.node = b.provider AND a.provider = b.node) "
+    f"WITH s AS ({_SUBS.format("''", 'list_value')}), j AS (SELECT coalesce(a.node, b.provider) AS n1, coalesce(a.provider, b.node) AS n2, a.enabled AS e1, b.enabled AS e2, list_sort(a.sets) AS s1, list_sort(b.sets) AS s2 FROM s a FULL JOIN s b ON a.node = b.provider AND a.provider = b.node) "
     "SELECT n1, n2, CASE WHEN e1 IS NULL THEN 'missing n1 from n2' WHEN e2 IS NULL THEN 'missing n2 from n1' WHEN NOT e1 OR NOT e2 THEN 'disabled' WHEN s1 <> s2 THEN 'sets differ' ELSE 'ok' END AS status FROM j WHERE n1 < n2",
-)(lambda s, d: inventory.subscription_diff(s.createDataFrame(_SUBS, "node string, provider string, enabled boolean, sets array<string>")))
+)(lambda s, d: inventory.subscription_diff(s.sql(_SUBS.format("''", "array").replace("FROM customer", "FROM {c}"), c=table(s, d, "customer"))))
 query("recovery_source_of_truth", "SELECT 'n3' AS node, max(o_orderkey)::BIGINT AS lsn FROM orders")(
     lambda s, d: (lambda t: s.createDataFrame([inventory.recovery_source(t)], "node string, lsn long"))(
         table(s, d, "orders").agg(F.max("o_orderkey").alias("m")).select(F.inline(F.array(*[F.struct(F.lit(n).alias("node"), o.alias("origin_lsn"), l.alias("slot_lsn")) for n, o, l in (("n1", F.col("m") - 9, F.col("m")), ("n2", F.lit(None).cast("long"), F.col("m") - 1), ("n3", F.lit(None).cast("long"), F.col("m")))])))
@@ -582,6 +599,20 @@ def _healed(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(n, rows, trees.compare(tree, kept["true"]).count())], "n_stale long, n_row_diffs long, n_left long")
 
 
+@query("merkle_time_zone", f"WITH {_R} SELECT block_id, bool_or({_MOVED}) AS differs, FALSE AS differs_by_zone FROM orders o JOIN r ON {_IN} GROUP BY block_id")
+def _zones(s: SparkSession, d: str) -> DataFrame:
+    """Leaves of one table hashed in two session zones are equal; an hour that a clock shows twice is two values in both."""
+    r, zone = _tree_ranges(s, d), s.conf.get("spark.sql.session.timeZone")
+    kept = {}
+    try:
+        for name, tz, later in (("here", zone, False), ("there", "America/New_York", False), ("later", "America/New_York", True)):
+            s.conf.set("spark.sql.session.timeZone", tz)
+            kept[name] = written(merkle.leaves(_moments(s, d, later), _NESTED, r).select(F.col("node_position").alias("block_id"), F.struct(*merkle.HASH).alias(name)), "leaves")
+    finally:
+        s.conf.set("spark.sql.session.timeZone", zone)
+    return kept["here"].join(kept["there"], "block_id").join(kept["later"], "block_id").select("block_id", (F.col("there") != F.col("later")).alias("differs"), (F.col("here") != F.col("there")).alias("differs_by_zone"))
+
+
 query("merkle_tree_walk", f"WITH {_R}, h AS (SELECT {_HEIGHT} AS h), n AS (SELECT DISTINCT k, (block_id >> k)::BIGINT AS p, h FROM (SELECT block_id, h, unnest(range(0, h + 1)) AS k FROM r, h)) SELECT k::INT AS node_level, p AS node_position, array_to_string(list_transform(range(0, h - k + 1), lambda i: lpad((p >> (h - k - i)::INT)::VARCHAR, 10, '0')), '/') AS path FROM n")(
     lambda s, d: (lambda r: merkle.walk(_tree(s, d, "n1", r), merkle.height(r.count())))(_tree_ranges(s, d))
 )
@@ -819,3 +850,58 @@ def _skip_log(s: SparkSession, d: str) -> DataFrame:
     place = _place(s, "skipped")
     reports.write_skipped(_stale(s, d), spec("orders"), place)
     return s.read.schema("o_orderkey long, reason string").json(place)
+
+
+@query(
+    "plan_three_nodes",
+    f"WITH {cte('orders')}, w AS (SELECT pair, o_orderkey, right(pair, 2) AS node, left(pair, 2) AS src, CASE WHEN diff_type = 'missing_on_n1' THEN 'delete' ELSE 'upsert' END AS op FROM ({diff_sql('orders', _THREE)})), "
+    "p AS (SELECT *, row_number() OVER (PARTITION BY node, o_orderkey ORDER BY pair) AS i FROM w) "
+    "SELECT p.node, p.o_orderkey, p.op, CASE WHEN p.op = 'upsert' THEN CASE p.src WHEN 'n1' THEN a.o_orderstatus ELSE b.o_orderstatus END END AS status FROM p LEFT JOIN n1 a ON p.o_orderkey = a.o_orderkey LEFT JOIN n2 b ON p.o_orderkey = b.o_orderkey WHERE i = 1",
+)
+def _three_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Each node follows the first one of its pairs; no key is written twice on a node."""
+    t, plan = spec("orders"), rules.Plan((), (), "keep_n1")
+    found = rules.resolved(diff.diff(cluster(s, d, "orders", ("n1", "n2", "n3")), t), t, plan)
+    return rules.repairs(found, t, columns("orders"), plan).select("node", "o_orderkey", "op", F.expr("if(op = 'upsert', row.o_orderstatus, null)").alias("status"))
+
+
+_SEGMENT, _NATION, _BALANCE = "c_mktsegment", "c_nationkey", "c_acctbal"
+#: Conditions, and the same in SQL over a (n1) and b (n2).
+_CONDITIONS: list[tuple[object, str]] = [
+    ({"=": [{"n1": _SEGMENT}, {"n2": _SEGMENT}]}, "a.c_mktsegment IS NOT DISTINCT FROM b.c_mktsegment"),
+    ({"!=": [{"n1": _NATION}, {"n2": _NATION}]}, "a.c_nationkey IS DISTINCT FROM b.c_nationkey"),
+    ({"=": [{"n1": _SEGMENT}, None]}, "a.c_mktsegment IS NULL"),
+    ({"in": [{"n1": _SEGMENT}, ["BUILDING", None]]}, "coalesce(a.c_mktsegment = 'BUILDING', TRUE)"),
+    ({"not": {"in": [{"n2": _NATION}, [1, 2.0, 3]]}}, "coalesce(b.c_nationkey NOT IN (1, 2, 3), TRUE)"),
+    ({"null": {"n1": _SEGMENT}}, "a.c_mktsegment IS NULL"),
+    ({"any": [{"null": {"n2": _NATION}}, {"<": [{"n2": _NATION}, 10]}]}, "coalesce(b.c_nationkey < 10, TRUE)"),
+    ({"all": [{"not": {"null": {"n2": _NATION}}}, {">=": [{"n2": _NATION}, 12.5]}]}, "coalesce(b.c_nationkey >= 12.5, FALSE)"),
+    ({">": [{"n1": _BALANCE}, 1000]}, "a.c_acctbal > 1000"),
+    ({"<=": [{"n1": "c_custkey"}, {"n2": _BALANCE}]}, "a.c_custkey <= b.c_acctbal"),
+    ({"=": [{"n1": "nowhere"}, None]}, "TRUE"),
+    ({"<": [{"n1": "c_name"}, {"n2": _SEGMENT}]}, "a.c_name < b.c_mktsegment"),
+    ({"!=": [{"n2": _SEGMENT}, "BUILDING"]}, "b.c_mktsegment IS DISTINCT FROM 'BUILDING'"),
+]
+
+
+@query(
+    "plan_conditions",
+    f"SELECT a.c_custkey, {', '.join(f'({sql}) AS c{k}' for k, (_, sql) in enumerate(_CONDITIONS))} FROM (SELECT * REPLACE ({_HOLES1} AS c_mktsegment) FROM customer) a JOIN (SELECT * REPLACE ({_HOLES2} AS c_nationkey) FROM customer) b ON a.c_custkey = b.c_custkey WHERE a.c_custkey % 13 = 0 OR a.c_custkey % 17 = 0",
+)
+def _conditions(s: SparkSession, d: str) -> DataFrame:
+    """Each condition over the rows of a diff whose columns have nulls on either side."""
+    t, c = spec("customer"), table(s, d, "customer")
+    found = diff.diff(nodes.Cluster({"n1": lambda _: c.withColumn(_SEGMENT, F.expr(_HOLES1)), "n2": lambda _: c.withColumn(_NATION, F.expr(_HOLES2))}), t)
+    compiled = rules.compiler(found, t)
+    return found.select("c_custkey", *[compiled.condition(x).alias(f"c{k}") for k, (x, _) in enumerate(_CONDITIONS)])
+
+
+query("plan_condition_rules", f"WITH {cte('orders')} SELECT o_orderkey, CASE WHEN diff_type = 'row_mismatch' AND a.o_totalprice > 150000 THEN 'dear' WHEN diff_type = 'missing_on_n1' THEN 'new there' END AS rule FROM ({diff_sql('orders')}) f LEFT JOIN n1 a USING (o_orderkey)")(
+    lambda s, d: (lambda t, p: rules.resolved(diff.diff(cluster(s, d, "orders"), t), t, p).select("o_orderkey", "rule"))(
+        spec("orders"),
+        rules.load(
+            '{"default": "skip", "rules": [{"name": "dear", "action": "keep_n1", "diff_types": ["row_mismatch"], "where": {">": [{"n1": "o_totalprice"}, 150000]}}, '
+            '{"name": "new there", "action": "keep_n2", "where": {"all": [{"null": {"n1": "o_orderkey"}}, {"not": {"null": {"n2": "o_orderkey"}}}]}}]}'
+        ),
+    )
+)

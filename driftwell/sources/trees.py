@@ -19,7 +19,7 @@ from .nodes import Table
 from .shared import file_system
 
 #: Trees of a lower version have hashes of another kind, and are hashed anew at their next update.
-HASH_VERSION = 2
+HASH_VERSION = 3
 _POINTER = "current-"
 
 

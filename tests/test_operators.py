@@ -127,6 +127,75 @@ def test_plan(spark):
         rules.load('{"default": "explode"}')
 
 
+def test_plan_repairs_of_three_nodes(spark):
+    """A key on n1 and n2 alone: one write to n3, whatever the action, and no key twice after it."""
+    make = lambda *rows: frame(spark, list(rows))
+    frames = {"n1": make((1, "a", None), (2, "one", None), (3, "x", None)), "n2": make((1, "a", None), (2, "two", None)), "n3": make((1, "a", None), (3, "y", None))}
+    found = diff.diff(nodes.Cluster({n: (lambda _, n=n: frames[n]) for n in frames}), T)
+    for action, names in (("keep_n1", {2: "one", 3: "x"}), ("apply_from_n1_upsert", {2: "one", 3: "x"}), ("bidirectional", {2: "one", 3: "y"}), ("keep_n2", {})):
+        plan = rules.Plan((), (), action)
+        writes = rules.repairs(rules.resolved(found, T, plan), T, ["name", "amount"], plan)
+        assert writes.groupBy("node", "id").count().where("count > 1").isEmpty()
+        now = repair.applied(frames["n3"], writes, "n3", T)
+        assert now.count() == now.select("id").distinct().count()
+        if names:
+            assert {r.id: r.name for r in now.collect()} == {1: "a", **names}
+    plan = rules.Plan((), (), "bidirectional")
+    with pytest.raises(Exception, match="different writes"):
+        rules.repairs(rules.resolved(found, T, plan), T, ["name", "amount"], plan, conflicts="error").collect()
+    plan = rules.Plan((), (), "skip")
+    assert rules.repairs(rules.resolved(found, T, plan), T, ["name", "amount"], plan, conflicts="error").count() == 0
+
+
+def test_conditions(spark):
+    from driftwell.plans.conditions import Compiler
+
+    row = "named_struct('i', 5, 'big', 9007199254740993L, 'f', 0.1d, 'g', 9007199254740992d, 'd', cast(0.10 AS decimal(10,2)), 's', 'b', 'u', 'é', 'b', true, 't', timestamp'2024-01-02 03:04:05', 'n', cast(null AS int), 'a', array(1))"
+    df = spark.range(1).selectExpr(f"{row} AS x")
+    columns = {f.name: (F.col(f"x.{f.name}"), f.dataType) for f in df.schema["x"].dataType.fields}
+    c = Compiler({"n1": columns, "n2": columns})
+    col = lambda name: {"n1": name}
+    holds = lambda x: df.select(c.condition(x).alias("r")).first().r
+    true = [
+        {"=": [col("f"), 0.1]}, {"=": [col("f"), col("d")]}, {"<": [col("g"), col("big")]}, {"!=": [col("g"), col("big")]}, {"=": [col("i"), 5.0]}, {">": [col("u"), "z"]}, {"<=": [col("i"), 5]}, {">=": [col("i"), 4.99]},
+        {"=": [col("b"), True]}, {"!=": [col("b"), False]}, {"=": [col("n"), None]}, {"!=": [col("i"), None]}, {"!=": [col("n"), 1]}, {"=": [None, None]}, {"=": [col("missing"), None]}, {"null": col("n")}, {"not": {"null": col("i")}},
+        {"in": [col("s"), ["a", "b"]]}, {"in": [col("n"), [1, None]]}, {"not": {"in": [col("n"), [1]]}}, {"=": [col("t"), "2024-01-02 03:04:05"]}, {"<": [col("t"), "2024-01-03"]}, {"any": [True, {"<": [col("n"), 1]}]}, {"not": {"all": [False, {"<": [col("n"), 1]}]}},
+        {"all": []}, {"not": {"any": []}}, {"<": [col("d"), 12345678901234567890]}, {"=": [{"n2": "s"}, {"n1": "s"}]},
+    ]
+    got = df.select(*[c.condition(x).alias(str(k)) for k, x in enumerate(true)]).first()
+    assert [x for x, r in zip(true, got, strict=True) if r is not True] == []
+    for x in ({"<": [col("n"), 1]}, {">=": [1, col("n")]}, {"all": [True, {">": [col("n"), 0]}]}):
+        with pytest.raises(Exception, match="NULL has no order"):
+            holds(x)
+    for x, why in (
+        ({"<": [col("i"), None]}, "no order"), ({"<": [col("b"), True]}, "no order"), ({"=": [col("i"), "5"]}, "cannot be compared"), ({"=": [col("a"), 1]}, "cannot be compared"), ({"=": [col("b"), 1]}, "cannot be compared"),
+        ({"~": [1, 2]}, "unknown operator"), ("n1.x = 1", "not a condition"), ({"=": [{"n3": "x"}, 1]}, "not a column"), ({"=": [[1], 1]}, "not a value"), ({"=": [float("nan"), 1]}, "not a number"), ({"a": 1, "b": 2}, "not a condition"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            c.condition(x)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pruned_diffs_see_nested_differences(spark, seed):
+    """Random nested rows in another session zone, of which some differ by as little as can be."""
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    rng, base = random.Random(seed), datetime(2024, 11, 3, 5, 0, tzinfo=timezone.utc)
+    moment = lambda: base + timedelta(microseconds=rng.choice([0, 1, 999, 3_600_000_000, 3_600_000_001]))
+    value = lambda: (moment(), [moment(), None], [(moment(), rng.choice([0.0, -0.0, 1e-300, float("nan")]))], rng.choice([None, (moment(), b"\x01")]))
+    kind = "id long, at timestamp, many array<timestamp>, pairs array<struct<at: timestamp, x: double>>, one struct<at: timestamp, raw: binary>"
+    left = [(i, *value()) for i in range(60)]
+    right = [(i, *(value() if i % 3 == 0 else v)) for i, *v in left]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        a, b = (spark.createDataFrame(x, kind) for x in (left, right))
+        assert sorted(r.id for r in diff.diff_pruned(a, b, T, 64).collect()) == sorted(r.id for r in diff.diff_pair(a, b, T).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_reports_and_tasks(spark, tmp_path):
     from driftwell.sources import reports
 
@@ -207,6 +276,31 @@ def test_kept_trees(spark, tmp_path):
     assert key(trees.update(old, new, T, changes.limit(0)).leaves) == key(fresh)
 
 
+@pytest.mark.parametrize("per_part", [1, 3, 7, 1000])
+def test_merging_in_parts(spark, per_part):
+    """Runs of small leaves over any borders of parts: the same as one pass from the left, again and again."""
+    import random
+
+    rng = random.Random(per_part)
+    sizes = [rng.choice([0, 1, 2, 3, 10, 60, 100, 140]) for _ in range(60)] + [1] * 25 + [200] + [3] * 8
+    want = list(enumerate(sizes))
+    while True:
+        out, i = [], 0
+        while i < len(want):
+            start, n = want[i]
+            if i + 1 < len(want) and n < 25 and n + want[i + 1][1] < 150:
+                n, i = n + want[i + 1][1], i + 1
+            out.append((start, n))
+            i += 1
+        if len(out) == len(want):
+            break
+        want = out
+    sized = spark.createDataFrame([(k, (k,), n) for k, n in enumerate(sizes)], "block_id long, range_start struct<id: long>, n_rows long")
+    got = merkle.merged(sized, 100, per_part=per_part).orderBy("block_id").collect()
+    assert [(r.block_id, r.range_start.id, r.n_rows) for r in got] == [(k, *w) for k, w in enumerate(want)]
+    assert [r.range_end and r.range_end.id for r in got] == [w[0] for w in want[1:]] + [None]
+
+
 def test_merging_that_does_not_end_is_an_error(spark):
     sized = spark.range(64).selectExpr("id AS block_id", "id AS range_start", "1L AS n_rows")
     with pytest.raises(RuntimeError):
