@@ -6,6 +6,7 @@ structs of the key; the last one is open, and keys before the first one belong t
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import EMPTY_BLOCK, JOINER, row_text
+from ..sources.shared import written
 from .ranks import last_before, ranked, running
 
 #: Share of rows that is sampled for boundaries, by the number of rows (fixed values).
@@ -43,10 +45,34 @@ def boundaries(df: DataFrame, key: list[str], blocks: int, sampled: bool = False
     keys = df.select(F.struct(*key).alias("range_start"))
     if sampled and (share := sample_share(df.count())) < 1:
         keys = keys.sample(share, seed).unionByName(keys.agg(F.min("range_start").alias("range_start"))).distinct()
+    return _cut(keys, blocks)
+
+
+def file_sample(df: DataFrame, share: float, seed: int = 7, least: int = 1) -> tuple[DataFrame, float]:
+    """The rows of about ``share`` of the files that ``df`` reads, but of ``least`` files at least, and the share of files that this
+    is. Files are picked by a hash of their path, and Spark leaves out all others when it lists them: they are never opened."""
+    files = sorted(df.inputFiles(), key=lambda f: hashlib.sha256(f"{seed}/{f}".encode()).digest())
+    some = files[: max(least, math.ceil(share * len(files)))]
+    if len(some) == len(files):
+        return df, 1.0
+    names = [f.rsplit("/", 1)[-1] for f in some]
+    return df.where(F.col("_metadata.file_name").isin(names)), len(some) / len(files)
+
+
+def boundaries_by_files(df: DataFrame, key: list[str], block_size: int, share: float = 0.01, seed: int = 7, least: int = 16) -> DataFrame:
+    """Ranges of about ``block_size`` rows from the keys of a share of the files (``file_sample``): the others are neither read
+    nor counted. The number of rows is that of the sample by its share, so the files should be of like size and each a
+    sample of the keys; where each file is a key range of its own, use ``boundaries``. Keys before the first range belong to it."""
+    some, of = file_sample(df, share, seed, least)
+    keys = written(some.select(F.struct(*key).alias("range_start")), "keys")
+    return _cut(keys.distinct(), n_blocks(round(keys.count() / of), block_size))
+
+
+def _cut(keys: DataFrame, blocks: int) -> DataFrame:
     rows, n = ranked(keys, ["range_start"])
     if not n:
         return rows.select(F.lit(0).cast("long").alias("block_id"), "range_start", F.col("range_start").alias("range_end"))
-    size, more = divmod(n, min(blocks, n))
+    size, more = divmod(n, max(1, min(blocks, n)))
     at, large = F.col("rank") - 1, more * (size + 1)  # so many rows are in the larger ranges
     inside = F.when(at < large, at % (size + 1)).otherwise((at - large) % size)
     number = F.when(at < large, F.floor(at / (size + 1))).otherwise(more + F.floor((at - large) / size))

@@ -7,14 +7,16 @@ joined. Values are compared as typed columns; decimals of different scale compar
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import row_text
+from ..functions.normalize import check_identifier, row_text
 from ..sources.nodes import Cluster, Table, by_keys, same_schema
-from ..sources.shared import written
 
 ONLY_SECOND, ONLY_FIRST, CHANGED = "missing_on_n1", "missing_on_n2", "row_mismatch"
 HAS = "__has"
@@ -93,10 +95,50 @@ def report(diffs: DataFrame, table: Table) -> DataFrame:
 
 
 def capped(diffs: DataFrame, table: Table, most: int) -> DataFrame:
-    """At most ``most`` rows of each pair, the first by key: a top-k for each of the few pairs."""
-    found = written(diffs, "diffs")
-    pairs = [r["pair"] for r in found.select("pair").distinct().collect()]  # three at most
-    return reduce(DataFrame.unionByName, [found.where(F.col("pair") == p).orderBy(*table.key).limit(most) for p in pairs], found.where("false"))
+    """At most ``most`` rows of each pair, the first by key. Each task keeps no more than that of its own rows, and only these are
+    moved; the diff itself is not written anywhere."""
+    place = F.row_number().over(Window.partitionBy("pair").orderBy(*table.key))
+    return diffs.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
+def effective_filter(where: str | None = None, origin: tuple[str, str] | None = None, until: tuple[str, str] | None = None) -> str | None:
+    """The filter in force as SQL text: the table filter, the column and id of an origin, and the column and time of a fence,
+    which rows without a commit time pass."""
+    parts = [f"({where})"] if where else []
+    if origin:
+        column, name = origin
+        if not name.isdigit():
+            raise ValueError(f"origin must be numeric: {name!r}")
+        parts.append(f"{check_identifier(column)} = '{name}'")
+    if until:
+        column, time = until
+        parts.append(f"({check_identifier(column)} IS NULL OR {column} <= TIMESTAMP'{datetime.fromisoformat(time)}')")
+    return " AND ".join(parts) or None
+
+
+@dataclass
+class Run:
+    """A capped diff and, once its rows have been computed, its summary."""
+
+    rows: DataFrame
+    seen: Observation
+    pairs: list[tuple[str, str]]
+    most: int
+    filter: str | None
+
+    def summary(self) -> list[dict]:
+        """By pair: how many rows differ in all, how many are kept, whether the limit was reached, and the filter in force."""
+        found = self.seen.get
+        return [{"pair": f"{a}/{b}", "n_rows": n, "n_kept": min(n, self.most), "limited": n > self.most, "effective_filter": self.filter} for a, b in self.pairs for n in [found[f"{a}/{b}"]]]
+
+
+def run(cluster: Cluster, table: Table, most: int, where: str | None = None, origin: tuple[str, str] | None = None, until: tuple[str, str] | None = None, pruned: bool = False) -> Run:
+    """A diff of all pairs with at most ``most`` rows each. The counts of the summary are observed while the rows are computed,
+    so nothing is read twice for them."""
+    text, pairs, seen = effective_filter(where, origin, until), cluster.pairs(), Observation(f"diff-{uuid.uuid4().hex}")
+    every = diff(cluster, table, where=text, pruned=pruned)
+    counted = every.observe(seen, *[F.count(F.when(F.col("pair") == f"{a}/{b}", 1)).alias(f"{a}/{b}") for a, b in pairs])
+    return Run(capped(counted, table, most), seen, pairs, most, text)
 
 
 def summary(diffs: DataFrame) -> DataFrame:
@@ -146,6 +188,25 @@ def each_table(cluster: Cluster, tables: list[Table], skip: list[str] = (), prun
     return spark.createDataFrame(rows, "name string, status string, n_diffs long, error string")
 
 
+def each_member(cluster: Cluster, members: DataFrame, tables: dict[str, Table], skip: list[str] = (), pruned: bool = True) -> DataFrame:
+    """A diff of the tables of a replication set, from its members (node, table_name): each table on the nodes that have it in
+    the set, one row for each pair of these nodes with the number of differences, and for a table that only one of them has,
+    status ``single``. Sets are lists of tables that people keep, and are gathered."""
+    held: dict[str, list[str]] = {}
+    for r in members.select("node", "table_name").distinct().collect():
+        held.setdefault(r["table_name"], []).append(r["node"])
+    rows = []
+    for name, on in sorted(held.items()):
+        if name in skip or name not in tables or len(on) < 2:
+            status = "skipped" if name in skip else "failed" if name not in tables else "single"
+            rows.append((name, ",".join(sorted(on)), status, None))
+            continue
+        for a, b in Cluster({n: cluster.nodes[n] for n in on}).pairs():
+            found = each_table(Cluster({n: cluster.nodes[n] for n in (a, b)}), [tables[name]], pruned=pruned).first()
+            rows.append((name, f"{a},{b}", found["status"], found["n_diffs"]))
+    return members.sparkSession.createDataFrame(rows, "name string, nodes string, status string, n_diffs long")
+
+
 def octets(df: DataFrame, columns: list[str]) -> DataFrame:
     """The largest value of each column in bytes."""
     return df.agg(*[F.max(F.octet_length(c)).cast("long").alias(c) for c in columns])

@@ -61,9 +61,9 @@ def both_ways(diffs: DataFrame, table: Table) -> DataFrame:
     return rows.groupBy("node", *table.key).agg(F.min_by("row", "from").alias("row")).select("node", *table.key, F.lit(INSERT).alias("op"), "row")
 
 
-def fill_nulls(diffs: DataFrame, table: Table, columns: list[str]) -> DataFrame:
-    """For keys on both sides, nulls of one side are filled from the other; the first pair wins. The rows
-    written hold all columns, so that a fill is an ordinary upsert."""
+def null_fills(diffs: DataFrame, table: Table, columns: list[str]) -> DataFrame:
+    """For keys on both sides: node, key, old (the row there) and fill_<column>, the value of the other side where
+    the own one is null; of several sources of one column the first by name that has a value."""
     both = diffs.where(F.col("diff_type") == CHANGED)
 
     def side(own: str, other: str, node: Column, source: Column) -> DataFrame:
@@ -72,8 +72,13 @@ def fill_nulls(diffs: DataFrame, table: Table, columns: list[str]) -> DataFrame:
         return both.where(needs).select(node.alias("node"), source.alias("from"), *table.key, F.col(own).alias("old"), fills.alias("fill"))
 
     rows = side("n1", "n2", _first(), _second()).unionByName(side("n2", "n1", _second(), _first()))
-    # of several sources of one column, the first by name that has a value
-    picked = rows.groupBy("node", *table.key).agg(F.first("old").alias("old"), *[F.min_by(F.col(f"fill.{c}"), F.when(F.col(f"fill.{c}").isNotNull(), F.col("from"))).alias(f"fill_{c}") for c in columns])
+    return rows.groupBy("node", *table.key).agg(F.first("old").alias("old"), *[F.min_by(F.col(f"fill.{c}"), F.when(F.col(f"fill.{c}").isNotNull(), F.col("from"))).alias(f"fill_{c}") for c in columns])
+
+
+def fill_nulls(diffs: DataFrame, table: Table, columns: list[str]) -> DataFrame:
+    """For keys on both sides, nulls of one side are filled from the other; the first pair wins. The rows
+    written hold all columns, so that a fill is an ordinary upsert; ``sources.parted`` fills single cells."""
+    picked = null_fills(diffs, table, columns)
     row = F.struct(F.lit(1).alias(HAS), *[F.coalesce(f"old.{c}", f"fill_{c}").alias(c) for c in columns])
     return picked.select("node", *table.key, F.lit(UPSERT).alias("op"), row.alias("row"))
 

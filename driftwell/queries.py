@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import normalize
 from .operators import blocks, diff, inventory, merkle, repair
 from .plans import rules
-from .sources import changelog, nodes, reports, trees
+from .sources import changelog, nodes, parted, reports, trees
 from .sources.shared import shared_dir, written
 from .streaming import drain, transactions
 
@@ -905,3 +905,97 @@ query("plan_condition_rules", f"WITH {cte('orders')} SELECT o_orderkey, CASE WHE
         ),
     )
 )
+
+
+# ---- tables in key ranges, capped runs, samples of files, members of sets
+
+
+def _stored(s: SparkSession, d: str, df: DataFrame, name: str, rows_per_part: int) -> parted.Parted:
+    return parted.create(df, spec(name), _place(s, f"parted-{name}"), rows_per_part)
+
+
+#: Repairs of few keys: the differing ones among the first fifth.
+_FEW = "o_orderkey * 5 <= (SELECT max(o_orderkey) FROM orders)"
+
+
+def _few_repairs(s: SparkSession, d: str) -> DataFrame:
+    last = table(s, d, "orders").agg(F.max("o_orderkey").alias("m")).first()["m"] or 0
+    return repair.from_source(diff.diff(cluster(s, d, "orders"), spec("orders")).where(F.col("o_orderkey") * 5 <= last), spec("orders"), "n1")
+
+
+@query("repair_parted", f"WITH {cte('orders')} SELECT o_orderkey, o_orderstatus FROM n1 WHERE {_FEW} UNION ALL SELECT o_orderkey, o_orderstatus FROM n2 WHERE NOT ({_FEW})")
+def _parted(s: SparkSession, d: str) -> DataFrame:
+    """A copy of n2 in key ranges after repairs of its first fifth."""
+    kept = _stored(s, d, node(s, d, "orders", "n2"), "orders", _LEAF)
+    kept.apply(_few_repairs(s, d), "n2")
+    return kept.frame.select("o_orderkey", "o_orderstatus")
+
+
+@query(
+    "repair_parted_rewrites",
+    f"WITH {cte('orders')}, r AS ({_ranges_sql(_LEAF, 'n2')}), f AS ({diff_sql('orders')}), t AS (SELECT DISTINCT block_id FROM (SELECT o_orderkey FROM f WHERE {_FEW}) o JOIN r ON {_IN}) SELECT r.block_id AS key_part, t.block_id IS NOT NULL AS rewritten FROM r LEFT JOIN t ON r.block_id = t.block_id",
+)
+def _parted_rewrites(s: SparkSession, d: str) -> DataFrame:
+    """Which ranges of that copy have new files afterwards: those with a repair and no others."""
+    kept = _stored(s, d, node(s, d, "orders", "n2"), "orders", _LEAF)
+    files = lambda name: written(kept.with_parts.groupBy(parted.PART).agg(F.sort_array(F.collect_set("_metadata.file_path")).alias(name)), "files")
+    before = files("before")
+    kept.apply(_few_repairs(s, d), "n2")
+    return before.join(files("after"), parted.PART, "full_outer").select(parted.PART, (~F.col("before").eqNullSafe(F.col("after"))).alias("rewritten"))
+
+
+@query("repair_parted_cells", f"SELECT c_custkey, c_name, c_mktsegment, {_HOLES2} AS c_nationkey FROM customer")
+def _parted_cells(s: SparkSession, d: str) -> DataFrame:
+    """A copy with holes in one column, of which the cells alone are filled from the other node, which has holes of its own."""
+    t, c = spec("customer"), table(s, d, "customer")
+    one, two = c.withColumn("c_mktsegment", F.expr(_HOLES1)).withColumn("c_nationkey", F.expr(_HOLES2)), c.withColumn("c_nationkey", F.expr(_HOLES2))
+    kept = _stored(s, d, one, "customer", 50)
+    kept.fill(parted.cells(diff.diff(nodes.Cluster({"n1": lambda _: one, "n2": lambda _: two}), t), t, ["c_mktsegment", "c_nationkey"]), "n1")
+    return kept.frame.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+
+
+_WHERE = "o_orderpriority < '4'"
+_RUN_SQL = f"SELECT pair, count(*) AS n_rows FROM ({diff_sql('orders', _THREE, _WHERE)}) GROUP BY pair"
+
+
+@query("diff_run_summary", f"SELECT pair, n_rows, least(n_rows, 300) AS n_kept, n_rows > 300 AS limited, '({_WHERE.replace(chr(39), chr(39) * 2)})' AS effective_filter FROM ({_RUN_SQL})")
+def _run_summary(s: SparkSession, d: str) -> DataFrame:
+    """The summary of a capped and filtered diff: counted while its rows are computed."""
+    run = diff.run(cluster(s, d, "orders", ("n1", "n2", "n3")), spec("orders"), 300, _WHERE)
+    kept = {r["pair"]: r["count"] for r in run.rows.groupBy("pair").count().collect()}
+    rows = [tuple(x.values()) for x in run.summary()]
+    if any(kept.get(x[0], 0) != x[2] for x in rows):
+        raise RuntimeError("the summary does not fit its rows")
+    return s.createDataFrame(rows, "pair string, n_rows long, n_kept long, limited boolean, effective_filter string")
+
+
+query("diff_effective_filter", f"SELECT o_orderkey FROM ({_META}) WHERE o_orderstatus = 'F' AND node_origin = '2' AND (commit_ts IS NULL OR commit_ts <= TIMESTAMP '1995-06-01')")(
+    lambda s, d: _meta(s, d).where(diff.effective_filter("o_orderstatus = 'F'", ("node_origin", "2"), ("commit_ts", "1995-06-01"))).select("o_orderkey")
+)
+
+
+@query("block_boundaries_by_files", "SELECT count(*) AS n_rows, TRUE AS bounded, TRUE AS few_files FROM orders")
+def _by_files(s: SparkSession, d: str) -> DataFrame:
+    """Ranges from the keys of an eighth of a table's files: blocks stay near their size, and the scan opens these files alone."""
+    place = _place(s, "files")
+    table(s, d, "orders").repartition(64, F.xxhash64("o_orderkey")).write.parquet(place)
+    df = s.read.parquet(place)
+    ranges = written(blocks.boundaries_by_files(df, ["o_orderkey"], 4 * _LEAF, 0.125, least=1), "ranges")
+    some, _ = blocks.file_sample(df, 0.125)
+    opened = some.select("_metadata.file_name").distinct().count()
+    sizes = blocks.assign(df, ["o_orderkey"], ranges).groupBy("block_id").count().agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+    return sizes.select(F.col("n").alias("n_rows"), (F.col("most") <= 3 * 4 * _LEAF).alias("bounded"), F.lit(opened <= 8).alias("few_files"))
+
+
+_SETS = [("n1", "customer"), ("n2", "customer"), ("n3", "customer"), ("n1", "orders"), ("n2", "orders"), ("n3", "part"), ("n1", "nowhere"), ("n2", "nowhere")]
+
+
+@query(
+    "repset_diff_tables",
+    f"SELECT 'customer' AS name, p AS nodes, CASE WHEN count(f.pair) > 0 THEN 'differed' ELSE 'matched' END AS status, count(f.pair) AS n_diffs FROM (VALUES ('n1,n2'), ('n1,n3'), ('n2,n3')) v(p) LEFT JOIN ({diff_sql('customer', _THREE)}) f ON replace(f.pair, '/', ',') = p GROUP BY p "
+    f"UNION ALL SELECT 'orders', 'n1,n2', 'differed', count(*) FROM ({diff_sql('orders')}) UNION ALL SELECT 'part', 'n3', 'single', NULL UNION ALL SELECT 'nowhere', 'n1,n2', 'failed', NULL",
+)
+def _set_tables(s: SparkSession, d: str) -> DataFrame:
+    """The tables of a replication set, diffed between the nodes that have them in it."""
+    members = s.createDataFrame(_SETS, "node string, table_name string")
+    return diff.each_member(cluster(s, d, "orders", ("n1", "n2", "n3")), members, {n: spec(n) for n in ("customer", "orders", "part")})

@@ -301,6 +301,60 @@ def test_merging_in_parts(spark, per_part):
     assert [r.range_end and r.range_end.id for r in got] == [w[0] for w in want[1:]] + [None]
 
 
+def test_parted_tables(spark, tmp_path):
+    from driftwell.sources import parted
+
+    df = spark.range(100).selectExpr("id", "concat('n', id) AS name", "cast(if(id % 10 = 3, null, id) AS decimal(10,2)) AS amount")
+    kept = parted.create(df, T, f"file://{tmp_path}/t", 10)
+    files = lambda: {r.key_part: r.f for r in kept.with_parts.groupBy("key_part").agg(F.sort_array(F.collect_set("_metadata.file_path")).alias("f")).collect()}
+    rows = lambda: {r.id: (r.name, r.amount) for r in kept.frame.collect()}
+    before, old = files(), rows()
+    assert len(before) == 10 and len(old) == 100
+    row = "named_struct('__has', 1, 'name', {}, 'amount', cast(null AS decimal(10,2)))"
+    write = lambda op, *ids: spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("'n1' AS node", "id", f"'{op}' AS op", row.format("'new'") + " AS row")
+    assert kept.apply(write("upsert", 5).unionByName(write("insert", 6, 1000)).unionByName(write("delete", *range(20, 30))), "n1") == 3
+    want = {i: v for i, v in old.items() if not 20 <= i < 30} | {5: ("new", None), 1000: ("new", None)}
+    assert rows() == want  # 6 is there already; the third range is gone with its rows
+    now = files()
+    assert sorted(now) == [0, 1, 3, 4, 5, 6, 7, 8, 9] and sorted(k for k in now if now[k] != before[k]) == [0, 9]
+    assert kept.apply(write("upsert", 5).unionByName(write("insert", 25)), "n1") == 2 and rows()[25] == ("new", None)  # the same again, and a key of the range that is gone
+    assert kept.apply(write("upsert", 5), "n2") == 0 and kept.apply(write("upsert", 5).limit(0), "n1") == 0
+    cells = spark.createDataFrame([("n1", 13, ("x", Decimal("7.5"))), ("n1", 14, (None, Decimal("1")))], "node string, id long, fill struct<name: string, amount: decimal(10,2)>")
+    assert kept.fill(cells, "n1") == 1 and rows()[13] == ("n13", Decimal("7.50")) and rows()[14] == ("n14", Decimal("14.00"))
+    with pytest.raises(ValueError, match="no rows"):
+        parted.create(df.limit(0), T, f"file://{tmp_path}/none", 10)
+    with pytest.raises(ValueError, match="is called"):
+        parted.create(df.withColumnRenamed("name", "key_part"), T, f"file://{tmp_path}/none", 10)
+
+
+def test_samples_of_files(spark, tmp_path):
+    spark.range(10_000).repartition(40, F.xxhash64("id")).write.parquet(f"file://{tmp_path}/t")
+    df = spark.read.parquet(f"file://{tmp_path}/t")
+    some, share = blocks.file_sample(df, 0.1)
+    assert share == 0.1 and some.select("_metadata.file_name").distinct().count() == 4
+    assert blocks.file_sample(df, 0.1, least=100)[1] == 1.0
+    assert some.count() < 2500
+    ranges = blocks.boundaries_by_files(df, ["id"], 500, 0.1, least=1)
+    sizes = [r["count"] for r in blocks.assign(df, ["id"], ranges).groupBy("block_id").count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 1200 and 15 <= len(sizes) <= 25
+
+
+def test_capped_runs(spark):
+    left, right = canonical_case(spark)
+    c = nodes.Cluster({"n1": lambda _: left, "n2": lambda _: right})
+    for most, limited in ((3, True), (6, False), (100, False)):
+        run = diff.run(c, T, most)
+        got = [r.id for r in run.rows.orderBy("id").collect()]
+        assert got == [1, 2, 1001, 1002, 2001, 2002][:most]
+        assert run.summary() == [{"pair": "n1/n2", "n_rows": 6, "n_kept": min(6, most), "limited": limited, "effective_filter": None}]
+    run = diff.run(c, T, 10, "id < 100")
+    assert run.rows.count() == 2 and run.summary()[0]["effective_filter"] == "(id < 100)"
+    assert diff.effective_filter() is None
+    for bad in ({"origin": ("a", "x")}, {"origin": ("a b", "1")}, {"until": ("t", "yesterday")}):
+        with pytest.raises(ValueError):
+            diff.effective_filter(**bad)
+
+
 def test_merging_that_does_not_end_is_an_error(spark):
     sized = spark.range(64).selectExpr("id AS block_id", "id AS range_start", "1L AS n_rows")
     with pytest.raises(RuntimeError):
