@@ -50,18 +50,19 @@ _BLANK = r"\x20\x09-\x0D"
 
 
 def numbered(text: Column) -> Column:
-    """Digits, with single marks between them, as one placeholder. No pattern has a group in a loop, for which the
-    engine would go one level deeper with each digit."""
-    runs = F.regexp_replace(text, r"\p{N}+", NUMBER)
-    return F.regexp_replace(F.regexp_replace(runs, rf"(?<={NUMBER})[.,:](?={NUMBER})", ""), rf"{NUMBER}+", NUMBER)
+    """Digits, with single marks between them, as one placeholder. The loop never gives back what it has taken: one that
+    might would make the engine go one level deeper with each digit."""
+    return F.regexp_replace(text, r"\p{N}(?:[.,:]?\p{N})*+", NUMBER)
 
 
 def templated(df: DataFrame, text: str) -> DataFrame:
     """``df`` with raw (words without punctuation, in lower case) and tpl (the same with placeholders)."""
-    pure = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\ue001-\ue003]", "")
+    pure = F.coalesce(F.col(text), F.lit(""))
+    for placeholder in (NAME, NUMBER, UNIT):
+        pure = F.replace(pure, F.lit(placeholder), F.lit(""))
     tpl = F.regexp_replace(F.col("_pure"), r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
     tpl = numbered(tpl)
-    tpl = F.regexp_replace(tpl, rf"(?<={NUMBER}[{_BLANK}]?)(?i:{'|'.join(sorted(set(UNITS), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT)
+    tpl = F.regexp_replace(tpl, rf"{NUMBER}([{_BLANK}]?)(?i:{'|'.join(sorted(set(UNITS), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", rf"{NUMBER}$1{UNIT}")
     bare = lambda x, keep: F.lower(F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}\p{{M}}{keep}{_BLANK}]+", ""))
     words = lambda x: F.when(F.btrim(x, F.lit(" \t\n\x0b\f\r")) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(x, F.lit(" \t\n\x0b\f\r")), SPACE))
     flat = fenced(fenced(df, _pure=pure), _raw=bare(F.col("_pure"), ""), _tpl=bare(tpl, "\ue001-\ue003"))
