@@ -23,6 +23,8 @@ SAMPLE_SHARES = ((100_000_000, 0.0001), (1_000_000, 0.001), (100_000, 0.01), (10
 MOST_BOUNDS = 100_000
 #: Most ranges that make up one filter of a scan.
 MOST_RANGES = 200
+#: Most wide runs of blocks that a filter gives to the scan.
+MOST_RUNS = 16
 
 
 def sample_share(rows: int) -> float:
@@ -134,6 +136,38 @@ def in_ranges(df: DataFrame, key: list[str], ranges: DataFrame, chosen: DataFram
     return assign(near, key, ranges).where(F.col("block_id").isin([r["block_id"] for r in few]))
 
 
+def near_ranges(df: DataFrame, key: list[str], ranges: DataFrame, chosen: DataFrame, most: int = MOST_RUNS, most_chosen: int = 10_000) -> DataFrame:
+    """The rows of the chosen blocks, and some at their ends: for comparisons, in which rows that are equal vanish, so long as all
+    sides are cut alike. It is a filter on the first key column alone: ``most`` wide runs of blocks that reach the scan, and inside
+    them a binary search over the runs of neighbours, written as nested conditions. Beyond ``most_chosen`` blocks all rows stay."""
+    picked = ranges.join(chosen.select("block_id").distinct(), "block_id", "left_semi")
+    few = picked.orderBy("block_id").limit(most_chosen + 1).collect()
+    if len(few) > most_chosen:
+        return df
+    if not few:
+        return df.where("false")
+    c, kind = F.col(key[0]), df.schema[key[0]].dataType
+    cuts = [k for k in range(1, len(few)) if few[k]["block_id"] - few[k - 1]["block_id"] > 1]
+    wide = sorted(sorted(cuts, key=lambda k: (few[k - 1]["block_id"] - few[k]["block_id"], k))[: most - 1])
+
+    def bounds(at: list[int]) -> list[tuple[Column | None, Column | None]]:
+        runs = [(few[a], few[b - 1]["range_end"]) for a, b in zip([0, *at], [*at, len(few)], strict=True)]
+        return [(None if low["block_id"] == 0 else F.lit(low["range_start"][0]).cast(kind), None if high is None else F.lit(high[0]).cast(kind)) for low, high in runs]
+
+    def inside(low: Column | None, high: Column | None) -> Column:
+        above = F.lit(True) if low is None else c >= low
+        return above if high is None else above & (c <= high)
+
+    def search(runs: list[tuple[Column | None, Column | None]]) -> Column:
+        if len(runs) == 1:
+            return inside(*runs[0])
+        half = len(runs) // 2
+        return F.when(c < runs[half][0], search(runs[:half])).otherwise(search(runs[half:]))
+
+    near = df.where(reduce(Column.__or__, [inside(*x) for x in bounds(wide)]))
+    return near if wide == cuts else near.where(search(bounds(cuts)))
+
+
 def block_hashes(df: DataFrame, key: list[str], columns: list[str], ranges: DataFrame, mode: str = "compat") -> DataFrame:
     """block_id and the hash of each block's rows in key order; blocks without rows have a hash, too. A
     block's rows are gathered, as their text is hashed in order: blocks are to be cut by a block size."""

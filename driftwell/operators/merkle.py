@@ -65,7 +65,7 @@ def build(leaf: DataFrame, n_leaves: int) -> DataFrame:
     return each.groupBy("node_level", up).agg(F.sum("n_rows").alias("n_rows"), *[F.bit_xor(x).alias(x) for x in LANES])
 
 
-def _differ(left: DataFrame, right: DataFrame) -> DataFrame:
+def differing(left: DataFrame, right: DataFrame) -> DataFrame:
     key = ["node_level", "node_position"]
     side = lambda t, n: t.select(*key, F.struct(*HASH).alias(n))
     return side(left, "a").join(side(right, "b"), key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(*key)
@@ -77,9 +77,9 @@ def mismatched(left: DataFrame, right: DataFrame, root_level: int | None = None)
     leaves; a walk level by level would be a job for each level."""
     if root_level is not None:
         top = F.col("node_level") == root_level
-        if _differ(left.where(top), right.where(top)).isEmpty():
+        if differing(left.where(top), right.where(top)).isEmpty():
             return left.where("false").select("node_position")
-    return _differ(left.where("node_level = 0"), right.where("node_level = 0")).select("node_position")
+    return differing(left.where("node_level = 0"), right.where("node_level = 0")).select("node_position")
 
 
 def walk(tree: DataFrame, root_level: int) -> DataFrame:

@@ -541,7 +541,26 @@ def _tree_diff(s: SparkSession, d: str) -> DataFrame:
     t, frames = spec("orders"), {n: node(s, d, "orders", n) for n in ("n1", "n2")}
     kept = _kept(s, frames)
     bad = written(trees.compare(kept["n1"], kept["n2"]), "bad")
-    return diff.report(diff.diff_pair(*[trees.rows_of(kept["n1"], frames[n], t, bad) for n in ("n1", "n2")], t).withColumn("pair", F.lit("n1/n2")), t)
+    return diff.report(diff.diff_pair(*[trees.rows_near(kept["n1"], frames[n], t, bad) for n in ("n1", "n2")], t).withColumn("pair", F.lit("n1/n2")), t)
+
+
+def kept_and_full(s: SparkSession, d: str, times: int = 20) -> dict[str, Callable[[], DataFrame]]:
+    """For the bench: two copies of ``orders``, so many times over, of which one row in 10,000 differs, stored in order of their key
+    with a kept tree each, and the same diff by the trees and in full."""
+    t, names = nodes.Table("orders", ("o_orderkey",)), ("a", "b")
+    rows = table(s, d, "orders").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("o_orderkey", F.expr("o_orderkey + k * 100000000L")).drop("k")
+    other = rows.withColumn("o_orderstatus", F.expr("if(pmod(xxhash64(o_orderkey), 10000) = 7, 'X', o_orderstatus)"))
+    place = _place(s, "kept")
+    for n, df in zip(names, (rows, other), strict=True):
+        df.repartitionByRange(8, *t.key).sortWithinPartitions(*t.key).write.option("parquet.block.size", 1 << 20).parquet(f"{place}/{n}")
+    frames = {n: s.read.parquet(f"{place}/{n}") for n in names}
+    kept = trees.build_trees(frames, t, {n: f"{place}/tree-{n}" for n in names}, 1000)
+
+    def by_trees() -> DataFrame:
+        bad = trees.compare(kept["a"], kept["b"])
+        return diff.diff_pair(*[trees.rows_near(kept["a"], frames[n], t, bad) for n in names], t)
+
+    return {"kept_tree_diff": by_trees, "kept_full_diff": lambda: diff.diff_pair(frames["a"], frames["b"], t)}
 
 
 def _as_changes(found: DataFrame) -> DataFrame:

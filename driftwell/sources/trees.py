@@ -10,14 +10,17 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks, merkle
 from .nodes import Table
 from .shared import file_system
 
+#: Levels that a descent goes down with one job.
+LEVELS_AT_ONCE = 6
 #: Trees of a lower version have hashes of another kind, and are hashed anew at their next update.
 HASH_VERSION = 3
 _POINTER = "current-"
@@ -37,7 +40,7 @@ class Tree:
 
     @property
     def levels(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.place}/{self.about['version']}/levels")
+        return self.spark.read.schema(f"node_position long, {', '.join(f'{c} long' for c in merkle.HASH)}, node_level int").parquet(f"{self.place}/{self.about['version']}/levels")
 
     @property
     def ranges(self) -> DataFrame:
@@ -53,7 +56,8 @@ def _save(spark: SparkSession, place: str, ranges: DataFrame, leaf: DataFrame, b
     leaf.join(ranges, F.col("node_position") == F.col("block_id")).select("block_id", "range_start", "range_end", "node_position", *merkle.HASH).write.parquet(f"{place}/{version}/leaves")
     kept = spark.read.parquet(f"{place}/{version}/leaves")
     n = kept.count()
-    merkle.build(kept, n).write.parquet(f"{place}/{version}/levels")
+    levels = merkle.build(kept, n)  # a level is a folder, in which files and row groups hold positions in a row
+    levels.repartitionByRange("node_level", "node_position").sortWithinPartitions("node_level", "node_position").write.partitionBy("node_level").parquet(f"{place}/{version}/levels")
     about = {"version": version, "n_leaves": n, "block_size": block_size, "hash_version": HASH_VERSION, **about}
     about["number"] = 1 + (max(_pointers(spark, place), default=0) if number is None else number)
     new, fs = file_system(spark, f"{place}/{version}/pointer")
@@ -94,7 +98,8 @@ def build_trees(tables: dict[str, DataFrame], table: Table, places: dict[str, st
     from .shared import written
 
     ranges = written(ranges, "ranges")
-    return {n: _save(spark, places[n], ranges, merkle.leaves(df, table, ranges), block_size, key=list(table.key)) for n, df in tables.items()}
+    same = uuid.uuid4().hex
+    return {n: _save(spark, places[n], ranges, merkle.leaves(df, table, ranges), block_size, key=list(table.key), cut=same) for n, df in tables.items()}
 
 
 def update(tree: Tree, df: DataFrame, table: Table, changes: DataFrame, rebalance: bool = False, **about: object) -> Tree:
@@ -132,18 +137,36 @@ def _folded(leaf: DataFrame, parts: DataFrame, joined: DataFrame) -> DataFrame:
     return to.groupBy(F.col("block_id").alias("node_position")).agg(F.sum("n_rows").alias("n_rows"), *[F.bit_xor(x).alias(x) for x in merkle.LANES])
 
 
-def compare(left: Tree, right: Tree) -> DataFrame:
+def compare(left: Tree, right: Tree, most: int = blocks.MOST_RANGES) -> DataFrame:
     """block_id of the leaves of ``left`` that hold a difference. Trees over the same ranges are compared
     from their roots; where ranges differ (one was split), a leaf without an equal one over the same range counts."""
     if left.n_leaves == right.n_leaves and _same_ranges(left, right):
-        return merkle.mismatched(left.levels, right.levels, merkle.height(left.n_leaves)).select(F.col("node_position").alias("block_id"))
+        return _descent(left, right, most)
     a, b = left.leaves, right.leaves
     other = b.select(F.col("range_start").alias("s"), F.col("range_end").alias("e"), *[F.col(x).alias(f"o_{x}") for x in merkle.HASH])
     equal = a.join(other, F.expr("range_start = s AND range_end <=> e AND " + " AND ".join(f"{x} = o_{x}" for x in merkle.HASH))).select("block_id")
     return a.join(equal, "block_id", "left_anti").select("block_id")
 
 
+def _descent(left: Tree, right: Tree, most: int) -> DataFrame:
+    """From the root LEVELS_AT_ONCE levels at a time: only what stands below nodes that differ is read, by a filter on the
+    level's folder and on positions, which row groups are skipped by. Beyond ``most`` such nodes all leaves are compared in one join."""
+    level, bad = merkle.height(left.n_leaves) + 1, [0]
+    while level > 0 and bad:
+        below = max(0, level - LEVELS_AT_ONCE)
+        at = reduce(Column.__or__, [F.col("node_position").between(p << (level - below), ((p + 1) << (level - below)) - 1) for p in bad])
+        some = merkle.differing(*[t.levels.where((F.col("node_level") == below) & at) for t in (left, right)]).select("node_position")
+        found = some.limit(most + 1).collect()
+        if len(found) > most:
+            leaves = [t.levels.where("node_level = 0") for t in (left, right)]
+            return merkle.differing(*leaves).select(F.col("node_position").alias("block_id"))
+        level, bad = below, [r["node_position"] for r in found]
+    return left.spark.createDataFrame([(p,) for p in bad], "block_id long")
+
+
 def _same_ranges(left: Tree, right: Tree) -> bool:
+    if left.about.get("cut") and left.about.get("cut") == right.about.get("cut"):
+        return True  # built together, or changed only in their hashes
     a, b = left.ranges.select("block_id", F.struct("range_start", "range_end").alias("a")), right.ranges.select("block_id", F.struct("range_start", "range_end").alias("b"))
     return a.join(b, "block_id", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
 
@@ -153,6 +176,11 @@ def rows_of(tree: Tree, df: DataFrame, table: Table, chosen: DataFrame) -> DataF
     return blocks.in_ranges(df, list(table.key), tree.ranges, chosen).drop("block_id")
 
 
+def rows_near(tree: Tree, df: DataFrame, table: Table, chosen: DataFrame) -> DataFrame:
+    """The rows of the chosen leaves and perhaps of some between them, by a filter of the scan alone: for a diff."""
+    return blocks.near_ranges(df, list(table.key), tree.ranges, chosen)
+
+
 def heal(tree: Tree, df: DataFrame, table: Table, chosen: DataFrame) -> tuple[Tree, int]:
     """Leaves that differ although no row does were stale: they are hashed anew. The tree and their number."""
     stale = chosen.select(F.col("block_id").alias("node_position"))
@@ -160,4 +188,4 @@ def heal(tree: Tree, df: DataFrame, table: Table, chosen: DataFrame) -> tuple[Tr
     if not n:
         return tree, 0
     leaf = merkle.refreshed(tree.levels, df, table, tree.ranges, stale)
-    return _save(tree.spark, tree.place, tree.ranges, leaf, tree.about["block_size"], tree.about["number"], **{k: v for k, v in tree.about.items() if k == "batch"}, key=list(table.key)), n
+    return _save(tree.spark, tree.place, tree.ranges, leaf, tree.about["block_size"], tree.about["number"], **{k: v for k, v in tree.about.items() if k in ("batch", "cut")}, key=list(table.key)), n

@@ -355,6 +355,32 @@ def test_capped_runs(spark):
             diff.effective_filter(**bad)
 
 
+@pytest.mark.parametrize("most", [1, 200])
+def test_descent(spark, tmp_path, most):
+    """From the roots down, and all leaves at once where too many nodes differ: the leaves with a difference."""
+    from driftwell.sources import trees
+
+    df = spark.range(1000).selectExpr("id", "cast(id AS string) AS name")
+    for k, ids in enumerate(([], [5, 505, 506, 999])):
+        other = df.withColumn("name", F.when(F.col("id").isin(ids), "x").otherwise(F.col("name")))
+        kept = trees.build_trees({"a": df, "b": other}, T, {n: f"file://{tmp_path}/{k}-{n}" for n in "ab"}, 10)
+        assert kept["a"].n_leaves == 100
+        assert sorted(r.block_id for r in trees.compare(kept["a"], kept["b"], most).collect()) == sorted({i // 10 for i in ids})
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 200])
+def test_rows_near_chosen_ranges(spark, most):
+    df = spark.range(200).selectExpr("id", "id % 3 AS other")
+    ranges = blocks.boundaries(df.where("id >= 20"), ["id"], 18)
+    for chosen in ([], [0], [17], [3, 4, 5, 9], [0, 2, 4, 6, 8, 17]):
+        got = {r.id for r in blocks.near_ranges(df, ["id"], ranges, ranges.where(F.col("block_id").isin(chosen)), most).collect()}
+        want = {i for i in range(200) if max(i // 10 - 2, 0) in chosen}
+        assert want <= got and len(got) <= len(want) + len(chosen)
+        if not chosen:
+            assert not got
+    assert blocks.near_ranges(df, ["id"], ranges, ranges, most_chosen=5).count() == 200
+
+
 def test_merging_that_does_not_end_is_an_error(spark):
     sized = spark.range(64).selectExpr("id AS block_id", "id AS range_start", "1L AS n_rows")
     with pytest.raises(RuntimeError):
