@@ -38,8 +38,8 @@ WINDOW, LITERALS = 8, 4
 COVERED, CONSISTENT = 50, 50
 BROADCAST_ROWS = 1_000_000
 PAIR = ("doc_id", "dh", "item_id", "ih")
-#: Placeholders, from the private use area, which texts are freed of first.
-NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
+#: Placeholders, and what ends the word of one while both are in one text; from the private use area, whose four texts are freed of first.
+NAME, NUMBER, UNIT, END = "\ue001", "\ue002", "\ue003", "\ue004"
 #: Unit words that count after a number (fixed values).
 UNITS = (
     "mm cm m km in ft yd mi miles mile kilometers kilometres kilometer meters metres meter inches inch feet foot mg g kg t lb lbs oz grams gram kilograms pounds pound ounces tons "
@@ -49,24 +49,25 @@ UNITS = (
 _BLANK = r"\x20\x09-\x0D"
 
 
-def numbered(text: Column) -> Column:
-    """Digits, with single marks between them, as one placeholder. The loop never gives back what it has taken: one that
-    might would make the engine go one level deeper with each digit."""
-    return F.regexp_replace(text, r"\p{N}(?:[.,:]?\p{N})*+", NUMBER)
+def marked(text: Column) -> Column:
+    """The text with names, numbers and units between their placeholder and END. A number is digits with single marks between
+    them; the loop never gives back what it has taken: one that might would make the engine go one level deeper with each digit."""
+    names = F.regexp_replace(text, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}++(?![\p{L}\p{N}])", f"{NAME}$0{END}")
+    numbers = F.regexp_replace(names, r"\p{N}(?:[.,:]?\p{N})*+", f"{NUMBER}$0{END}")
+    # a unit follows the END of a number: that of a name is never followed by its own letters
+    units = "|".join(sorted(set(UNITS), key=len, reverse=True))
+    return F.regexp_replace(numbers, rf"{END}(?<=\p{{N}}{END})([{_BLANK}]?)((?i:{units}))(?![\p{{L}}\p{{N}}])", f"{END}$1{UNIT}$2{END}")
 
 
 def templated(df: DataFrame, text: str) -> DataFrame:
     """``df`` with raw (words without punctuation, in lower case) and tpl (the same with placeholders)."""
-    pure = F.coalesce(F.col(text), F.lit(""))
-    for placeholder in (NAME, NUMBER, UNIT):
-        pure = F.replace(pure, F.lit(placeholder), F.lit(""))
-    tpl = F.regexp_replace(F.col("_pure"), r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
-    tpl = numbered(tpl)
-    tpl = F.regexp_replace(tpl, rf"{NUMBER}([{_BLANK}]?)(?i:{'|'.join(sorted(set(UNITS), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", rf"{NUMBER}$1{UNIT}")
-    bare = lambda x, keep: F.lower(F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}\p{{M}}{keep}{_BLANK}]+", ""))
-    words = lambda x: F.when(F.btrim(x, F.lit(" \t\n\x0b\f\r")) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(x, F.lit(" \t\n\x0b\f\r")), SPACE))
-    flat = fenced(fenced(df, _pure=pure), _raw=bare(F.col("_pure"), ""), _tpl=bare(tpl, "\ue001-\ue003"))
-    return fenced(flat, raw=words(F.col("_raw")), tpl=words(F.col("_tpl"))).drop("_pure", "_raw", "_tpl")
+    pure = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{NAME}-{END}]+", "")
+    both = F.lower(F.regexp_replace(marked(pure), rf"[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{END}{_BLANK}]+", ""))
+    words = lambda x: F.array_remove(F.split(x, SPACE), "")
+    flat = fenced(df, _both=both)
+    raw = F.regexp_replace("_both", f"[{NAME}-{END}]+", "")
+    tpl = F.regexp_replace("_both", f"([{NAME}-{UNIT}])[^{END}]*+{END}", "$1")
+    return fenced(flat, raw=words(raw), tpl=words(tpl)).drop("_both")
 
 
 def windows(words: str, width: int = WINDOW) -> Column:
@@ -76,6 +77,18 @@ def windows(words: str, width: int = WINDOW) -> Column:
     return F.when(last >= 0, each).otherwise(F.array().cast("array<long>"))
 
 
+def windowed(df: DataFrame, **of: str) -> DataFrame:
+    """``df`` with the hashes of all windows of WINDOW words, in order; ``of`` names a column of words for each new one. A window's
+    hash is that of its halves' hashes, down to single words, so each word is hashed once, and not once for each of its windows."""
+    out, width = fenced(df, **{n: F.transform(words, lambda w: F.xxhash64(w)) for n, words in of.items()}), 1
+    while width < WINDOW:  # a power of two
+        halves = out.withColumnsRenamed({n: f"_{n}" for n in of})
+        left = {n: F.greatest(F.size(f"_{n}") - width, F.lit(0)) for n in of}
+        pairs = {n: F.zip_with(F.slice(f"_{n}", F.lit(1), left[n]), F.slice(f"_{n}", F.lit(width + 1), left[n]), lambda a, b: F.xxhash64(a, b)) for n in of}
+        out, width = fenced(halves, **pairs).drop(*[f"_{n}" for n in of]), 2 * width
+    return out
+
+
 def _both(tpl: Column, raw: Column) -> Column:
     """The hashes of one window: two, or one where it has no placeholder."""
     return F.explode(F.when(tpl == raw, F.array(raw)).otherwise(F.array(tpl, raw)))
@@ -95,8 +108,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """The pairs (doc_id, item_id) that count, with n_windows, covered and consistent in percent."""
     items = templated(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).where("t IS NOT NULL"), "t").drop("t")
     items = written(items.withColumnRenamed("raw", "item_raw").withColumnRenamed("tpl", "item_tpl").distinct(), "items")
-    pairs = F.arrays_zip(windows("item_tpl").alias("wt"), windows("item_raw").alias("wr"))
-    each = items.select("item_id", F.xxhash64("item_raw").alias("ih"), "item_tpl", F.posexplode(pairs).alias("at", "w"))
+    cut = windowed(items, wt="item_tpl", wr="item_raw")
+    each = cut.select("item_id", F.xxhash64("item_raw").alias("ih"), "item_tpl", F.posexplode(F.arrays_zip("wt", "wr")).alias("at", "w"))
     plain = F.size(F.filter(F.slice("item_tpl", F.col("at") + 1, F.lit(WINDOW)), lambda x: ~_slot(x)))
     strong = F.when(plain >= LITERALS, F.col("w.wt")).otherwise(F.col("w.wr"))
     keys = written(each.select("item_id", "ih", "at", strong.alias("wt"), F.col("w.wr").alias("wr")).select("item_id", "ih", "at", _both(F.col("wt"), F.col("wr")).alias("w")), "item-windows")
@@ -105,7 +118,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t IS NOT NULL")
     worded = templated(docs.withColumn("dh", F.xxhash64("t")), "t").drop("t")
     lengths = [r["n"] for r in items.select(F.size("item_raw").alias("n")).where(f"n > 0 AND n < {WINDOW}").distinct().collect()]  # at most WINDOW - 1
-    rows = fenced(worded, wt=windows("tpl"), wr=windows("raw")).select("doc_id", "dh", F.posexplode(F.arrays_zip("wt", "wr")).alias("pos", "w"))
+    rows = windowed(worded, wt="tpl", wr="raw").select("doc_id", "dh", F.posexplode(F.arrays_zip("wt", "wr")).alias("pos", "w"))
     rows = rows.select("doc_id", "dh", "pos", _both(F.col("w.wt"), F.col("w.wr")).alias("w"))
     hits = written(rows.join(hashes, F.col("w") == F.col("k"), "left_semi"), "hits")
     aligned = hits.join(keys, "w").groupBy("doc_id", "dh", "item_id", "ih").agg(F.collect_set(F.struct("pos", "at")).alias("hits"))

@@ -50,16 +50,18 @@ def test_each_occurrence_counts_alone(spark):
     assert got[6, 1].covered > 80 and got[6, 1].consistent == 100
 
 
+def parts(t):
+    """Words and templates of a text, from the definitions."""
+    tpl = regex.sub(r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "\ue001", t)
+    tpl = regex.sub(r"\p{N}(?:[.,:]?\p{N})*", "\ue002", tpl)
+    units = "|".join(sorted(decontaminate.UNITS, key=len, reverse=True))
+    tpl = regex.sub(rf"(?<=\ue002[ \t\n\x0b\f\r]?)(?i:{units})(?![\p{{L}}\p{{N}}])", "\ue003", tpl)
+    bare = lambda x: regex.sub("[^\\p{L}\\p{N}\\p{M}\ue001-\ue003 \t\n\x0b\f\r]+", "", x).lower().split()
+    return bare(t), bare(tpl)
+
+
 def brute(doc, item):
     """covered and consistent of each diagonal of an item in a document, from the definitions."""
-    def parts(t):
-        tpl = regex.sub(r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "\ue001", t)
-        tpl = regex.sub(r"\p{N}(?:[.,:]?\p{N})*", "\ue002", tpl)
-        units = "|".join(sorted(decontaminate.UNITS, key=len, reverse=True))
-        tpl = regex.sub(rf"(?<=\ue002[ \t\n\x0b\f\r]?)(?i:{units})(?![\p{{L}}\p{{N}}])", "\ue003", tpl)
-        bare = lambda x: regex.sub("[^\\p{L}\\p{N}\\p{M}\ue001-\ue003 \t\n\x0b\f\r]+", "", x).lower().split()
-        return bare(t), bare(tpl)
-
     (dr, dt), (ir, it) = parts(doc), parts(item)
     slot = lambda w: any(x in w for x in "\ue001\ue002\ue003")
     if len(ir) < 8:
@@ -150,7 +152,12 @@ def test_endless_numbers(spark, unit):
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()] == [(1, 5)]
 
 
-def test_numbers(spark):
-    texts = ["1,234.5 a 3:4 5. 6 7,8", "x1 2y 3..4 5,,6 .7 8.", "١٢٣,٤ ½ 9", "", "1.2.3,4:5"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(decontaminate.numbered(F.col("t")).alias("n")).collect()
-    assert [r.n for r in got] == [regex.sub(r"\p{N}(?:[.,:]?\p{N})*", decontaminate.NUMBER, t) for t in texts]
+def test_templates(spark):
+    """Names, numbers and units against the patterns one by one."""
+    texts = ["1,234.5 a 3:4 5. 6 7,8", "x1 2y 3..4 5,,6 .7 8.", "١٢٣,٤ ½ 9", "", "1.2.3,4:5", None, "3km 3 KM 3  km 3\tkm4 5kms Km 7Km", "Tom-Tim Ab9 9Ab éCole École de Bern m 4 m", "\ue0014\ue004 km \ue002", "ΑΣ3 ΑΣ İx"]
+    rng = random.Random(8)
+    bits = ["Tom", "Ab", "a", "É", "ß", "3", "1,2", "4.", "km", "Min", "hrs", "%", "-", " ", " ", "\n", "\t ", "'", "\u0301"]
+    texts += ["".join(rng.choice(bits) for _ in range(40)) for _ in range(400)]
+    rows = decontaminate.templated(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
+    strip = lambda t: regex.sub("[\ue001-\ue004]", "", t or "")
+    assert [(r.raw, r.tpl) for r in rows] == [parts(strip(t)) for t in texts]
