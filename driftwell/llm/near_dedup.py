@@ -193,13 +193,15 @@ def compared(pairs: DataFrame, documents: DataFrame, size: int, percent: int, do
     return both.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, doc_id: str, text: str, one_text: bool = False) -> DataFrame:
     """Confirmed links (a, b) that give the components of all pairs that share a bucket; ``members`` has
-    key, id and n, once for each key and id."""
+    key, id and n, once for each key and id. With ``one_text`` all rows of an id have the same text: each
+    task keeps one of them before anything is moved."""
     # the texts of the members alone: the others are moved once and not again
     ids = members.select("id").distinct().hint("merge")
-    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    documents, doc_id, text = written(texts.dropDuplicates(["id", "text"]), "member-texts"), "id", "text"
+    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    found = texts.dropDuplicates(["id"]).join(ids, "id") if one_text else texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    documents, doc_id, text = written(found, "member-texts"), "id", "text"
 
     # first, each member with one pivot: the least of all members that are the least of a bucket of its
     firsts = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
@@ -281,8 +283,8 @@ def _sides(rows: DataFrame, key: list[str], carried: list[str]) -> tuple[DataFra
     return one, dealt.select(*key, *named(2), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
 
 
-def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept."""
+def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS, one_text: bool = False) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept. ``one_text``: all rows of an id have the same text."""
     drawn = written(sketches(documents, size, doc_id, text, permutations), "sketches")
     known = drawn.where("doc_id IS NOT NULL AND n > 0")
     copies = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -290,7 +292,7 @@ def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n")
     shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), salts(["id"])).where("first < last").select("key", "_salts")
     members = written(beside(rows, shared, ["key"], ["id"]).select("key", "id", "n").distinct(), "buckets")
-    final = components(linked(members, documents, size, percent, doc_id, text), "a", "b")
+    final = components(linked(members, documents, size, percent, doc_id, text, one_text), "a", "b")
 
     # a class goes where its representative goes; equal ids with different sets hang together too
     of_class = beside(known.drop("bands"), copies, ["h1", "h2", "n"], ["doc_id"])

@@ -127,9 +127,9 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     # texts are compared as written here: A-Z lowered
     long = known.select("doc_id", "h", F.inline(F.arrays_zip("line", F.col("line_text").alias("text")))).withColumn("id", F.xxhash64("text"))
-    grouped = classes(long.select("id", "text"), SHINGLE, PERCENT, "id", "text", PERMUTATIONS)
-    of = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "component_id").distinct()
-    placed = written(long.select("doc_id", "h", "line", "id").join(of, "id", "left").withColumn("group", F.coalesce("component_id", "id")).drop("component_id", "id"), "lines")
+    grouped = classes(long.select("id", "text"), SHINGLE, PERCENT, "id", "text", PERMUTATIONS, one_text=True)
+    of = grouped.select(F.col("doc_id").alias("id"), F.col("component_id").alias("group")).distinct()  # each line has a set
+    placed = written(beside(long.select("doc_id", "h", "line", "id"), of, ["id"], ["doc_id", "line"]).drop("id"), "lines")
     several = placed.groupBy("group").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.max("doc_id").alias("d2")).where("first.doc_id < d2").drop("d2")
     whole = beside(placed, several, ["group"], ["doc_id", "line"]).select("doc_id", "h", "line", "first")
     where = known.select(F.col("doc_id").alias("d"), F.col("h").alias("x"), "line_start").dropDuplicates(["d", "x"])
