@@ -169,7 +169,8 @@ def compared(pairs: DataFrame, documents: DataFrame, size: int, percent: int, do
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     texts = docs.join(ids.hint("merge"), "id", "left_semi").withColumn("x", F.xxhash64("text")).dropDuplicates(["id", "x"])
     one = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = beside(one, texts.select(F.col("id").alias("a"), "x", F.col("text").alias("text_a")), ["a"], ["b"]).select("a", "x", "b", "text_a", "text_b")
+    dealt = pairs.groupBy("a").agg(salts(["b"])).hint("merge")  # from the pairs, which have no texts yet
+    both = beside(one, texts.select(F.col("id").alias("a"), "x", F.col("text").alias("text_a")).join(dealt, "a"), ["a"], ["b"]).select("a", "x", "b", "text_a", "text_b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (p for frame in frames for p in blocks_of(frame, ["text_a", "text_b"])):
@@ -204,7 +205,7 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     documents, doc_id, text = written(found, "member-texts"), "id", "text"
 
     # first, each member with one pivot: the least of all members that are the least of a bucket of its
-    firsts = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
+    firsts = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), salts(["id"]))
     met = beside(members, firsts, ["key"], ["id"]).where(f"id <> p.id AND 100 * least(n, p.n) >= {int(percent)} * greatest(n, p.n)")
     pairs = written(met.groupBy(F.col("id").alias("b")).agg(F.min("p.id").alias("a")), "pairs")
     links = written(compared(pairs, documents, size, percent, doc_id, text), "links")
@@ -212,11 +213,11 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     # then what is left between components, as differences from the first member of the largest one of
     # each bucket; buckets of two that were compared are done
     held = written(members.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c")), "held")
-    open_ = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("i1"), F.max("id").alias("i2"), F.count("*").alias("m")).where("c1 < c2")
-    two = open_.where("m = 2").join(pairs, (F.col("i1") == F.col("a")) & (F.col("i2") == F.col("b")), "left_anti")
-    undone = open_.where("m > 2").select("key").unionByName(two.select("key"))
+    open_ = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("i1"), F.max("id").alias("i2"), F.count("*").alias("m"), salts(["id"])).where("c1 < c2")
+    compared_ = pairs.select(F.col("a").alias("i1"), F.col("b").alias("i2"), F.lit(2).cast("long").alias("m"))
+    undone = open_.join(compared_, ["i1", "i2", "m"], "left_anti").select("key", "_salts")
     largest = held.groupBy("key", "c").count().groupBy("key").agg(F.min(F.struct((-F.col("count")).alias("m"), "c")).alias("top"))
-    refs = undone.join(largest, "key").select("key", F.col("top.c").alias("ref"))
+    refs = undone.join(largest, "key").select("key", F.col("top.c").alias("ref"), "_salts")
     placed = written(beside(held, refs, ["key"], ["id"]).select("ref", "id").distinct(), "placed")
     away = written(compared(placed.where("id <> ref").select(F.col("ref").alias("a"), F.col("id").alias("b")), documents, size, percent, doc_id, text, True), "differences")
     none = F.array().cast("array<long>")
@@ -232,7 +233,8 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     apart = F.size("lost") + F.size("added")
     closest = away.groupBy("a", "x").agg(F.min(F.struct(apart.alias("apart"), "b", "n_b", "lost", "added")).alias("p")).select("a", "x", "p.*")
     pivots = here.unionByName(closest.join(here.select("a", "x", "n_a"), ["a", "x"]).drop("apart"))
-    met = beside(away.select("a", "x", *side(2)), written(pivots.select("a", "x", "n_a", *side(1)), "pivots"), ["a", "x"], ["id_2", "n_2"])
+    dealt = away.groupBy("a", "x").agg(salts(["b", "n_b"])).hint("merge")
+    met = beside(away.select("a", "x", *side(2)), pivots.select("a", "x", "n_a", *side(1)).join(dealt, ["a", "x"]), ["a", "x"], ["id_2", "n_2"])
     links = written(links.unionByName(pair(met.where(f"id_1 <> id_2 AND {near}")).distinct()), "links")
 
     # the rest between components
@@ -243,15 +245,16 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
     if sorted_out.where("minor").isEmpty():
         return links
     which = {"v": F.xxhash64("lost", "added"), "lack": lack, "d": F.size("lost") + F.size("added")}  # v: which text of b
-    undone = beside(sorted_out, sorted_out.where("minor").select("a").distinct(), ["a"], ["b"])  # nothing is left elsewhere
+    some = sorted_out.groupBy("a").agg(F.max("minor").alias("some"), salts(["b"])).where("some").drop("some")  # nothing is left elsewhere
+    undone = beside(sorted_out, some, ["a"], ["b"])
     held = written(away.join(undone, ["a", "b"]).withColumns(which), "left")
     member = ["a", "x", "b", "v"]
     ratio = f"c_1 <> c_2 AND 100 * least(n_1, n_2) >= {int(percent)} * greatest(n_1, n_2)"
 
     # far ones: candidates share one of the rarest shingles that tell them from the reference
     each = held.select(*member, "c", "minor", F.explode(F.concat("lost", "added")).alias("s"))
-    counted = each.groupBy("a", "x", "s").agg(F.count("*").alias("m"), (F.max("minor") & (F.min("c") < F.max("c"))).alias("open"))
-    told = beside(each, written(counted.where("m > 1"), "shared"), ["a", "x", "s"], ["b"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("m", "s", "open"))).alias("ss"))
+    counted = each.groupBy("a", "x", "s").agg(F.count("*").alias("m"), (F.max("minor") & (F.min("c") < F.max("c"))).alias("open"), salts(["b"]))
+    told = beside(each, counted.where("m > 1"), ["a", "x", "s"], ["b"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("m", "s", "open"))).alias("ss"))
     # a shingle of one set alone is rarest and joins nothing: such ones only take their places
     alone = F.col("d") - F.size("ss")
     room = F.greatest(F.col("lack") + 1 - alone, F.lit(0)).cast("int")
@@ -276,7 +279,7 @@ def linked(members: DataFrame, documents: DataFrame, size: int, percent: int, do
 def _sides(rows: DataFrame, key: list[str], carried: list[str]) -> tuple[DataFrame, DataFrame]:
     """Of the rows of each key the minor ones, and all, to be joined on the key and ``part``: a key of many
     rows is cut into parts of about PART_ROWS, and the minor ones go to each of them."""
-    some = rows.groupBy(*key).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"), F.max("minor").alias("some")).where("some").drop("some")
+    some = rows.groupBy(*key).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"), F.max("minor").alias("some"), salts(["b"])).where("some").drop("some")
     dealt = beside(rows, some, key, ["b"])
     named = lambda k: [F.col("b").alias(f"b_{k}"), *[F.col(c).alias(f"{c.removesuffix('_b')}_{k}") for c in carried]]
     one = dealt.where("minor").select(*key, *named(1), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -287,11 +290,12 @@ def classes(documents: DataFrame, size: int, percent: int, doc_id: str = "doc_id
     """One row for each document: doc_id, n_shingles, component_id, kept. ``one_text``: all rows of an id have the same text."""
     drawn = written(sketches(documents, size, doc_id, text, permutations), "sketches")
     known = drawn.where("doc_id IS NOT NULL AND n > 0")
-    copies = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(copies.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi")
-    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n")
+    copies = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), salts(["doc_id"]))
+    # the bands of the least document of each set; equal sets have equal bands
+    reps = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    rows = reps.select(F.explode("bands").alias("key"), "id", "n")
     shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), salts(["id"])).where("first < last").select("key", "_salts")
-    members = written(beside(rows, shared, ["key"], ["id"]).select("key", "id", "n").distinct(), "buckets")
+    members = written(beside(rows, shared, ["key"], ["id"], once=True), "buckets")
     final = components(linked(members, documents, size, percent, doc_id, text, one_text), "a", "b")
 
     # a class goes where its representative goes; equal ids with different sets hang together too

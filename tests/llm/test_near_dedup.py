@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.llm import near_dedup
+from driftwell.llm.common import beside, salts
 from driftwell.llm.components import components
 
 
@@ -89,3 +90,22 @@ def test_buckets_of_unlike_and_almost_like_documents(spark, shared, spread, monk
     best = brute(rows, 3, 85)
     got = {r.node: r.component for r in components(links, "a", "b").collect()}
     assert {i: got.get(i, i) for i in best} == best
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    def never(df, what):
+        raise AssertionError(what)
+
+    monkeypatch.setattr("driftwell.llm.components.written", never)
+    edges = spark.createDataFrame([(1, 5), (1, 6), (1, 6), (6, 1), (2, 7), (3, 3)], "u long, v long")
+    assert sorted(components(edges, "u", "v").collect()) == [(1, 1), (2, 2), (5, 1), (6, 1), (7, 2)]
+    assert components(edges.limit(0), "u", "v").count() == 0
+
+
+def test_repeated_rows_come_once_without_another_shuffle(spark):
+    rows = spark.range(40).selectExpr("id % 2 AS k", "id % 5 AS x")
+    side = rows.groupBy("k").agg(F.max("x").alias("m"), salts(["x"]))
+    all_, once = (beside(rows, side, ["k"], ["x"], once=o) for o in (False, True))
+    assert all_.count() == 40 and sorted(once.select("k", "x", "m").collect()) == [(k, x, 4) for k in (0, 1) for x in range(5)]
+    shuffles = [df._jdf.queryExecution().sparkPlan().toString().count("Join") + df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (all_, once)]
+    assert shuffles[0] == shuffles[1]
