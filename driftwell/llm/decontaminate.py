@@ -59,15 +59,36 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(numbers, rf"{END}(?<=\p{{N}}{END})([{_BLANK}]?)((?i:{units}))(?![\p{{L}}\p{{N}}])", f"{END}$1{UNIT}$2{END}")
 
 
+def _plain(both: Column) -> Column:
+    return F.regexp_replace(both, f"[{NAME}-{END}]+", "")
+
+
+def _template(both: Column) -> Column:
+    return F.regexp_replace(both, f"([{NAME}-{UNIT}])[^{END}]*+{END}", "$1")
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE), "")
+
+
+def _with_both(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with _both: the marked text without punctuation, in lower case."""
+    pure = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{NAME}-{END}]+", "")
+    return fenced(df, _both=F.lower(F.regexp_replace(marked(pure), rf"[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{END}{_BLANK}]+", "")))
+
+
 def templated(df: DataFrame, text: str) -> DataFrame:
     """``df`` with raw (words without punctuation, in lower case) and tpl (the same with placeholders)."""
-    pure = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{NAME}-{END}]+", "")
-    both = F.lower(F.regexp_replace(marked(pure), rf"[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{END}{_BLANK}]+", ""))
-    words = lambda x: F.array_remove(F.split(x, SPACE), "")
-    flat = fenced(df, _both=both)
-    raw = F.regexp_replace("_both", f"[{NAME}-{END}]+", "")
-    tpl = F.regexp_replace("_both", f"([{NAME}-{UNIT}])[^{END}]*+{END}", "$1")
-    return fenced(flat, raw=words(raw), tpl=words(tpl)).drop("_both")
+    flat = _with_both(df, text)
+    return fenced(flat, raw=_words(_plain(F.col("_both"))), tpl=_words(_template(F.col("_both")))).drop("_both")
+
+
+def hashed(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with hr and ht: the hashes of what ``templated`` calls raw and tpl. The marked text is split once, and a word
+    without marks is the same in both; no mark reaches beyond its word."""
+    split = fenced(_with_both(df, text), _words=_words(F.col("_both"))).drop("_both")
+    of = lambda part: F.transform("_words", lambda w: F.xxhash64(F.when(F.contains(w, F.lit(END)), part(w)).otherwise(w)))
+    return fenced(split, hr=of(_plain), ht=of(_template)).drop("_words")
 
 
 def windows(words: str, width: int = WINDOW) -> Column:
@@ -77,16 +98,12 @@ def windows(words: str, width: int = WINDOW) -> Column:
     return F.when(last >= 0, each).otherwise(F.array().cast("array<long>"))
 
 
-def windowed(df: DataFrame, **of: str) -> DataFrame:
-    """``df`` with the hashes of all windows of WINDOW words, in order; ``of`` names a column of words for each new one. A window's
-    hash is that of its halves' hashes, down to single words, so each word is hashed once, and not once for each of its windows."""
-    out, width = fenced(df, **{n: F.transform(words, lambda w: F.xxhash64(w)) for n, words in of.items()}), 1
-    while width < WINDOW:  # a power of two
-        halves = out.withColumnsRenamed({n: f"_{n}" for n in of})
-        left = {n: F.greatest(F.size(f"_{n}") - width, F.lit(0)) for n in of}
-        pairs = {n: F.zip_with(F.slice(f"_{n}", F.lit(1), left[n]), F.slice(f"_{n}", F.lit(width + 1), left[n]), lambda a, b: F.xxhash64(a, b)) for n in of}
-        out, width = fenced(halves, **pairs).drop(*[f"_{n}" for n in of]), 2 * width
-    return out
+def windowed(df: DataFrame, *kept: str) -> DataFrame:
+    """A row for each window of WINDOW words, from the hashes of all words in ht and hr: ``kept``, pos, wt and wr. A word is
+    hashed once, and the windows are compiled code over two arrays of numbers: no array of windows is made."""
+    rows = df.select(*kept, "ht", "hr", F.posexplode("hr").alias("pos", "_h")).where(F.col("pos") <= F.size("hr") - WINDOW)
+    window = lambda of: F.xxhash64(*[F.get(of, F.col("pos") + k) for k in range(WINDOW)])
+    return rows.select(*kept, "pos", window("ht").alias("wt"), window("hr").alias("wr"))
 
 
 def _both(tpl: Column, raw: Column) -> Column:
@@ -108,18 +125,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """The pairs (doc_id, item_id) that count, with n_windows, covered and consistent in percent."""
     items = templated(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).where("t IS NOT NULL"), "t").drop("t")
     items = written(items.withColumnRenamed("raw", "item_raw").withColumnRenamed("tpl", "item_tpl").distinct(), "items")
-    cut = windowed(items, wt="item_tpl", wr="item_raw")
-    each = cut.select("item_id", F.xxhash64("item_raw").alias("ih"), "item_tpl", F.posexplode(F.arrays_zip("wt", "wr")).alias("at", "w"))
+    of = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    cut = fenced(items, ih=F.xxhash64("item_raw"), ht=of("item_tpl"), hr=of("item_raw"))
+    each = windowed(cut, "item_id", "ih", "item_tpl").withColumnRenamed("pos", "at")
     plain = F.size(F.filter(F.slice("item_tpl", F.col("at") + 1, F.lit(WINDOW)), lambda x: ~_slot(x)))
-    strong = F.when(plain >= LITERALS, F.col("w.wt")).otherwise(F.col("w.wr"))
-    keys = written(each.select("item_id", "ih", "at", strong.alias("wt"), F.col("w.wr").alias("wr")).select("item_id", "ih", "at", _both(F.col("wt"), F.col("wr")).alias("w")), "item-windows")
+    strong = F.when(plain >= LITERALS, F.col("wt")).otherwise(F.col("wr"))
+    keys = written(each.select("item_id", "ih", "at", strong.alias("wt"), "wr").select("item_id", "ih", "at", _both(F.col("wt"), F.col("wr")).alias("w")), "item-windows")
     hashes = _few(keys)
 
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t IS NOT NULL")
-    worded = templated(docs.withColumn("dh", F.xxhash64("t")), "t").drop("t")
+    worded = docs.withColumn("dh", F.xxhash64("t"))
     lengths = [r["n"] for r in items.select(F.size("item_raw").alias("n")).where(f"n > 0 AND n < {WINDOW}").distinct().collect()]  # at most WINDOW - 1
-    rows = windowed(worded, wt="tpl", wr="raw").select("doc_id", "dh", F.posexplode(F.arrays_zip("wt", "wr")).alias("pos", "w"))
-    rows = rows.select("doc_id", "dh", "pos", _both(F.col("w.wt"), F.col("w.wr")).alias("w"))
+    rows = windowed(hashed(worded, "t").drop("t"), "doc_id", "dh")
+    rows = rows.select("doc_id", "dh", "pos", _both(F.col("wt"), F.col("wr")).alias("w"))
     hits = written(rows.join(hashes, F.col("w") == F.col("k"), "left_semi"), "hits")
     aligned = hits.join(keys, "w").groupBy("doc_id", "dh", "item_id", "ih").agg(F.collect_set(F.struct("pos", "at")).alias("hits"))
 
@@ -147,7 +165,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     good = good.select("doc_id", "item_id", "n_windows", "covered", "consistent")
     for n in sorted(lengths):
         short = items.where(F.size("item_raw") == n).select("item_id", F.get(windows("item_raw", n), 0).alias("w")).distinct()
-        own = fenced(worded, ws=windows("raw", n)).select("doc_id", "dh", F.posexplode("ws").alias("pos", "w")).join(_few(short), F.col("w") == F.col("k"), "left_semi")
+        own = fenced(templated(worded, "t").drop("t"), ws=windows("raw", n)).select("doc_id", "dh", F.posexplode("ws").alias("pos", "w")).join(_few(short), F.col("w") == F.col("k"), "left_semi")
         found = own.distinct().join(short, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"))
         good = good.unionByName(found.select("*", F.lit(100.0).cast("double").alias("covered"), F.lit(100.0).cast("double").alias("consistent")))
     best = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.struct("covered", "consistent")).alias("best"))

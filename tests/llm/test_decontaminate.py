@@ -161,3 +161,19 @@ def test_templates(spark):
     rows = decontaminate.templated(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
     strip = lambda t: regex.sub("[\ue001-\ue004]", "", t or "")
     assert [(r.raw, r.tpl) for r in rows] == [parts(strip(t)) for t in texts]
+
+
+def test_hashes_of_words_are_those_of_templates_and_plain_words(spark):
+    texts = ["Alice paid 12.5 km, twice.", "abc5def 3kg -- A1b", "", None, " \n\t", "x Zoë met BOB at 7pm", "Ann's 3 Dogs"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    of = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    want = decontaminate.templated(df, "t").select(of("raw"), of("tpl")).collect()
+    assert decontaminate.hashed(df, "t").select("hr", "ht").collect() == want
+
+
+def test_windows_are_rows_of_equal_words(spark):
+    df = spark.createDataFrame([(1, " ".join("abcdefghi")), (2, "x " + " ".join("bcdefghi")), (3, "a b c")], "doc_id long, t string")
+    got = decontaminate.windowed(decontaminate.hashed(df, "t"), "doc_id").collect()
+    assert sorted((r.doc_id, r.pos) for r in got) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    by = {(r.doc_id, r.pos): r.wr for r in got}
+    assert by[1, 1] == by[2, 1] and by[1, 0] != by[2, 0] and all(r.wt == r.wr for r in got)
