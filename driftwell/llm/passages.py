@@ -130,7 +130,7 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     grouped = classes(long.select("id", "text"), SHINGLE, PERCENT, "id", "text", PERMUTATIONS, one_text=True)
     of = grouped.select(F.col("doc_id").alias("id"), F.col("component_id").alias("group")).distinct()  # each line has a set
     placed = written(beside(long.select("doc_id", "h", "line", "id"), of, ["id"], ["doc_id", "line"]).drop("id"), "lines")
-    several = placed.groupBy("group").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.max("doc_id").alias("d2")).where("first.doc_id < d2").drop("d2")
+    several = placed.groupBy("group").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.max("doc_id").alias("d2"), salts(["doc_id", "line"])).where("first.doc_id < d2").drop("d2")
     whole = beside(placed, several, ["group"], ["doc_id", "line"]).select("doc_id", "h", "line", "first")
     where = known.select(F.col("doc_id").alias("d"), F.col("h").alias("x"), "line_start").dropDuplicates(["d", "x"])
     spans = whole.join(where, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("x"))).select(
