@@ -87,30 +87,38 @@ def closed(starts: DataFrame) -> DataFrame:
     return starts.join(after, "block_id", "left").select("block_id", "range_start", "range_end")
 
 
-def _bounds(ranges: DataFrame) -> Column:
-    """All bounds in order, as one value of the plan: starts and the blocks they open."""
-    both = F.sort_array(F.collect_list(F.struct("range_start", "block_id")))
-    return ranges.agg(both.alias("t")).select(F.struct(F.col("t.range_start").alias("start"), F.col("t.block_id").alias("block")).alias("t")).scalar()
-
-
-def _found(n: int, key: Column) -> Column:
-    """The block of ``key`` by binary search in the column of bounds."""
-    start, block = F.col("__bounds")["start"], F.col("__bounds")["block"]
+def _bounds(ranges: DataFrame, n: int) -> Column:
+    """All bounds in order, as one value of the plan: ``groups`` of about sqrt(n) neighbours, each with its starts and the blocks
+    they open, and the first ``start`` of each group."""
+    size = math.isqrt(n - 1) + 1
+    every = ranges.agg(F.sort_array(F.collect_list(F.struct("range_start", "block_id"))).alias("t"))
+    cut = lambda c, i: F.slice(F.col(f"t.{c}"), i * size + 1, F.lit(size))
+    groups = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // size)), lambda i: F.struct(cut("range_start", i).alias("start"), cut("block_id", i).alias("block")))
+    return every.select(groups.alias("g")).select(F.struct(F.transform("g", lambda x: F.get(x["start"], F.lit(0))).alias("start"), F.col("g").alias("groups")).alias("t")).scalar()
+
+
+def _last_upto(starts: Column, n: int, key: Column) -> Column:
+    """The place of the last of at most n sorted ``starts`` that is not above ``key``, by binary search; 0 if none is."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
-    least = lambda p, s: F.coalesce(F.get(start, p + s - 1) <= key, F.lit(False))
+    least = lambda p, s: F.coalesce(F.get(starts, p + s - 1) <= key, F.lit(False))
     upto = F.aggregate(steps, F.lit(0), lambda p, s: F.when(least(p, s), p + s).otherwise(p))
-    return F.get(block, F.greatest(upto - 1, F.lit(0)))
+    return F.greatest(upto - 1, F.lit(0))
 
 
 def assign(df: DataFrame, key: list[str], ranges: DataFrame, most_bounds: int | None = None) -> DataFrame:
-    """Each row with its block_id. Up to MOST_BOUNDS ranges, which are counted, rows stay where they are
-    and find their range by binary search; beyond that rows and bounds meet in one order."""
+    """Each row with its block_id. Up to MOST_BOUNDS ranges, which are counted, rows stay where they are and find their range
+    by binary search, first the group of bounds and then the one in it: what Spark copies beside a row are these two lists of
+    sqrt(n) bounds, never all. Beyond that rows and bounds meet in one order."""
     n, kind = ranges.count(), ranges.schema["range_start"].dataType
     if not n:
         return df.limit(0).withColumn("block_id", F.lit(None).cast("long"))
     own = F.struct(*key).cast(kind)
     if n <= (MOST_BOUNDS if most_bounds is None else most_bounds):
-        return df.withColumn("__bounds", _bounds(ranges)).withColumn("block_id", _found(n, own)).drop("__bounds")
+        bounds, most = _bounds(ranges, n), math.isqrt(n - 1) + 1
+        first = df.withColumn("__starts", bounds["start"]).withColumn("__group", _last_upto(F.col("__starts"), most, own))
+        near = first.withColumn("__near", F.get(bounds["groups"], F.col("__group"))).drop("__starts", "__group")
+        found = F.get(F.col("__near")["block"], _last_upto(F.col("__near")["start"], most, own))
+        return near.withColumn("block_id", F.coalesce(found, F.lit(0).cast("long"))).drop("__near")  # never null: joins by it need no filter, which would search again
     return last_before(df.withColumn("range_start", own), ranges, "range_start", "block_id").drop("range_start")
 
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import row_text
+from ..functions.normalize import canonical, row_text
 from ..sources.nodes import Table
 from ..sources.shared import written
 from .blocks import assign, closed, in_ranges, pieces
@@ -30,15 +30,17 @@ LEAVES_IN_PART = 100_000
 ESCALATE_SHARE, ESCALATE_LEAST = 0.01, 1000
 
 
-def lanes(text: Column) -> list[Column]:
-    digest = F.sha2(text, 256)
+def lanes(digest: Column) -> list[Column]:
     return [F.conv(F.substring(digest, _DIGITS * i + 1, _DIGITS), 16, 10).cast("long").alias(lane) for i, lane in enumerate(LANES)]
 
 
 def hashed(rows: DataFrame, table: Table) -> DataFrame:
-    """block_id, n_rows and lanes of rows that have a block_id."""
-    text = row_text(rows, [*table.key, *table.columns(rows.drop("block_id"))])
-    return rows.select("block_id", *lanes(text)).groupBy("block_id").agg(F.count("*").alias("n_rows"), *[F.bit_xor(x).alias(x) for x in LANES])
+    """block_id, n_rows and lanes of rows that have a block_id. Values become texts, texts a digest and the digest lanes in steps of
+    their own: in one step Spark computes each again wherever it is used, in methods too long to be compiled."""
+    columns = [*table.key, *table.columns(rows.drop("block_id"))]
+    texts = rows.select("block_id", *[canonical(rows, c).alias(c) for c in columns])
+    digests = texts.select("block_id", F.sha2(row_text(texts, columns), 256).alias("digest"))
+    return digests.select("block_id", *lanes(F.col("digest"))).groupBy("block_id").agg(F.count("*").alias("n_rows"), *[F.bit_xor(x).alias(x) for x in LANES])
 
 
 def _filled(blocks: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge cases of the operators on small tables."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -327,6 +328,18 @@ def test_parted_tables(spark, tmp_path):
         parted.create(df.withColumnRenamed("name", "key_part"), T, f"file://{tmp_path}/none", 10)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 101])
+def test_rows_find_their_range_in_groups_of_bounds(spark, n):
+    ranges = spark.range(n).selectExpr("7 * id AS block_id", "named_struct('a', cast(id div 3 AS long), 'b', concat('x', id % 3)) AS range_start", "cast(null AS struct<a: long, b: string>) AS range_end")
+    rows = spark.range(-2, n).selectExpr("if(id = -1, null, id div 2) AS a", "concat('x', id % 5) AS b")
+    found = blocks.assign(rows, ["a", "b"], ranges)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(found) == key(blocks.assign(rows, ["a", "b"], ranges, 0))
+    plan = merkle.leaves(rows, nodes.Table("t", ("a", "b")), ranges)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"scalar-subquery#\d+ \[\] AS", plan)  # no row carries all bounds
+    assert not re.search(r"Filter isnotnull\(.*scalar-subquery", plan)  # and none is searched for twice
+
+
 def test_samples_of_files(spark, tmp_path):
     spark.range(10_000).repartition(40, F.xxhash64("id")).write.parquet(f"file://{tmp_path}/t")
     df = spark.read.parquet(f"file://{tmp_path}/t")
