@@ -1,7 +1,9 @@
 """Change log, stateful transactions and drains."""
 
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,78 @@ def test_tree_and_drain_move_together(spark, tmp_path):
     assert trees.open_tree(spark, tree.place).about == now.about
     with pytest.raises(OSError, match="another version"):  # an update of a version that is not the last one
         trees.update(half, new, T, spark.createDataFrame([("UPDATE", 5)], "op string, id long"))
+
+
+class States:
+    """The state of one key, in memory."""
+
+    def __init__(self):
+        self.maps, self.timers = {}, set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def getMapState(self, name, *_):
+        return Map(self.maps.setdefault(name, {}))
+
+    def getValueState(self, name, *_):
+        return Map(self.maps.setdefault(name, {}))
+
+
+class Map:
+    def __init__(self, held):
+        self.held = held
+        self.getValue, self.removeKey, self.containsKey = held.__getitem__, held.pop, held.__contains__
+
+    def exists(self):
+        return bool(self.held)
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def get(self):
+        return self.held[0]
+
+    def update(self, value):
+        self.held[0] = value
+
+
+@pytest.mark.parametrize("late", [None, 9])
+def test_a_bucket_of_random_transactions(monkeypatch, late):
+    """Ends in any order within a batch, xids used again, lists of the state and of the memory that are full."""
+    monkeypatch.setattr(transactions, "CHUNK", 2)
+    monkeypatch.setattr(transactions, "MEMORY", 5)
+    draw = random.Random(5)
+    for _ in range(60):
+        log = [(lsn, draw.randrange(4), draw.choice(["INSERT", "UPDATE", "UPDATE", "COMMIT", "ABORT"]), lsn * 10) for lsn in range(1, draw.randrange(2, 60))]
+        ends = lambda lsn, xid, upto=10**9: next((x for x in log if lsn < x[0] <= upto and x[1] == xid and x[2] in ("COMMIT", "ABORT")), None)
+        states, got, reported, at = States(), [], set(), 0
+        buffer = transactions._Buffer(late)
+        buffer.init(states)
+        while at < len(log):
+            batch = log[at : at + draw.randrange(1, 25)]
+            at += len(batch)
+            draw.shuffle(batch)
+            parts = [pd.DataFrame(batch[k : k + 4], columns=["lsn", "xid", "op", "pk"]) for k in range(0, len(batch), 4)]
+            for out in buffer.handleInputRows((3,), iter(parts), None):
+                got += out[out["op"] != transactions.OVERDUE].values.tolist()
+                reported |= set(out.loc[out["op"] == transactions.OVERDUE, "xid"])
+            changes = [x for x in log[:at] if x[2] not in ("COMMIT", "ABORT")]
+            assert sorted(got) == sorted([lsn, xid, op, pk, end[0]] for lsn, xid, op, pk in changes for end in [ends(lsn, xid, at)] if end and end[2] == "COMMIT")
+            assert sorted(r[0] for (rows,) in states.maps["open"].values() for r in rows) == [x[0] for x in changes if not ends(x[0], x[1], at)]
+            if late is not None:
+                still = {x[1] for x in changes if not ends(x[0], x[1], at)}
+                assert {xid for (xid,) in states.maps["due"].values()} == still and states.timers == {lsn + late for (lsn,) in states.maps["due"]}
+                assert reported <= {x[1] for x in changes if (ends(x[0], x[1], at) or (0,))[0] - x[0] >= late}
+
+
+def test_very_many_transactions_are_few_keys_of_the_state(spark, log):
+    n = 3000
+    changelog.append(spark.range(1, n + 1).selectExpr("id AS lsn", "id AS xid", "'INSERT' AS op", "id AS pk"), log.log)
+    log.run()
+    held = spark.read.format("statestore").option("stateVarName", "open").load(log.checkpoint)
+    assert held.select("key").distinct().count() <= transactions.BUCKETS and log.open() == list(range(1, n + 1))
