@@ -328,6 +328,31 @@ def test_parted_tables(spark, tmp_path):
         parted.create(df.withColumnRenamed("name", "key_part"), T, f"file://{tmp_path}/none", 10)
 
 
+def test_parted_files_follow_rows_and_not_ranges(spark, tmp_path):
+    from driftwell.sources import parted
+
+    df = spark.range(2000).selectExpr("id", "concat('n', id) AS name")
+    kept = parted.create(df, T, f"file://{tmp_path}/t", 5)
+    held = lambda: kept.with_parts.select("id", "key_part", F.col("_metadata.file_path").alias("f"))
+    before = {r.id: (r.key_part, r.f) for r in held().collect()}
+    assert len({p for p, _ in before.values()}) == 400 and len({f for _, f in before.values()}) <= 8
+    ids = [*range(0, 2000, 40), 3]  # one range in eight, more than are runs in the filter; the first of them twice
+    writes = spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("'n1' AS node", "id", "'upsert' AS op", "named_struct('__has', 1, 'name', 'new') AS row")
+    old = kept._versions()
+    assert kept.apply(writes, "n1") == 50
+    after = {r.id: (r.key_part, r.f) for r in held().collect()}
+    assert {i: p for i, (p, _) in after.items()} == {i: p for i, (p, _) in before.items()} and all((after[i] != before[i]) == (i // 5 % 8 == 0) for i in before)
+    assert kept.frame.where("name = 'new'").count() == 51 and kept.frame.count() == 2000
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(parted, "MOST_NAMED", 3)  # ranges that are too many to be named
+        assert kept.apply(writes.withColumn("op", F.lit("delete")), "n1") == 50
+    assert kept.frame.count() == 1949 and kept.frame.where("name = 'new'").count() == 0
+    placed, few = kept._touched(writes)
+    with pytest.raises(OSError, match="meanwhile"):  # a repair of a version that is not the last one
+        kept._replace(old, placed, kept._old(old, placed, few))
+    assert kept.frame.count() == 1949
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 101])
 def test_rows_find_their_range_in_groups_of_bounds(spark, n):
     ranges = spark.range(n).selectExpr("7 * id AS block_id", "named_struct('a', cast(id div 3 AS long), 'b', concat('x', id % 3)) AS range_start", "cast(null AS struct<a: long, b: string>) AS range_end")
