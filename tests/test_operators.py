@@ -353,6 +353,17 @@ def test_parted_files_follow_rows_and_not_ranges(spark, tmp_path):
     assert kept.frame.count() == 1949
 
 
+def test_parted_tables_of_more_ranges_than_bounds_are_sent(spark, tmp_path, monkeypatch):
+    from driftwell.sources import parted
+
+    monkeypatch.setattr(blocks, "MOST_BOUNDS", 3)  # rows and bounds meet in one order
+    kept = parted.create(spark.range(300).selectExpr("id", "'old' AS name"), T, f"file://{tmp_path}/t", 5)
+    assert kept.with_parts.where("id div 5 = key_part").count() == 300 and kept.with_parts.select("_metadata.file_path").distinct().count() <= 8
+    writes = spark.range(0, 300, 30).selectExpr("'n1' AS node", "id", "'upsert' AS op", "named_struct('__has', 1, 'name', 'new') AS row")
+    assert kept.apply(writes, "n1") == 10
+    assert sorted((r.id, r.name) for r in kept.frame.collect()) == [(i, "old" if i % 30 else "new") for i in range(300)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 101])
 def test_rows_find_their_range_in_groups_of_bounds(spark, n):
     ranges = spark.range(n).selectExpr("7 * id AS block_id", "named_struct('a', cast(id div 3 AS long), 'b', concat('x', id % 3)) AS range_start", "cast(null AS struct<a: long, b: string>) AS range_end")
